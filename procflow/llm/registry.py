@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from procflow.llm import simhash
+from procflow.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, sharding, simhash
 
 
 def queries():
     return {
+        "op1_mixing": mixing.op1_mixing,
+        "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op4_sharding": sharding.op4_sharding,
         "op5_simhash": simhash.op5_simhash,
+        "op6_license_scan": license_scan.op6_license_scan,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
+        "op8_chat_format": chat_format.op8_chat_format,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op1_mixing": mixing.OP1_SQL,
+        "op8_chat_format": chat_format.OP8_SQL,
+    }
