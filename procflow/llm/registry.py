@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from procflow.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, sharding, simhash
+from procflow.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
 
 
 def queries():
     return {
         "op1_mixing": mixing.op1_mixing,
         "op2_decontaminate": decontaminate.op2_decontaminate,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_sharding": sharding.op4_sharding,
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": license_scan.op6_license_scan,
