@@ -98,6 +98,22 @@ def thresholds(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
     return state.select("source", F.when(F.col("budget") <= 0, -1).when(near, F.col("open")).otherwise(F.col("open") - 1).alias("cut"))
 
 
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, bool]:
+    """Slim rows ``doc_id, source, h, size``; the plan ``source, source_size, target, whole, cut`` of each source;
+    and whether the plan is small enough to be broadcast."""
+    rows = cut(docs.select("doc_id", "source", row_hash(docs["doc_id"]).alias("h"), n_words(docs["text"]).alias("size")), "sizes")
+    per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    per_source = cut(per_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+    few = per_source.count() <= BROADCAST_SOURCES
+    full = _by_source(per_source.withColumn("h", F.xxhash64("source")), thresholds(rows, per_source, few), few).drop("h")
+    return rows, cut(full.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")), "plan"), few
+
+
+def _epochs(h: str = "h") -> Column:
+    return F.col("whole") + F.when(F.col(h) <= F.col("cut"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``doc_id, source, h, size, source_size, target, epochs, taken`` for every row of ``docs``.
 
@@ -105,16 +121,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     taken = size * epochs. Rows are told apart by doc_id alone, so repeated ids are taken together; reruns
     agree. Null sources form one source. A total of no words gives targets of 0. Needs doc_id, text, source.
     """
-    rows = cut(docs.select("doc_id", "source", row_hash(docs["doc_id"]).alias("h"), n_words(docs["text"]).alias("size")), "sizes")
-    per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    per_source = cut(per_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    few = per_source.count() <= BROADCAST_SOURCES
-    plan = _by_source(per_source.withColumn("h", F.xxhash64("source")), thresholds(rows, per_source, few), few).drop("h")
-    plan = cut(plan.select("source", "source_size", "target", "whole", F.coalesce("cut", F.lit(-1)).alias("cut")), "plan")
-    out = _by_source(rows, plan, few)
-    epochs = F.col("whole") + F.when(F.col("h") <= F.col("cut"), 1).otherwise(0)
-    return out.withColumn("epochs", epochs).withColumn("taken", F.col("size") * F.col("epochs")).select("doc_id", "source", "h", "size", "source_size", "target", "epochs", "taken")
+    rows, sources, few = plan(docs, weights, max_epochs)
+    out = _by_source(rows, sources, few).withColumn("epochs", _epochs())
+    return out.withColumn("taken", F.col("size") * F.col("epochs")).select("doc_id", "source", "h", "size", "source_size", "target", "epochs", "taken")
+
+
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mixture itself: rows of ``docs``, each as often as the mix takes it. Columns stay as they are."""
+    _, sources, few = plan(docs, weights, max_epochs)
+    own = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
+    packed = docs.select(own, F.col("source"), row_hash(F.col("doc_id")).alias("h"))
+    taken = _by_source(packed, sources, few).withColumn("__n", _epochs().cast("int")).where("__n > 0")
+    return taken.select(F.explode(F.array_repeat("__row", F.col("__n"))).alias("r")).select("r.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

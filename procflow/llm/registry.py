@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procflow.llm import chat_format, decontaminate, license_scan, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
+from procflow.llm import chat_format, decontaminate, html_extract, license_scan, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_license_scan": license_scan.op6_license_scan,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_html_extract": html_extract.op9_html_extract,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 

@@ -171,11 +171,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id."""
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id. An id names one document."""
     found = near_duplicates(docs, max_bits)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
     left = docs.join(kept.select(F.col("doc_id").alias("__kept")), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    # repeated rows of one id; rows without an id are told apart by their text
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return left.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
