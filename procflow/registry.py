@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from procflow.queries import documents
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+_MODULES = (documents,)
+flagship = documents.flagship
 
 
 def queries():
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: s for m in _MODULES for name, s in m.SQL.items()}
