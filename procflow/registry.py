@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from procflow.queries import documents
+from procflow.queries import artifacts, documents
 
-_MODULES = (documents,)
+_MODULES = (documents, artifacts)
 flagship = documents.flagship
 
 

@@ -27,3 +27,14 @@ def get_spark(app: str = "procflow", cores: str | int = "*", shuffle_partitions:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One parquet table of the data folder, by whatever path scheme Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df):
+    """Cut a table from its lineage into spark.checkpoint.dir, which all executors share; a folder of our own is
+    set only where the session has none."""
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
