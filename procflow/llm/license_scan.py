@@ -84,12 +84,26 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
+#: Words that a rule above may change or take away, so that a text can begin with one and its form with another.
+CHANGEABLE = r"^(?:(?:sub)?licen[cs]e(?:d|s|es)?|the|copyright|https?|www|version|ver|v|merchantibility|non)$"
+#: A line of no word, or one that only claims copyright.
+_NO_WORD = r"[\p{L}\p{N}]"
+_CLAIM = COPYRIGHT.replace("(?im)", "(?i)")
+
+
 def known(spark: SparkSession, extra: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``license_id, digest`` of the known texts: grants by rule, whole texts, and ``extra (id, text)``."""
+    """``license_id, digest, first`` of the known texts: grants by rule, whole texts, and ``extra (id, text)``;
+    ``first`` is the first word of the canonical form."""
     rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS]
     rows += [(i, f"SPDX-License-Identifier: {i}") for i in NAMES] + list(TEXTS.items()) + (extra or [])
-    d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
-    return d.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
+    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first"))
+
+
+def first_word(unit: Column) -> Column:
+    """The first word, lower-cased, of the first line that is more than a copyright claim; null if none is."""
+    lines = F.filter(F.split(unit, "\n"), lambda x: x.rlike(_NO_WORD) & ~x.rlike(_CLAIM))
+    return F.lower(F.regexp_extract(F.get(lines, F.lit(0)), r"([\p{L}\p{N}]+)", 1))
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -114,7 +128,11 @@ def licenses(docs: DataFrame, known_digests: DataFrame) -> DataFrame:
     small. Null and empty texts, and units without a letter or digit, match nothing; repeated rows of docs count
     again. Documents without a match give no row.
     """
-    u = units(docs.select("doc_id", "text")).withColumn("form", canonical(F.col("unit"))).where("form <> ''")
+    firsts = [r["first"] for r in known_digests.select("first").distinct().collect()]  # one at most for each known text
+    w = first_word(F.col("unit"))
+    # a unit whose form begins with another word than every known form cannot be equal to one
+    u = units(docs.select("doc_id", "text")).where(w.isin(*firsts) | w.rlike(CHANGEABLE))
+    u = u.withColumn("form", canonical(F.col("unit"))).where("form <> ''")
     hits = u.select("doc_id", "scope", F.sha2("form", 256).alias("digest")).join(known_digests, "digest")
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_hits"))
 
