@@ -11,7 +11,7 @@ from procflow.functions.text import squeeze, strip
 
 NOT_CONTAIN = ("Error", "Invalid input", "%")
 #: Test-case priority by step type (fixed values).
-PRIORITY = {"rollback": "Critical", "verification": "High", "config": "High", "action": "Medium", "info": "Low"}
+PRIORITY = {"rollback": "Critical", "verification": "High", "config": "Medium", "action": "Medium", "info": "Low"}
 
 
 def must_contain(expected: Column) -> Column:

@@ -10,17 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: What two runs of one command differ in without meaning (fixed values).
-TIMESTAMPS = (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", r"\b\d{2}:\d{2}:\d{2}(?:\.\d+)?\b", r"(?i)\b(?:mon|tue|wed|thu|fri|sat|sun)\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+\d+\b", r"(?i)\buptime is [^\n]*", r"\b\d+[wdhms]\d*[wdhms]?\d*\b")
-COUNTERS = (r"(?i)\b\d+\s+(?:packets|bytes|drops|errors)\b",)
+from procflow.functions.text import strip
+
+# ---- Fixed values: what two runs of one command differ in without meaning, and what stands for it ----
+TIMESTAMP = r"\b\d{1,2}:\d{2}:\d{2}(\.\d+)?\b|\b(Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{4}\b|\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\b"
+COUNTER = r"(?im)^\s*\d+\s+(packets?|bytes?|errors?|drops?|input|output)\b.*$"
 
 
 def normalize_output(c: Column, ignore_timestamps: bool = True, ignore_counters: bool = True) -> Column:
-    """Output without timestamps and counters, lines trimmed at their end, blank ones left out."""
-    for p in (TIMESTAMPS if ignore_timestamps else ()) + (COUNTERS if ignore_counters else ()):
-        c = F.regexp_replace(c, p, "")
-    lines = F.transform(F.split(c, r"\r\n|\n|\r"), F.rtrim)
-    return F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), "\n")
+    """Output with timestamps and counter lines replaced by marks, trimmed."""
+    if ignore_timestamps:
+        c = F.regexp_replace(c, TIMESTAMP, "<TS>")
+    if ignore_counters:
+        c = F.regexp_replace(c, COUNTER, "<COUNTER>")
+    return strip(c)
 
 
 def _unified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

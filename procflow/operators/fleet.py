@@ -88,37 +88,34 @@ def suite_status(reports: DataFrame) -> DataFrame:
     return g.select("suite_id", "n_reports", F.when(F.col("f"), "FAIL").when(F.col("w"), "WARN").otherwise("PASS").alias("overall"))
 
 
-#: Signs of a vendor in version texts, first match wins (fixed values): pattern, vendor, os, version pattern.
+# ---- Fixed values: signs of a platform in version texts (first match wins), and where its details stand ----
+# sign, vendor, os, (pattern, default) of version, model and hostname
 VERSION_RULES = (
-    (r"(?i)ios[ -]xr", "cisco", "ios-xr", r"(?i)version\s+([\w.()\-]+)"),
-    (r"(?i)ios[ -]xe", "cisco", "ios-xe", r"(?i)version\s+([\w.()\-]+)"),
-    (r"(?i)nx-os", "cisco", "nx-os", r"(?i)version:?\s+([\w.()\-]+)"),
-    (r"(?i)cisco", "cisco", "ios", r"(?i)version\s+([\w.()\-]+)"),
-    (r"(?i)junos", "juniper", "junos", r"(?i)junos:?\s+([\w.\-]+)"),
-    (r"(?i)timos|nokia", "nokia", "sros", r"(?i)timos-([\w.\-]+)"),
-    (r"(?i)arista|eos version", "arista", "eos", r"(?i)version:?\s+([\w.\-]+)"),
-    (r"(?i)huawei|vrp", "huawei", "vrp", r"(?i)version\s+([\w.\-]+)"),
-    (r"(?i)ericsson|ipos", "ericsson", "ipos", r"(?i)version\s+([\w.\-]+)"),
+    ("ios[ -]xr", "cisco", "ios-xr", (r"Version\s+(\S+)", "unknown"), (r"cisco\s+(ASR|NCS|CRS)[\w\-]+", "ASR9000"), (r"(\S+)\s+uptime", "unknown")),
+    ("ios[ -]xe", "cisco", "ios-xe", (r"Version\s+([\d\.]+)", "unknown"), (r"cisco\s+(ISR|ASR|CSR)[\w\-]+", "unknown"), (r"(\S+)\s+uptime", "unknown")),
+    ("nx-?os", "cisco", "nxos", (r"NXOS:\s+version\s+(\S+)", "unknown"), (r"cisco\s+(Nexus)[\w\s]+", "Nexus9K"), (r"Device name:\s+(\S+)", "unknown")),
+    ("junos|juniper", "juniper", "junos", (r"JUNOS\s+(\S+)", "unknown"), (r"Model:\s+(\S+)", "MX"), (r"Hostname:\s+(\S+)", "unknown")),
+    ("nokia|sr os|timos", "nokia", "sros", (r"TiMOS-[BCMP]\-(\S+)", "unknown"), (r"(7[2457]\d\d[- ]\S+)", "7750-SR"), (r"System Name\s*:\s*(\S+)", "unknown")),
+    ("arista|eos", "arista", "eos", (r"EOS version:\s+(\S+)", "unknown"), (r"Arista\s+(DCS-[\w\-]+)", "7280"), (r"Hostname:\s+(\S+)", "unknown")),
+    ("huawei|vrp", "huawei", "vrp", (r"VRP.*?V(\S+)", "unknown"), (r"Huawei\s+(NE\w+)", "NE40E"), (r"<(\S+)>", "unknown")),
 )
 
 
 def detect_version(output: Column) -> Column:
-    """Struct of vendor, os, version, model and hostname from the text of a version command."""
-    unknown = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
+    """Struct of vendor, os, model, version and hostname from the text of a version command."""
+    get = lambda p: F.coalesce(F.nullif(F.trim(F.regexp_extract(output, "(?i)" + p[0], 1)), F.lit("")), F.lit(p[1]))
     out = None
-    for sign, vendor, os_, version in VERSION_RULES:
-        value = F.struct(F.lit(vendor).alias("vendor"), F.lit(os_).alias("os"), unknown(F.regexp_extract(output, version, 1)).alias("version"))
-        out = F.when(output.rlike(sign), value) if out is None else out.when(output.rlike(sign), value)
-    out = out.otherwise(F.struct(F.lit("generic").alias("vendor"), F.lit("unknown").alias("os"), F.lit("unknown").alias("version")))
-    model, host = F.regexp_extract(output, r"(?im)^model:?\s+(\S+)", 1), F.regexp_extract(output, r"(?im)^hostname:?\s+(\S+)", 1)
-    return F.struct(out["vendor"].alias("vendor"), out["os"].alias("os"), out["version"].alias("version"), unknown(model).alias("model"), F.nullif(host, F.lit("")).alias("hostname"))
+    for sign, vendor, os_, version, model, host in VERSION_RULES:
+        value = F.struct(F.lit(vendor).alias("vendor"), F.lit(os_).alias("os"), get(model).alias("model"), get(version).alias("version"), get(host).alias("hostname"))
+        out = F.when(output.rlike("(?i)" + sign), value) if out is None else out.when(output.rlike("(?i)" + sign), value)
+    return out.otherwise(F.struct(*[F.lit("unknown").alias(c) for c in ("vendor", "os", "model", "version", "hostname")]))
 
 
 def neighbour_addresses(output: Column) -> Column:
-    """Addresses in a neighbour listing: management addresses, else any IPv4 address; each once."""
-    ip = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})"
-    managed = F.regexp_extract_all(output, F.lit(r"(?is)management address(?:es)?[:\s]+(?:ip(?:v4)?(?: address)?:\s*)?" + ip), F.lit(1))
-    return F.array_distinct(F.when(F.size(managed) > 0, managed).otherwise(F.regexp_extract_all(output, F.lit(r"\b" + ip + r"\b"), F.lit(1))))
+    """Addresses in a neighbour listing: those after a mention of management addresses, else any; each once."""
+    ip = r"(\d{1,3}(?:\.\d{1,3}){3})"
+    managed = F.regexp_extract_all(output, F.lit("(?s)Management Addresses.*?" + ip), F.lit(1))
+    return F.array_distinct(F.when(F.size(managed) > 0, managed).otherwise(F.regexp_extract_all(output, F.lit(ip), F.lit(1))))
 
 
 def discover(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
@@ -134,16 +131,26 @@ def discover(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return found
 
 
-#: Credentials and templates by vendor (fixed values).
-TEMPLATE_DEFAULT = "generic/default"
+# ---- Fixed values: inventory templates by vendor and OS ----
+TEMPLATE_REFS = {
+    ("cisco", "ios-xr"): "cisco/ios-xr/asr9000",
+    ("cisco", "ios-xe"): "cisco/ios-xe/asr1000",
+    ("cisco", "nxos"): "cisco/nxos/nexus9k",
+    ("juniper", "junos"): "juniper/junos/mx-series",
+    ("nokia", "sros"): "nokia/sros/7750-sr",
+    ("arista", "eos"): "arista/eos/7280",
+    ("huawei", "vrp"): "huawei/vrp/ne40e",
+    ("ericsson", "ipos"): "ericsson/ipos/smartedge",
+}
 
 
-def topology_rows(found: DataFrame) -> DataFrame:
+def topology_rows(found: DataFrame, default: str = "cisco/ios-xr/asr9000") -> DataFrame:
     """Inventory rows of discovered hosts (host, vendor, os, hostname): a name, the template by vendor and OS, and
     the name of the variable that holds its credentials."""
-    name = F.coalesce("hostname", F.concat(F.lit("device_"), F.replace("host", F.lit("."), F.lit("_"))))
-    template = F.when(F.col("vendor").isNull() | (F.col("vendor") == "generic"), TEMPLATE_DEFAULT).otherwise(F.concat_ws("/", "vendor", "os"))
-    return found.select(name.alias("device"), "host", template.alias("ref"), F.concat(F.upper(F.regexp_replace(name, r"[^A-Za-z0-9]", "_")), F.lit("_PASSWORD")).alias("credential"))
+    name = F.when(F.coalesce("hostname", F.lit("unknown")) == "unknown", F.concat(F.lit("device_"), F.replace("host", F.lit("."), F.lit("_")))).otherwise(F.col("hostname"))
+    refs = F.create_map(*[F.lit(x) for (v, o), r in TEMPLATE_REFS.items() for x in (f"{v}/{o}", r)])
+    ref = F.coalesce(F.try_element_at(refs, F.concat_ws("/", "vendor", "os")), F.lit(default))
+    return found.select(name.alias("device"), "host", ref.alias("ref"), F.concat(F.upper(F.regexp_replace(name, r"[^A-Za-z0-9]", "_")), F.lit("_PASSWORD")).alias("credential"))
 
 
 #: Device groups (fixed values): name, role filter, vendor filter.

@@ -15,6 +15,11 @@ EXECUTION_ENDS = ("passed", "failed", "rolled_back", "aborted")
 STATUSES = ("pending", "approved", "running", "passed", "failed", "skipped", "rolled_back", "aborted", "paused", "waiting")
 
 
+def millis(c: str) -> Column:
+    """A timestamp of either kind as milliseconds."""
+    return F.unix_millis(F.col(c).cast("timestamp"))
+
+
 def _ends(*values: str) -> Column:
     return F.col("to_status").isin(*values)
 
@@ -26,7 +31,7 @@ def step_state(log: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     end, run = F.when(_ends(*STEP_ENDS), F.col("ts")), F.when(_ends("running"), F.col("ts"))
     last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in carried]
     g = s.groupBy("execution_id", F.col("entity").alias("step_id")).agg(F.max_by("to_status", "ts").alias("status"), F.count_if(_ends("running")).alias("attempts"), F.max(run).alias("started_at"), F.max(end).alias("completed_at"), *last)
-    ms = F.unix_millis("completed_at") - F.unix_millis("started_at")
+    ms = millis("completed_at") - millis("started_at")
     return g.withColumn("duration_ms", F.when(ms >= 0, ms))
 
 
@@ -68,7 +73,7 @@ def execution_report(report: DataFrame, state: DataFrame) -> DataFrame:
     """Per execution: steps by status, overall status, total duration."""
     of = lambda s: F.count_if(F.col("status") == s)
     g = report.groupBy("execution_id").agg(F.count("*").alias("total"), of("passed").alias("passed"), of("failed").alias("failed"), of("skipped").alias("skipped"), of("pending").alias("pending"))
-    s = state.select("execution_id", F.col("status").alias("overall"), F.round((F.unix_millis("completed_at") - F.unix_millis("started_at")) / 1000, 2).alias("duration_s"))
+    s = state.select("execution_id", F.col("status").alias("overall"), F.round((millis("completed_at") - millis("started_at")) / 1000, 2).alias("duration_s"))
     return g.join(s, "execution_id", "left").withColumn("overall", F.coalesce("overall", F.lit("pending")))
 
 
@@ -113,15 +118,16 @@ def split_expired(log: DataFrame, now: Column, hours: int = 168) -> tuple[DataFr
     return log.join(old, "execution_id", "left_anti"), log.join(old, "execution_id", "left_semi")
 
 
-#: Which channel hears of which event (fixed values).
-CHANNEL_RULES = (
-    ("execution_started", "slack"), ("execution_completed", "slack"), ("execution_failed", "slack"), ("execution_failed", "pagerduty"), ("execution_failed", "email"), ("execution_completed", "pagerduty"),
-    ("approval_required", "slack"), ("approval_required", "email"), ("kill_switch", "slack"), ("kill_switch", "pagerduty"), ("kill_switch", "email"),
-)
+# ---- Fixed values: lifecycle events, and which of them page, resolve or go by mail ----
+EVENTS = ("execution_started", "execution_passed", "execution_failed", "step_failed_with_retry", "step_failed_no_retry", "rollback_started", "rollback_passed", "rollback_failed", "kill_switch_engaged", "approval_required", "maintenance_window_expiring")
+TRIGGERS = ("execution_failed", "rollback_failed", "kill_switch_engaged")
+RESOLVES = ("execution_passed", "rollback_passed")
+MAILED = ("execution_failed", "rollback_failed", "kill_switch_engaged", "execution_passed", "approval_required")
+CHANNEL_RULES = tuple((e, "slack") for e in EVENTS) + tuple((e, "email") for e in MAILED) + tuple((e, "pagerduty") for e in TRIGGERS + RESOLVES)
 
 
 def notifications(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row for each event and channel: text, severity, and for paging the action and the key it goes by."""
+    """One row for each event and channel: text, and for paging the action, the severity and the key it goes by."""
     d = events.join(rules, "event")
     paging = F.col("channel") == "pagerduty"
     return d.select(
@@ -130,8 +136,8 @@ def notifications(events: DataFrame, rules: DataFrame) -> DataFrame:
         "event",
         "channel",
         F.substring(F.concat_ws(": ", "event", "execution_id", "message"), 1, 200).alias("text"),
-        F.when(F.col("event").isin("kill_switch"), "critical").when(F.col("event").endswith("failed"), "error").otherwise("info").alias("severity"),
-        F.when(paging, F.when(F.col("event") == "execution_completed", "resolve").otherwise("trigger")).alias("action"),
+        F.when(paging, F.when(F.col("event").isin("kill_switch_engaged", "rollback_failed"), "critical").otherwise("error")).alias("severity"),
+        F.when(paging, F.when(F.col("event").isin(*RESOLVES), "resolve").otherwise("trigger")).alias("action"),
         F.when(paging, F.concat(F.lit("run-"), "execution_id")).alias("dedup_key"),
     )
 
@@ -177,7 +183,7 @@ def wait_outcomes(requests: DataFrame, polls: DataFrame) -> DataFrame:
     d = d.withColumn("ok_ts", F.when(timely & F.col("matched"), F.col("ts"))).withColumn("in_ts", F.when(timely, F.col("ts")))
     g = d.groupBy("wait_id", "start", "max_wait_s").agg(F.min("ok_ts").alias("met_at"), F.array_sort(F.collect_list("in_ts")).alias("tries"))
     g = g.withColumn("attempts", F.size(F.filter("tries", lambda t: F.col("met_at").isNull() | (t <= F.col("met_at")))))
-    elapsed = F.when(F.col("met_at").isNotNull(), (F.unix_millis("met_at") - F.unix_millis("start")) / 1000).otherwise(F.col("max_wait_s"))
+    elapsed = F.when(F.col("met_at").isNotNull(), (millis("met_at") - millis("start")) / 1000).otherwise(F.col("max_wait_s"))
     return g.select("wait_id", F.col("met_at").isNotNull().alias("met"), "attempts", F.round(elapsed, 3).alias("elapsed_s"))
 
 

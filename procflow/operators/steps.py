@@ -119,8 +119,8 @@ def with_placeholders(docs: DataFrame, steps: DataFrame) -> DataFrame:
         F.lit(1).alias("sequence"),
         F.lit("info").alias("step_type"),
         F.lit("observe").alias("action_type"),
-        F.lit("No CLI commands detected in this document").alias("description"),
-        F.lit("").alias("raw_text"),
+        F.lit("No CLI commands detected in document — manual review required").alias("description"),
+        F.lit("(No commands detected)").alias("raw_text"),
         F.lit("General").alias("section"),
         F.lit(False).alias("is_rollback"),
     )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from procflow.queries import artifacts, documents
+from procflow.queries import artifacts, documents, operations
 
-_MODULES = (documents, artifacts)
+_MODULES = (documents, artifacts, operations)
 flagship = documents.flagship
 
 
