@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ MEMO = 1_000_000
 
 def words(text: str | None) -> set[str]:
     """Distinct case-folded runs of letters."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    return set(map(sys.intern, _WORD.findall(text.lower()))) if text else set()
 
 
 def path(word: str) -> list[str]:
@@ -55,21 +56,36 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(False))
 
 
-def path_counts(texts: list[set[str]]) -> Counter:
-    """In how many (text, word) pairs each path stands; the empty path counts them all."""
-    by_word = Counter(w for t in texts for w in t)
-    out: Counter = Counter()
-    for w, n in by_word.items():
-        out[""] += n
-        for p in path(w):
-            out[p] += n
+def path_counts(texts: list[set[str]]) -> dict[str, int]:
+    """In how many (text, word) pairs each path stands; the empty path counts them all.
+
+    Paths that stand in no more than DISCOUNT pairs keep no count in any model and are left out. As no path counts
+    more than its beginning, the paths are counted level by level, and words whose beginning is left out are not
+    followed further: memory goes by the paths that are kept.
+    """
+    words_ = Counter(w for t in texts for w in t)
+    out: dict[str, int] = {"": sum(words_.values())}
+    open_ = list(words_.items())
+    for depth in range(1, DEPTH + 2):
+        level: dict[str, int] = defaultdict(int)
+        for w, n in open_:
+            level[_beginning(w, depth)] += n
+        kept = {p: n for p, n in level.items() if n > DISCOUNT}
+        out |= kept
+        # the next level is the next letter, or the end mark of a word of DEPTH letters or fewer
+        open_ = [(w, n) for w, n in open_ if len(w) >= depth and (depth < DEPTH or len(w) == DEPTH) and w[:depth] in kept]
     return out
 
 
+def _beginning(word: str, depth: int) -> str:
+    """The path of a word at a depth; only for depths that it has."""
+    return word[:depth] if len(word) >= depth else word + END
+
+
 class Model:
     """The log-ratio of both classes, by path: ``step`` where a class keeps a count, ``back`` where it leaves mass."""
 
-    def __init__(self, toxic: Counter, ordinary: Counter, shared: dict[str, int]):
+    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str, int]):
         kept: list[dict[str, float]] = []
         used: list[dict[str, float]] = []
         for counts in (toxic, ordinary):
@@ -167,6 +183,7 @@ class Scorer:
             m = train(fold != k)
             for i in np.flatnonzero(fold == k):
                 x[i] = m.evidence(texts[i])
+            del m  # and the words that it remembers
         self.slope, self.intercept = _logistic(x, toxic.astype(float))
         self.model = train(np.ones(len(toxic), dtype=bool))
 
@@ -222,9 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
     got = got.iloc[distinct_texts(got["text"].tolist())]
     texts = [words(t) for t in got["text"]]
     toxic = (got["toxic"] == 1).to_numpy(dtype=bool)
-    # a path that is not in more than DISCOUNT texts of the sample keeps no count in either class
-    wanted = path_counts(texts)
-    wanted = {p[:-1] for p, n in wanted.items() if p and n > DISCOUNT} | {p for p, n in wanted.items() if n > DISCOUNT}
+    del got
+    wanted = set(path_counts(texts))  # with each path all its beginnings
     shared = shared_paths(shared_counts(docs), wanted) if wanted else {}
     return Scorer(texts, toxic, shared)
 
