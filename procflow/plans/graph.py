@@ -1,11 +1,12 @@
 """Planning over step graphs: waves, critical paths, approval, rollback, outcomes.
 
-Executions are many and their graphs small, so each is folded in one Arrow group; nothing else here leaves the JVM.
+Executions are many and their graphs small, so each is one row of an Arrow batch; nothing else here leaves the JVM.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,42 +27,56 @@ def unknown_dependencies(steps: DataFrame) -> DataFrame:
     return dependencies(steps).join(have, ["execution_id", "needs"], "left_anti").select("execution_id", "step_id", "needs")
 
 
-def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Waves and longest chains of one execution; steps on or behind a cycle have no wave (-1)."""
-    ids = set(pdf["step_id"])
-    needs = {s: {d for d in (ds if ds is not None else ()) if d in ids} for s, ds in zip(pdf["step_id"], pdf["dependencies"])}
+def _levels(ids: list[str], needed: list[list[str]]) -> tuple[dict[str, int], tuple[str, ...]]:
+    """Waves and the longest chain of one graph; steps on or behind a cycle have no wave."""
+    known = set(ids)
+    needs = {s: known & set(ds if ds is not None else ()) for s, ds in zip(ids, needed)}
     followers = defaultdict(set)
     for s, ds in needs.items():
         for d in ds:
             followers[d].add(s)
     open_ = {s: len(ds) for s, ds in needs.items()}
-    wave, chain = {}, {}
+    wave: dict[str, int] = {}
+    before: dict[str, str | None] = {}  # the last step of the longest chain that leads here; of equals the first by name
     ready = sorted(s for s, n in open_.items() if not n)
     while ready:
         after = []
         for s in ready:
-            wave[s] = 1 + max((wave[d] for d in needs[s]), default=0)
-            # the longest chain that ends here; of equal ones the first by name
-            chain[s] = max((chain[d] for d in sorted(needs[s])), key=len, default=()) + (s,)
+            before[s] = max(sorted(needs[s]), key=wave.__getitem__, default=None)
+            wave[s] = 1 + (wave[before[s]] if before[s] is not None else 0)
             for t in followers[s]:
                 open_[t] -= 1
                 if not open_[t]:
                     after.append(t)
         ready = sorted(after)
-    best = max((chain[s] for s in sorted(chain)), key=len, default=())
-    critical = set(best)
-    out = pd.DataFrame({"step_id": sorted(ids)})
-    out["execution_id"] = pdf["execution_id"].iloc[0]
-    out["wave"] = [wave.get(s, -1) for s in out["step_id"]]
-    out["critical_pos"] = [best.index(s) + 1 if s in critical else None for s in out["step_id"]]
-    return out[["execution_id", "step_id", "wave", "critical_pos"]].astype({"critical_pos": "Int32"})
+    at = max(sorted(wave), key=wave.__getitem__, default=None)
+    chain: list[str] = []
+    while at is not None:
+        chain.append(at)
+        at = before[at]
+    return wave, tuple(reversed(chain))
+
+
+def _each_graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for e, steps in zip(b["execution_id"], b["steps"]):
+            ids = [s["step_id"] for s in steps]
+            wave, chain = _levels(ids, [s["dependencies"] for s in steps])
+            place = {s: k + 1 for k, s in enumerate(chain)}
+            out += [(e, s, wave.get(s, -1), place.get(s)) for s in sorted(set(ids))]
+        yield pd.DataFrame(out, columns=["execution_id", "step_id", "wave", "critical_pos"]).astype({"critical_pos": "Int32"})
 
 
 def waves(steps: DataFrame) -> DataFrame:
     """``execution_id, step_id, wave, critical_pos``: wave is one more than the latest wave needed (-1 on a cycle or
-    behind one); critical_pos is the step's place on the longest chain."""
+    behind one); critical_pos is the step's place on the longest chain.
+
+    A graph is one row (ids and dependencies only), so that small graphs share Arrow batches.
+    """
     kind = steps.schema["execution_id"].dataType.simpleString()
-    return steps.select("execution_id", "step_id", "dependencies").groupBy("execution_id").applyInPandas(_levels, f"execution_id {kind}, step_id string, wave int, critical_pos int")
+    graphs = steps.groupBy("execution_id").agg(F.collect_list(F.struct("step_id", "dependencies")).alias("steps"))
+    return graphs.mapInPandas(_each_graph, f"execution_id {kind}, step_id string, wave int, critical_pos int")
 
 
 def cycles(leveled: DataFrame) -> DataFrame:

@@ -280,7 +280,7 @@ def e08(spark, sf):
 
 
 _PLAN = "plan AS (SELECT DISTINCT 'x' || user_id AS execution_id, 's' || k AS step_id, k + 1 AS sequence, CASE WHEN k = 4 THEN NULL ELSE 'PE' || user_id % 7 END AS device FROM events, range(6) r(k))"
-_REPORT = """rep AS (SELECT p.execution_id, p.step_id, sequence, coalesce(device, '(none)') AS device, coalesce(status, 'pending') AS status, substr(coalesce(actual_output, ''), 1, 300) AS output, round(duration_ms / 1000, 2) AS duration_s, greatest(0, coalesce(attempts, 0) - 1) AS retries FROM plan p LEFT JOIN state s USING (execution_id, step_id))"""
+_REPORT = """rep AS (SELECT p.execution_id, p.step_id, sequence, coalesce(device, '(none)') AS device, coalesce(status, 'pending') AS status, substr(coalesce(actual_output, ''), 1, 300) AS output, (duration_ms + 5) // 10 / 100.0::DOUBLE AS duration_s, greatest(0, coalesce(attempts, 0) - 1) AS retries FROM plan p LEFT JOIN state s USING (execution_id, step_id))"""
 
 
 def _report(spark, sf):
@@ -294,12 +294,12 @@ def e09(spark, sf):
     return _report(spark, sf)
 
 
-@query("e10_device_summary", f"WITH {LOG}, {STATE}, {_PLAN}, {_REPORT} SELECT execution_id, device, count(*) FILTER (WHERE status <> 'pending') AS run, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, round(avg(duration_s), 3) AS mean_s FROM rep GROUP BY execution_id, device")
+@query("e10_device_summary", f"WITH {LOG}, {STATE}, {_PLAN}, {_REPORT} SELECT execution_id, device, count(*) FILTER (WHERE status <> 'pending') AS run, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, CASE WHEN count(duration_s) > 0 THEN ((20 * sum(round(duration_s * 100)::BIGINT) + count(duration_s)) // (2 * count(duration_s)))::DOUBLE / 1000 END AS mean_s FROM rep GROUP BY execution_id, device")
 def e10(spark, sf):
     return L.device_summary(_report(spark, sf))
 
 
-@query("e11_execution_report", f"WITH {LOG}, {STATE}, {_PLAN}, {_REPORT}, g AS (SELECT execution_id, count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'pending') AS pending FROM rep GROUP BY execution_id) SELECT g.*, coalesce(est.status, 'pending') AS overall, round(((epoch_us(completed_at) // 1000) - (epoch_us(started_at) // 1000)) / 1000, 2) AS duration_s FROM g LEFT JOIN est USING (execution_id)")
+@query("e11_execution_report", f"WITH {LOG}, {STATE}, {_PLAN}, {_REPORT}, g AS (SELECT execution_id, count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'pending') AS pending FROM rep GROUP BY execution_id) SELECT g.*, coalesce(est.status, 'pending') AS overall, CASE WHEN completed_at >= started_at THEN ((epoch_us(completed_at) // 1000) - (epoch_us(started_at) // 1000) + 5) // 10 / 100.0::DOUBLE ELSE -(((epoch_us(started_at) // 1000) - (epoch_us(completed_at) // 1000) + 5) // 10) / 100.0::DOUBLE END AS duration_s FROM g LEFT JOIN est USING (execution_id)")
 def e11(spark, sf):
     return L.execution_report(_report(spark, sf), L.execution_state(log(spark, sf)))
 
@@ -319,14 +319,14 @@ def e14(spark, sf):
     return L.status_metrics(log(spark, sf))
 
 
-_DEC = "dec AS (SELECT 'x' || user_id AS execution_id, CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'CONTINUE' END AS decision, round(event_id % 11 / 10.0, 2) AS confidence, event_id FROM events)"
+_DEC = "dec AS (SELECT 'x' || user_id AS execution_id, CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'CONTINUE' END AS decision, event_id % 9 / 8.0::DOUBLE AS confidence, event_id FROM events)"
 
 
 def _decisions(spark, sf):
-    return table(spark, sf, "events").selectExpr("'x' || user_id AS execution_id", "CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'CONTINUE' END AS decision", "round(cast(event_id % 11 AS double) / 10, 2) AS confidence", "event_id")
+    return table(spark, sf, "events").selectExpr("'x' || user_id AS execution_id", "CASE event_type WHEN 'error' THEN 'RETRY' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'CONTINUE' END AS decision", "cast(event_id % 9 AS double) / 8 AS confidence", "event_id")
 
 
-@query("e15_decisions", f"WITH {_DEC} SELECT execution_id, decision, count(*) AS n, round(avg(confidence), 4) AS mean_confidence FROM dec GROUP BY ALL")
+@query("e15_decisions", f"WITH {_DEC} SELECT execution_id, decision, count(*) AS n, round(avg(confidence)::DECIMAL(30, 12), 4)::DOUBLE AS mean_confidence FROM dec GROUP BY ALL")
 def e15(spark, sf):
     return L.decision_summary(_decisions(spark, sf))
 
