@@ -17,7 +17,7 @@ import math
 import re
 import sys
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(False))
 
 
-def path_counts(texts: list[set[str]]) -> dict[str, int]:
+def path_counts(texts: list[tuple[str, ...]]) -> dict[str, int]:
     """In how many (text, word) pairs each path stands; the empty path counts them all.
 
     Paths that stand in no more than DISCOUNT pairs keep no count in any model and are left out. As no path counts
@@ -128,7 +128,7 @@ class Model:
             self.memo[w] = r
         return r
 
-    def evidence(self, text: set[str]) -> float:
+    def evidence(self, text: Collection[str]) -> float:
         """The difference of the log-likelihoods of a text's words, normalised by the root of their number (by
         the number itself, long texts with a few telling words would look like texts with none)."""
         return sum(sorted(map(self.word, text))) / math.sqrt(len(text)) if text else 0.0
@@ -169,7 +169,8 @@ def distinct_texts(texts: list[str]) -> list[int]:
 class Scorer:
     """The model and its logistic curve."""
 
-    def __init__(self, texts: list[set[str]], toxic: np.ndarray, shared: dict[str, int]):
+    def __init__(self, texts: list[tuple[str, ...]], toxic: np.ndarray, shared: dict[str, int], share: float = 0.0):
+        self.share = min(max(share, 0.0), 0.49)  # what is said of a text without words: how common label 1 is
         self.model, self.slope, self.intercept = None, 0.0, -1.0
         if not len(toxic) or toxic.all() or not toxic.any():
             self.intercept = 1.0 if len(toxic) and toxic.all() else -1.0
@@ -188,7 +189,10 @@ class Scorer:
         self.model = train(np.ones(len(toxic), dtype=bool))
 
     def score(self, text: str | None) -> float:
-        e = self.model.evidence(words(text)) if self.model else 0.0
+        w = words(text)
+        if self.model and not w:
+            return self.share
+        e = self.model.evidence(w) if self.model else 0.0
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * e + self.intercept))))
 
 
@@ -237,12 +241,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()  # 2 * rows ids at most
     got = got.assign(text=got["text"].fillna("")).sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
     got = got.iloc[distinct_texts(got["text"].tolist())]
-    texts = [words(t) for t in got["text"]]
+    texts = [tuple(words(t)) for t in got["text"]]  # a set of each would take many times the memory
     toxic = (got["toxic"] == 1).to_numpy(dtype=bool)
     del got
     wanted = set(path_counts(texts))  # with each path all its beginnings
     shared = shared_paths(shared_counts(docs), wanted) if wanted else {}
-    return Scorer(texts, toxic, shared)
+    share = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
+    return Scorer(texts, toxic, shared, share or 0.0)
 
 
 def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
