@@ -26,7 +26,7 @@ FIT_PAGES = 120
 #: Pages of more blocks are not trained on.
 FIT_BLOCKS = 200
 STEPS = 100
-RIDGE = 0.02
+RIDGE = 0.01
 
 #: Tags that end a block; tags without an end; tags whose content is no text (fixed values of HTML).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -234,8 +234,8 @@ def layouts(bs: list[Block], y: list[int], seed: int) -> Iterator[tuple[list[Blo
         pick = rng.permutation(len(AROUND))[:8]
         parts = [side(AROUND[k], "comment" in AROUND[k] or "response" in AROUND[k] or rng.random() < 0.3) for k in pick]
         body = [f"<{t}>{esc(x)}</{t}>" for i, x in enumerate(good[:12]) for t in (["h1"] if i == 0 else [str(rng.choice(["p", "p", "p", "h2", "li", "blockquote", "td", "pre"]))])]
-        if rng.random() < 0.6:  # something foreign inside the main text
-            body.insert(int(rng.integers(0, len(body) + 1)), side(AROUND[int(rng.integers(len(AROUND)))], bool(rng.random() < 0.3)))
+        for k in rng.integers(len(AROUND), size=3):  # something foreign inside the main text
+            body.insert(int(rng.integers(0, len(body) + 1)), side(AROUND[int(k)], "comment" in AROUND[int(k)] or bool(rng.random() < 0.3)))
         page = "<html><body>" + wrap("div class=\"page wrapper\"", "".join(parts[:4]) + wrap(MAIN[box], "".join(body)) + "".join(parts[4:])) + "</body></html>"
         found = blocks(page)
         labels = [0 if "\x01" in b.text else 1 for b in found]
