@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procflow.llm.common import smallest_hashes
+
 #: Pages that the chain is trained on, at most; chosen by hash of page_id.
 FIT_PAGES = 120
 #: Pages of more blocks are not trained on.
@@ -246,8 +248,9 @@ def layouts(bs: list[Block], y: list[int], seed: int) -> Iterator[tuple[list[Blo
 
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> Chain:
     """Train on at most ``limit`` pages that mark their article."""
-    sample = pages.where(F.contains(F.lower("html"), F.lit("<article")) & F.col("page_id").isNotNull()).select("page_id", "html")
-    rows = sample.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(limit).collect()
+    # four times as many pages by hash, of which those that mark an article
+    sample = smallest_hashes(pages.where("page_id is not null").select("page_id", "html"), "page_id", 4 * limit)
+    rows = sample.where(F.contains(F.lower("html"), F.lit("<article"))).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(limit).collect()
     data = []
     for r in rows:
         bs = blocks(r["html"])

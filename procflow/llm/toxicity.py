@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import cut
+from procflow.llm.common import smallest_hashes
 
 #: Labelled rows of each class that the models are counted on, at most; chosen by hash of doc_id.
 FIT_ROWS = 4000
@@ -236,8 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
     """Learn from at most ``rows`` labelled rows of each class that are not held out, near copies taken once, and
     from the words of all documents. The driver holds the sample and the shared counts of its paths, no more."""
     usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = usable.where("toxic = 1").orderBy(*order).limit(rows).union(usable.where("toxic <> 1").orderBy(*order).limit(rows))
+    chosen = smallest_hashes(usable.where("toxic = 1"), "doc_id", rows).union(smallest_hashes(usable.where("toxic <> 1"), "doc_id", rows))
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()  # 2 * rows ids at most
     got = got.assign(text=got["text"].fillna("")).sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
     got = got.iloc[distinct_texts(got["text"].tolist())]
