@@ -14,7 +14,7 @@ from procflow.operators.blocks import column_map, sections, structure_of, block_
 
 def route(structure: Column) -> Column:
     """outline for lists and tables, mixed for mixed documents, text for prose and the unknown."""
-    return F.when(structure.isin("numbered_list", "bulleted_list", "table"), "toon").when(structure == "mixed", "mixed").otherwise("text")
+    return F.when(structure.isin("numbered_list", "bulleted_list", "table"), "outline").when(structure == "mixed", "mixed").otherwise("text")
 
 
 def section_modes(blocks: DataFrame, least: float = 0.4) -> DataFrame:
@@ -23,7 +23,7 @@ def section_modes(blocks: DataFrame, least: float = 0.4) -> DataFrame:
     s = sections(blocks)
     share = F.count_if(F.col("block_type").isin("list_item", "table_row", "code_block")) / F.count("*")
     g = s.groupBy("doc_id", "section_index").agg(F.first("section").alias("section"), F.round(share, 6).alias("structured_share"), (share >= least).alias("__ok"))
-    return g.select("doc_id", "section_index", "section", "structured_share", F.when(F.col("__ok"), "toon").otherwise("text").alias("mode"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+    return g.select("doc_id", "section_index", "section", "structured_share", F.when(F.col("__ok"), "outline").otherwise("text").alias("mode"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
 
 
 def commands_in(content: Column) -> Column:
@@ -112,7 +112,7 @@ def outline_sections(blocks: DataFrame) -> DataFrame:
     kinds = block_counts(blocks).select("doc_id", route(structure_of(F.col)).alias("route"))
     modes = section_modes(blocks).join(kinds, "doc_id").withColumn("mode", F.when(F.col("route") == "mixed", F.col("mode")).otherwise(F.col("route")))
     placed = sections(blocks)
-    lines = node_ids(block_nodes(placed)).select("doc_id", "section_index", "block_no", F.lit("toon").alias("mode"), render_node().alias("line"))
+    lines = node_ids(block_nodes(placed)).select("doc_id", "section_index", "block_no", F.lit("outline").alias("mode"), render_node().alias("line"))
     raw = placed.select("doc_id", "section_index", "block_no", F.lit("text").alias("mode"), F.concat(F.lit("  "), "content").alias("line"))
     body = lines.unionByName(raw).groupBy("doc_id", "section_index", "mode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     s = modes.join(body, ["doc_id", "section_index", "mode"], "left")

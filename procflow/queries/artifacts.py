@@ -152,7 +152,7 @@ def c04(spark, sf):
     return V.proc_lines(spark, sf).select("doc_id", "line_no", X.expectation(F.col("raw")).alias("expected"))
 
 
-_ROUTE = "CASE WHEN structure IN ('numbered_list', 'bulleted_list', 'table') THEN 'toon' WHEN structure = 'mixed' THEN 'mixed' ELSE 'text' END"
+_ROUTE = "CASE WHEN structure IN ('numbered_list', 'bulleted_list', 'table') THEN 'outline' WHEN structure = 'mixed' THEN 'mixed' ELSE 'text' END"
 
 
 @query("c05_routes", f"WITH {V.BLOCKS}, {STRUCTURES} SELECT doc_id, {_ROUTE} AS route FROM structures")
@@ -160,7 +160,7 @@ def c05(spark, sf):
     return B.block_counts(V.proc_blocks(spark, sf)).select("doc_id", O.route(B.structure_of(F.col)).alias("route"))
 
 
-MODES = f"modes AS (SELECT doc_id, section_index, any_value(section) AS section, round(avg((block_type IN ('list_item', 'table_row', 'code_block'))::INT), 6) AS structured_share, CASE WHEN avg((block_type IN ('list_item', 'table_row', 'code_block'))::INT) >= 0.4 THEN 'toon' ELSE 'text' END AS mode, regexp_matches(any_value(section), {sql_text(P.ROLLBACK_SECTION)}) AS is_rollback FROM sections GROUP BY doc_id, section_index)"
+MODES = f"modes AS (SELECT doc_id, section_index, any_value(section) AS section, round(avg((block_type IN ('list_item', 'table_row', 'code_block'))::INT), 6) AS structured_share, CASE WHEN avg((block_type IN ('list_item', 'table_row', 'code_block'))::INT) >= 0.4 THEN 'outline' ELSE 'text' END AS mode, regexp_matches(any_value(section), {sql_text(P.ROLLBACK_SECTION)}) AS is_rollback FROM sections GROUP BY doc_id, section_index)"
 
 
 @query("c06_section_modes", f"WITH {V.BLOCKS}, {SECTIONS}, {MODES} SELECT doc_id, section_index, structured_share, mode FROM modes")
@@ -214,7 +214,7 @@ def c11(spark, sf):
 
 _LINE = "'[' || node_id || '] ' || description || CASE WHEN n_commands > 0 THEN ' | CMD: ' || commands ELSE '' END || CASE WHEN expected_output IS NOT NULL THEN ' | EXPECT: ' || expected_output ELSE '' END || CASE WHEN is_rollback AND NOT starts_with(lower(section), 'rollback') THEN ' | [ROLLBACK]' ELSE '' END"
 OUTLINES = f"""{NODES}, {STRUCTURES}, {MODES}, m2 AS (SELECT m.*, CASE WHEN {_ROUTE} = 'mixed' THEN mode ELSE {_ROUTE} END AS md, {_ROUTE} AS route FROM modes m JOIN structures USING (doc_id)),
-body AS (SELECT doc_id, section_index, 'toon' AS md, string_agg({_LINE}, chr(10) ORDER BY block_no) AS body FROM ids GROUP BY doc_id, section_index UNION ALL SELECT doc_id, section_index, 'text', string_agg('  ' || content, chr(10) ORDER BY block_no) FROM sections GROUP BY doc_id, section_index),
+body AS (SELECT doc_id, section_index, 'outline' AS md, string_agg({_LINE}, chr(10) ORDER BY block_no) AS body FROM ids GROUP BY doc_id, section_index UNION ALL SELECT doc_id, section_index, 'text', string_agg('  ' || content, chr(10) ORDER BY block_no) FROM sections GROUP BY doc_id, section_index),
 parts2 AS (SELECT m2.doc_id, m2.section_index, route, concat_ws(chr(10), 'SECTION: ' || section || CASE WHEN is_rollback THEN '  [ROLLBACK]' ELSE '' END, body) AS part FROM m2 LEFT JOIN body USING (doc_id, section_index, md)),
 whole AS (SELECT doc_id, any_value(route) AS route, string_agg(part, chr(10) ORDER BY section_index) AS outline FROM parts2 GROUP BY doc_id),
 sizes AS (SELECT doc_id, greatest(1, floor(sum(length(content) + 1) / 3.5)::INT) AS raw_tokens FROM blocks GROUP BY doc_id),
