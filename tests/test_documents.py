@@ -170,3 +170,21 @@ def test_models_round_trip(spark, tmp_path):
     writers.write_models(writers.models_with_steps(m, steps), str(tmp_path / "m"))
     back = S.model_steps(S.read_models(spark, str(tmp_path / "m")))
     assert back.count() == steps.count() and set(r.raw_text for r in back.collect()) == set(r.raw_text for r in steps.collect())
+
+
+def test_commands_of_chunks_and_requests(spark):
+    text = "## One\nshow version\nSHOW VERSION\n## Two\n" + "- words that fill the part until the budget is used up\n" * 6 + "commit\n"
+    ls = lines(spark, text)
+    b, cmds = B.parse_blocks(ls), G.extract_commands(ls)
+    c = K.chunks(b, 40)
+    got = {(r.chunk_index, r.raw): r.n for r in K.chunk_commands(c, cmds).collect()}
+    whole = {r.chunk_index: r.text.lower() for r in c.collect()}
+    want = {}
+    for r in cmds.groupBy("raw").count().collect():
+        for k, t in whole.items():
+            if r.raw.lower() in t:
+                want[(k, r.raw)] = r["count"]
+    assert got == want and len(whole) > 1
+    docs = spark.createDataFrame([(1, "my_plan.txt")], "doc_id long, source_file string")
+    rq = K.requests(c, B.document_titles(docs, b), B.document_structure(docs, b), K.chunk_commands(c, cmds)).orderBy("chunk_index").collect()
+    assert len(rq) == len(whole) and rq[0].request.startswith("Title: One\n") and "First step: 1" in rq[0].request and "show version" in rq[0].request
