@@ -38,7 +38,7 @@ DEPTH = 10
 END = "$"
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose ratio a worker remembers.
-MEMO = 1_000_000
+MEMO = 200_000
 
 
 def words(text: str | None) -> set[str]:
