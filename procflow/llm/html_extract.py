@@ -37,7 +37,11 @@ RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 #: An opening tag ends these open ones without their closing tag (fixed values of HTML).
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: The attributes of a tag as HTML reads them: a quote opens a value right after "=" only. Possessive, so linear.
+_ATTRS = r"(?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRS + ")>", re.S)
+#: The end tags of raw elements.
+_RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -58,6 +62,7 @@ def blocks(page: str | None) -> list[Block]:
     parts: list[str] = []
     linked = 0
     page = page or ""
+    endless: set[str] = set()  # raw elements of which no end tag follows
 
     def close() -> None:
         nonlocal linked
@@ -77,15 +82,25 @@ def blocks(page: str | None) -> list[Block]:
                 linked += len(t)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         said(page[at : m.start()])
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA["):
                 said(m[0][9:-3])
             continue
-        if m[2]:  # an end tag
+        if tag in RAW and not m[1] and (not m[3] or m[3][0] == "/" or m[3][0].isspace()):
+            if not m[3].endswith("/"):
+                end = None if tag in endless else _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(page)
+                else:  # without an end tag only the tag itself is dropped
+                    endless.add(tag)
+            continue
+        if m[1]:  # an end tag
             if tag in BLOCKS:
                 close()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
@@ -107,8 +122,8 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if t in BLOCKS and (t in scope or tag not in IMPLIED or tag == "p"):
                     break
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
-            names = tuple(x.lower() for a in _ATTR.finditer(m[4]) for x in _PART.findall(a[2] or a[3] or a[4] or ""))
+        if tag not in VOID and not m[3].rstrip().endswith("/"):
+            names = tuple(x.lower() for a in _ATTR.finditer(m[3]) for x in _PART.findall(a[2] or a[3] or a[4] or ""))
             stack.append((tag, names))
     rest = page[at:]
     cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page breaks off in

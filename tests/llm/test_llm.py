@@ -264,6 +264,22 @@ def test_html_blocks_and_chain():
     assert html_extract.main_text(chain, None) == html_extract.main_text(chain, "") == ""
 
 
+@pytest.mark.parametrize("tag", ["svg-icon", "template-card", "select-menu", "object-view", "script-loader", "style-guide"])
+def test_html_custom_elements_are_not_raw(tag):
+    page = f'<p>one</p><{tag} name="x"></{tag}><article><p>two</p></article>'
+    assert [b.text for b in html_extract.blocks(page)] == ["one", "two"]
+
+
+def test_html_raw_elements_and_quotes():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts("<p title='it's'>one</p><p>two</p><p title='x'>three</p>") == ["one", "two", "three"]
+    assert texts("<p title=it's>one</p><p>two</p><a href=x?y='>t</a><p>it's") == ["one", "two", "t", "it's"]
+    assert texts("<p title=\"a > b\" id = 'c>d'>one</p><a href=\"x>one<p>two") == ["one", "one", "two"]
+    assert texts("<p>one<svg><p>two<svg/><p>three<SELECT><option>x</option></select ><p>four") == ["one", "two", "three", "four"]
+    assert texts("<p>one<script>if (a<b) '</svg>'</script ><p>two<style>p {}") == ["one", "two"]
+    assert texts("<p>a</p>" + "<svg>" * 20_000 + "<a x=\"1\" y='2' " * 50) == ["a"]  # in linear time
+
+
 def test_viterbi_against_all_labelings():
     chain = html_extract.Chain({"bias": 0.3, "short": -1.0, "tag=p": 0.8, "first": -0.5}, np.array([[0.2, -0.4], [-0.3, 0.5]]))
     bs = html_extract.blocks("<p>a b c d e<div>x</div><p>one<p>two three four five</p><div>y z</div>")
