@@ -21,9 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import smallest_hashes
-
-#: Pages that the chain is trained on, at most; chosen by hash of page_id.
+#: Pages that the chain is trained on, at most; chosen by hash of page_id among all that mark their article.
 FIT_PAGES = 120
 #: Pages of more blocks are not trained on.
 FIT_BLOCKS = 200
@@ -261,18 +259,47 @@ def layouts(bs: list[Block], y: list[int], seed: int) -> Iterator[tuple[list[Blo
         yield found, labels
 
 
+def _labelled(page: str | None) -> tuple[list[Block], list[int]] | None:
+    """Blocks and labels of a page that the chain can be trained on."""
+    bs = blocks(page)
+    y = _marked(bs)
+    return (bs, y) if y and any(y) and len(bs) <= FIT_BLOCKS else None
+
+
+def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([_labelled(t.as_py()) is not None for t in b.column(1)], pa.bool_()))
+
+
+def labelled_pages(pages: DataFrame, limit: int = FIT_PAGES) -> list[tuple[int, str]]:
+    """``(page_id, html)`` of the ``limit`` page_ids of the smallest hashes, among all pages that mark their article
+    and can be trained on. Only those pages' html leaves the executors.
+
+    Whether a page can be trained on shows when it is parsed. So the pages that name the tag are parsed from the
+    smallest hashes upwards, in shares that grow until enough are found or all were looked at.
+    """
+    marked = pages.where(F.col("page_id").isNotNull() & F.contains(F.lower("html"), F.lit("<article"))).select("page_id", "html")
+    h = F.pmod(F.xxhash64("page_id"), F.lit(1 << 40))
+    share = min(1.0, 2 * limit / max(marked.count(), 1))
+    while True:
+        some = marked.where(h < int((1 << 40) * share)) if share < 1 else marked
+        ids = some.mapInArrow(_labelled_rows, some.schema).select("page_id").distinct().orderBy(h, "page_id").limit(limit).collect()
+        if len(ids) >= limit or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    if not ids:
+        return []
+    rows = marked.where(F.col("page_id").isin([r["page_id"] for r in ids])).mapInArrow(_labelled_rows, marked.schema)
+    return sorted(map(tuple, rows.groupBy("page_id").agg(F.min("html")).collect()))
+
+
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> Chain:
     """Train on at most ``limit`` pages that mark their article."""
-    # four times as many pages by hash, of which those that mark an article
-    sample = smallest_hashes(pages.where("page_id is not null").select("page_id", "html"), "page_id", 4 * limit)
-    rows = sample.where(F.contains(F.lower("html"), F.lit("<article"))).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(limit).collect()
     data = []
-    for r in rows:
-        bs = blocks(r["html"])
-        y = _marked(bs)
-        if y and any(y) and len(bs) <= FIT_BLOCKS:
-            data += [(bs, y), *layouts(bs, y, r["page_id"] % (1 << 32))]
-    if not data:  # nothing is marked: learn from layouts of placeholder text alone
+    for page_id, page in labelled_pages(pages, limit):
+        bs, y = _labelled(page)
+        data += [(bs, y), *layouts(bs, y, page_id % (1 << 32))]
+    if not data:  # no page of the table is marked: learn from layouts of placeholder text alone
         for k in range(8):
             bs = [Block(t, "p", ("p",), (), 0) for t in ("A heading", "Some words make a sentence, and it ends here.", "Another one follows.")]
             data += list(layouts(bs, [1, 1, 1], k))

@@ -280,6 +280,17 @@ def test_html_raw_elements_and_quotes():
     assert texts("<p>a</p>" + "<svg>" * 20_000 + "<a x=\"1\" y='2' " * 50) == ["a"]  # in linear time
 
 
+def test_html_training_pages_are_chosen_among_all_marked(spark):
+    page = lambda k: f"<nav>Home</nav><article><p>Text {k}.</p></article>"
+    other = ["<p>plain</p>", "<script>'<article>'</script><p>no</p>", "<article></article>", None, "<article>" + "<p>x</p>" * 300 + "</article>"]
+    rows = [(k, page(k) if k % 250 == 0 else other[k % 5]) for k in range(5000)] + [(None, page(0)), (0, page(0)), (250, "<p>plain</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert html_extract.labelled_pages(pages, 30) == [(k, page(k)) for k in range(0, 5000, 250)]
+    few = html_extract.labelled_pages(pages.repartition(7), 5)
+    assert len(few) == 5 and few == html_extract.labelled_pages(pages, 5) and html_extract.labelled_pages(pages.where("page_id % 250 > 0")) == []
+    assert any(w.startswith("in=article") for w in html_extract.fit(pages, 5).weights)
+
+
 def test_viterbi_against_all_labelings():
     chain = html_extract.Chain({"bias": 0.3, "short": -1.0, "tag=p": 0.8, "first": -0.5}, np.array([[0.2, -0.4], [-0.3, 0.5]]))
     bs = html_extract.blocks("<p>a b c d e<div>x</div><p>one<p>two three four five</p><div>y z</div>")
