@@ -1,12 +1,15 @@
 """License scans: canonical digests of entire texts, joined to known ones. DataFrame functions only.
 
-A unit (a whole document, a block between blank lines, a line) is normalised as a whole: lower case, equivalent
-spellings, copyright lines dropped, punctuation and white space run together. Its SHA-256 digest is joined to the
-digests of the known texts, which are normalised by the same expressions.
+A unit (a whole document, a block between blank lines, a line, or several lines or blocks in a row) is normalised as
+a whole: lower case, equivalent spellings, copyright lines dropped, punctuation and white space run together. Its
+SHA-256 digest is joined to the digests of the known texts, which are normalised by the same expressions. Of the
+many rows of lines in a document only those are units that begin like a known text and have about as many words.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +25,11 @@ SPELLINGS = (
     (r"\bnon-?commercial\b", "noncommercial"),
     (r"&", " and "),
 )
-#: A line that only claims copyright.
-COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that only claims copyright (and is not the middle of a wrapped sentence on its holders or notice).
+COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b(?!\s+(?:(?:owner|holder)s?(?:\s+(?:and|or|be|nor)\b|\s*$)|notice,?\s+(?:and|this)\b))|\(c\)|©|all rights reserved)[^\n]*$"
+
+#: White space, with line ends and what marks a line of a comment: spellings of two words may be wrapped.
+WRAP = r"\s+(?:[#*/;%>|!-]+\s+)*"
 
 #: Grants in a sentence: {} takes the licence's name (fixed values).
 GRANTS = (
@@ -79,25 +85,42 @@ TEXTS = {
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text."""
     t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT, " "))
+    t = F.regexp_replace(t, WRAP, " ")
     for pattern, to in SPELLINGS:
         t = F.regexp_replace(t, pattern, to)
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
-#: Words that a rule above may change or take away, so that a text can begin with one and its form with another.
-CHANGEABLE = r"^(?:(?:sub)?licen[cs]e(?:d|s|es)?|the|copyright|https?|www|version|ver|v|merchantibility|non)$"
+#: What a rule above may make of a text's first word: the word, and its form. A text of either may be equal.
+CHANGES = (
+    (r"^(sub)?licen[cs]e?(d|s|es)?$", "$1license$2"),
+    (r"^the$", "software"),
+    (r"^(?:version|ver|v)[0-9]*$", "v"),
+    (r"^merchantibility$", "merchantability"),
+    (r"^non$", "noncommercial"),
+)
+#: First words that a rule takes away, so that the form begins with any other.
+GOES = ("http", "https")
 #: A line of no word, or one that only claims copyright.
 _NO_WORD = r"[\p{L}\p{N}]"
 _CLAIM = COPYRIGHT.replace("(?im)", "(?i)")
 
 
 def known(spark: SparkSession, extra: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``license_id, digest, first`` of the known texts: grants by rule, whole texts, and ``extra (id, text)``;
-    ``first`` is the first word of the canonical form."""
+    """``license_id, digest, first, least, most`` of the known texts: grants by rule, whole texts, and ``extra (id,
+    text)``; ``first`` is the first word of the canonical form, ``least`` and ``most`` bound the number of words that
+    an equal text has before it is normalised."""
     rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS]
     rows += [(i, f"SPDX-License-Identifier: {i}") for i in NAMES] + list(TEXTS.items()) + (extra or [])
-    d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
-    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first"))
+    d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", "text", canonical(F.col("text")).alias("form"))
+    n = F.regexp_count("form", F.lit(r"[^ ]+"))
+    # "&" becomes a word; "the", "version", "non" and the parts of an address before its name go
+    least = n - F.regexp_count("form", F.lit(r"\band\b"))
+    most = n + F.regexp_count("form", F.lit(r"\b(?:software|v[0-9]+|noncommercial)\b")) + 2 * F.regexp_count("text", F.lit(r"://|[\p{L}\p{N}]\.[\p{L}]"))
+    d = d.withColumns({"least": least, "most": most})
+    return d.groupBy(F.sha2("form", 256).alias("digest")).agg(
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
 
 
 def first_word(unit: Column) -> Column:
@@ -106,6 +129,14 @@ def first_word(unit: Column) -> Column:
     return F.lower(F.regexp_extract(F.get(lines, F.lit(0)), r"([\p{L}\p{N}]+)", 1))
 
 
+def begins(word: Column) -> Column:
+    """The same for all first words that the rules may make equal."""
+    out = word
+    for pattern, to in CHANGES:
+        out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, to)).otherwise(out)
+    return out
+
+
 def units(docs: DataFrame) -> DataFrame:
     """``doc_id, scope, unit``: the document, its blocks (if several) and its lines (if several), all whole."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -121,6 +152,56 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.scope", "u.unit")
 
 
+def runs(docs: DataFrame, sizes: dict[str, list[tuple[int, int]]]) -> DataFrame:
+    """``doc_id, scope, unit``: rows of two or more lines that begin like a known text and have as many words.
+
+    ``sizes`` gives by first word (as ``begins`` tells it) the ranges of numbers of words. Lines without a word and
+    lines that only claim copyright are in no form, so they are passed over and not counted. Scope is ``blocks`` if the
+    row consists of whole blocks, else ``lines``; rows that are the document or one block are units already.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    every = F.flatten(F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda b, i: F.transform(F.split(b, "\n"), lambda x: F.struct(i.alias("block"), x.alias("line")))))
+    d = docs.select("doc_id", F.filter(every, lambda x: x["line"].rlike(_NO_WORD) & ~x["line"].rlike(_CLAIM)).alias("lines"))
+    of = F.create_map(*(c for w, rs in sizes.items() for c in (F.lit(w), F.array(*(F.struct(F.lit(a).alias("least"), F.lit(z).alias("most")) for a, z in rs)))))
+    word = lambda x: begins(F.lower(F.regexp_extract(x["line"], r"([\p{L}\p{N}]+)", 1)))
+    starts = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.element_at(of, word(x)).alias("sizes"))), lambda a: a["sizes"].isNotNull())
+    d = d.where(F.size("lines") > 2).select("doc_id", "lines", starts.alias("starts")).where(F.size("starts") > 0)
+    lines, total = F.col("lines"), F.size("lines")
+
+    def ends(a: Column) -> Column:
+        """Numbers of lines of the rows that start at ``a``."""
+        most = F.element_at(a["sizes"], -1)["most"]
+
+        def add(acc: Column, x: Column) -> Column:
+            n, k = acc["n"] + F.regexp_count(x["line"], F.lit(r"[\p{L}\p{N}]+")), acc["k"] + 1
+            fits = (k > 1) & (k < total) & F.exists(a["sizes"], lambda s: n.between(s["least"], s["most"]))
+            return F.when(acc["n"] > most, acc).otherwise(F.struct(n.alias("n"), k.alias("k"), F.when(fits, F.array_append(acc["found"], k)).otherwise(acc["found"]).alias("found")))
+
+        zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("found"))
+        return F.aggregate(F.slice(lines, a["at"] + 1, most + 1), zero, add, lambda acc: acc["found"])
+
+    def unit(a: Column, k: Column) -> Column:
+        block = lambda i: F.get(lines, i)["block"]
+        first, last = a["at"], a["at"] + k - 1
+        whole = ~block(first).eqNullSafe(block(first - 1)) & ~block(last).eqNullSafe(block(last + 1))
+        scope = F.when(whole & (block(first) == block(last)), "block").when(whole, "blocks").otherwise("lines")
+        return F.struct(scope.alias("scope"), F.array_join(F.transform(F.slice(lines, first + 1, k), lambda x: x["line"]), "\n").alias("unit"))
+
+    found = F.flatten(F.transform("starts", lambda a: F.transform(ends(a), lambda k: unit(a, k))))
+    return d.select("doc_id", F.explode(found).alias("u")).select("doc_id", "u.scope", "u.unit").where("scope <> 'block'")
+
+
+def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges in order that cover the same whole numbers."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], z))
+        else:
+            out.append((a, z))
+    return out
+
+
 def licenses(docs: DataFrame, known_digests: DataFrame) -> DataFrame:
     """``doc_id, license_id, scope, n_hits``: units of each document that are a known licence text.
 
@@ -128,12 +209,18 @@ def licenses(docs: DataFrame, known_digests: DataFrame) -> DataFrame:
     small. Null and empty texts, and units without a letter or digit, match nothing; repeated rows of docs count
     again. Documents without a match give no row.
     """
-    firsts = [r["first"] for r in known_digests.select("first").distinct().collect()]  # one at most for each known text
-    w = first_word(F.col("unit"))
+    ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)  # one at most for each known text
+    for r in known_digests.select(begins(F.col("first")).alias("first"), "least", "most").distinct().collect():
+        for w in (r["first"], *GOES):
+            ranges[w].append((r["least"], r["most"]))
+    if not ranges:
+        ranges[""] = [(0, 0)]
+    docs = docs.select("doc_id", "text")
     # a unit whose form begins with another word than every known form cannot be equal to one
-    u = units(docs.select("doc_id", "text")).where(w.isin(*firsts) | w.rlike(CHANGEABLE))
+    u = units(docs).where(begins(first_word(F.col("unit"))).isin(*ranges))
+    u = u.union(runs(docs, {w: _merged(rs) for w, rs in ranges.items()}))
     u = u.withColumn("form", canonical(F.col("unit"))).where("form <> ''")
-    hits = u.select("doc_id", "scope", F.sha2("form", 256).alias("digest")).join(known_digests, "digest")
+    hits = u.select("doc_id", "scope", F.sha2("form", 256).alias("digest")).join(known_digests.select("digest", "license_id"), "digest")
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_hits"))
 
 
