@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Statistics of each whole text (counts, shares, repetition) place it in a small numeric space. A forest of random
-splits is grown on labelled good rows; anomalous documents end on short paths. The threshold on the anomaly score
-is calibrated on labelled rows of both kinds.
+splits is grown on a sample of labelled good rows; anomalous documents end on short paths. The threshold on the
+anomaly score is calibrated on all labelled rows of both kinds, by a histogram of scores for each.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from procflow.llm.common import smallest_hashes, words_of
 
-#: Labelled rows that forest and threshold are fitted on, at most; chosen by hash of doc_id.
+#: Labelled good rows that the forest is fitted on, at most; chosen by hash of doc_id.
 FIT_ROWS = 6000
 TREES = 128
 SUBSAMPLE = 256
 #: Share of labelled good rows that the threshold may cost.
 MAX_LOSS = 0.01
+#: Bins of the histograms of scores that the threshold is set by.
+BINS = 1 << 16
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER, _DIGIT, _PUNCT = (bytes(range(a, b)) for a, b in ((65, 91), (97, 123), (48, 58), (33, 48)))
@@ -125,55 +127,64 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.feature) / max(self.usual(self.size), 1e-9))
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_loss: float = MAX_LOSS) -> float:
-    """The threshold above which rows are dropped: of those that cost at most ``max_loss`` of the good rows, the
-    one that best tells the two kinds apart; without bad rows, the highest score seen."""
-    if not good.any() or good.all():
-        return float(scores.max()) if len(scores) else 1.0
-    best, at = -1.0, float(scores.max())
-    for s in np.unique(scores):
-        lost = (scores[good] > s).mean()
-        caught = (scores[~good] > s).mean()
-        if lost <= max_loss and caught - lost >= best:
-            best, at = caught - lost, float(s)
-    higher = scores[scores > at]
-    return (at + float(higher.min())) / 2 if len(higher) else at
+def calibrate(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) -> float:
+    """The threshold above which rows are dropped, from the numbers of good and bad rows by bin of the score (BINS of
+    0 to 1): of those that cost at most ``max_loss`` of the good rows, the one that best tells the two kinds apart;
+    without rows of both kinds, one above every score seen."""
+    seen = np.flatnonzero(good + bad)
+    if not len(seen):
+        return 1.0
+    at = int(seen[-1])
+    if good.any() and bad.any():
+        lost, caught = (1 - np.cumsum(n)[seen] / n.sum() for n in (good, bad))
+        gain = np.where(lost <= max_loss, caught - lost, -np.inf)
+        at = int(seen[len(seen) - 1 - int(gain[::-1].argmax())])  # the highest of equals
+    higher = seen[seen > at]
+    # between the bins; a bin's rows are all kept or all dropped
+    return (at + 1 + (int(higher[0]) if len(higher) else at + 1)) / 2 / len(good)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold from at most ``rows`` labelled rows (those of the smallest hash of doc_id).
+    """Forest from at most ``rows`` labelled good rows (those of the smallest hash of doc_id), and the threshold from
+    every labelled row that passes the base rules.
 
-    Without labelled rows there is no forest, and only the base rules decide.
+    Without labelled good rows there is no forest, and only the base rules decide.
     """
-    chosen = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = smallest_hashes(chosen, "doc_id", rows)
-    stats = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labelled = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    chosen = smallest_hashes(labelled.where("quality = 1"), "doc_id", rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [statistics(t.as_py()) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for _, x in f], pa.list_(pa.float64())), b.column(1), pa.array([base_failed(c[0], c[4]) for c, _ in f])],
-                names=["features", "quality", "failed"],
-            )
+            f = [x for c, x in (statistics(t.as_py()) for t in b.column(0)) if not base_failed(c[0], c[4])]
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.float64()))], names=["features"])
 
-    got = stats.select("text", "quality").mapInArrow(each, "features array<double>, quality int, failed boolean").toPandas()
-    got = got[~got["failed"]]
-    good = got["quality"].to_numpy() == 1
-    if not good.any():
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(each, "features array<double>").toPandas()
+    if not len(got):
         return None, 1.0
     x = np.array(got["features"].tolist())
-    order = np.lexsort(x.T[::-1])  # the forest must not depend on the order in which rows arrive
-    x, good = x[order], good[order]
-    forest = IsolationForest(x[good])
-    return forest, calibrate(forest.score(x), good)
+    forest = IsolationForest(x[np.lexsort(x.T[::-1])])  # it must not depend on the order in which rows arrive
+    handle = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [(i, x) for i, (c, x) in ((i, statistics(t.as_py())) for i, t in zip(b.column(0), b.column(1))) if not base_failed(c[0], c[4])]
+            score = handle.value.score(np.array([x for _, x in f]).reshape(len(f), len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, _ in f], pa.int64()), pa.array(np.minimum(score * BINS, BINS - 1).astype(int), pa.int32())], names=["doc_id", "bin"])
+
+    # texts become bins before the join, so that of every labelled row only an id and a number are shuffled
+    scored = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(bins, "doc_id long, bin int")
+    counts = scored.join(labelled, "doc_id").groupBy((F.col("quality") == 1).alias("good"), "bin").agg(F.count("*").alias("n")).toPandas()
+    good, bad = np.zeros(BINS), np.zeros(BINS)
+    for g, k, n in counts.itertuples(index=False):
+        (good if g else bad)[k] = n
+    return forest, calibrate(good, bad)
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """``doc_id``, COUNTS, ``base_failed, anomaly, kept`` for every row of ``docs (doc_id, text, ...)``.
 
-    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike; nothing is
-    shuffled but the labelled sample.
+    Null and empty texts have no words and fail the base rules. Repeated rows are judged alike; of the
+    labelled rows ids and scores are shuffled, nothing else.
     """
     handle = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
 

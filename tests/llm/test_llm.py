@@ -358,6 +358,18 @@ def test_quality_counts_and_forest(spark):
     assert all(r.kept for r in quality_rules.quality(docs.where("doc_id < 900"), lab.limit(0)).collect())
 
 
+def test_quality_threshold_covers_all_labels(spark):
+    rng = random.Random(2)
+    vocab = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    good = [(k, " ".join(rng.choices(vocab, k=90))) for k in range(1500)]
+    bad = [(k, " ".join(f"#{w}$|" for w in rng.choices(vocab, k=90))) for k in (9001, 9002, 9003)]
+    odd = [(k, " ".join(f"#{w}$|" for w in rng.choices(vocab, k=90))) for k in (9501, 9502)]  # not labelled
+    docs = spark.createDataFrame(good + bad + odd, "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1) for k, _ in good] + [(k, 0) for k, _ in bad], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.quality(docs, lab, rows=100).collect() if r.kept}
+    assert not kept & {9001, 9002, 9003, 9501, 9502} and len(kept) >= 0.98 * len(good)
+
+
 def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
     import corpus_pipeline
 
