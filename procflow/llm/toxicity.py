@@ -1,252 +1,358 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of words as paths of letters: the next letter of a word is predicted from all its letters
-so far, and a word ends with an end mark, so that whole words, stems and beginnings are levels of one model.
-Counts are continuation counts (in how many different texts a path stands), so that repetition inside a text
-and copies of texts add nothing. Every count is discounted by an absolute amount and by what the shared counts,
-taken over all documents, lead to expect; the mass discounted backs off to the shared distribution. An expression
-that neither class uses clearly more often than all documents do is therefore smoothed to the shared counts in
-both classes and cancels in the difference of the log-likelihoods; a rare form of a telling stem counts by its
-stem. The length-normalised difference goes through a logistic curve fitted on rows that the compared models did
-not see (two folds).
+Each class (toxic, ordinary) has a model of words in their order. A word is predicted from the word before it; where a
+class knows too little of that pair, from the class's spelling of words, letter by letter, each from the LETTERS
+letters before it inside the word; where a class knows too little of a spelling, from the spellings of all documents.
+All three levels are interpolated with absolute discounting, and all their counts are continuation counts:
+
+* a pair counts once for each different word before it, a word once for each different word before it, so that
+  copies of texts and repeated passages add nothing;
+* a spelling in the shared counts counts once for each different word of all documents, and a letter by itself once
+  for each different beginning that it follows.
+
+The discount is large (DISCOUNT), so that an expression rare in a class falls back on the shared counts and cancels in
+the comparison, while a stem or a pair that one class keeps using does not. A text's evidence is the difference of
+its two log-likelihoods word by word, as far as it goes beyond THRESHOLD, summed and divided by the number of words.
+A logistic curve turns it into a score; it is fitted on documents that the compared models did not see (two folds).
 """
 
 from __future__ import annotations
 
 import math
-import re
-import sys
-from collections import Counter, defaultdict
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import smallest_hashes
+from procflow.llm.common import cut, smallest_hashes
 
 #: Labelled rows of each class that the models are counted on, at most; chosen by hash of doc_id.
 FIT_ROWS = 4000
 #: Labelled rows whose crc32(doc_id as text) leaves this remainder by 5 are held out.
 HELD_OUT = (5, 0)
-#: A count n of a path keeps n - DISCOUNT - EXPECTED * e - SPREAD * sqrt(e), e being what shared counts expect.
-DISCOUNT, EXPECTED, SPREAD = 2.0, 1.25, 2.0
-#: Letters of a word that the model follows.
-DEPTH = 10
-END = "$"
-_WORD = re.compile(r"[^\W\d_]+")
-#: Words whose ratio a worker remembers.
-MEMO = 200_000
+#: A count n of a class keeps n - DISCOUNT, one of all documents n - SHARED_DISCOUNT.
+DISCOUNT, SHARED_DISCOUNT = 4.0, 0.75
+#: Letters (and the mark of the beginning) that a letter is predicted from.
+LETTERS = 8
+#: A word tells something if its log-likelihoods differ by more.
+THRESHOLD = 1.5
+BEGIN, END = "^", "$"
+#: Scripts that do not part words by spaces: each of their letters is a word.
+_SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORD = rf"[{_SINGLE}]|[\p{{L}}\p{{M}}&&[^{_SINGLE}]]+"
+#: The models that are counted: on all sampled rows, and on those of each fold.
+VARIANTS = ("all", "fold0", "fold1")
 
 
-def words(text: str | None) -> set[str]:
-    """Distinct case-folded runs of letters."""
-    return set(map(sys.intern, _WORD.findall(text.lower()))) if text else set()
-
-
-def path(word: str) -> list[str]:
-    """The levels of a word: its beginnings, and the whole word with its end."""
-    w = word[:DEPTH] + END if len(word) <= DEPTH else word[:DEPTH]
-    return [w[:k] for k in range(1, len(w) + 1)]
+def words(text: Column) -> Column:
+    """The lower-cased words of a text in order; null is empty."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(HELD_OUT[0])) == HELD_OUT[1], F.lit(False))
 
 
-def path_counts(texts: list[tuple[str, ...]]) -> dict[str, int]:
-    """In how many (text, word) pairs each path stands; the empty path counts them all.
+def spelling(word: str) -> list[str]:
+    """For each letter of a word and its end: the letters before it (LETTERS at most), and itself."""
+    s = BEGIN + word + END
+    return [s[max(0, i - LETTERS) : i + 1] for i in range(1, len(s))]
 
-    Paths that stand in no more than DISCOUNT pairs keep no count in any model and are left out. As no path counts
-    more than its beginning, the paths are counted level by level, and words whose beginning is left out are not
-    followed further: memory goes by the paths that are kept.
-    """
-    words_ = Counter(w for t in texts for w in t)
-    out: dict[str, int] = {"": sum(words_.values())}
-    open_ = list(words_.items())
-    for depth in range(1, DEPTH + 2):
-        level: dict[str, int] = defaultdict(int)
-        for w, n in open_:
-            level[_beginning(w, depth)] += n
-        kept = {p: n for p, n in level.items() if n > DISCOUNT}
-        out |= kept
-        # the next level is the next letter, or the end mark of a word of DEPTH letters or fewer
-        open_ = [(w, n) for w, n in open_ if len(w) >= depth and (depth < DEPTH or len(w) == DEPTH) and w[:depth] in kept]
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each letter: column ``w`` becomes ``g``, the other columns are repeated."""
+    for b in batches:
+        at, step = b.schema.get_field_index("w"), 5000
+        for i in range(0, b.num_rows, step):
+            part = b.slice(i, step)
+            g = [spelling(w) for w in part.column(at).to_pylist()]
+            parent = pa.array(np.repeat(np.arange(len(g)), [len(x) for x in g]))
+            flat = pa.array([x for xs in g for x in xs], pa.string())
+            yield pa.RecordBatch.from_arrays([flat if k == at else part.column(k).take(parent) for k in range(part.num_columns)], names=["g" if k == at else n for k, n in enumerate(part.schema.names)])
+
+
+def spelled(df: DataFrame) -> DataFrame:
+    schema = ", ".join(f"{'g' if n == 'w' else n} {t}" for n, t in df.dtypes)
+    return df.mapInArrow(_spell, schema)
+
+
+#: What of a spelling comes before, and its last letter.
+_CTX, _LETTER = "substring(g, 1, length(g) - 1)", "right(g, 1)"
+
+
+def shared_spellings(docs: DataFrame) -> DataFrame:
+    """``g, ctx, x, n``: how many different words of all documents spell ``g``, its letters before and its last one."""
+    distinct = docs.select(F.explode(words(F.col("text"))).alias("w")).distinct()
+    return spelled(distinct).groupBy("g").agg(F.count("*").alias("n")).selectExpr("g", f"{_CTX} as ctx", f"{_LETTER} as x", "n")
+
+
+def shared_probabilities(shared: DataFrame) -> DataFrame:
+    """``g, ps``: the probability that all documents give the last letter of ``g`` after the others."""
+    by_ctx = shared.groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("kinds"))
+    by_letter = shared.groupBy("x").agg(F.count("*").alias("q"))
+    total = by_letter.agg(F.sum("q").alias("total"))  # one row
+    alone = by_letter.join(F.broadcast(total)).select("x", (F.col("q") / F.col("total")).alias("q"))
+    d = SHARED_DISCOUNT
+    return shared.join(by_ctx, "ctx").join(alone, "x").select("g", ((F.col("n") - d) / F.col("m") + d * F.col("kinds") / F.col("m") * F.col("q")).alias("ps"))
+
+
+def pair_counts(sample: DataFrame) -> DataFrame:
+    """``toxic, p, w`` and a count for each of VARIANTS: the different words that stand before the pair (p, w)."""
+    w, start = F.col("w"), F.array(F.lit(""))
+    z = F.explode(F.arrays_zip(F.concat(start, start, w).alias("o"), F.concat(start, w).alias("p"), w.alias("w"))).alias("z")
+    rows = sample.select("toxic", "fold", z).where("z.w is not null").select("toxic", "fold", "z.o", "z.p", "z.w")
+    seen = rows.groupBy("toxic", "o", "p", "w").agg(*(F.max((F.col("fold") == k).cast("int")).alias(f"fold{k}") for k in (0, 1)))
+    return seen.groupBy("toxic", "p", "w").agg(F.count("*").alias("all"), *(F.sum(f"fold{k}").alias(f"fold{k}") for k in (0, 1)))
+
+
+def _by_class(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of both classes in a row: ``t_<variant>``, ``o_<variant>``."""
+    each = [F.sum(F.when(F.col("toxic") == (c == "t"), F.col(v)).otherwise(0)).alias(f"{c}_{v}") for c in "to" for v in VARIANTS]
+    return df.groupBy(*keys).agg(*each)
+
+
+def _kept(n: Column) -> Column:
+    return F.greatest(n - DISCOUNT, F.lit(0.0))
+
+
+def _with_totals(counts: DataFrame, ctx: str) -> DataFrame:
+    """Adds what each class has counted after ``ctx`` (``n_``) and the share of it that is discounted (``b_``)."""
+    names = [f"{c}_{v}" for c in "to" for v in VARIANTS]
+    sums = counts.groupBy(ctx).agg(*(F.sum(n).alias(f"n_{n}") for n in names), *(F.sum(_kept(F.col(n))).alias(f"k_{n}") for n in names))
+    left = [F.when(F.col(f"n_{n}") > 0, 1 - F.col(f"k_{n}") / F.col(f"n_{n}")).otherwise(1.0).alias(f"b_{n}") for n in names]
+    return counts.join(sums.select(ctx, *(f"n_{n}" for n in names), *left), ctx)
+
+
+def _probability(n: str, below: Column) -> Column:
+    return F.when(F.col(f"n_{n}") > 0, _kept(F.col(n)) / F.col(f"n_{n}")).otherwise(0.0) + F.col(f"b_{n}") * below
+
+
+_ANY_KEPT = " or ".join(f"{c}_{v} > {DISCOUNT}" for c in "to" for v in VARIANTS)
+
+
+def _ratios(value: Callable[[str], Column]) -> list[Column]:
+    """The log-ratio of both classes for each variant."""
+    return [(value(f"t_{v}") - value(f"o_{v}")).alias(v) for v in VARIANTS]
+
+
+# --- the model as sorted arrays of hashes -------------------------------------------------------------------------
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All code points (plus one), and the length of each string."""
+    n = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1), n
+
+
+def gram_hash(strings: list[str]) -> np.ndarray:
+    """Hashes of short strings."""
+    c, n = _codes(strings)
+    start, h = np.cumsum(n) - n, np.zeros(len(n), dtype=np.uint64)
+    for k in range(int(n.max(initial=0))):
+        ok = k < n
+        h[ok] = h[ok] * _BASE + c[start[ok] + k]
+    return h
+
+
+def word_hash(strings: list[str]) -> np.ndarray:
+    """Hashes of whole words of any length; 0 for the empty one."""
+    c, n = _codes(strings)
+    if not len(c):
+        return np.zeros(len(n), dtype=np.uint64)
+    power = np.ones(int(n.max()), dtype=np.uint64)
+    power[1:] = np.cumprod(np.full(len(power) - 1, _BASE, dtype=np.uint64))
+    start = np.cumsum(n) - n
+    out = np.zeros(len(n), dtype=np.uint64)
+    some = n > 0
+    out[some] = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(start, n)], start[some])
     return out
 
 
-def _beginning(word: str, depth: int) -> str:
-    """The path of a word at a depth; only for depths that it has."""
-    return word[:depth] if len(word) >= depth else word + END
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return before * _PAIR + word
+
+
+@dataclass
+class Table:
+    """Values by hash."""
+
+    keys: np.ndarray
+    values: np.ndarray
 
+    @staticmethod
+    def of(keys: np.ndarray, values: np.ndarray) -> Table:
+        order = np.argsort(keys, kind="stable")
+        return Table(keys[order], values[order])
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where there is none) and whether there is one."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[at] == keys
+        return np.where(hit, self.values[at], 0.0), hit
+
+
+@dataclass
 class Model:
-    """The log-ratio of both classes, by path: ``step`` where a class keeps a count, ``back`` where it leaves mass."""
-
-    def __init__(self, toxic: dict[str, int], ordinary: dict[str, int], shared: dict[str, int]):
-        kept: list[dict[str, float]] = []
-        used: list[dict[str, float]] = []
-        for counts in (toxic, ordinary):
-            k: dict[str, float] = {}
-            u: dict[str, float] = defaultdict(float)
-            for q, n in counts.items():
-                if q and n > DISCOUNT:
-                    p = q[:-1]
-                    e = counts[p] * shared.get(q, 0) / max(shared.get(p, 0), 1)
-                    x = n - DISCOUNT - EXPECTED * e - SPREAD * math.sqrt(e)
-                    if x > 0:
-                        k[q] = x
-                        u[p] += x
-            kept.append(k)
-            used.append(u)
-        both = tuple(zip((toxic, ordinary), kept, used))
-        left = lambda p: [1 - u[p] / c[p] if p in u else 1.0 for c, _, u in both]
-        self.back = {}
-        for p in {*used[0], *used[1]}:
-            t, o = left(p)
-            self.back[p] = math.log(t / o)
-        self.step = {}
-        for q in {*kept[0], *kept[1]}:
-            p = q[:-1]
-            s = max(shared.get(q, 0), 0.5) / max(shared.get(p, 0), 1)
-            t, o = ((k[q] / c[p] if q in k else 0.0) + b * s for (c, k, _), b in zip(both, left(p)))
-            self.step[q] = math.log(t / o)
-        self.memo: dict[str, float] = {}
-
-    def word(self, w: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        r = self.memo.get(w)
-        if r is None:
-            r, p = 0.0, ""
-            for q in path(w):
-                r += self.step[q] if q in self.step else self.back.get(p, 0.0)
-                p = q
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[w] = r
-        return r
-
-    def evidence(self, text: Collection[str]) -> float:
-        """The difference of the log-likelihoods of a text's words, normalised by the root of their number (by
-        the number itself, long texts with a few telling words would look like texts with none)."""
-        return sum(sorted(map(self.word, text))) / math.sqrt(len(text)) if text else 0.0
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a slight ridge; both classes weigh as they are."""
+    """Log-ratios of both classes: of letters after letters and of words after words that a class keeps, and of the
+    mass that the classes leave to the level below."""
+
+    grams: Table
+    gram_backs: Table
+    pairs: Table
+    pair_backs: Table
+
+    def spell(self, strings: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) by spelling, for each word."""
+        c, n = _codes([BEGIN + w + END for w in strings])
+        start = np.cumsum(n) - n
+        inner = np.arange(len(c)) - np.repeat(start, n)  # place in the word
+        at = np.flatnonzero(inner > 0)
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(LETTERS, 0, -1):
+            ok = inner[at] >= k
+            h[ok] = h[ok] * _BASE + c[at[ok] - k]
+        value, hit = self.grams.find(h * _BASE + c[at])
+        back, _ = self.gram_backs.find(h[~hit])
+        value[~hit] = back
+        return np.add.reduceat(value, np.cumsum(n - 1) - (n - 1)) if len(value) else np.zeros(len(strings))
+
+    def evidence(self, texts: pa.ListArray, step: int = 1 << 18) -> np.ndarray:
+        """For each list of words: the mean of what their log-ratios have beyond THRESHOLD; 0 for no words."""
+        coded = texts.flatten().dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        vocabulary, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        ratio, name = np.zeros(len(vocabulary)), np.zeros(len(vocabulary), dtype=np.uint64)
+        for i in range(0, len(vocabulary), step // 16):
+            part = vocabulary[i : i + step // 16]
+            ratio[i : i + len(part)], name[i : i + len(part)] = self.spell(part), word_hash(part)
+        del vocabulary
+        back, opens = self.pair_backs.find(name)
+        first_back, first_opens = (float(a[0]) for a in self.pair_backs.find(np.zeros(1, dtype=np.uint64)))
+        n = np.asarray(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        total = np.zeros(len(n))
+        for i in range(0, len(index), step):  # bounded memory for long texts
+            w, r = index[i : i + step], row[i : i + step]
+            before = index[max(i - 1, 0) : i + len(w) - 1]
+            before = before if i else np.concatenate([[0], before])
+            first = np.diff(r, prepend=row[i - 1] if i else -1) > 0
+            value = ratio[w] + np.where(first, first_back, back[before])
+            look = np.flatnonzero(np.where(first, first_opens > 0, opens[before]))
+            pair, hit = self.pairs.find(pair_hash(np.where(first[look], np.uint64(0), name[before[look]]), name[w[look]]))
+            value[look[hit]] = pair[hit]
+            total += np.bincount(r, np.maximum(value - THRESHOLD, 0.0), len(n))
+        return total / np.maximum(n, 1)
+
+
+def models(sample: DataFrame, docs: DataFrame) -> dict[str, Model]:
+    """The models of VARIANTS from ``sample (toxic, fold, w)`` and the spellings of all documents. What classes keep,
+    so at most what the sample holds, comes to the driver, as log-ratios."""
+    counts = cut(pair_counts(sample), "pairs")
+    by_word = counts.groupBy("toxic", "w").agg(F.count("*").alias("all"), *(F.sum((F.col(v) > 0).cast("int")).alias(v) for v in VARIANTS[1:]))
+    letters = _by_class(spelled(by_word), ["g"]).withColumn("ctx", F.expr(_CTX))
+    shared = cut(shared_spellings(docs), "spellings")
+    g = cut(_with_totals(letters, "ctx").join(shared_probabilities(shared), "g"), "letters")
+    gram_log = lambda n: F.log(_probability(n, F.col("ps")))
+    grams = g.where(_ANY_KEPT).select("g", *_ratios(gram_log)).toArrow()
+    left = lambda n: F.log(F.first(f"b_{n}"))
+    some = " or ".join(f"b_{c}_{v} < 1" for c in "to" for v in VARIANTS)
+    gram_backs = g.where(some).groupBy("ctx").agg(*_ratios(left)).toArrow()
+
+    p = cut(_with_totals(_by_class(counts, ["p", "w"]), "p").where(some), "kept-pairs")
+    kept = p.where(_ANY_KEPT)
+    spelt = spelled(kept.select("w").distinct().withColumn("word", F.col("w"))).join(g, "g")
+    names = [f"{c}_{v}" for c in "to" for v in VARIANTS]
+    alone = spelt.groupBy("word").agg(*(F.exp(F.sum(gram_log(n))).alias(f"w_{n}") for n in names)).withColumnRenamed("word", "w")
+    pair_log = lambda n: F.log(_probability(n, F.greatest(F.col(f"w_{n}"), F.lit(1e-300))))
+    pairs = kept.join(alone, "w").select("p", "w", *_ratios(pair_log)).toArrow()
+    pair_backs = p.groupBy("p").agg(*_ratios(left)).toArrow()
+
+    names_ = lambda t, c: t.column(c).to_pylist()
+    keys = (gram_hash(names_(grams, "g")), gram_hash(names_(gram_backs, "ctx")), pair_hash(word_hash(names_(pairs, "p")), word_hash(names_(pairs, "w"))), word_hash(names_(pair_backs, "p")))
+    return {v: Model(*(Table.of(k, t.column(v).to_numpy()) for k, t in zip(keys, (grams, gram_backs, pairs, pair_backs)))) for v in VARIANTS}
+
+
+# --- the score ----------------------------------------------------------------------------------------------------
+
+#: Evidence is put on a logarithmic scale from here on.
+FLOOR = 1e-3
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Slope and intercept by Newton's method with a slight ridge."""
     a, b = 0.0, 0.0
-    scale = float(x.std()) or 1.0
-    z = x / scale
+    mean, scale = float(x.mean()), float(x.std()) or 1.0
+    z = (x - mean) / scale
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        w = p * (1 - p) + 1e-9
-        g = np.array([((p - y) * z).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
+        w = weight * (p * (1 - p) + 1e-9)
+        g = np.array([(weight * (p - y) * z).sum() + 0.01 * a, (weight * (p - y)).sum() + 0.01 * b])
         h = np.array([[(w * z * z).sum() + 0.01, (w * z).sum()], [(w * z).sum(), w.sum() + 0.01]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-9:
             break
-    return a / scale, b
-
-
-def distinct_texts(texts: list[str]) -> list[int]:
-    """Indices of texts that share none of three MinHash values over five-word shingles with an earlier one."""
-    seen: tuple[set[int], ...] = (set(), set(), set())
-    out = []
-    for i, t in enumerate(texts):
-        w = _WORD.findall(t.lower())
-        g = [xxhash.xxh64_intdigest(" ".join(w[k : k + 5]).encode("utf-8", "surrogatepass")) for k in range(max(1, len(w) - 4))]
-        low = [min(xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed) for x in g) for seed in range(len(seen))]
-        if not any(x in s for x, s in zip(low, seen)):
-            out.append(i)
-        for x, s in zip(low, seen):
-            s.add(x)
-    return out
+    return a / scale, b - a * mean / scale
 
 
+@dataclass
 class Scorer:
-    """The model and its logistic curve."""
-
-    def __init__(self, texts: list[tuple[str, ...]], toxic: np.ndarray, shared: dict[str, int], share: float = 0.0):
-        self.share = min(max(share, 0.0), 0.49)  # what is said of a text without words: how common label 1 is
-        self.model, self.slope, self.intercept = None, 0.0, -1.0
-        if not len(toxic) or toxic.all() or not toxic.any():
-            self.intercept = 1.0 if len(toxic) and toxic.all() else -1.0
-            return
-        train = lambda own: Model(*(path_counts([texts[i] for i in np.flatnonzero(own & (toxic == c))]) for c in (True, False)), shared)
-        fold = np.zeros(len(toxic), dtype=int)
-        for c in (True, False):  # each class evenly
-            fold[toxic == c] = np.arange((toxic == c).sum()) % 2
-        x = np.zeros(len(toxic))
-        for k in (0, 1):
-            m = train(fold != k)
-            for i in np.flatnonzero(fold == k):
-                x[i] = m.evidence(texts[i])
-            del m  # and the words that it remembers
-        self.slope, self.intercept = _logistic(x, toxic.astype(float))
-        self.model = train(np.ones(len(toxic), dtype=bool))
-
-    def score(self, text: str | None) -> float:
-        w = words(text)
-        if self.model and not w:
-            return self.share
-        e = self.model.evidence(w) if self.model else 0.0
-        return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.slope * e + self.intercept))))
-
-
-def shared_counts(docs: DataFrame) -> DataFrame:
-    """``word, n``: in how many documents each word stands; each partition counts before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-        for b in batches:
-            for t in b.column(0):
-                c.update(words(t.as_py()))
-                if len(c) > 500_000:  # bounded memory: the shuffle adds up what is sent more than once
-                    yield out()
-                    c.clear()
-        if c:
-            yield out()
-
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def shared_paths(counts: DataFrame, wanted: set[str]) -> dict[str, int]:
-    """Shared counts of the wanted paths (those of the labelled sample, so of bounded number)."""
-    handle = counts.sparkSession.sparkContext.broadcast(wanted)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        for b in batches:
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own[""] += n
-                for p in path(w):
-                    if p in handle.value:
-                        own[p] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["path", "n"])
-
-    rows = counts.mapInArrow(add, "path string, n long").groupBy("path").agg(F.sum("n").alias("n")).toPandas()
-    return dict(zip(rows["path"], rows["n"].astype(int)))
+    """A model and its logistic curve; without a model, all texts score alike."""
+
+    model: Model | None
+    slope: float
+    intercept: float
+
+    def score(self, texts: pa.ListArray) -> np.ndarray:
+        x = np.zeros(len(texts)) if self.model is None else np.log(self.model.evidence(texts) + FLOOR)
+        return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
+
+
+def _udf(spark: SparkSession, scorer: Callable[[pa.ListArray], np.ndarray]) -> Callable:
+    handle = spark.sparkContext.broadcast(scorer)  # of the size of the labelled sample at most
+
+    @F.arrow_udf("double")
+    def each(texts: pa.Array) -> pa.Array:
+        return pa.array(handle.value(texts), pa.float64())
+
+    return each
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
-    """Learn from at most ``rows`` labelled rows of each class that are not held out, near copies taken once, and
-    from the words of all documents. The driver holds the sample and the shared counts of its paths, no more."""
-    usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    chosen = smallest_hashes(usable.where("toxic = 1"), "doc_id", rows).union(smallest_hashes(usable.where("toxic <> 1"), "doc_id", rows))
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toPandas()  # 2 * rows ids at most
-    got = got.assign(text=got["text"].fillna("")).sort_values(["toxic", "doc_id", "text"], ascending=[False, True, True])
-    got = got.iloc[distinct_texts(got["text"].tolist())]
-    texts = [tuple(words(t)) for t in got["text"]]  # a set of each would take many times the memory
-    toxic = (got["toxic"] == 1).to_numpy(dtype=bool)
-    del got
-    wanted = set(path_counts(texts))  # with each path all its beginnings
-    shared = shared_paths(shared_counts(docs), wanted) if wanted else {}
-    share = usable.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    return Scorer(texts, toxic, shared, share or 0.0)
+    """Learn from at most ``rows`` labelled rows of each class that are not held out, equal texts taken once, and from
+    the words of all documents. Counts and probabilities are made in Spark; the driver gets log-ratios and evidence.
+
+    An id labelled both ways is toxic; of several rows of an id, one is taken.
+    """
+    spark = docs.sparkSession
+    usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    by_class = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(by_class) < 2:
+        return Scorer(None, 0.0, 1.0 if True in by_class else -1.0)
+    chosen = smallest_hashes(usable.where("toxic"), "doc_id", rows).union(smallest_hashes(usable.where("not toxic"), "doc_id", rows))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # 2 * rows ids at most
+    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = cut(texts.select("toxic", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"), words(F.col("text")).alias("w")), "sample")
+    if sample.groupBy("toxic").count().count() < 2:
+        return Scorer(None, 0.0, -1.0)
+    found = models(sample, docs)
+    # each half is judged by the models of the other
+    crossed = F.when(F.col("fold") == 0, _udf(spark, found["fold1"].evidence)("w")).otherwise(_udf(spark, found["fold0"].evidence)("w"))
+    seen = sample.select("toxic", crossed.alias("e")).toArrow()
+    y = seen.column("toxic").to_numpy().astype(float)
+    n = {True: y.sum(), False: (1 - y).sum()}
+    weight = np.where(y == 1, by_class[True] / n[True], by_class[False] / n[False])  # as common as among the labels
+    x = np.log(seen.column("e").to_numpy() + FLOOR)
+    order = np.lexsort((y, x))  # sums must not depend on the order in which rows arrive
+    return Scorer(found["all"], *_logistic(x[order], y[order], weight[order] / weight.mean()))
 
 
 def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
@@ -255,26 +361,14 @@ def scores(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFram
     Only texts enter a score. Null and empty texts get the score of no evidence; repeated rows score alike.
     Without labelled rows of both classes all scores are alike.
     """
-    handle = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [handle.value.score(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, score double")
+    score = _udf(docs.sparkSession, fit(docs, labels, rows).score)
+    return docs.select("doc_id", score(words(docs["text"])).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; rows are judged in place, without a shuffle."""
-    handle = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rows))
-
-    def fine(texts):
-        import pandas as pd
-
-        return pd.Series([handle.value.score(t) < 0.5 for t in texts], dtype=bool)
-
-    return docs.where(F.pandas_udf(fine, "boolean")(docs["text"]))
+    score = _udf(docs.sparkSession, fit(docs, labels, rows).score)
+    return docs.where(score(words(docs["text"])) < 0.5)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
