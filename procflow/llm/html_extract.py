@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Pages that the chain is trained on, at most; chosen by hash of page_id among all that mark their article.
 FIT_PAGES = 120
-#: Pages of more blocks are not trained on.
-FIT_BLOCKS = 200
+#: Longer pages are trained on in runs of this many blocks.
+RUN = 200
 STEPS = 100
 RIDGE = 0.01
 
@@ -34,98 +35,202 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "select")
 #: An opening tag ends these open ones without their closing tag (fixed values of HTML).
 IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-#: The attributes of a tag as HTML reads them: a quote opens a value right after "=" only. Possessive, so linear.
-_ATTRS = r"(?:[\s/]+|[^\s/>][^\s/>=]*+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+"
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + _ATTRS + ")>", re.S)
-#: The end tags of raw elements.
-_RAW_END = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: The search for them stops here (fixed values of HTML).
+SCOPE = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr",), "th": ("tr",), "dt": ("dl",), "dd": ("dl",)}
+
+#: Deeper tags stand beside each other, as in browsers.
+MAX_DEPTH = 512
+
+#: A tag in the usual form, after its "<". No part runs past the next "<" or ">", so a failure costs no more than that.
+_TAG = re.compile(r"""(/?)([a-zA-Z][^\s/><"'=]*)((?:\s+[^\s"'<>/=]++(?:\s*=\s*(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>=`]++))?)*+)\s*(/?)>""")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_GAP, _WORD, _EQUALS, _BARE = re.compile(r"[\s/]*"), re.compile(r"[^\s/>][^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
+#: The end tags of raw elements, up to their name.
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
+_NAMED = frozenset(("class", "id", "role"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Inside an article these hold something else again.
+_OUT = frozenset("nav aside footer form header menu dialog fieldset".split())
 
 
 @dataclass
 class Block:
     text: str
-    tag: str
-    above: tuple[str, ...]  # ancestor tags, outermost first
-    names: tuple[str, ...]  # class, id and role tokens of the ancestors
+    tag: str  # the innermost block-level tag
+    above: frozenset[str]  # block-level ancestor tags
+    names: frozenset[str]  # class, id and role tokens of the ancestors
     linked: int  # code points inside links
+    main: bool = False  # in an article, and in nothing of _OUT inside it
+
+
+@dataclass
+class _Open:
+    """An open tag, with what holds for everything in it."""
+
+    name: str
+    block: str
+    above: frozenset[str]
+    names: frozenset[str]
+    link: bool
+    main: bool
+
+
+_PAGE = _Open("", "", frozenset(), frozenset(), False, False)
+
+
+class _Reader:
+    """Tags of a page, from left to right; every part of the page is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def tag(self, at: int) -> tuple[str, bool, bool, list[str], int] | None:
+        """Name, whether it is an end tag, whether it closes itself, the values of class, id and role, and where it
+        ends, for the tag whose "<" is at ``at``; None if the page ends in it."""
+        m = _TAG.match(self.page, at + 1)
+        if m:
+            values = [a[2] or a[3] or a[4] or "" for a in _ATTR.finditer(m[3]) if a[1].lower() in _NAMED] if m[3] else []
+            return m[2].lower(), bool(m[1]), bool(m[4]), values, m.end()
+        return self._odd_tag(at)
+
+    def _odd_tag(self, at: int) -> tuple[str, bool, bool, list[str], int] | None:
+        """As HTML reads any tag: a quote opens a value right after "=" only, and runs to its like. A quote without
+        its like is a letter."""
+        page = self.page
+        m = _NAME.match(page, at + 1)
+        name, i, values, slash = m[1].lower(), m.end(), [], False
+        while True:
+            gap = _GAP.match(page, i)
+            slash = gap[0].endswith("/")
+            i = gap.end()
+            if i >= len(page):
+                return None
+            if page[i] == ">":
+                return name, page[at + 1] == "/", slash, values, i + 1
+            word = _WORD.match(page, i)
+            i = word.end()
+            equals = _EQUALS.match(page, i)
+            if not equals:
+                continue
+            i = equals.end()
+            quote = page[i : i + 1]
+            if quote in self.last and quote and i < self.last[quote]:
+                end = page.find(quote, i + 1)
+                value, i = page[i + 1 : end], end + 1
+            else:
+                bare = _BARE.match(page, i)
+                value, i = bare[0], bare.end()
+            if word[0].lower() in _NAMED:
+                values.append(value)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a whole page, in order, white space collapsed; empty ones are left out."""
+    """The leaf blocks of a whole page, in order, white space collapsed; empty ones are left out.
+
+    Time goes by the length of the page, whatever is malformed in it. A tag that the page breaks off in is dropped.
+    """
+    page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
     parts: list[str] = []
     linked = 0
-    page = page or ""
     endless: set[str] = set()  # raw elements of which no end tag follows
+    reader = _Reader(page)
 
     def close() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            tags = tuple(t for t, _ in stack if t in BLOCKS)
-            out.append(Block(text, tags[-1] if tags else "", tags, tuple(n for _, ns in stack for n in ns), min(linked, len(text))))
+            top = stack[-1] if stack else _PAGE
+            out.append(Block(text, top.block, top.above, top.names, min(linked, len(text)), top.main))
         parts.clear()
         linked = 0
 
     def said(raw: str) -> None:
         nonlocal linked
-        if raw:
-            t = entities.unescape(raw)
-            parts.append(t)
-            if any(tag == "a" for tag, _ in stack):
-                linked += len(t)
+        t = entities.unescape(raw)
+        parts.append(t)
+        if stack and stack[-1].link:
+            linked += len(t)
+
+    def opened(tag: str, values: list[str]) -> None:
+        top = stack[-1] if stack else _PAGE
+        above, names = top.above, top.names
+        if tag in BLOCKS and tag not in above:
+            above = above | {tag}
+        own = {x.lower() for v in values for x in _PART.findall(v)}
+        if not own <= names:
+            names = names | own
+        main = tag == "article" or (top.main and tag not in _OUT)
+        stack.append(_Open(tag, tag if tag in BLOCKS else top.block, above, names, top.link or tag == "a", main))
 
     at = 0
-    while m := _TOKEN.search(page, at):
-        said(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                said(m[0][9:-3])
+    while True:
+        i = page.find("<", at)
+        if i < 0:
+            said(page[at:])
+            break
+        following = page[i + 1 : i + 3]
+        if following[:1] in ("!", "?"):
+            said(page[at:i])
+            if page.startswith("!--", i + 1):
+                end = page.find("-->", i + 4)
+                at = end + 3 if end >= 0 else len(page)
+            elif page.startswith("![CDATA[", i + 1):
+                end = page.find("]]>", i + 9)
+                said(page[i + 9 : end if end >= 0 else len(page)])
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                end = page.find(">", i)
+                at = end + 1 if end >= 0 else len(page)
             continue
-        if tag in RAW and not m[1] and (not m[3] or m[3][0] == "/" or m[3][0].isspace()):
-            if not m[3].endswith("/"):
-                end = None if tag in endless else _RAW_END[tag].search(page, at)
-                if end:
-                    at = end.end()
+        letter = following[1:2] if following[:1] == "/" else following[:1]
+        if not (letter.isascii() and letter.isalpha()):  # no tag
+            said(page[at : i + 1])
+            at = i + 1
+            continue
+        said(page[at:i])
+        found = reader.tag(i)
+        if not found:
+            break
+        tag, is_end, is_closed, values, at = found
+        if tag in _RAW_END and not is_end:
+            if not is_closed and tag not in endless:
+                m = _RAW_END[tag].search(page, at)
+                end = page.find(">", m.end()) if m else -1
+                if end >= 0:
+                    at = end + 1
                 elif tag in ("script", "style"):
                     at = len(page)
                 else:  # without an end tag only the tag itself is dropped
                     endless.add(tag)
             continue
-        if m[1]:  # an end tag
+        if is_end:
             if tag in BLOCKS:
                 close()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth:])):
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == tag), -1)
+            if depth >= 0 and (tag in BLOCKS or not any(t.name in BLOCKS for t in stack[depth:])):
                 del stack[depth:]
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
             close()
-            ends = IMPLIED.get(tag, {"p"} if tag in BLOCKS else set())
+            ends = IMPLIED.get(tag, frozenset())
             if tag not in ("td", "th", "tr", "li", "dt", "dd", "option"):
                 ends = ends | {"p"}
-            scope = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr",), "th": ("tr",), "dt": ("dl",), "dd": ("dl",)}.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                t = stack[i][0]
+            scope = SCOPE.get(tag, ())
+            for k in range(len(stack) - 1, -1, -1):
+                t = stack[k].name
                 if t in ends:
-                    del stack[i:]
+                    del stack[k:]
                     break
                 if t in BLOCKS and (t in scope or tag not in IMPLIED or tag == "p"):
                     break
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            names = tuple(x.lower() for a in _ATTR.finditer(m[3]) for x in _PART.findall(a[2] or a[3] or a[4] or ""))
-            stack.append((tag, names))
-    rest = page[at:]
-    cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)  # a tag that the page breaks off in
-    said(rest[: cut.start()] if cut else rest)
+        if tag not in VOID and not is_closed and len(stack) < MAX_DEPTH:
+            opened(tag, values)
     close()
     return out
 
@@ -134,7 +239,7 @@ def features(b: Block, first: bool, last: bool) -> list[str]:
     n = len(b.text)
     words = b.text.split()
     f = ["bias", f"tag={b.tag}", f"length={min(8, int(math.log2(n + 1)))}", f"links={round(4 * b.linked / n)}", f"stops={min(3, sum(b.text.count(c) for c in '.!?。'))}"]
-    f += [f"in={t}" for t in set(b.above)] + [f"name={t}" for t in set(b.names)]
+    f += [f"in={t}" for t in sorted(b.above)] + [f"name={t}" for t in sorted(b.names)]
     if len(words) < 4:
         f.append("short")
     if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I):
@@ -170,49 +275,63 @@ class Chain:
         return y[::-1]
 
 
-def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ridge: float = RIDGE) -> Chain:
-    """Maximise the ridge-penalised log-likelihood by gradient steps of adapted size (forward-backward sums)."""
-    names: dict[str, int] = {}
-    data = []
-    for bs, y in pages:
-        if bs:
-            ids = [[names.setdefault(f, len(names)) for f in features(b, i == 0, i == len(bs) - 1)] for i, b in enumerate(bs)]
-            data.append((np.concatenate(ids).astype(int), np.repeat(np.arange(len(bs)), [len(x) for x in ids]), np.array(y), len(bs)))
-    # all pages at once, padded to the longest
-    n = np.array([d[3] for d in data])
-    pages_, longest = len(data), int(n.max(initial=1))
-    ids = np.concatenate([d[0] for d in data])
-    row = np.concatenate([d[1] + k * longest for k, d in enumerate(data)])
-    y = np.zeros((pages_, longest))
-    for k, d in enumerate(data):
-        y[k, : n[k]] = d[2]
-    real = np.arange(longest)[None, :] < n[:, None]
-    pair = real[:, 1:]
-    seen = np.array([[(pair & (y[:, :-1] == i) & (y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
-    w, step = np.zeros(len(names)), np.zeros((2, 2))
-    m, v = np.zeros(len(names) + 4), np.zeros(len(names) + 4)
-    at = np.arange(pages_)
-    for it in range(1, steps + 1):
-        s = np.zeros((pages_, longest, 2))
-        s[:, :, 1] = np.bincount(row, w[ids], pages_ * longest).reshape(pages_, longest)
+class Likelihood:
+    """The log-likelihood of labelled runs of blocks under a chain, less a ridge, and its gradient."""
+
+    def __init__(self, pages: list[tuple[list[Block], list[int]]], ridge: float = RIDGE):
+        self.names: dict[str, int] = {}
+        self.ridge = ridge
+        ids, rows, labels = [], [], []
+        for bs, y in pages:
+            for i in range(0, len(bs), RUN):
+                for k in range(i, min(i + RUN, len(bs))):
+                    f = [self.names.setdefault(x, len(self.names)) for x in features(bs[k], k == 0, k == len(bs) - 1)]
+                    ids += f
+                    rows += [(len(labels), k - i)] * len(f)
+                labels.append(y[i : i + RUN])
+        # all runs at once, padded to the longest
+        self.width = max(map(len, labels))
+        self.ids, self.row = np.array(ids, dtype=int), np.array(rows, dtype=int) @ np.array([self.width, 1])
+        self.n = np.array([len(x) for x in labels], dtype=int)
+        self.y = np.zeros((len(labels), self.width))
+        for k, x in enumerate(labels):
+            self.y[k, : len(x)] = x
+        self.real = np.arange(self.width)[None, :] < self.n[:, None]
+        pair = self.real[:, 1:]
+        self.seen = np.array([[(pair & (self.y[:, :-1] == i) & (self.y[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
+
+    def __call__(self, w: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The value, and its gradients by weights and steps (forward and backward sums)."""
+        s = np.zeros((len(self.n), self.width, 2))
+        s[:, :, 1] = np.bincount(self.row, w[self.ids], s[:, :, 1].size).reshape(len(self.n), self.width)
         a, b = np.zeros_like(s), np.zeros_like(s)
         a[:, 0] = s[:, 0]
-        for i in range(1, longest):
+        for i in range(1, self.width):
             a[:, i] = np.logaddexp(a[:, i - 1, :1] + step[0], a[:, i - 1, 1:] + step[1]) + s[:, i]
-        for i in range(longest - 2, -1, -1):
+        for i in range(self.width - 2, -1, -1):
             x = s[:, i + 1] + b[:, i + 1]
-            b[:, i] = np.where(real[:, i + 1, None], np.logaddexp(x[:, :1] + step[:, 0], x[:, 1:] + step[:, 1]), 0.0)
-        end = a[at, n - 1]
+            b[:, i] = np.where(self.real[:, i + 1, None], np.logaddexp(x[:, :1] + step[:, 0], x[:, 1:] + step[:, 1]), 0.0)
+        end = a[np.arange(len(self.n)), self.n - 1]
         z = np.logaddexp(end[:, 0], end[:, 1])
-        p = np.where(real, np.exp(np.minimum(a[:, :, 1] + b[:, :, 1] - z[:, None], 0.0)), 0.0)
-        q = np.exp(np.minimum(a[:, :-1, :, None] + step + (s + b)[:, 1:, None, :] - z[:, None, None, None], 0.0)) * pair[:, :, None, None]
-        gw = np.bincount(ids, (y - p).ravel()[row], len(names)) - ridge * w
-        gs = seen - q.sum(axis=(0, 1)) - ridge * step
+        p = np.where(self.real, np.exp(np.minimum(a[:, :, 1] + b[:, :, 1] - z[:, None], 0.0)), 0.0)
+        q = np.exp(np.minimum(a[:, :-1, :, None] + step + (s + b)[:, 1:, None, :] - z[:, None, None, None], 0.0)) * self.real[:, 1:, None, None]
+        value = (s[:, :, 1] * self.y).sum() + (self.seen * step).sum() - z.sum() - self.ridge / 2 * ((w * w).sum() + (step * step).sum())
+        gw = np.bincount(self.ids, (self.y - p).ravel()[self.row], len(w)) - self.ridge * w
+        return float(value), gw, self.seen - q.sum(axis=(0, 1)) - self.ridge * step
+
+
+def train(pages: list[tuple[list[Block], list[int]]], steps: int = STEPS, ridge: float = RIDGE) -> Chain:
+    """Maximise the ridge-penalised log-likelihood by gradient steps of adapted size."""
+    f = Likelihood(pages, ridge)
+    w, step = np.zeros(len(f.names)), np.zeros((2, 2))
+    m, v = np.zeros(len(f.names) + 4), np.zeros(len(f.names) + 4)
+    for it in range(1, steps + 1):
+        _, gw, gs = f(w, step)
         g = np.concatenate([gw, gs.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         d = 0.15 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
         w, step = w + d[:-4], step + d[-4:].reshape(2, 2)
-    return Chain({k: float(w[i]) for k, i in names.items()}, step)
+    return Chain({k: float(w[i]) for k, i in f.names.items()}, step)
 
 
 #: Names of containers in common layouts (fixed values): of main text, and of what surrounds it.
@@ -226,10 +345,7 @@ AROUND = (
 
 def _marked(bs: list[Block]) -> list[int] | None:
     """Labels of a page that marks its article: inside it, and not in what surrounds."""
-    if not any("article" in b.above for b in bs):
-        return None
-    out = {"nav", "aside", "footer", "form", "header", "menu", "dialog", "fieldset"}
-    return [int("article" in b.above and not out & set(b.above[len(b.above) - b.above[::-1].index("article") :])) for b in bs]
+    return [int(b.main) for b in bs] if any("article" in b.above for b in bs) else None
 
 
 def layouts(bs: list[Block], y: list[int], seed: int) -> Iterator[tuple[list[Block], list[int]]]:
@@ -263,7 +379,7 @@ def _labelled(page: str | None) -> tuple[list[Block], list[int]] | None:
     """Blocks and labels of a page that the chain can be trained on."""
     bs = blocks(page)
     y = _marked(bs)
-    return (bs, y) if y and any(y) and len(bs) <= FIT_BLOCKS else None
+    return (bs, y) if y and any(y) else None
 
 
 def _labelled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,9 +415,10 @@ def fit(pages: DataFrame, limit: int = FIT_PAGES) -> Chain:
     for page_id, page in labelled_pages(pages, limit):
         bs, y = _labelled(page)
         data += [(bs, y), *layouts(bs, y, page_id % (1 << 32))]
-    if not data:  # no page of the table is marked: learn from layouts of placeholder text alone
+    if not data:  # no page of the table is marked
+        warnings.warn("no page marks an article: the chain is trained on common layouts of placeholder text alone", stacklevel=2)
         for k in range(8):
-            bs = [Block(t, "p", ("p",), (), 0) for t in ("A heading", "Some words make a sentence, and it ends here.", "Another one follows.")]
+            bs = [Block(t, "p", frozenset(("p",)), frozenset(), 0) for t in ("A heading", "Some words make a sentence, and it ends here.", "Another one follows.")]
             data += list(layouts(bs, [1, 1, 1], k))
     return train(data)
 

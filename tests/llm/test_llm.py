@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -314,8 +315,8 @@ def test_html_raw_elements_and_quotes():
 
 
 def test_html_training_pages_are_chosen_among_all_marked(spark):
-    page = lambda k: f"<nav>Home</nav><article><p>Text {k}.</p></article>"
-    other = ["<p>plain</p>", "<script>'<article>'</script><p>no</p>", "<article></article>", None, "<article>" + "<p>x</p>" * 300 + "</article>"]
+    other = ["<p>plain</p>", "<script>'<article>'</script><p>no</p>", "<article></article>", None, "<p>no</p>" * 300]
+    page = lambda k: f"<nav>Home</nav><article><p>Text {k}.</p>{'<p>more</p>' * (k % 500)}</article>"
     rows = [(k, page(k) if k % 250 == 0 else other[k % 5]) for k in range(5000)] + [(None, page(0)), (0, page(0)), (250, "<p>plain</p>")]
     pages = spark.createDataFrame(rows, "page_id long, html string")
     assert html_extract.labelled_pages(pages, 30) == [(k, page(k)) for k in range(0, 5000, 250)]
@@ -324,6 +325,59 @@ def test_html_training_pages_are_chosen_among_all_marked(spark):
     assert any(w.startswith("in=article") for w in html_extract.fit(pages, 5).weights)
 
 
+def test_html_time_goes_by_length():
+    for part in ("<script ", "<p x=", '<a "', '<a href="', "</script ", "<select></select", "<div>x", "<b>x", "<p a='>", "< ", "&amp", "<!--", "<td><tr>", "<p title='it's'>x"):
+        start = time.process_time()
+        html_extract.blocks(part * (1_000_000 // len(part)))
+        assert time.process_time() - start < 4, part  # 0.2 to 1.2 seconds where nothing else runs
+    deep = html_extract.blocks("".join(f"<div class=k{k}>x" for k in range(30_000)))
+    assert len(deep) == 30_000 and max(len(b.names) for b in deep) < 1200
+
+
+def test_chain_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    data = []
+    for k in range(4):
+        bs = html_extract.blocks("".join(f"<{t}>{'word ' * int(rng.integers(1, 9))}</{t}>" for t in rng.choice(["p", "div", "li", "h2"], size=210 if k == 3 else 5)))
+        data.append((bs, [int(x) for x in rng.integers(0, 2, len(bs))]))
+    f = html_extract.Likelihood(data, ridge=0.1)
+    w, step = rng.normal(size=len(f.names)), rng.normal(size=(2, 2))
+    _, gw, gs = f(w, step)
+    for k in range(len(w)):
+        d = np.zeros(len(w))
+        d[k] = 1e-5
+        assert (f(w + d, step)[0] - f(w - d, step)[0]) / 2e-5 == pytest.approx(gw[k], rel=1e-4, abs=1e-4)
+    for i in range(4):
+        d = np.zeros(4)
+        d[i] = 1e-5
+        d = d.reshape(2, 2)
+        assert (f(w, step + d)[0] - f(w, step - d)[0]) / 2e-5 == pytest.approx(gs.ravel()[i], rel=1e-4, abs=1e-4)
+    # the likelihood of a short page is a distribution over its labellings
+    short = html_extract.blocks("<p>a b c d<div>x</div><p>one")
+    all_ = [html_extract.Likelihood([(short, [k >> i & 1 for i in range(3)])], ridge=0.0) for k in range(8)]
+    assert sum(np.exp(g(np.ones(len(g.names)), np.array([[0.3, -1.0], [0.2, 0.4]]))[0]) for g in all_) == pytest.approx(1)
+
+
+def test_op9_over_a_table(spark, tmp_path):
+    page = lambda k, open_="<article>", end="</article>": f"<nav><a href=/>Home</a> <a href=/n>News</a></nav><div class=ad>Buy {k} now</div>{open_}<h1>Head {k}</h1><p>Some text of page {k},\n with a sentence.</p><p>More text, {k}.</p>{end}<footer>&copy; {k}</footer>"
+    rows = [(k, f"u{k}", page(k), "clash", "clash") for k in range(60)]
+    rows += [(60, None, None, None, None), (61, "e", "", "", ""), (None, "n", page(7), "x", "x"), rows[3], (62, "u", page(62, "<div>", "</div>"), "", ""), (63, "l", "<article>" + "<p>é word</p>" * 100_000 + "</article>", "", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = html_extract.op9_html_extract(spark, str(tmp_path))
+    assert df.columns == ["page_id", "url", "text", "n_chars"]
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r.page_id].append((r.url, r.text))
+        assert r.n_chars == len(r.text)
+    want = lambda k: f"Head {k}\n\nSome text of page {k}, with a sentence.\n\nMore text, {k}."
+    assert len(df.collect()) == len(rows) and got[3] == [("u3", want(3))] * 2 and got[None] == [("n", want(7))]
+    assert got[60] == [(None, "")] and got[61] == [("e", "")] and all(got[k][0][1] == want(k) for k in range(60))
+    assert got[62][0][1] == want(62)  # a page without the mark
+    assert got[63][0][1] == "\n\n".join(["é word"] * 100_000)
+    with pytest.warns(UserWarning):
+        assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_viterbi_against_all_labelings():
     chain = html_extract.Chain({"bias": 0.3, "short": -1.0, "tag=p": 0.8, "first": -0.5}, np.array([[0.2, -0.4], [-0.3, 0.5]]))
     bs = html_extract.blocks("<p>a b c d e<div>x</div><p>one<p>two three four five</p><div>y z</div>")
