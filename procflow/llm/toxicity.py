@@ -230,8 +230,9 @@ class Model:
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         vocabulary, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         ratio, name = np.zeros(len(vocabulary)), np.zeros(len(vocabulary), dtype=np.uint64)
-        for i in range(0, len(vocabulary), step // 16):
-            part = vocabulary[i : i + step // 16]
+        few = max(step // 16, 1)
+        for i in range(0, len(vocabulary), few):
+            part = vocabulary[i : i + few]
             ratio[i : i + len(part)], name[i : i + len(part)] = self.spell(part), word_hash(part)
         del vocabulary
         back, opens = self.pair_backs.find(name)

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -210,6 +212,105 @@ def test_toxicity_learns_stems_and_expressions(spark):
     assert toxicity.scores(docs.limit(0), lab.limit(0)).count() == 0
 
 
+class SlowModel:
+    """A class of op3 by plain loops over its texts; ``every`` are the words of all documents."""
+
+    def __init__(self, texts, every):
+        self.shared = defaultdict(int)
+        for w in set(every):
+            for g in toxicity.spelling(w):
+                self.shared[g[:-1], g[-1]] += 1
+        pairs = {(o, p, w) for t in texts for o, p, w in zip(["", "", *t], ["", *t], t)}
+        self.pairs, self.letters = defaultdict(int), defaultdict(int)
+        for _, p, w in pairs:
+            self.pairs[p, w] += 1
+        for p, w in self.pairs:
+            for g in toxicity.spelling(w):
+                self.letters[g[:-1], g[-1]] += 1
+
+    @staticmethod
+    def interpolate(counts, ctx, x, discount, below):
+        own = {k: n for k, n in counts.items() if k[0] == ctx}
+        n = sum(own.values())
+        if not n:
+            return below
+        kept = {k: max(v - discount, 0) for k, v in own.items()}
+        return kept.get((ctx, x), 0) / n + (1 - sum(kept.values()) / n) * below
+
+    def alone(self, x):
+        return sum(1 for c, y in self.shared if y == x) / len(self.shared)
+
+    def letter(self, ctx, x):
+        return self.interpolate(self.letters, ctx, x, toxicity.DISCOUNT, self.interpolate(self.shared, ctx, x, toxicity.SHARED_DISCOUNT, self.alone(x)))
+
+    def word(self, w):
+        return np.prod([self.letter(g[:-1], g[-1]) for g in toxicity.spelling(w)])
+
+    def after(self, p, w):
+        return self.interpolate(self.pairs, p, w, toxicity.DISCOUNT, self.word(w))
+
+
+def test_toxicity_models_against_brute_force(spark):
+    rng = random.Random(3)
+    vocab = ["an", "ant", "anthill", "be", "bee", "beetle", "antidisestablishmentarian", "été"]
+    texts = [(k % 2 == 0, k % 3 % 2, rng.choices(vocab, weights=[8, 1, 3, 9, 2, 2, 2, 1] if k % 2 else [1, 9, 2, 2, 9, 3, 2, 1], k=12)) for k in range(16)]
+    sample = spark.createDataFrame(texts, "toxic boolean, fold int, w array<string>")
+    every = [w for _, _, t in texts for w in t] + ["bet", "antler", "zoo"]
+    docs = spark.createDataFrame([(" ".join(t).upper(),) for _, _, t in texts] + [("bet, ANTLER zoo",), (None,)], "text string")
+    found = toxicity.models(sample, docs)
+    for variant, own in (("all", texts), ("fold0", [t for t in texts if t[1] == 0])):
+        slow = {c: SlowModel([t for toxic, _, t in own if toxic == c], every) for c in (True, False)}
+        alphabet = {x for _, x in slow[True].shared}
+        for m in slow.values():  # probabilities of letters and, over all words that can be spelt, of words
+            for ctx in ("^", "^an", "^be", "isestabl", "^antidis"):
+                assert sum(m.letter(ctx, x) for x in alphabet) == pytest.approx(1)
+            for p in ("", "an", "bee"):
+                left = 1 - sum(n - toxicity.DISCOUNT for (q, _), n in m.pairs.items() if q == p and n > toxicity.DISCOUNT) / max(sum(n for (q, _), n in m.pairs.items() if q == p), 1)
+                assert sum(m.after(p, w) - left * m.word(w) for w in vocab) == pytest.approx(1 - left)
+        ratio = {(p, w): np.log(slow[True].after(p, w) / slow[False].after(p, w)) for p in ["", *vocab, "antler"] for w in [*vocab, "antler"]}
+        model = found[variant]
+        assert model.spell([*vocab, "antler"]) == pytest.approx([np.log(slow[True].word(w) / slow[False].word(w)) for w in [*vocab, "antler"]])
+        lists = [["an", "ant"], [], None, rng.choices(vocab, k=40), ["antler", "bee", "bee", "ant", "be"]]
+        for step in (1 << 18, 5):
+            got = model.evidence(pa.array(lists, pa.list_(pa.string())), step)
+            want = [np.mean([max(ratio[p, w] - toxicity.THRESHOLD, 0) for p, w in zip(["", *t], t)]) if t else 0 for t in lists]
+            assert got == pytest.approx(want)
+
+
+def test_toxicity_words(spark):
+    df = spark.createDataFrame([("It's ÉTÉ_2 naïve 東京 12",), (None,), ("",), ("a" * 1_000_000,)], "text string")
+    got = [r.w for r in df.select(toxicity.words(F.col("text")).alias("w")).collect()]
+    assert got[:3] == [["it", "s", "été", "naïve", "東", "京"], [], []] and got[3] == ["a" * 1_000_000]
+
+
+def test_op3_over_a_table(spark, tmp_path):
+    rng = random.Random(8)
+    vocab = [a + b + c for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "lo", "mi", "stu")]
+    rows, labels = [], []
+    for k in range(1500):
+        w = rng.choices(vocab, k=80)
+        if k % 5 == 0:
+            for _ in range(3):
+                at = rng.randrange(79)
+                w[at : at + 2] = rng.choice([["scumbag", "x"], ["muppety", "clownish"]])
+        rows.append((k, " ".join(w), "en", "s", 1.5, "clash"))
+        labels.append((k, 1, int(k % 5 == 0)))
+    rows += [(1500, None, None, None, None, None), (1501, "", "", "", 0.0, ""), (None, rows[0][1], None, None, None, None), rows[5], rows[5], (1502, "word " * 300_000, "", "", 0.0, "")]
+    labels += [(None, 1, 1), (1500, None, None), (0, 1, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double, w string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = toxicity.op3_toxicity(spark, str(tmp_path))
+    got = df.collect()
+    assert df.columns == ["doc_id", "held_out", "score", "predicted"] and len(got) == len(rows)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, toxicity.op3_toxicity(spark, str(tmp_path)).collect()), key=str)
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1
+    held = [r for r in got if r.held_out and r.doc_id < 1500]
+    assert np.mean([bool(r.predicted) == (r.doc_id % 5 == 0) for r in held]) > 0.97
+    by_id = {r.doc_id: r.score for r in got}
+    assert by_id[1500] == by_id[1501] < 0.5 and by_id[None] == by_id[0] and by_id[1502] < 0.5
+
+
 def test_licenses_with_and_without_the_first_word_test(spark):
     mit = license_scan.TEXTS["MIT"]
     texts = ["(C) 2020 Foo\n\nLicenced under the Apache Licence, version 2.0!\n", "Copyright (c) 2001 me\n\n" + mit, "words\nReleased under the MIT License.\nmore", mit[:-1] + " and more", None, "", "!!!", "the mit", license_scan.TEXTS["ISC"].replace("\n\n", "\n").lower()]
