@@ -27,9 +27,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own if all
+    of Spark runs on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -42,7 +45,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/procflow/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what ``cut`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def smallest_hashes(df: DataFrame, key: str, limit: int) -> DataFrame:
@@ -68,17 +80,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     for _ in range(rounds):
-        with_a = both.join(labels.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a")
+        with_a = both.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         near = with_a.groupBy("b").agg(F.min("ra").alias("low"))
         hooked = labels.join(near.withColumnRenamed("b", "node"), "node").select("node", "root", F.least("root", "low").alias("low"))
         # both the node and its old root learn the smaller label
         offers = hooked.select("node", "low").union(hooked.where("low < root").select(F.col("root").alias("node"), "low"))
         first = offers.groupBy("node").agg(F.min("low").alias("up"))
         jumped = first.join(first.select(F.col("node").alias("up"), F.col("up").alias("root")), "up").select("node", "root")
-        was = labels.withColumnRenamed("root", "was")
-        labels = cut(jumped.join(was, "node"), "labels")
-        moved = labels.where("root <> was").limit(1).count()
-        labels = labels.select("node", "root")
-        if not moved:
-            return labels
+        was = labels
+        labels = cut(jumped.join(was.select("node", F.col("root").alias("was")), "node"), "labels")
+        discard(was)
+        if not labels.where("root <> was").limit(1).count():
+            discard(both)
+            return labels.select("node", "root")
     raise RuntimeError(f"components: labels still move after {rounds} rounds")
