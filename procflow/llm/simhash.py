@@ -12,12 +12,17 @@ each (key: both codewords, one side nearest only, the other all within 4 bits),
 with exactly two differences (key: the equal segment and a codeword within 4 bits). A join on these keys
 therefore meets every pair of fingerprints at 4 bits or fewer; the exact distance is checked in the join.
 Only distinct fingerprints enter it, so groups of copies of any size cost one row.
+
+The two codewords are 24 bits, which is little for very many fingerprints: strangers meet in proportion to the square
+of their number. From FINE_FROM fingerprints on that case is taken apart. Either one of the two segments is equal
+(key: its bits and the other's codeword, 33 bits or more), or both differ in one bit and the third in at most two, so
+that one of its three parts is equal, too (key: both codewords and that part, 31 bits). The links are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,11 @@ SHINGLE = 4
 MAX_BITS = 4
 #: Generator polynomial of the [23, 12, 7] Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1 (a fixed value).
 GOLAY_POLY = 0b110001110101
-#: First bit and width of the three segments.
+#: First bit and width of the three segments, and the width of a part of one (the first part of the first has a bit more).
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+PART = 7
+#: Number of fingerprints from which keys are longer; the links are the same.
+FINE_FROM = 1 << 25
 
 
 def fingerprint(text: str | None) -> int:
@@ -56,7 +64,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), dtype="<u8", count=b.num_rows).view("<i8")
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, type=pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, type=pa.int64()), b.column(2)], names=["doc_id", "fp", "digest"])
 
 
 @lru_cache(maxsize=1)
@@ -101,52 +109,72 @@ def golay_keys(v: np.ndarray) -> np.ndarray:
     return np.where(err >= 0, (v[:, None] ^ err) >> 11, -1)  # the code is systematic in its upper 12 bits
 
 
-def _keys(side: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(u: np.ndarray) -> list[np.ndarray]:
+    return [((u >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+
+
+def _key(case: int, *parts: tuple[np.ndarray, int]) -> np.ndarray:
+    """Keys (n, ...) of a case from columns (n, k) of values and their bits, in all combinations; -1 if one is."""
+    key, ok = np.full((len(parts[0][0]), 1), case, dtype=np.int64), True
+    for value, bits in parts:
+        ok = (ok & np.ones_like(key, dtype=bool))[:, :, None] & (value >= 0)[:, None, :]
+        key = (key[:, :, None] << bits) | np.maximum(value, 0)[:, None, :]
+        key, ok = key.reshape(len(key), -1), ok.reshape(len(key), -1)
+    return np.where(ok, key, -1)
+
+
+#: The pairs of segments of which each differs in at most one bit, by case.
+_PAIRS = ((0, 1), (0, 2), (1, 2))
+
+
+def _keys(side: str, fine: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False)
         u = fp.view("<u8")
-        for i in range(0, len(u), 20_000):
-            seg = [((u[i : i + 20_000] >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-            code = [golay_keys(s) for s in seg]
-            own, keys, n = np.arange(i, i + len(seg[0])), [], len(seg[0])
-            for k, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):  # at most one difference in each of two segments
-                cx, cy = (code[x][:, :1], code[y][:, :1]) if side == "near" else (code[x], code[y])
-                both = (cx[:, :, None] << 12) | cy[:, None, :]
-                ok = (cx[:, :, None] >= 0) & (cy[:, None, :] >= 0)
-                keys.append(np.where(ok, both | (k << 40), -1).reshape(n, -1))
-            for k in range(3):  # one equal segment, two differences in the next
-                c = code[(k + 1) % 3]
-                keys.append(np.where(c >= 0, (seg[k][:, None] << 12) | c | ((3 + k) << 40), -1))
+        step = 5_000
+        for i in range(0, len(u), step):
+            seg = _segments(u[i : i + step])
+            wide = [golay_keys(s) for s in seg]
+            code = [c[:, :1] if side == "near" else c for c in wide]
+            own = np.arange(i, i + len(seg[0]))
+            keys = [_key(3 + k, (seg[k][:, None], 22), (wide[(k + 1) % 3], 12)) for k in range(3)]  # one equal, two differences in the next
+            for k, (x, y) in enumerate(_PAIRS):  # at most one difference in each of two segments
+                if not fine:
+                    keys.append(_key(k, (code[x], 12), (code[y], 12)))
+                    continue
+                for j, (same, other) in enumerate(((x, y), (y, x))):
+                    keys.append(_key(6 + 2 * k + j, (seg[same][:, None], 22), (code[other], 12)))
+                third = seg[3 - x - y]
+                for j in range(3):
+                    part = third >> (2 * PART) if j == 2 else (third >> (j * PART)) & ((1 << PART) - 1)
+                    keys.append(_key(64 + 3 * k + j, (part[:, None], 8), (code[x], 12), (code[y], 12)))
             flat = np.concatenate(keys, axis=1)
             row, col = np.nonzero(flat >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(flat[row, col]), pa.array(fp[own[row]])], names=["key", "fp"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _keys("near", batches)
-
-
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _keys("wide", batches)
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for every row; fp is the fingerprint as a signed long. Null and empty texts give 0."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """``(doc_id, fp, digest)`` for every row; fp is the fingerprint as a signed long, digest tells texts of an id
+    apart. Null and empty texts give 0."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(_fingerprints, "doc_id long, fp long, digest long")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of the distinct values of ``fp`` that differ in at most ``max_bits`` (<= 4) bits."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys meet pairs up to {MAX_BITS} bits apart")
-    near = fps.select("fp").mapInArrow(_near, "key long, fp long").withColumnRenamed("fp", "x")
-    wide = fps.select("fp").mapInArrow(_wide, "key long, fp long").withColumnRenamed("fp", "y")
-    # Each pair counts under one case only, that which pigeonhole gives first, so that it leaves the join once
-    # for each shared key of that case: once, as the nearer side of a pair is its smaller member.
+    if fine is None:
+        fine = fps.count() >= FINE_FROM
+    near = fps.select("fp").mapInArrow(partial(_keys, "near", fine), "key long, fp long").withColumnRenamed("fp", "x")
+    wide = fps.select("fp").mapInArrow(partial(_keys, "wide", fine), "key long, fp long").withColumnRenamed("fp", "y")
     diff = F.col("x").bitwiseXOR(F.col("y"))
-    e = [F.bit_count(F.shiftrightunsigned(diff, at).bitwiseAND(F.lit((1 << n) - 1))) for at, n in SEGMENTS]
-    case = F.when((e[0] <= 1) & (e[1] <= 1), 0).when((e[0] <= 1) & (e[2] <= 1), 1).when((e[1] <= 1) & (e[2] <= 1), 2).when(e[0] == 0, 3).when(e[1] == 0, 4).otherwise(5)
-    met = near.join(wide, "key").where((F.col("x") < F.col("y")) & (F.bit_count(diff) <= max_bits) & (F.shiftright("key", 40) == case))
+    met = near.join(wide, "key").where((F.col("x") < F.col("y")) & (F.bit_count(diff) <= max_bits))
+    if not fine:
+        # Each pair counts under one case only, that which pigeonhole gives first, so that it leaves the join once
+        # for each shared key of that case: once, as the nearer side of a pair is its smaller member.
+        e = [F.bit_count(F.shiftrightunsigned(diff, at).bitwiseAND(F.lit((1 << n) - 1))) for at, n in SEGMENTS]
+        case = F.when((e[0] <= 1) & (e[1] <= 1), 0).when((e[0] <= 1) & (e[2] <= 1), 1).when((e[1] <= 1) & (e[2] <= 1), 2).when(e[0] == 0, 3).when(e[1] == 0, 4).otherwise(5)
+        met = met.where(F.when(case < 3, F.shiftright("key", 24)).otherwise(F.shiftright("key", 34)) == case)
     return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
@@ -154,6 +182,17 @@ def fp_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
+    """``doc_id, fp, digest, component_id, root`` for every row; root is a fingerprint of the component."""
+    each = cut(fingerprints(docs), "fingerprints")
+    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    linked = components(cut(links(distinct, max_bits), "links"))
+    with_root = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
+    by_fp = with_root.join(named, "root").select("fp", "component_id", "root")
+    return each.join(by_fp, "fp").select("doc_id", "fp", "digest", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs (doc_id, text, ...)``.
 
@@ -161,23 +200,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     fingerprint 0 and link like any other. Rows may repeat; null doc_ids never become a component's id unless
     all of it is null. Other columns are not read. An empty table gives an empty result.
     """
-    each = cut(fingerprints(docs), "fingerprints")
-    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    linked = components(cut(links(distinct, max_bits), "links"))
-    with_root = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_fp = with_root.join(named, "root").select("fp", "component_id")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, max_bits).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id. An id names one document."""
-    found = near_duplicates(docs, max_bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    left = docs.join(kept.select(F.col("doc_id").alias("__kept")), docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    # repeated rows of one id; rows without an id are told apart by their text
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return left.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id (null last), and of the smallest
+    digest of its text where several texts share that id. Equal rows of id and text are one; which of their other
+    columns stays is open."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    kept = _grouped(docs, max_bits).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
+    own = docs.withColumn("__text", F.xxhash64("text"))
+    left = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__text"] == kept["__digest"]), "left_semi")
+    return left.dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
