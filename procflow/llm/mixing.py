@@ -26,9 +26,10 @@ BROADCAST_SOURCES = 100_000
 SALT = 64
 
 
-def row_hash(doc_id: Column) -> Column:
-    """36 bits of the MD5 digest of the id: the same on every run and in every engine."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")), 1, HASH_HEX), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """36 bits of the MD5 digest of the id and the text: the same on every run and in every engine."""
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(name.cast("binary")), 1, HASH_HEX), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -101,7 +102,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, DataFrame, bool]:
     """Slim rows ``doc_id, source, h, size``; the plan ``source, source_size, target, whole, cut`` of each source;
     and whether the plan is small enough to be broadcast."""
-    rows = cut(docs.select("doc_id", "source", row_hash(docs["doc_id"]).alias("h"), n_words(docs["text"]).alias("size")), "sizes")
+    rows = cut(docs.select("doc_id", "source", row_hash(docs["doc_id"], docs["text"]).alias("h"), n_words(docs["text"]).alias("size")), "sizes")
     per_source = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     per_source = cut(per_source.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     """``doc_id, source, h, size, source_size, target, epochs, taken`` for every row of ``docs``.
 
     size: words of the text (null: 0). epochs: how often the mix takes the row, from 0 to ``max_epochs``;
-    taken = size * epochs. Rows are told apart by doc_id alone, so repeated ids are taken together; reruns
+    taken = size * epochs. Rows are told apart by doc_id and text, so equal rows are taken together; reruns
     agree. Null sources form one source. A total of no words gives targets of 0. Needs doc_id, text, source.
     """
     rows, sources, few = plan(docs, weights, max_epochs)
@@ -130,7 +131,7 @@ def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     """The mixture itself: rows of ``docs``, each as often as the mix takes it. Columns stay as they are."""
     _, sources, few = plan(docs, weights, max_epochs)
     own = F.struct(*[F.col(c) for c in docs.columns]).alias("__row")
-    packed = docs.select(own, F.col("source"), row_hash(F.col("doc_id")).alias("h"))
+    packed = docs.select(own, F.col("source"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
     taken = _by_source(packed, sources, few).withColumn("__n", _epochs().cast("int")).where("__n > 0")
     return taken.select(F.explode(F.array_repeat("__row", F.col("__n"))).alias("r")).select("r.*")
 
@@ -143,7 +144,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || chr(10) || coalesce(text, '')), 1, 9))::BIGINT AS h
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
