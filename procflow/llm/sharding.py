@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import IntegerType
 
+from procflow.llm.common import cut
+
 BITS = 5
 SIDE = 1 << BITS
 #: Bins of each curve cell. A cell with a third of 10^10 rows has bins of under a million rows.
@@ -93,7 +95,7 @@ def shard_by_hilbert(docs: DataFrame, n_shards: int = N_SHARDS, columns: list[st
     an order fixed by their doc_id and text digest. ``docs`` has doc_id and text; lang and source may be absent.
     """
     narrow = with_curve(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])).select("__cell", "__bin")
-    bins = narrow.groupBy("__cell", "__bin").agg(F.count("*").alias("__n"))
+    bins = cut(narrow.groupBy("__cell", "__bin").agg(F.count("*").alias("__n")), "bins")  # read twice
     cells = bins.groupBy("__cell").agg(F.sum("__n").alias("__n"))
     # one task over at most SIDE^3 rows, then one over at most SUB rows for each cell
     upto = W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
