@@ -2,7 +2,7 @@
 
 Statistics of each whole text (counts, shares, repetition) place it in a small numeric space. A forest of random
 splits is grown on a sample of labelled good rows; anomalous documents end on short paths. The threshold on the
-anomaly score is calibrated on all labelled rows of both kinds, by a histogram of scores for each.
+anomaly score is calibrated on labelled rows of both kinds that the forest did not see, by a histogram of scores each.
 """
 
 from __future__ import annotations
@@ -145,13 +145,14 @@ def calibrate(good: np.ndarray, bad: np.ndarray, max_loss: float = MAX_LOSS) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[IsolationForest | None, float]:
-    """Forest from at most ``rows`` labelled good rows (those of the smallest hash of doc_id), and the threshold from
-    every labelled row that passes the base rules.
+    """Forest from at most ``rows`` labelled good rows (those of the smallest hash of doc_id in one half), and the
+    threshold from every other labelled row that passes the base rules: the good ones of the other half, and all bad.
 
     Without labelled good rows there is no forest, and only the base rules decide.
     """
     labelled = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
-    chosen = smallest_hashes(labelled.where("quality = 1"), "doc_id", rows)
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0  # good rows of one half make the forest, those of the other the threshold
+    chosen = smallest_hashes(labelled.where("quality = 1").where(half), "doc_id", rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Isola
 
     # texts become bins before the join, so that of every labelled row only an id and a number are shuffled
     scored = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(bins, "doc_id long, bin int")
-    counts = scored.join(labelled, "doc_id").groupBy((F.col("quality") == 1).alias("good"), "bin").agg(F.count("*").alias("n")).toPandas()
+    counts = scored.join(labelled.where((F.col("quality") != 1) | ~half), "doc_id").groupBy((F.col("quality") == 1).alias("good"), "bin").agg(F.count("*").alias("n")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)
     for g, k, n in counts.itertuples(index=False):
         (good if g else bad)[k] = n
