@@ -91,9 +91,30 @@ def test_links_against_all_pairs(spark):
     base = [rng.getrandbits(64) for _ in range(30)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(12)}
     signed = {x: x - (1 << 64) if x >> 63 else x for x in fps}
-    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long")).collect()}
     want = {tuple(sorted((signed[x], signed[y]))) for x in fps for y in fps if x < y and (x ^ y).bit_count() <= 4}
-    assert got == want
+    for fine in (False, True, None):
+        assert {(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed.values()], "fp long"), fine=fine).collect()} == want
+
+
+def test_long_keys_meet_every_near_pair():
+    """For every way in which 1 to 4 bits fall on the three segments; no Spark, as the keys are plain arrays."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    b = a.copy()
+    for k in range(len(b)):
+        for bit in rng.choice(64, rng.integers(1, 5), replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    for fine in (False, True):
+        near, wide = defaultdict(set), defaultdict(set)
+        for side, values, out in (("near", a, near), ("wide", b, wide)):
+            for batch in simhash._keys(side, fine, iter([pa.RecordBatch.from_arrays([pa.array(values.view("<i8"))], names=["fp"])])):
+                for key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    out[fp].add(key)
+        met = [bool(near[x] & wide[y]) for x, y in zip(a.view("<i8").tolist(), b.view("<i8").tolist())]
+        assert all(met)
+        # strangers meet less often by the longer keys
+        strangers = sum(len(near[x] & wide[y]) for x, y in zip(a.view("<i8").tolist()[:-1], b.view("<i8").tolist()[1:]))
+        assert strangers <= (0 if fine else 2)
 
 
 def test_components_of_long_chains(spark):
