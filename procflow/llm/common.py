@@ -39,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows of an Arrow batch, at most. Texts may be long, and a worker, like the executor beside it, holds whole batches.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows if they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write a (narrow) table to the shared folder and read it back: later plans start from files that
     survive a lost executor, and nothing above is computed twice."""

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import components, cut, words_of
+from procflow.llm.common import components, cut, modest_batches, words_of
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -184,6 +184,7 @@ def fp_hex(fp: Column) -> Column:
 
 def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
     """``doc_id, fp, digest, component_id, root`` for every row; root is a fingerprint of the component."""
+    modest_batches(docs.sparkSession)
     each = cut(fingerprints(docs), "fingerprints")
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     linked = components(cut(links(distinct, max_bits), "links"))

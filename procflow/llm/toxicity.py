@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from procflow.llm.common import cut, smallest_hashes
+from procflow.llm.common import cut, modest_batches, smallest_hashes
 
 #: Labelled rows of each class that the models are counted on, at most; chosen by hash of doc_id.
 FIT_ROWS = 4000
@@ -89,23 +90,25 @@ def shared_spellings(docs: DataFrame) -> DataFrame:
     return spelled(distinct).groupBy("g").agg(F.count("*").alias("n")).selectExpr("g", f"{_CTX} as ctx", f"{_LETTER} as x", "n")
 
 
-def shared_probabilities(shared: DataFrame) -> DataFrame:
-    """``g, ps``: the probability that all documents give the last letter of ``g`` after the others."""
+def shared_probabilities(shared: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` plus ``ps``, the probability that all documents give the last letter of ``g`` after the others."""
     by_ctx = shared.groupBy("ctx").agg(F.sum("n").alias("m"), F.count("*").alias("kinds"))
     by_letter = shared.groupBy("x").agg(F.count("*").alias("q"))
     total = by_letter.agg(F.sum("q").alias("total"))  # one row
     alone = by_letter.join(F.broadcast(total)).select("x", (F.col("q") / F.col("total")).alias("q"))
     d = SHARED_DISCOUNT
-    return shared.join(by_ctx, "ctx").join(alone, "x").select("g", ((F.col("n") - d) / F.col("m") + d * F.col("kinds") / F.col("m") * F.col("q")).alias("ps"))
+    ps = ((F.col("n") - d) / F.col("m") + d * F.col("kinds") / F.col("m") * F.col("q")).alias("ps")
+    # there are no more letters than Unicode has, so they are broadcast
+    return wanted.join(shared.select("g", "x", "n"), "g").join(F.broadcast(alone), "x").join(by_ctx, "ctx").select(wanted["*"], ps)
 
 
 def pair_counts(sample: DataFrame) -> DataFrame:
-    """``toxic, p, w`` and a count for each of VARIANTS: the different words that stand before the pair (p, w)."""
+    """``toxic, p, w`` (as hashes) and a count for each of VARIANTS: the different words that stand before the pair."""
     w, start = F.col("w"), F.array(F.lit(""))
     z = F.explode(F.arrays_zip(F.concat(start, start, w).alias("o"), F.concat(start, w).alias("p"), w.alias("w"))).alias("z")
-    rows = sample.select("toxic", "fold", z).where("z.w is not null").select("toxic", "fold", "z.o", "z.p", "z.w")
+    rows = sample.select("toxic", "fold", z).where("z.w is not null").selectExpr("toxic", "fold", *(f"xxhash64(z.{c}) as {c}" for c in "opw"))
     seen = rows.groupBy("toxic", "o", "p", "w").agg(*(F.max((F.col("fold") == k).cast("int")).alias(f"fold{k}") for k in (0, 1)))
-    return seen.groupBy("toxic", "p", "w").agg(F.count("*").alias("all"), *(F.sum(f"fold{k}").alias(f"fold{k}") for k in (0, 1)))
+    return seen.groupBy("toxic", "p", "w").agg(F.count("*").cast("int").alias("all"), *(F.sum(f"fold{k}").cast("int").alias(f"fold{k}") for k in (0, 1)))
 
 
 def _by_class(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -161,17 +164,8 @@ def gram_hash(strings: list[str]) -> np.ndarray:
 
 
 def word_hash(strings: list[str]) -> np.ndarray:
-    """Hashes of whole words of any length; 0 for the empty one."""
-    c, n = _codes(strings)
-    if not len(c):
-        return np.zeros(len(n), dtype=np.uint64)
-    power = np.ones(int(n.max()), dtype=np.uint64)
-    power[1:] = np.cumprod(np.full(len(power) - 1, _BASE, dtype=np.uint64))
-    start = np.cumsum(n) - n
-    out = np.zeros(len(n), dtype=np.uint64)
-    some = n > 0
-    out[some] = np.add.reduceat(c * power[np.arange(len(c)) - np.repeat(start, n)], start[some])
-    return out
+    """Hashes of whole words of any length, as Spark's xxhash64 gives them."""
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 42) for w in strings), dtype=np.uint64, count=len(strings))
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -226,41 +220,38 @@ class Model:
 
     def evidence(self, texts: pa.ListArray, step: int = 1 << 18) -> np.ndarray:
         """For each list of words: the mean of what their log-ratios have beyond THRESHOLD; 0 for no words."""
-        coded = texts.flatten().dictionary_encode()
-        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-        vocabulary, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        ratio, name = np.zeros(len(vocabulary)), np.zeros(len(vocabulary), dtype=np.uint64)
-        few = max(step // 16, 1)
-        for i in range(0, len(vocabulary), few):
-            part = vocabulary[i : i + few]
-            ratio[i : i + len(part)], name[i : i + len(part)] = self.spell(part), word_hash(part)
-        del vocabulary
-        back, opens = self.pair_backs.find(name)
-        first_back, first_opens = (float(a[0]) for a in self.pair_backs.find(np.zeros(1, dtype=np.uint64)))
         n = np.asarray(texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        row = np.repeat(np.arange(len(n)), n)
+        row, words_ = np.repeat(np.arange(len(n)), n), texts.flatten()
         total = np.zeros(len(n))
-        for i in range(0, len(index), step):  # bounded memory for long texts
-            w, r = index[i : i + step], row[i : i + step]
-            before = index[max(i - 1, 0) : i + len(w) - 1]
-            before = before if i else np.concatenate([[0], before])
-            first = np.diff(r, prepend=row[i - 1] if i else -1) > 0
-            value = ratio[w] + np.where(first, first_back, back[before])
-            look = np.flatnonzero(np.where(first, first_opens > 0, opens[before]))
-            pair, hit = self.pairs.find(pair_hash(np.where(first[look], np.uint64(0), name[before[look]]), name[w[look]]))
-            value[look[hit]] = pair[hit]
-            total += np.bincount(r, np.maximum(value - THRESHOLD, 0.0), len(n))
+        for i in range(0, len(words_), step):  # bounded memory for long texts; the word before comes along
+            lead = int(i > 0 and row[i] == row[i - 1])
+            r = row[i : i + step]
+            total += np.bincount(r, np.maximum(self._ratios(words_[i - lead : i + step], row[i - lead : i + step])[lead:] - THRESHOLD, 0.0), len(n))
         return total / np.maximum(n, 1)
 
+    def _ratios(self, words_: pa.Array, row: np.ndarray) -> np.ndarray:
+        """The log-ratio of each word after the one before it in its row; a row's first word follows no word."""
+        coded = words_.dictionary_encode()
+        vocabulary, w = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        ratio, name = self.spell(vocabulary), word_hash([*vocabulary, ""])
+        back, opens = self.pair_backs.find(name)
+        before = np.where(np.diff(row, prepend=-1) > 0, len(vocabulary), np.concatenate([w[:1], w[:-1]]))
+        value = ratio[w] + back[before]
+        look = np.flatnonzero(opens[before])
+        pair, hit = self.pairs.find(pair_hash(name[before[look]], name[w[look]]))
+        value[look[hit]] = pair[hit]
+        return value
+
 
 def models(sample: DataFrame, docs: DataFrame) -> dict[str, Model]:
     """The models of VARIANTS from ``sample (toxic, fold, w)`` and the spellings of all documents. What classes keep,
     so at most what the sample holds, comes to the driver, as log-ratios."""
     counts = cut(pair_counts(sample), "pairs")
-    by_word = counts.groupBy("toxic", "w").agg(F.count("*").alias("all"), *(F.sum((F.col(v) > 0).cast("int")).alias(v) for v in VARIANTS[1:]))
-    letters = _by_class(spelled(by_word), ["g"]).withColumn("ctx", F.expr(_CTX))
+    by_hash = counts.groupBy("toxic", F.col("w").alias("h")).agg(F.count("*").cast("int").alias("all"), *(F.sum((F.col(v) > 0).cast("int")).cast("int").alias(v) for v in VARIANTS[1:]))
+    vocabulary = cut(sample.select(F.explode("w").alias("w")).distinct().select("w", F.xxhash64("w").alias("h")), "vocabulary")
+    letters = _by_class(spelled(by_hash.join(vocabulary, "h").drop("h")), ["g"]).withColumn("ctx", F.expr(_CTX))
     shared = cut(shared_spellings(docs), "spellings")
-    g = cut(_with_totals(letters, "ctx").join(shared_probabilities(shared), "g"), "letters")
+    g = cut(shared_probabilities(shared, _with_totals(letters, "ctx")), "letters")
     gram_log = lambda n: F.log(_probability(n, F.col("ps")))
     grams = g.where(_ANY_KEPT).select("g", *_ratios(gram_log)).toArrow()
     left = lambda n: F.log(F.first(f"b_{n}"))
@@ -269,15 +260,16 @@ def models(sample: DataFrame, docs: DataFrame) -> dict[str, Model]:
 
     p = cut(_with_totals(_by_class(counts, ["p", "w"]), "p").where(some), "kept-pairs")
     kept = p.where(_ANY_KEPT)
-    spelt = spelled(kept.select("w").distinct().withColumn("word", F.col("w"))).join(g, "g")
+    spelt = spelled(kept.select(F.col("w").alias("h")).distinct().join(vocabulary, "h")).join(g, "g")
     names = [f"{c}_{v}" for c in "to" for v in VARIANTS]
-    alone = spelt.groupBy("word").agg(*(F.exp(F.sum(gram_log(n))).alias(f"w_{n}") for n in names)).withColumnRenamed("word", "w")
+    alone = spelt.groupBy("h").agg(*(F.exp(F.sum(gram_log(n))).alias(f"w_{n}") for n in names)).withColumnRenamed("h", "w")
     pair_log = lambda n: F.log(_probability(n, F.greatest(F.col(f"w_{n}"), F.lit(1e-300))))
     pairs = kept.join(alone, "w").select("p", "w", *_ratios(pair_log)).toArrow()
     pair_backs = p.groupBy("p").agg(*_ratios(left)).toArrow()
 
-    names_ = lambda t, c: t.column(c).to_pylist()
-    keys = (gram_hash(names_(grams, "g")), gram_hash(names_(gram_backs, "ctx")), pair_hash(word_hash(names_(pairs, "p")), word_hash(names_(pairs, "w"))), word_hash(names_(pair_backs, "p")))
+    strings = lambda t, c: t.column(c).to_pylist()
+    hashes = lambda t, c: t.column(c).to_numpy().view(np.uint64)
+    keys = (gram_hash(strings(grams, "g")), gram_hash(strings(gram_backs, "ctx")), pair_hash(hashes(pairs, "p"), hashes(pairs, "w")), hashes(pair_backs, "p"))
     return {v: Model(*(Table.of(k, t.column(v).to_numpy()) for k, t in zip(keys, (grams, gram_backs, pairs, pair_backs)))) for v in VARIANTS}
 
 
@@ -334,6 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Scorer:
     An id labelled both ways is toxic; of several rows of an id, one is taken.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
     by_class = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(by_class) < 2:
