@@ -12,8 +12,10 @@ from procflow.functions.text import squeeze, strip
 
 
 def strip_prompt(line: Column, prompts: tuple[str, ...] = P.PROMPTS) -> Column:
-    """The line without device prompts; each pattern is taken once, in order."""
-    return strip(reduce(lambda c, p: F.regexp_replace(c, "(?U)" + p, ""), prompts, line))
+    """The line without device prompts; each pattern is taken once, in order. All of them need one of the characters
+    that a prompt ends with, so most lines are done after one plain look."""
+    bare = reduce(lambda c, p: F.regexp_replace(c, "(?U)" + p, ""), prompts, line)
+    return strip(F.when(line.rlike(r"[>#\]]"), bare).otherwise(line))
 
 
 def normalize(text: Column) -> Column:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from procflow.functions.text import tokens
+from procflow.session import checkpointed
 
 BUDGET = 80_000
+#: Commands named in a request, at most.
+HINTS = 50
 
 
 def needs_chunking(n_tokens: Column, budget: int = BUDGET) -> Column:
@@ -63,7 +66,7 @@ def pack(rows: DataFrame, order: str, size: str, budget: int, keys: tuple[str, .
 def split_oversized(blocks: DataFrame, budget: int) -> DataFrame:
     """``doc_id, section_no, piece, section, text, n_tokens``: sections over the budget are cut between blocks; the
     heading is repeated and later pieces are labelled as continued."""
-    d = chunk_sections(blocks).withColumn("n", tokens(F.col("part")))
+    d = checkpointed(chunk_sections(blocks).withColumn("n", tokens(F.col("part"))))  # read three times
     total = F.sum(F.length("part") + 1).over(W.partitionBy("doc_id", "section_no"))
     d = d.withColumn("big", F.floor(total / 3.5) > budget)
     small = d.where("not big").groupBy("doc_id", "section_no").agg(F.lit(1).alias("piece"), F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "part"))), lambda x: x["part"]), "\n").alias("text"))
@@ -77,7 +80,7 @@ def split_oversized(blocks: DataFrame, budget: int) -> DataFrame:
 
 def chunks(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``doc_id, chunk_index (from 0), total_chunks, headings, text, n_tokens``."""
-    pieces = split_oversized(blocks, budget).withColumn("o", F.struct("section_no", "piece"))
+    pieces = checkpointed(split_oversized(blocks, budget)).withColumn("o", F.struct("section_no", "piece"))
     placed = pieces.join(pack(pieces, "o", "n_tokens", budget), ["doc_id", "o"])
     rows = F.array_sort(F.collect_list(F.struct("o", "section", "text")))
     g = placed.groupBy("doc_id", (F.col("group_no") - 1).alias("chunk_index")).agg(rows.alias("rows"))
@@ -86,9 +89,10 @@ def chunks(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def chunk_commands(chunked: DataFrame, commands: DataFrame) -> DataFrame:
-    """``doc_id, chunk_index, raw, n``: commands (with their number) whose text stands in a chunk, any case."""
-    c = commands.groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
-    return chunked.select("doc_id", "chunk_index", "text").join(c, "doc_id").where(F.contains(F.lower("text"), F.lower("raw"))).select("doc_id", "chunk_index", "raw", "n")
+    """``doc_id, chunk_index, raw, n, first_line``: commands (with their number and first line) whose text stands in a
+    chunk, any case."""
+    c = commands.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    return chunked.select("doc_id", "chunk_index", "text").join(c, "doc_id").where(F.contains(F.lower("text"), F.lower("raw"))).select("doc_id", "chunk_index", "raw", "n", "first_line")
 
 
 def processing_route(outline_route: Column, raw_tokens: Column, budget: int = BUDGET) -> Column:
@@ -97,8 +101,11 @@ def processing_route(outline_route: Column, raw_tokens: Column, budget: int = BU
 
 
 def requests(chunked: DataFrame, titles: DataFrame, structures: DataFrame, hints: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """``doc_id, chunk_index, request``: the text that asks for one chunk's steps, with at most 50 command hints."""
-    h = hints.groupBy("doc_id", "chunk_index").agg(F.slice(F.array_sort(F.collect_list("raw")), 1, 50).alias("hints"))
+    """``doc_id, chunk_index, request``: the text that asks for one chunk's steps, with at most 50 command hints, the
+    first ones that the document has."""
+    order = W.partitionBy("doc_id", "chunk_index").orderBy("first_line", "raw")
+    h = hints.withColumn("place", F.row_number().over(order)).where(f"place <= {HINTS}").groupBy("doc_id", "chunk_index")
+    h = h.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]).alias("hints"))
     d = chunked.join(titles, "doc_id", "left").join(structures, "doc_id", "left").join(h, ["doc_id", "chunk_index"], "left")
     d = d.join(starts, ["doc_id", "chunk_index"], "left") if starts is not None else d.withColumn("sequence_start", F.lit(1))
     text = F.concat_ws(

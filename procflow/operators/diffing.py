@@ -26,25 +26,37 @@ def normalize_output(c: Column, ignore_timestamps: bool = True, ignore_counters:
     return strip(c)
 
 
+#: What the two sides of a diff are called (fixed values).
+BEFORE, AFTER = "pre-check (baseline)", "post-check (current)"
+
+
+def _line_diff(old: str, new: str) -> tuple[bool, list[str], list[str], list[str]]:
+    """Whether any line differs, the lines added and removed (blank ones left out), and the unified diff."""
+    b, c = old.splitlines(), new.splitlines()
+    sides: tuple[list[str], list[str]] = ([], [])
+    for kind, i, j, m, n in difflib.SequenceMatcher(None, b, c).get_opcodes():
+        if kind != "equal":
+            sides[0].extend(c[m:n])
+            sides[1].extend(b[i:j])
+    added, removed = ([x.strip() for x in lines if x.strip()] for lines in sides)
+    return any(map(len, sides)), added, removed, list(difflib.unified_diff(b, c, BEFORE, AFTER, lineterm=""))
+
+
 def _unified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        added, removed = [], []
-        for old, new in zip(b["b"], b["c"]):
-            diff = list(difflib.unified_diff(old.split("\n") if old else [], new.split("\n") if new else [], lineterm=""))
-            added.append([x for x in (y[1:].strip() for y in diff if y.startswith("+") and not y.startswith("+++")) if x])
-            removed.append([x for x in (y[1:].strip() for y in diff if y.startswith("-") and not y.startswith("---")) if x])
-        yield pd.DataFrame({"key": b["key"], "added": added, "removed": removed})
+    for x in batches:
+        rows = [(k, *_line_diff(old, new)) for k, old, new in zip(x["key"], x["b"], x["c"])]
+        yield pd.DataFrame(rows, columns=["key", "changed", "added", "removed", "diff_lines"])
 
 
 def text_diff(pairs: DataFrame, **ignore: bool) -> DataFrame:
-    """``key, changed, added, removed`` (lines in order) from ``key, baseline, current``. Equal outputs are told by
-    their normal forms in the JVM; only pairs that differ go through the line differ."""
+    """``key, changed, added, removed, diff_lines`` (lines in order) from ``key, baseline, current``. A blank line more
+    or less is a change, though none of the lines named. Equal outputs are told by their normal forms in the JVM; only
+    pairs that differ go through the line differ."""
     n = pairs.select(F.col("key"), normalize_output(F.coalesce("baseline", F.lit("")), **ignore).alias("b"), normalize_output(F.coalesce("current", F.lit("")), **ignore).alias("c"))
     none = F.array().cast("array<string>")
     key = n.schema["key"].dataType.simpleString()
-    same = n.where("b = c").select("key", none.alias("added"), none.alias("removed"))
-    other = n.where("b <> c").mapInPandas(_unified, f"key {key}, added array<string>, removed array<string>")
-    return same.unionByName(other).withColumn("changed", (F.size("added") > 0) | (F.size("removed") > 0))
+    same = n.where("b = c").select("key", F.lit(False).alias("changed"), none.alias("added"), none.alias("removed"), none.alias("diff_lines"))
+    return same.unionByName(n.where("b <> c").mapInPandas(_unified, f"key {key}, changed boolean, added array<string>, removed array<string>, diff_lines array<string>"))
 
 
 def line_changes(pairs: DataFrame, **ignore: bool) -> DataFrame:
@@ -77,12 +89,20 @@ def step_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def comparison_report(diffs: DataFrame, group: str) -> DataFrame:
-    """Per group: checks in total, changed, identical; and the first five lines of each changed check."""
+    """Per group: checks in total, changed, identical."""
     return diffs.groupBy(group).agg(F.count("*").alias("total"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("identical"))
 
 
-def diff_summary(added: Column, removed: Column) -> Column:
-    return F.concat(F.lit("+"), F.size(added).cast("string"), F.lit("/-"), F.size(removed).cast("string"))
+def comparison_details(diffs: DataFrame, group: str, most: int = 5) -> DataFrame:
+    """``group, key, added, removed`` of each changed check: the first ``most`` lines of both kinds. Map-only."""
+    some = lambda c: F.array_join(F.slice(c, 1, most), "; ").alias(c)
+    return diffs.where("changed").select(group, "key", some("added"), some("removed"))
+
+
+def diff_summary(added: Column, removed: Column, most: int = 3) -> Column:
+    """Number of lines added and removed, with the first of them; or that nothing changed."""
+    side = lambda name, c: F.concat(F.lit(name + " ("), F.size(c).cast("string"), F.lit(" lines): "), F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, most), ", ")).otherwise("(none)"), F.when(F.size(c) > most, "…").otherwise(""))
+    return F.concat_ws(" | ", side("Added", added), side("Removed", removed))
 
 
 def step_diff_summary(changes: DataFrame) -> DataFrame:

@@ -131,6 +131,19 @@ def discover(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     return found
 
 
+def discover_nearest(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """``node, distance``: what is reachable from any of the seeds within ``depth`` steps, with the least number of
+    steps. One row a node, however many seeds there are; the edges are cut from what made them, as every round reads
+    them."""
+    edges = checkpointed(edges.select("src", F.col("dst").alias("node")).distinct())
+    found = front = seeds.select("node", F.lit(0).alias("distance")).distinct()
+    for k in range(1, depth + 1):
+        step = edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").select("node").distinct()
+        front = checkpointed(step.join(found, "node", "left_anti").withColumn("distance", F.lit(k)))
+        found = found.unionByName(front)
+    return found
+
+
 # ---- Fixed values: inventory templates by vendor and OS ----
 TEMPLATE_REFS = {
     ("cisco", "ios-xr"): "cisco/ios-xr/asr9000",

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from procflow.functions import commands as C
 from procflow.functions import patterns as P
 from procflow.functions import text as X
-from procflow.operators.blocks import column_map, sections, structure_of, block_counts
+from procflow.operators.blocks import block_counts, column_map, sections, structure_of
+from procflow.session import checkpointed
 
 
 def route(structure: Column) -> Column:
@@ -20,7 +21,10 @@ def route(structure: Column) -> Column:
 def section_modes(blocks: DataFrame, least: float = 0.4) -> DataFrame:
     """``doc_id, section_index, section, structured_share, mode, is_rollback`` of each section: outline if at least
     ``least`` of its blocks are list items, table rows or code."""
-    s = sections(blocks)
+    return _modes(sections(blocks), least)
+
+
+def _modes(s: DataFrame, least: float = 0.4) -> DataFrame:
     share = F.count_if(F.col("block_type").isin("list_item", "table_row", "code_block")) / F.count("*")
     g = s.groupBy("doc_id", "section_index").agg(F.first("section").alias("section"), F.round(share, 6).alias("structured_share"), (share >= least).alias("__ok"))
     return g.select("doc_id", "section_index", "section", "structured_share", F.when(F.col("__ok"), "outline").otherwise("text").alias("mode"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
@@ -106,13 +110,24 @@ def render_node() -> Column:
     )
 
 
+def outline_nodes(placed: DataFrame) -> DataFrame:
+    """All nodes of blocks in sections, those of table rows among the others, numbered together. ``row_index`` tells
+    a table's header; without that column the first row of a table is it."""
+    rows = placed if "row_index" in placed.columns else placed.withColumn("row_index", F.lit(None).cast("int"))
+    return node_ids(block_nodes(placed).unionByName(table_nodes(rows), allowMissingColumns=True))
+
+
 def outline_sections(blocks: DataFrame) -> DataFrame:
     """``doc_id, section_index, route, part``: each section as it stands in the outline: its heading, then nodes
-    or, in text mode, its blocks' text, indented."""
+    or, in text mode, its blocks' text, indented. Blocks are read several times, so they are cut from what made them."""
+    return _outline_sections(checkpointed(blocks))
+
+
+def _outline_sections(blocks: DataFrame) -> DataFrame:
     kinds = block_counts(blocks).select("doc_id", route(structure_of(F.col)).alias("route"))
-    modes = section_modes(blocks).join(kinds, "doc_id").withColumn("mode", F.when(F.col("route") == "mixed", F.col("mode")).otherwise(F.col("route")))
     placed = sections(blocks)
-    lines = node_ids(block_nodes(placed)).select("doc_id", "section_index", "block_no", F.lit("outline").alias("mode"), render_node().alias("line"))
+    modes = _modes(placed).join(kinds, "doc_id").withColumn("mode", F.when(F.col("route") == "mixed", F.col("mode")).otherwise(F.col("route")))
+    lines = outline_nodes(placed).select("doc_id", "section_index", "block_no", F.lit("outline").alias("mode"), render_node().alias("line"))
     raw = placed.select("doc_id", "section_index", "block_no", F.lit("text").alias("mode"), F.concat(F.lit("  "), "content").alias("line"))
     body = lines.unionByName(raw).groupBy("doc_id", "section_index", "mode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     s = modes.join(body, ["doc_id", "section_index", "mode"], "left")
@@ -125,7 +140,8 @@ def outlines(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Prose documents have no outline. The ratio is what the outline saves of the raw tokens, 0 at least.
     """
-    g = outline_sections(blocks).groupBy("doc_id").agg(F.first("route").alias("route"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "part"))), lambda x: x["part"]), "\n").alias("outline"))
+    blocks = checkpointed(blocks)
+    g = _outline_sections(blocks).groupBy("doc_id").agg(F.first("route").alias("route"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "part"))), lambda x: x["part"]), "\n").alias("outline"))
     size = blocks.groupBy("doc_id").agg(F.greatest(F.lit(1), F.floor(F.sum(F.length("content") + 1) / X.CHARS_PER_TOKEN).cast("int")).alias("raw_tokens"))
     d = docs.select("doc_id").distinct().join(size, "doc_id").join(g, "doc_id", "left").withColumn("route", F.coalesce("route", F.lit("text")))
     d = d.withColumn("outline", F.when(F.col("route") == "text", "").otherwise(F.coalesce("outline", F.lit(""))))

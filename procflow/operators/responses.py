@@ -43,7 +43,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
     ``evidence``. A response violates the schema if it has no array of steps."""
     raw = F.coalesce(F.col("raw"), F.lit(""))
     d = responses.withColumn("json", extract_json(raw))
-    d = d.withColumn("parsed", F.from_json("json", RESPONSE.replace("struct<", "struct<", 1)))
+    d = d.withColumn("parsed", F.from_json("json", RESPONSE))
     error = F.when(looks_like_refusal(raw), "refusal").when(F.col("json").isNull(), "json_parse_fail").when(F.col("parsed.steps").isNull(), "schema_violation").otherwise("ok")
     d = d.withColumn("error", error)
     evidence = F.when(F.col("error") == "refusal", F.substring(raw, 1, 500)).when(F.col("error") != "ok", F.substring(raw, 1, 1000))

@@ -183,8 +183,10 @@ def wait_outcomes(requests: DataFrame, polls: DataFrame) -> DataFrame:
     limit = F.col("start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("max_wait_s"))
     timely = (F.col("ts") >= F.col("start")) & (F.col("ts") <= limit)
     d = d.withColumn("ok_ts", F.when(timely & F.col("matched"), F.col("ts"))).withColumn("in_ts", F.when(timely, F.col("ts")))
-    g = d.groupBy("wait_id", "start", "max_wait_s").agg(F.min("ok_ts").alias("met_at"), F.array_sort(F.collect_list("in_ts")).alias("tries"))
-    g = g.withColumn("attempts", F.size(F.filter("tries", lambda t: F.col("met_at").isNull() | (t <= F.col("met_at")))))
+    g = d.groupBy("wait_id", "start", "max_wait_s").agg(F.min("ok_ts").alias("met_at"))
+    # a second, conditional count: no wait's polls are ever collected
+    tries = d.select("wait_id", "in_ts").join(g, "wait_id").groupBy("wait_id").agg(F.count_if(F.col("in_ts") <= F.coalesce("met_at", "in_ts")).cast("int").alias("attempts"))
+    g = g.join(tries, "wait_id")
     elapsed = F.when(F.col("met_at").isNotNull(), (millis("met_at") - millis("start")) / 1000).otherwise(F.col("max_wait_s"))
     return g.select("wait_id", F.col("met_at").isNotNull().alias("met"), "attempts", F.round(elapsed, 3).alias("elapsed_s"))
 

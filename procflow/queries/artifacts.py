@@ -232,6 +232,44 @@ def c13(spark, sf):
     return O.outlines(V.proc_docs(spark, sf), V.proc_blocks(spark, sf)).select("doc_id", "outline")
 
 
+# ---- outlines of documents with tables: a part's lines, then the rows of the order of that number ----
+def table_blocks(spark, sf):
+    """Blocks of documents by part, each followed by the table of the order of that number, if there is one."""
+    text = V.proc_blocks(spark, sf).withColumn("row_index", F.lit(None).cast("int"))
+    rows = table_rows(spark, sf).join(V.proc_docs(spark, sf), "doc_id", "left_semi")
+    rows = rows.select("doc_id", (F.col("block_no") + 1000).cast("int").alias("block_no"), F.lit("table_row").alias("block_type"), "content", F.lit(0).alias("level"), F.col("row_index").cast("int").alias("row_index"))
+    return text.unionByName(rows)
+
+
+TABLE_BLOCKS = (
+    V.BLOCKS.replace("\nblocks AS (", "\ntext_blocks AS (")
+    + f""", {TABLE_ROWS}, blocks AS (SELECT doc_id, block_no, block_type, content, level, NULL::INT AS row_index FROM text_blocks
+  UNION ALL SELECT doc_id, 1000 + block_no, 'table_row', content, 0, row_index FROM trows WHERE doc_id IN (SELECT doc_id FROM lines))"""
+)
+# nodes of rows as in c09, with the section that they stand in
+_TABLE_NODES = f"""tc AS (SELECT doc_id, section_index, section, block_no, list_transform(string_split(content, ' | '), lambda x: trim(x)) AS cells FROM sections WHERE block_type = 'table_row' AND row_index > 0),
+tf AS (SELECT doc_id, section_index, section, block_no, {_FF(1)} AS c1, {_FF(2)} AS c2, {_FF(3)} AS c3, {_FF(4)} AS c4 FROM tc WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+tn AS (SELECT *, CASE WHEN doc_id % 4 < 2 THEN c2 ELSE c1 END AS a0, CASE WHEN doc_id % 4 < 2 THEN c3 ELSE c2 END AS e0, CASE WHEN doc_id % 4 < 2 THEN c4 ELSE '' END AS r0, concat_ws(' | ', nullif(c1, ''), nullif(c2, ''), nullif(c3, ''), nullif(c4, '')) AS every FROM tf),
+tnodes AS (SELECT doc_id, section_index, section, block_no, 'table_row' AS block_type, {sql_compress("coalesce(nullif(a0, ''), every)")} AS description, '' AS commands, 0 AS n_commands,
+  coalesce(nullif(e0, ''), {sql_expectation("coalesce(nullif(a0, ''), every)")}) AS expected_output, r0 <> '' OR regexp_matches(section, {sql_text(P.ROLLBACK_SECTION)}) AS is_rollback FROM tn)"""
+TABLE_OUTLINES = OUTLINES.replace("ids AS (SELECT *,", _TABLE_NODES + ",\nids AS (SELECT *,").replace("AS node_id FROM nodes)", "AS node_id FROM (SELECT * FROM nodes UNION ALL SELECT * FROM tnodes))")
+
+
+@query("c10_table_node_ids", f"WITH {TABLE_BLOCKS}, {TABLE_OUTLINES} SELECT doc_id, block_no, node_id FROM ids")
+def c10_tables(spark, sf):
+    return O.outline_nodes(B.sections(table_blocks(spark, sf))).select("doc_id", "block_no", "node_id")
+
+
+@query("c12_table_ratios", f"WITH {TABLE_BLOCKS}, {TABLE_OUTLINES} SELECT doc_id, route, raw_tokens, outline_tokens, ratio FROM outlines")
+def c12_tables(spark, sf):
+    return O.outlines(V.proc_docs(spark, sf), table_blocks(spark, sf)).select("doc_id", "route", "raw_tokens", "outline_tokens", "ratio")
+
+
+@query("c13_table_outlines", f"WITH {TABLE_BLOCKS}, {TABLE_OUTLINES} SELECT doc_id, outline FROM outlines")
+def c13_tables(spark, sf):
+    return O.outlines(V.proc_docs(spark, sf), table_blocks(spark, sf)).select("doc_id", "outline")
+
+
 @query("c14_compression_report", f"WITH {V.BLOCKS}, {OUTLINES} SELECT structure, count(*) AS n_docs, count(*) FILTER (WHERE route <> 'text') AS n_outlined, sum(raw_tokens)::BIGINT AS raw_tokens, sum(outline_tokens)::BIGINT AS outline_tokens, round(avg(ratio) FILTER (WHERE route <> 'text'), 4) AS mean_ratio FROM outlines JOIN structures USING (doc_id) GROUP BY structure")
 def c14(spark, sf):
     b = V.proc_blocks(spark, sf)

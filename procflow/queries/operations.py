@@ -465,6 +465,22 @@ def d03(spark, sf):
     return D.line_changes(_pairs(spark, sf))
 
 
+_NEW = "concat_ws('; ', CASE WHEN event_id % 4 = 0 THEN 'neighbor ' || user_id || ' down' END, CASE WHEN event_id % 6 = 0 THEN 'extra' END)"
+_OLD = "CASE WHEN event_id % 4 = 0 THEN 'neighbor ' || user_id || ' ' || event_type ELSE '' END"
+
+
+@query("d05_comparison_details", f"SELECT event_type, event_id AS key, {_NEW} AS added, {_OLD} AS removed FROM events WHERE event_id % 4 = 0 OR event_id % 6 = 0")
+def d05_details(spark, sf):
+    """The first five lines of each changed check."""
+    p = _pairs(spark, sf)
+    return D.comparison_details(D.text_diff(p).join(p.select("key", "event_type"), "key"), "event_type")
+
+
+@query("d02_diff_summaries", f"SELECT event_id AS key, 'Added (' || ((event_id % 4 = 0)::INT + (event_id % 6 = 0)::INT) || ' lines): ' || coalesce(nullif(replace({_NEW}, '; ', ', '), ''), '(none)') || ' | Removed (' || (event_id % 4 = 0)::INT || ' lines): ' || coalesce(nullif({_OLD}, ''), '(none)') AS summary FROM events")
+def d02_summaries(spark, sf):
+    return D.text_diff(_pairs(spark, sf)).select("key", D.diff_summary(F.col("added"), F.col("removed")).alias("summary"))
+
+
 # two versions of a procedure: the lines of an order, the later one with changes by their keys
 _V = "SELECT l_orderkey AS doc_id, {seq} AS sequence, l_partkey AS position, 'step ' || {desc} AS description, 'cmd ' || {cmd} AS command, CASE WHEN l_suppkey % 3 = 0 THEN 'up' END AS expected_output, {sec} AS section FROM lineitem"
 _V1 = _V.format(seq="l_linenumber", desc="l_partkey", cmd="l_partkey", sec="'A'")
@@ -651,12 +667,24 @@ def z11(spark, sf):
     return d.select("host", F.array_join(Z.neighbour_addresses(F.col("output")), ",").alias("addresses"))
 
 
-@query("z12_discovered", """WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
-r(seed, node, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT seed, dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 2) SELECT seed, node, min(d) AS distance FROM r GROUP BY seed, node""")
-def z12(spark, sf):
+_EDGES = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
+
+
+def _edges(spark, sf):
+    """Devices are neighbours where one follows the other in an order."""
     li = table(spark, sf, "lineitem")
     a, b = li.select("l_orderkey", F.col("l_suppkey").alias("src"), (F.col("l_linenumber") + 1).alias("n")), li.select("l_orderkey", F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("n"))
-    return Z.discover(a.join(b, ["l_orderkey", "n"]).select("src", "dst").distinct(), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+    return a.join(b, ["l_orderkey", "n"]).select("src", "dst").distinct()
+
+
+@query("z12_discovered", f"""WITH RECURSIVE {_EDGES}, d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 0)),
+d2 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d1)),
+r AS (SELECT s_suppkey AS node, 0 AS distance FROM supplier WHERE s_nationkey = 0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2)
+SELECT node, min(distance) AS distance FROM r GROUP BY node""")
+def z12(spark, sf):
+    """From the devices of one site (nation 0): steps to each device that is two steps away or nearer."""
+    site = table(spark, sf, "supplier").where("s_nationkey = 0").select(F.col("s_suppkey").alias("node"))
+    return Z.discover_nearest(_edges(spark, sf), site, 2)
 
 
 @query("z13_topology_rows", f"WITH {_DEV} SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'device_' || replace(host, '.', '_') ELSE device END AS device, host, CASE vendor WHEN 'cisco' THEN 'cisco/ios-xr/asr9000' WHEN 'juniper' THEN 'juniper/junos/mx-series' WHEN 'nokia' THEN 'nokia/sros/7750-sr' WHEN 'arista' THEN 'arista/eos/7280' ELSE 'huawei/vrp/ne40e' END AS ref, CASE WHEN s_suppkey % 3 = 0 THEN upper('device_' || replace(host, '.', '_')) ELSE upper(device) END || '_PASSWORD' AS credential FROM dev")

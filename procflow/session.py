@@ -31,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 def checkpointed(df):
     """Cut a table from its lineage into spark.checkpoint.dir, which all executors share; a folder of our own is
-    set only where the session has none."""
+    set only where the session has none and all of Spark runs on this machine."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -21,7 +21,9 @@ def detect_format(content: Column, path: Column) -> Column:
     low = F.lower(path)
     ext = low.rlike
     # a cut inside a character is no reason to reject: up to three bytes at the end are left out
-    whole = F.is_valid_utf8(F.decode(head, "iso-8859-1"))
+    whole = F.is_valid_utf8(head.cast("string"))
+    for k in (1, 2, 3):
+        whole = whole | ((F.octet_length(content) > 512) & F.is_valid_utf8(F.substring(content, 1, 512 - k).cast("string")))
     texty = (F.instr(F.decode(head, "iso-8859-1"), "\x00") == 0) & whole
     return (
         F.when(F.substring(content, 1, 4) == F.lit(b"%PDF"), "pdf")
