@@ -80,14 +80,54 @@ def wait_for(polls: DataFrame, late: str = "1 minute") -> DataFrame:
     return d.groupBy("wait_id").transformWithStateInPandas(statefulProcessor=Waiter(), outputStructType="wait_id string, met boolean, attempts int, elapsed_s double", outputMode="append", timeMode="eventTime")
 
 
+class Approver(StatefulProcessor):
+    """Waits for the first answer to each request: emits its outcome once, or a time-out once event time has passed
+    the limit. Answers that come in before their request are kept until it does."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gate", "start_ms long, limit_ms long, done boolean")
+        self.early = handle.getListState("early", "at_ms long, answer string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        ms = (pdf["at"].map(lambda t: t.timestamp()) * 1000).round().astype(int)
+        start, limit, done = self.state.get() if self.state.exists() else (None, None, False)
+        asked = pdf["timeout_s"].notna()
+        if asked.any() and start is None:
+            start = int(ms[asked].min())
+            limit = start + int(pdf["timeout_s"][asked].iloc[0] * 1000)
+            self.handle.registerTimer(limit)
+        answers = sorted(zip(ms[~asked], pdf["answer"][~asked]))
+        if start is None:
+            for at, answer in answers:
+                self.early.appendValue((int(at), answer))
+            return
+        answers = sorted(answers + [tuple(x) for x in self.early.get()])
+        self.early.clear()
+        first = next((x for at, x in answers if start <= at <= limit), None)
+        if first is not None and not done:
+            done = True
+            yield pd.DataFrame([(key[0], pd.Timestamp(start, unit="ms"), "rejected" if first == "denied" else first)], columns=["request_id", "ts", "outcome"])
+        self.state.update((start, limit, done))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, _, done = self.state.get()
+        self.state.clear()
+        if not done:
+            yield pd.DataFrame([(key[0], pd.Timestamp(start, unit="ms"), "timed_out")], columns=["request_id", "ts", "outcome"])
+
+    def close(self) -> None:
+        pass
+
+
 def approval_gate(requests: DataFrame, answers: DataFrame, timeout_s: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """Requests (request_id, ts) with the answer (request_id, answered_at, answer) that came in time, or timed_out
-    once the watermark says that none can come."""
-    r = requests.withWatermark("ts", late).alias("r")
-    a = answers.withWatermark("answered_at", late).alias("a")
-    on = F.expr(f"r.request_id = a.request_id AND answered_at >= ts AND answered_at <= ts + INTERVAL {int(timeout_s)} SECONDS")
-    d = r.join(a, on, "leftOuter")
-    return d.select("r.request_id", "r.ts", F.when(F.col("answer") == "denied", "rejected").otherwise(F.coalesce("answer", F.lit("timed_out"))).alias("outcome"))
+    """``request_id, ts, outcome``, one row a request (request_id, ts): its first answer (request_id, answered_at,
+    answer) in time, denied counting as rejected, or timed_out. Needs the RocksDB state store and a session in UTC."""
+    r = requests.select("request_id", F.col("ts").alias("at"), F.lit(None).cast("string").alias("answer"), F.lit(float(timeout_s)).alias("timeout_s"))
+    a = answers.select("request_id", F.col("answered_at").alias("at"), "answer", F.lit(None).cast("double").alias("timeout_s"))
+    d = r.unionByName(a).withWatermark("at", late)
+    return d.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Approver(), outputStructType="request_id string, ts timestamp, outcome string", outputMode="append", timeMode="eventTime")
 
 
 def once(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:

@@ -188,3 +188,11 @@ def test_commands_of_chunks_and_requests(spark):
     docs = spark.createDataFrame([(1, "my_plan.txt")], "doc_id long, source_file string")
     rq = K.requests(c, B.document_titles(docs, b), B.document_structure(docs, b), K.chunk_commands(c, cmds)).orderBy("chunk_index").collect()
     assert len(rq) == len(whole) and rq[0].request.startswith("Title: One\n") and "First step: 1" in rq[0].request and "show version" in rq[0].request
+
+
+def test_formats_of_bytes(spark):
+    from procflow.sources.documents import detect_format
+
+    rows = [(b"\xff\xfe\xc3\x28 text", "x.dat"), (b"plain", "x.dat"), (b"a" * 511 + "é".encode() + b"b", "x.dat"), (b"a\x00b", "x"), (b"a" * 100 + b"\xc3", "x"), (b"%PDF-1.4", "x.txt"), (b"", "x")]
+    got = [r[0] for r in spark.createDataFrame(rows, "c binary, p string").select(detect_format(F.col("c"), F.col("p"))).collect()]
+    assert got == ["unsupported", "txt", "txt", "unsupported", "unsupported", "pdf", "txt"]

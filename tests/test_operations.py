@@ -96,12 +96,54 @@ def test_waiting_in_batch_and_stream(spark, tmp_path):
     q = Y.wait_for(src).writeStream.format("memory").queryName("waits").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
     got = {r.wait_id: (r.met, r.attempts, r.elapsed_s) for r in spark.table("waits").collect()}
-    assert got["a"] == want["a"] and got.get("b", (False, 2, 30.0)) == (False, 2, 30.0)
+    assert got["a"] == want["a"] and got["b"] == want["b"] == (False, 2, 30.0)
+
+
+def test_approvals_in_batch_and_stream(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    requests = [("a", at(0)), ("b", at(0)), ("c", at(0)), ("d", at(5)), ("z", at(90_000))]
+    answers = [("a", at(10), "approved"), ("a", at(20), "denied"), ("b", at(5), "denied"), ("c", at(4000), "approved"), ("d", at(1), "denied"), ("d", at(9), "approved")]
+    rq = spark.createDataFrame(requests, "request_id string, ts timestamp")
+    an = spark.createDataFrame(answers, "request_id string, answered_at timestamp, answer string")
+    want = {r.request_id: r.outcome for r in L.approval_outcomes(rq.where("request_id <> 'z'"), an).collect()}
+    assert want == {"a": "approved", "b": "rejected", "c": "timed_out", "d": "approved"}
+    for k, ids in enumerate(("a b c d", "z")):
+        rq.where(F.col("request_id").isin(ids.split())).coalesce(1).write.json(str(tmp_path / f"r{k}"))
+    an.coalesce(1).write.json(str(tmp_path / "a0"))
+    read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / path))
+    q = Y.approval_gate(read(rq.schema, "r*"), read(an.schema, "a*")).writeStream.format("memory").queryName("gates").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = [(r.request_id, r.outcome) for r in spark.table("gates").collect()]
+    assert sorted(got) == sorted(want.items())  # each once
+
+
+def test_stream_counts_and_repeats(spark, tmp_path):
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [(at(k), f"e{k % 3}", "passed" if k % 4 else "failed") for k in range(0, 300, 7)] * 2 + [(at(9000), "late", "passed")]
+    d = spark.createDataFrame(rows, "ts timestamp, entity string, to_status string")
+    for k, part in enumerate((rows[:-1], rows[-1:])):
+        spark.createDataFrame(part, d.schema).coalesce(1).write.json(str(tmp_path / f"t{k}"))
+    read = lambda: spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "t*"))
+
+    def rows_of(stream, name):
+        stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+        return [tuple(r) for r in spark.table(name).collect()]
+
+    want = {(m, s): n for m, s, n in (tuple(r) for r in L.minute_counts(d.where("entity <> 'late'")).select("minute", "to_status", "n").collect())} if hasattr(L, "minute_counts") else None
+    counted = {(m, s): n for m, s, n in rows_of(Y.minute_counts(read()), "minutes")}
+    assert sum(counted.values()) == len(rows) - 1 and (want is None or counted == want)
+    assert sorted(rows_of(Y.once(read(), ["ts", "entity"]), "once"), key=str) == sorted({r for r in rows}, key=str)
+    low = spark.createDataFrame([("e1", 0.2), ("e2", 0.6), ("e3", None), ("e4", 0.59)], "execution_id string, confidence double")
+    low.write.json(str(tmp_path / "log"))
+    assert {r[1] for r in rows_of(Y.escalations(Y.read_decisions(spark, str(tmp_path / "log"))), "low")} == {"e1", "e4"}
 
 
 def test_diffs(spark):
     pairs = [(1, "a\nb", "a\nb"), (2, "a", "a\nb"), (3, "a\nb", "a"), (4, "at 10:00:00 up", "at 11:11:11 up"), (5, "x down", "x up"), (6, None, "")]
     d = {r.key: r for r in D.text_diff(spark.createDataFrame(pairs, "key long, baseline string, current string")).collect()}
+    blank = D.text_diff(spark.createDataFrame([(1, "a\nb", "a\n\nb"), (2, "a\r\nb", "a\nb")], "key long, baseline string, current string")).orderBy("key").collect()
+    assert blank[0].changed and blank[0].added == [] and "+" in blank[0].diff_lines and not blank[1].changed
+    assert d[2].diff_lines[:2] == ["--- pre-check (baseline)", "+++ post-check (current)"] and d[2].diff_lines[-1] == "+b"
     assert not d[1].changed and d[2].added == ["b"] and d[3].removed == ["b"] and not d[4].changed and d[5].added == ["x up"] and not d[6].changed
 
 
