@@ -26,11 +26,11 @@ SPELLINGS = (
     (r"\bnon-?commercial\b", "noncommercial"),
     (r"&", " and "),
 )
-#: A line that only claims copyright (and is not the middle of a wrapped sentence on its holders or notice).
-COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright\b(?!\s+(?:(?:owner|holder)s?(?:\s+(?:and|or|be|nor)\b|\s*$)|notice,?\s+(?:and|this)\b))|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line (they end at \n alone, so that time goes by length) that only claims copyright (and is not the middle of a wrapped sentence on its holders or notice).
+COPYRIGHT = r"(?imd)^[^\p{L}\p{N}\n]*(?:copyright\b(?!\s+(?:(?:owner|holder)s?(?:\s+(?:and|or|be|nor)\b|\s*$)|notice,?\s+(?:and|this)\b))|\(c\)|©|all rights reserved)[^\n]*$"
 
 #: White space, with line ends and what marks a line of a comment: spellings of two words may be wrapped.
-WRAP = r"\s+(?:[#*/;%>|!-]+\s+)*"
+WRAP = r"\s++(?:[#*/;%>|!-]++\s++)*+"
 
 #: Grants in a sentence: {} takes the licence's name (fixed values).
 GRANTS = (
@@ -136,7 +136,7 @@ CHANGES = (
 GOES = ("http", "https")
 #: A line of no word, or one that only claims copyright.
 _NO_WORD = r"[\p{L}\p{N}]"
-_CLAIM = COPYRIGHT.replace("(?im)", "(?i)")
+_CLAIM = COPYRIGHT.replace("(?imd)", "(?id)")
 
 
 def whole_texts(folder: Path = FOLDER) -> list[tuple[str, str]]:
