@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,12 @@ def test_plan(devices: DataFrame, catalog: DataFrame, test_type: str) -> DataFra
     return d.join(catalog.where(F.col("test_type") == test_type), "protocol")
 
 
-#: Commands by intent and vendor (fixed values): words of the intent, commands, default, success, error.
+#: Commands by intent and vendor (fixed values): words of the intent (all of them, in one of their spellings),
+#: commands, default, success, error.
 INTENTS = (
     (("bgp", "neighbor"), {"cisco": "show bgp ipv4 unicast summary", "juniper": "show bgp summary", "nokia": "show router bgp summary", "arista": "show bgp summary", "huawei": "display bgp peer", "ericsson": "show bgp neighbors"}, "show bgp summary", "Established|Establ", "Idle|Active|Connect"),
-    (("isis",), {"cisco": "show isis neighbors", "juniper": "show isis adjacency", "nokia": "show router isis adjacency", "arista": "show isis neighbors", "huawei": "display isis peer"}, "show isis neighbors", "Up|UP", "Down|Init|None"),
-    (("is-is",), {"cisco": "show isis neighbors", "juniper": "show isis adjacency", "nokia": "show router isis adjacency", "arista": "show isis neighbors", "huawei": "display isis peer"}, "show isis neighbors", "Up|UP", "Down|Init|None"),
-    (("ldp",), {"cisco": "show mpls ldp neighbor", "juniper": "show ldp session", "nokia": "show router ldp session", "arista": "show mpls ldp neighbors", "huawei": "display mpls ldp session"}, "show mpls ldp neighbor", "Operational|Oper", "Non-Existent|Down"),
-    (("mpls",), {"cisco": "show mpls ldp neighbor", "juniper": "show ldp session", "nokia": "show router ldp session", "arista": "show mpls ldp neighbors", "huawei": "display mpls ldp session"}, "show mpls ldp neighbor", "Operational|Oper", "Non-Existent|Down"),
+    (("isis|is-is",), {"cisco": "show isis neighbors", "juniper": "show isis adjacency", "nokia": "show router isis adjacency", "arista": "show isis neighbors", "huawei": "display isis peer"}, "show isis neighbors", "Up|UP", "Down|Init|None"),
+    (("ldp|mpls",), {"cisco": "show mpls ldp neighbor", "juniper": "show ldp session", "nokia": "show router ldp session", "arista": "show mpls ldp neighbors", "huawei": "display mpls ldp session"}, "show mpls ldp neighbor", "Operational|Oper", "Non-Existent|Down"),
     (("cpu",), {"cisco": "show processes cpu", "juniper": "show system processes extensive | head 5", "nokia": "show system cpu", "arista": "show processes top once | head 5", "huawei": "display cpu-usage"}, "show processes cpu", r"\d+", "Error"),
     (("interface",), {"cisco": "show interfaces brief", "juniper": "show interfaces terse", "nokia": "show port", "arista": "show interfaces status", "huawei": "display interface brief"}, "show interfaces brief", "up|Up|UP", "down|Down|DOWN|err"),
 )
@@ -55,7 +56,7 @@ def heuristic_command(intent: Column, vendor: Column) -> Column:
     for words, by_vendor, default, good, bad in INTENTS:
         hit = F.lit(True)
         for w in words:
-            hit = hit & F.contains(low, F.lit(w))
+            hit = hit & reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in w.split("|")])
         command = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in by_vendor.items() for x in kv]), vendor), F.lit(default))
         out = F.when(hit, pair(command, good, bad)) if out is None else out.when(hit, pair(command, good, bad))
     c, s, e = DEFAULT_INTENT

@@ -314,23 +314,48 @@ def k05(spark, sf):
     return K.pack(K.section_texts(V.proc_blocks(spark, sf)), "section_no", "n_tokens", BUDGET)
 
 
-@query("k04_split_sections")
+def _pieces(budget: int) -> str:
+    """Sections cut between blocks where they are over the budget, as text with their tokens."""
+    xs = "list(struct_pack(o := []::BIGINT[], n := n::BIGINT, s := 0::BIGINT, g := 0::BIGINT, gs := []::BIGINT[]) ORDER BY block_no)"
+    return f"""kp AS (SELECT doc_id, section_no::BIGINT AS section_no, section, block_no, part, greatest(1, floor(length(part) / 3.5)::INT) AS n, floor(sum(length(part) + 1) OVER (PARTITION BY doc_id, section_no) / 3.5) > {budget} AS big FROM ks WHERE part <> ''),
+cut AS (SELECT doc_id, section_no, list(block_no ORDER BY block_no) AS os, {_reduce(xs, budget)} AS gs FROM kp WHERE big GROUP BY doc_id, section_no),
+cuts AS (SELECT doc_id, section_no, unnest(os) AS block_no, unnest(gs) AS piece FROM cut),
+pc AS (SELECT doc_id, section_no, coalesce(piece, 1)::INT AS piece, any_value(section) AS name, string_agg(part, chr(10) ORDER BY block_no) AS body FROM kp LEFT JOIN cuts USING (doc_id, section_no, block_no) GROUP BY doc_id, section_no, coalesce(piece, 1)),
+pn AS (SELECT *, CASE WHEN piece > 1 THEN name || ' (continued ' || piece || ')' ELSE name END AS section FROM pc),
+pt AS (SELECT doc_id, section_no, piece, section, CASE WHEN piece > 1 AND section_no > 0 THEN chr(10) || '## ' || section || chr(10) || chr(10) || body ELSE body END AS text FROM pn),
+pieces AS (SELECT *, greatest(1, floor(length(text) / 3.5)::INT) AS n_tokens, row_number() OVER (PARTITION BY doc_id ORDER BY section_no, piece) AS place FROM pt)"""
+
+
+CHUNKS = f"""{KSEC}, {_pieces(BUDGET)},
+cg AS (SELECT doc_id, list(place ORDER BY place) AS os, {_reduce("list(struct_pack(o := []::BIGINT[], n := n_tokens::BIGINT, s := 0::BIGINT, g := 0::BIGINT, gs := []::BIGINT[]) ORDER BY place)", BUDGET)} AS gs FROM pieces GROUP BY doc_id),
+cp AS (SELECT doc_id, unnest(os) AS place, unnest(gs) AS group_no FROM cg),
+cj AS (SELECT doc_id, (group_no - 1)::INT AS chunk_index, list(section ORDER BY place) FILTER (WHERE section <> '_preamble') AS headings, string_agg(text, chr(10) || chr(10) ORDER BY place) AS text FROM pieces JOIN cp USING (doc_id, place) GROUP BY doc_id, group_no),
+chunks AS (SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS total_chunks, headings, text, greatest(1, floor(length(text) / 3.5)::INT) AS n_tokens FROM cj)"""
+CHUNK_COMMANDS = f"""{V.sql_commands("lines")},
+cn AS (SELECT doc_id, raw, count(*) AS n, min(line_no) AS first_line FROM cmds GROUP BY doc_id, raw),
+cc AS (SELECT doc_id, chunk_index, raw, n, first_line FROM chunks JOIN cn USING (doc_id) WHERE contains(lower(text), lower(raw)))"""
+
+
+@query("k04_split_sections", f"WITH {V.BLOCKS}, {KSEC}, {_pieces(60)} SELECT * EXCLUDE (place) FROM pieces")
 def k04(spark, sf):
-    """Held against a plain loop in the tests."""
     return K.split_oversized(V.proc_blocks(spark, sf), 60)
 
 
-@query("k06_chunks")
+@query("k06_chunks", f"WITH {V.BLOCKS}, {CHUNKS} SELECT * REPLACE (coalesce(array_to_string(headings, ' > '), '') AS headings) FROM chunks")
 def k06(spark, sf):
     return K.chunks(V.proc_blocks(spark, sf), BUDGET).withColumn("headings", F.array_join("headings", " > "))
 
 
-@query("k07_chunk_commands")
+@query("k07_chunk_commands", f"WITH {V.BLOCKS}, {CHUNKS}, {CHUNK_COMMANDS} SELECT * FROM cc")
 def k07(spark, sf):
     return K.chunk_commands(K.chunks(V.proc_blocks(spark, sf), BUDGET), V.proc_commands(spark, sf))
 
 
-@query("k08_requests")
+@query("k08_requests", f"""WITH {V.BLOCKS}, {CHUNKS}, {CHUNK_COMMANDS}, {STRUCTURES}, titles AS (SELECT doc_id, arg_min(content, block_no) AS title FROM blocks WHERE block_type = 'heading' AND content <> '' GROUP BY doc_id),
+first50 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY first_line, raw) AS place FROM cc QUALIFY place <= 50),
+hints AS (SELECT doc_id, chunk_index, string_agg(raw, '; ' ORDER BY place) AS hints FROM first50 GROUP BY doc_id, chunk_index)
+SELECT doc_id, chunk_index, concat_ws(chr(10), 'Title: ' || coalesce(title, 'Part'), 'Structure: ' || coalesce(structure, 'unknown'), 'Part: ' || CASE WHEN len(headings) > 0 THEN array_to_string(headings, ' → ') ELSE 'Document' END, 'First step: 1', 'Commands seen: ' || hints, '---', text) AS request
+FROM chunks LEFT JOIN titles USING (doc_id) LEFT JOIN structures USING (doc_id) LEFT JOIN hints USING (doc_id, chunk_index)""")
 def k08(spark, sf):
     b = V.proc_blocks(spark, sf)
     c = K.chunks(b, BUDGET)

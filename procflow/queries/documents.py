@@ -218,9 +218,18 @@ def t17(spark, sf):
     return B.normalizer_suitability(V.proc_blocks(spark, sf))
 
 
-@query("t18_words_to_lines")
+_LINE_OF = "CASE WHEN a.line = 0 OR abs(x.t - a.y) > 3 THEN a.line + 1 ELSE a.line END"
+
+
+@query("t18_words_to_lines", f"""
+WITH w AS (SELECT l_orderkey::BIGINT AS doc_id, 1 + l_linenumber // 4 AS page, 'w' || l_partkey AS text, (l_suppkey % 50)::DOUBLE AS x0, (l_partkey % 23)::DOUBLE AS top FROM lineitem),
+p AS (SELECT doc_id, page, list(text ORDER BY round(top / 3), x0, text, top) AS words, list(struct_pack(y := 0::DOUBLE, t := round(top), line := 0::BIGINT, ls := []::BIGINT[]) ORDER BY round(top / 3), x0, text, top) AS xs FROM w GROUP BY doc_id, page),
+f AS (SELECT doc_id, page, words, list_reduce(list_prepend(struct_pack(y := 0::DOUBLE, t := 0::DOUBLE, line := 0::BIGINT, ls := []::BIGINT[]), xs),
+  lambda a, x: struct_pack(y := CASE WHEN a.line = 0 OR abs(x.t - a.y) > 3 THEN x.t ELSE a.y END, t := x.t, line := {_LINE_OF}, ls := list_append(a.ls, {_LINE_OF}))).ls AS ls FROM p),
+u AS (SELECT doc_id, page, unnest(ls) AS line_no, unnest(words) AS word, unnest(range(len(words))) AS place FROM f)
+SELECT doc_id, page, line_no::INT AS line_no, string_agg(word, ' ' ORDER BY place) AS text FROM u GROUP BY doc_id, page, line_no""")
 def t18(spark, sf):
-    """Words placed on pages by their keys; the fold's result is held against a plain loop in the tests."""
+    """Words placed on pages by their keys."""
     li = table(spark, sf, "lineitem")
     words = li.select(F.col("l_orderkey").cast("long").alias("doc_id"), F.expr("1 + l_linenumber div 4").alias("page"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), (F.col("l_suppkey") % 50).cast("double").alias("x0"), (F.col("l_partkey") % 23).cast("double").alias("top"))
     return B.page_words_to_lines(words)
@@ -268,12 +277,16 @@ def g07b(spark, sf):
     return G.extract_commands(B.split_lines(table(spark, sf, "documents"))).groupBy("doc_id", "vendor").agg(F.count("*").alias("n"))
 
 
-@query("g08_enriched", f"WITH {V.COMMANDS} SELECT l.doc_id, l.line_no, coalesce(c.raw, l.raw) AS raw, coalesce(c.normalized, {V.sql_squeeze('lower(l.raw)')}) AS normalized, coalesce(c.vendor, 'generic') AS vendor, coalesce(c.confidence, 0.1) AS confidence FROM lines l LEFT JOIN cmds c USING (doc_id, line_no)")
+# commands are told by distinct line and joined back: the patterns run once a line text
+_BY_LINE = f"{V.LINES}, given AS MATERIALIZED (SELECT DISTINCT raw, raw AS own FROM lines), {V.sql_commands('given')}, told AS MATERIALIZED (SELECT * FROM cmds)"
+
+
+@query("g08_enriched", f"WITH {_BY_LINE} SELECT l.doc_id, l.line_no, coalesce(c.raw, l.raw) AS raw, coalesce(c.normalized, {V.sql_squeeze('lower(l.raw)')}) AS normalized, coalesce(c.vendor, 'generic') AS vendor, coalesce(c.confidence, 0.1) AS confidence FROM lines l LEFT JOIN told c ON c.own = l.raw")
 def g08(spark, sf):
     return G.enrich_commands(V.proc_lines(spark, sf)).select("doc_id", "line_no", "raw", "normalized", "vendor", "confidence")
 
 
-@query("g09_is_command", f"WITH {V.COMMANDS} SELECT l.doc_id, l.line_no, c.doc_id IS NOT NULL AS is_command FROM lines l LEFT JOIN cmds c USING (doc_id, line_no)")
+@query("g09_is_command", f"WITH {_BY_LINE} SELECT l.doc_id, l.line_no, c.own IS NOT NULL AS is_command FROM lines l LEFT JOIN told c ON c.own = l.raw")
 def g09(spark, sf):
     return V.proc_lines(spark, sf).select("doc_id", "line_no", C.is_command(F.col("raw")).alias("is_command"))
 

@@ -578,7 +578,7 @@ def _translated(spark, sf):
 
 _BYV = lambda words: next(x for x in Z.INTENTS if x[0] == words)
 _CMD = "CASE WHEN vendor = 'cisco' AND test_id = 'bgp_neighbors_up' THEN 'show bgp all' " + " ".join(
-    f"WHEN test_id = '{t}' THEN CASE vendor " + " ".join(f"WHEN '{v}' THEN {sql_text(c)}" for v, c in _BYV(w)[1].items()) + f" ELSE {sql_text(_BYV(w)[2])} END" for t, w in (("bgp_neighbors_up", ("bgp", "neighbor")), ("isis_up", ("is-is",)), ("ldp_up", ("ldp",)), ("ospf_up", ("interface",)))
+    f"WHEN test_id = '{t}' THEN CASE vendor " + " ".join(f"WHEN '{v}' THEN {sql_text(c)}" for v, c in _BYV(w)[1].items()) + f" ELSE {sql_text(_BYV(w)[2])} END" for t, w in (("bgp_neighbors_up", ("bgp", "neighbor")), ("isis_up", ("isis|is-is",)), ("ldp_up", ("ldp|mpls",)), ("ospf_up", ("interface",)))
 ) + " ELSE 'show version' END"
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from procflow.queries import artifacts, documents, operations
+from procflow.queries import artifacts, documents, files, operations
 
-_MODULES = (documents, artifacts, operations)
+_MODULES = (documents, artifacts, operations, files)
 flagship = documents.flagship
 
 

@@ -29,14 +29,29 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df):
-    """Cut a table from its lineage into spark.checkpoint.dir, which all executors share; a folder of our own is
-    set only where the session has none and all of Spark runs on this machine."""
+def _shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a folder of our own is set only where the session has none
+    and all of Spark runs on this machine."""
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        root = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(root)
+    return root
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that is not there yet, below the shared one."""
+    import uuid
+
+    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df):
+    """Cut a table from its lineage into the shared folder."""
+    _shared_root(df.sparkSession)
     return df.checkpoint()

@@ -68,9 +68,9 @@ STEP = f"struct<step_id:string,sequence:int,step_type:string,action_type:string,
 MODEL = f"document_title string, source_file string, source_format string, mop_structure string, failure_strategy string, approval_required boolean, steps array<{STEP}>"
 
 
-def read_models(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical models, one JSON document a file."""
-    return spark.read.schema(MODEL).option("multiLine", "true").json(path)
+def read_models(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """Canonical models, one JSON document a file, or one a line as write_models() writes them."""
+    return spark.read.schema(MODEL).option("multiLine", one_a_file).json(path)
 
 
 def model_steps(models: DataFrame, key: str = "source_file") -> DataFrame:

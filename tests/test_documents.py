@@ -196,3 +196,28 @@ def test_formats_of_bytes(spark):
     rows = [(b"\xff\xfe\xc3\x28 text", "x.dat"), (b"plain", "x.dat"), (b"a" * 511 + "é".encode() + b"b", "x.dat"), (b"a\x00b", "x"), (b"a" * 100 + b"\xc3", "x"), (b"%PDF-1.4", "x.txt"), (b"", "x")]
     got = [r[0] for r in spark.createDataFrame(rows, "c binary, p string").select(detect_format(F.col("c"), F.col("p"))).collect()]
     assert got == ["unsupported", "txt", "txt", "unsupported", "unsupported", "pdf", "txt"]
+
+
+def test_dimensions_from_files(spark, tmp_path):
+    from procflow.functions import patterns as P
+    from procflow.sources import dimensions as D
+
+    D.pattern_rows(spark, P.VENDORS).write.json(str(tmp_path / "p"))
+    got = D.load_patterns(spark, str(tmp_path / "p"))
+    assert list(got) == list(P.VENDORS) and got == P.VENDORS
+    (tmp_path / "b").write_text('{"pattern_no": 2, "pattern": "^b"}\n\n{"pattern_no": 1, "pattern": "^a"}\n{"pattern_no": 3}\n')
+    assert D.load_block_list(spark, str(tmp_path / "b")) == ("^a", "^b")
+    (tmp_path / "d").write_text('{"device": "r1", "vendor": "cisco", "protocols": ["bgp"], "other": 1}\n{"vendor": "x"}\n')
+    (row,) = D.read_inventory(spark, str(tmp_path / "d")).collect()
+    assert (row.device, row.protocols, row.port) == ("r1", ["bgp"], None)
+    spark.range(D.MOST + 1).selectExpr("cast(id AS int) AS pattern_no", "'x' AS pattern").write.json(str(tmp_path / "many"))
+    with pytest.raises(ValueError):
+        D.load_block_list(spark, str(tmp_path / "many"))
+
+
+def test_models_one_a_line(spark, tmp_path):
+    steps = M.build_steps(G.extract_commands(lines(spark, "show version", 1).unionByName(lines(spark, "commit", 2))))
+    m = spark.createDataFrame([(1, "a.txt"), (2, "b.txt"), (3, "c.txt")], "doc_id long, source_file string")
+    writers.write_models(writers.models_with_steps(m, steps).coalesce(1), str(tmp_path / "m"))
+    models = S.read_models(spark, str(tmp_path / "m"), one_a_file=False)
+    assert models.count() == 3 and sorted((r.source_file, r.raw_text) for r in S.model_steps(models).collect()) == [("a.txt", "show version"), ("b.txt", "commit")]
