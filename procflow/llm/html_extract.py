@@ -235,20 +235,37 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def features(b: Block, first: bool, last: bool) -> list[str]:
+def around(b: Block) -> list[str]:
+    """Features of where a block stands; many blocks of a page share them."""
+    return ["bias", f"tag={b.tag}"] + [f"in={t}" for t in sorted(b.above)] + [f"name={t}" for t in sorted(b.names)]
+
+
+#: Words of notices, in any case.
+_SAID = {
+    "copyright": ("©", "(c)", "copyright", "all rights reserved"),
+    "notice": ("cookie", "subscribe", "sign up", "log in", "advert", "sponsored", "newsletter"),
+}
+
+
+def own(b: Block, first: bool, last: bool) -> list[str]:
+    """Features of a block's own text and place."""
     n = len(b.text)
-    words = b.text.split()
-    f = ["bias", f"tag={b.tag}", f"length={min(8, int(math.log2(n + 1)))}", f"links={round(4 * b.linked / n)}", f"stops={min(3, sum(b.text.count(c) for c in '.!?。'))}"]
-    f += [f"in={t}" for t in sorted(b.above)] + [f"name={t}" for t in sorted(b.names)]
-    if len(words) < 4:
+    f = [f"length={min(8, int(math.log2(n + 1)))}", f"links={round(4 * b.linked / n)}", f"stops={min(3, sum(b.text.count(c) for c in '.!?。'))}"]
+    if b.text.count(" ") < 3:
         f.append("short")
-    if re.search(r"©|\(c\)|copyright|all rights reserved", b.text, re.I):
-        f.append("copyright")
-    if re.search(r"cookie|subscribe|sign up|log in|advert|sponsored|newsletter", b.text, re.I):
-        f.append("notice")
+    low = b.text.lower()
+    for name, words in _SAID.items():
+        for word in words:
+            if word in low:
+                f.append(name)
+                break
     return f + ["first"] * first + ["last"] * last
 
 
+def features(b: Block, first: bool, last: bool) -> list[str]:
+    return around(b) + own(b, first, last)
+
+
 class Chain:
     """Two labels, one weight for each feature and label 1, and four for the steps between labels."""
 
@@ -256,22 +273,29 @@ class Chain:
         self.weights, self.step = weights, step
 
     def potentials(self, bs: list[Block]) -> np.ndarray:
-        w = self.weights
-        return np.array([[0.0, sum(w.get(f, 0.0) for f in features(b, i == 0, i == len(bs) - 1))] for i, b in enumerate(bs)])
+        """What speaks for each label at each block; for label 0 nothing does."""
+        w, places, out = self.weights, {}, []
+        for i, b in enumerate(bs):
+            place = (b.tag, b.above, b.names)
+            if place not in places:
+                places[place] = sum(w.get(f, 0.0) for f in around(b))
+            out.append((0.0, places[place] + sum(w.get(f, 0.0) for f in own(b, i == 0, i == len(bs) - 1))))
+        return np.array(out)
 
     def decode(self, bs: list[Block]) -> list[int]:
-        """The likeliest labels (Viterbi)."""
+        """The likeliest labels (Viterbi); of two equal ways the one through label 0."""
         if not bs:
             return []
-        s = self.potentials(bs)
-        best, back = s[0], []
-        for i in range(1, len(s)):
-            cand = best[:, None] + self.step
-            back.append(cand.argmax(axis=0))
-            best = cand.max(axis=0) + s[i]
-        y = [int(best.argmax())]
+        s = self.potentials(bs)[:, 1].tolist()
+        (s00, s01), (s10, s11) = self.step.tolist()
+        best0, best1, back = 0.0, s[0], []
+        for x in s[1:]:
+            to0, to1 = best1 + s10 > best0 + s00, best1 + s11 > best0 + s01
+            back.append((int(to0), int(to1)))
+            best0, best1 = (best1 + s10 if to0 else best0 + s00), (best1 + s11 if to1 else best0 + s01) + x
+        y = [int(best1 > best0)]
         for b in reversed(back):
-            y.append(int(b[y[-1]]))
+            y.append(b[y[-1]])
         return y[::-1]
 
 
