@@ -55,3 +55,14 @@ def checkpointed(df):
     """Cut a table from its lineage into the shared folder."""
     _shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a session that was started where they cannot import it."""
+    import os
+    import shutil
+    import tempfile
+
+    package = os.path.dirname(os.path.abspath(__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="ship-"), "procflow"), "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(made)
