@@ -151,8 +151,12 @@ def open_incidents(paged: DataFrame) -> DataFrame:
 
 def ticket_comments(report: DataFrame, state: DataFrame, most: int = 10) -> DataFrame:
     """A comment for each execution that passed or failed, naming at most ``most`` failed steps."""
-    bad = F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == "failed", F.col("step_id")))), 1, most)
-    g = report.groupBy("execution_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "passed").alias("passed"), bad.alias("failed_ids"))
+    counts = report.groupBy("execution_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "passed").alias("passed"))
+    # ranked before they are gathered, so no more than the named ones meet
+    place = F.row_number().over(W.partitionBy("execution_id").orderBy("step_id"))
+    bad = report.where("status = 'failed' and step_id is not null").select("execution_id", "step_id", place.alias("__r")).where(F.col("__r") <= most)
+    bad = bad.groupBy("execution_id").agg(F.array_sort(F.collect_list("step_id")).alias("failed_ids"))
+    g = counts.join(bad, "execution_id", "left")
     d = state.where("status in ('passed', 'failed')").select("execution_id", "status").join(g, "execution_id")
     more = F.when(F.size("failed_ids") > 0, F.concat(F.lit("; failed: "), F.array_join("failed_ids", ", "))).otherwise("")
     return d.select("execution_id", "status", F.concat(F.lit("Execution "), "status", F.lit(": "), F.col("passed").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" steps passed"), more).alias("comment"))

@@ -114,8 +114,13 @@ def device_list(steps: DataFrame) -> DataFrame:
 def approval(steps: DataFrame, models: DataFrame) -> DataFrame:
     """``execution_id, requires_approval, high_blast, flagged``: by the model's flag, steps of high or critical
     reach, and steps that ask for it (the first five of each are named)."""
-    five = lambda c: F.transform(F.slice(F.array_sort(F.collect_list(F.when(c, F.struct("sequence", "step_id")))), 1, 5), lambda x: x["step_id"])
-    g = steps.groupBy("execution_id").agg(five(F.col("blast_radius").isin("high", "critical")).alias("high_blast"), five(F.col("approval_required")).alias("flagged"))
+    wide = F.coalesce(F.col("blast_radius").isin("high", "critical"), F.lit(False)).alias("wide")
+    asks = F.coalesce("approval_required", F.lit(False)).alias("asks")
+    # each kind is ranked by itself before it is gathered: five meet, however many there are
+    place = lambda c: F.row_number().over(W.partitionBy("execution_id", c).orderBy("sequence", "step_id"))
+    s = steps.select("execution_id", "sequence", "step_id", wide, asks).withColumn("rw", place("wide")).withColumn("ra", place("asks"))
+    kept = lambda c, r: F.transform(F.array_sort(F.collect_list(F.when(F.col(c) & (F.col(r) <= 5), F.struct("sequence", "step_id")))), lambda x: x["step_id"])
+    g = s.groupBy("execution_id").agg(kept("wide", "rw").alias("high_blast"), kept("asks", "ra").alias("flagged"))
     d = models.select("execution_id", F.col("approval_required").alias("__m")).join(g, "execution_id")
     return d.select("execution_id", (F.col("__m") | (F.size("high_blast") > 0) | (F.size("flagged") > 0)).alias("requires_approval"), "high_blast", "flagged")
 

@@ -12,7 +12,7 @@ from procflow.operators import fleet as Z
 from procflow.operators import matching as E
 from procflow.operators import runlog as L
 from procflow.plans import graph as G
-from procflow.queries.views import sql_list, sql_text
+from procflow.queries.views import sql_list, sql_strip, sql_text
 from procflow.session import table
 
 QUERIES, SQL = {}, {}
@@ -266,7 +266,14 @@ def e06(spark, sf):
     return E.step_rule_verdicts(_rule_checks(spark, sf))
 
 
-@query("e07_idempotency", f"WITH {LOG}, v AS (SELECT execution_id, entity AS step_id, event_id AS rule_no, CASE WHEN actual_output IS NULL THEN 'proceed' WHEN event_id % 3 = 0 THEN CASE WHEN contains(actual_output, 'Established') THEN 'skip' ELSE 'proceed' END WHEN event_id % 3 = 1 THEN CASE WHEN contains(actual_output, 'Established') THEN 'partial_state' ELSE 'proceed' END ELSE 'proceed' END AS v FROM log), f AS (SELECT execution_id, step_id, min(rule_no) FILTER (WHERE v <> 'proceed') AS rule_no, arg_min(v, rule_no) FILTER (WHERE v <> 'proceed') AS v FROM v GROUP BY execution_id, step_id) SELECT execution_id, step_id, coalesce(v, 'proceed') AS verdict, rule_no FROM f")
+_SKIP = f"{_pick(('Established', 'Established~ no such line', '((('), 'event_id % 3')}".replace("~", "\\n")
+
+
+@query("e07_idempotency", f"""WITH {LOG}, r AS (SELECT *, {_SKIP} AS pattern, list_filter(list_transform(string_split({_SKIP}, '\\n'), lambda x: trim(x)), lambda x: x <> '') AS lines FROM log),
+n AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(actual_output, '(?i)' || x))) AS found FROM r WHERE actual_output IS NOT NULL AND pattern <> '((('),
+v AS (SELECT execution_id, entity AS step_id, event_id AS rule_no, CASE WHEN regexp_matches(actual_output, '(?is)' || pattern) THEN 'skip' WHEN len(lines) > 1 AND found > 0 AND found < len(lines) THEN 'partial_state' END AS v FROM n),
+f AS (SELECT execution_id, step_id, min(rule_no) AS rule_no, arg_min(v, rule_no) AS v FROM v WHERE v IS NOT NULL GROUP BY execution_id, step_id)
+SELECT execution_id, step_id, coalesce(v, 'proceed') AS verdict, rule_no FROM (SELECT DISTINCT execution_id, entity AS step_id FROM log) LEFT JOIN f USING (execution_id, step_id)""")
 def e07(spark, sf):
     pattern = _pick(("Established", "Established\\n no such line", "((("), "event_id % 3").replace("\\n", "\\\\n")
     d = log(spark, sf).selectExpr("execution_id", "entity AS step_id", "event_id AS rule_no", f"{pattern} AS skip_pattern", "actual_output AS output")
@@ -447,15 +454,23 @@ def _pairs(spark, sf):
     return table(spark, sf, "events").selectExpr("event_id AS key", "event_type", f"{b} AS baseline", f"{c} AS current")
 
 
-@query("d01_normalized", "SELECT event_id AS key, '<TS> up' || chr(10) || 'neighbor ' || user_id || ' ' || event_type || chr(10) || 'line ' || event_id % 7 || chr(10) || '<COUNTER>' AS normal FROM events")
+def _sql_normal(x: str) -> str:
+    x = f"regexp_replace(({x.replace('{nl}', 'chr(10)')}), {sql_text(D.TIMESTAMP)}, '<TS>', 'g')"
+    return sql_strip(f"regexp_replace({x}, {sql_text(D.COUNTER)}, '<COUNTER>', 'g')")
+
+
+@query("d01_normalized", f"SELECT event_id AS key, {_sql_normal(_BASE)} AS normal FROM events")
 def d01(spark, sf):
     return _pairs(spark, sf).select("key", D.normalize_output(F.col("baseline")).alias("normal"))
 
 
-_CHG = "chg AS (SELECT event_id AS key, event_type, (event_id % 4 = 0)::INT + (event_id % 6 = 0)::INT AS n_added, (event_id % 4 = 0)::INT AS n_removed FROM events)"
+_SIDE = "(SELECT key, line, count(*) AS n FROM (SELECT key, unnest(string_split({c}, chr(10))) AS line FROM pairs) WHERE trim(line) <> '' GROUP BY key, line)"
+_CHG = f"""pairs AS (SELECT event_id AS key, event_type, {_sql_normal(_BASE)} AS b, {_sql_normal(_CURR)} AS c FROM events), lb AS {_SIDE.format(c="b")}, lc AS {_SIDE.format(c="c")},
+by_line AS (SELECT key, greatest(0, coalesce(lc.n, 0) - coalesce(lb.n, 0)) AS more, greatest(0, coalesce(lb.n, 0) - coalesce(lc.n, 0)) AS fewer FROM lb FULL JOIN lc USING (key, line)),
+chg AS (SELECT key, any_value(event_type) AS event_type, any_value(b <> c) AS changed, sum(more)::INT AS n_added, sum(fewer)::INT AS n_removed FROM pairs JOIN by_line USING (key) GROUP BY key)"""
 
 
-@query("d02_text_diff", f"WITH {_CHG} SELECT key, n_added > 0 OR n_removed > 0 AS changed, n_added, n_removed FROM chg")
+@query("d02_text_diff", f"WITH {_CHG} SELECT key, changed, n_added, n_removed FROM chg")
 def d02(spark, sf):
     return D.text_diff(_pairs(spark, sf)).select("key", "changed", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
@@ -505,7 +520,7 @@ def d04(spark, sf):
     return _step_diff(spark, sf)
 
 
-@query("d05_comparison_report", f"WITH {_CHG} SELECT event_type, count(*) AS total, count(*) FILTER (WHERE n_added + n_removed > 0) AS changed, count(*) FILTER (WHERE n_added + n_removed = 0) AS identical FROM chg GROUP BY event_type")
+@query("d05_comparison_report", f"WITH {_CHG} SELECT event_type, count(*) AS total, count(*) FILTER (WHERE changed) AS changed, count(*) FILTER (WHERE NOT changed) AS identical FROM chg GROUP BY event_type")
 def d05(spark, sf):
     p = _pairs(spark, sf)
     return D.comparison_report(D.text_diff(p).join(p.select("key", "event_type"), "key"), "event_type")
@@ -596,12 +611,14 @@ def z04b(spark, sf):
 # captured outputs: events stand for test runs
 _TXT = f"{_pick(('peer Established', 'peer Idle now', 'cpu at {n}% of limit', 'nothing to see'), 'event_id % 4')}"
 _TSQL = "CASE event_id % 4 WHEN 2 THEN 'cpu at ' || event_id % 100 || '% of limit' ELSE " + _TXT + " END"
-_STAT = "CASE event_id % 4 WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' WHEN 2 THEN CASE WHEN event_id % 100 > 80 THEN 'FAIL' ELSE 'PASS' END ELSE 'FAIL' END"
-_TESTS = f"tests AS (SELECT event_id, 'su' || user_id % 10 AS suite_id, 'R' || user_id AS device, CASE WHEN event_id % 3 = 0 THEN 'bgp' ELSE 'isis' END AS protocol, CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'low' END AS severity, {_STAT} AS status, user_id % 13 <> 0 AS reachable FROM events)"
+_GOOD, _BAD = "Established|cpu", "Idle|Active"
+_PCT = f"TRY_CAST(nullif(regexp_extract(({_TSQL}), '\\b(\\d+(?:\\.\\d+)?)\\s*%', 1), '') AS DOUBLE)"
+_STAT = f"CASE WHEN regexp_matches(({_TSQL}), '(?i){_BAD}') OR NOT regexp_matches(({_TSQL}), '(?i){_GOOD}') THEN 'FAIL' WHEN event_id % 4 = 2 AND {_PCT} > 80 THEN 'FAIL' ELSE 'PASS' END"
+_TESTS = f"tests AS (SELECT event_id, 'su' || user_id % 10 AS suite_id, 'R' || user_id AS device, CASE WHEN event_id % 3 = 0 THEN 'bgp' ELSE 'isis' END AS protocol, CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'low' END AS severity, {_STAT} AS status, {_TSQL} AS output, user_id % 13 <> 0 AS reachable FROM events)"
 
 
 def _tests(spark, sf):
-    d = table(spark, sf, "events").selectExpr("event_id", "'su' || user_id % 10 AS suite_id", "'R' || user_id AS device", "CASE WHEN event_id % 3 = 0 THEN 'bgp' ELSE 'isis' END AS protocol", "CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'low' END AS severity", "user_id % 13 <> 0 AS reachable", f"{_TSQL} AS output", "'Established|cpu' AS success_pattern", "'Idle|Active' AS error_pattern", "CASE WHEN event_id % 4 = 2 THEN cast(80 AS double) END AS threshold_pct", "'t' || event_id % 50 AS test_id")
+    d = table(spark, sf, "events").selectExpr("event_id", "'su' || user_id % 10 AS suite_id", "'R' || user_id AS device", "CASE WHEN event_id % 3 = 0 THEN 'bgp' ELSE 'isis' END AS protocol", "CASE WHEN event_id % 5 = 0 THEN 'critical' ELSE 'low' END AS severity", "user_id % 13 <> 0 AS reachable", f"{_TSQL} AS output", f"'{_GOOD}' AS success_pattern", f"'{_BAD}' AS error_pattern", "CASE WHEN event_id % 4 = 2 THEN cast(80 AS double) END AS threshold_pct", "'t' || event_id % 50 AS test_id")
     return E.evaluate_tests(d)
 
 
@@ -610,7 +627,7 @@ def z05(spark, sf):
     return _tests(spark, sf).select("event_id", "status")
 
 
-@query("z06_failure_reasons", f"WITH {_TESTS} SELECT event_id, CASE WHEN status = 'FAIL' THEN CASE WHEN event_id % 4 = 1 THEN 'peer Idle now' ELSE 'Expected success pattern not found' END END AS failure_reason FROM tests")
+@query("z06_failure_reasons", f"WITH {_TESTS} SELECT event_id, CASE WHEN status = 'FAIL' THEN coalesce(substr(trim(list_filter(string_split(output, chr(10)), lambda x: regexp_matches(x, '(?i){_BAD}'))[1]), 1, 120), 'Expected success pattern not found') END AS failure_reason FROM tests")
 def z06(spark, sf):
     return _tests(spark, sf).select("event_id", "failure_reason")
 
@@ -652,16 +669,29 @@ _VTEXT = ("Cisco IOS XR Software, Version {v}", "JUNOS {v}", "TiMOS-C-{v} both/x
 _VT = "CASE s_suppkey % 6 " + " ".join(f"WHEN {i} THEN {sql_text(t.split('{v}')[0])}" + (f" || '7.' || s_suppkey % 9 || {sql_text(t.split('{v}')[1])}" if "{v}" in t else "") for i, t in enumerate(_VTEXT)) + " END"
 
 
-@query("z10_versions", f"SELECT s_suppkey AS host, {_pick(('cisco', 'juniper', 'nokia', 'arista', 'huawei', 'unknown'), 's_suppkey % 6')} AS vendor, {_pick(('ios-xr', 'junos', 'sros', 'eos', 'vrp', 'unknown'), 's_suppkey % 6')} AS os, CASE WHEN s_suppkey % 6 = 5 THEN 'unknown' ELSE '7.' || s_suppkey % 9 END AS version FROM supplier")
+def _sql_version(field: int) -> str:
+    """One detail of a platform (3: version, 4: model, 5: host) by the first sign that the output has."""
+    get = lambda p: f"coalesce(nullif(trim(regexp_extract(output, {sql_text('(?i)' + p[0])}, 1)), ''), {sql_text(p[1])})"
+    rows = [f"WHEN regexp_matches(output, {sql_text('(?i)' + r[0])}) THEN {get(r[field]) if field > 2 else sql_text(r[field])}" for r in Z.VERSION_RULES]
+    return "CASE " + " ".join(rows) + " ELSE 'unknown' END"
+
+
+@query("z10_versions", f"WITH o AS (SELECT s_suppkey AS host, {_VT} AS output FROM supplier) SELECT host, {_sql_version(1)} AS vendor, {_sql_version(2)} AS os, {_sql_version(3)} AS version, {_sql_version(4)} AS model, {_sql_version(5)} AS hostname FROM o")
 def z10(spark, sf):
     d = table(spark, sf, "supplier").selectExpr("s_suppkey AS host", f"{_VT} AS output").withColumn("v", Z.detect_version(F.col("output")))
-    return d.select("host", "v.vendor", "v.os", "v.version")
+    return d.select("host", "v.vendor", "v.os", "v.version", "v.model", "v.hostname")
 
 
 _LLDP = "CASE WHEN s_suppkey % 2 = 0 THEN 'Management Addresses: 10.1.0.' || s_suppkey % 250 || {nl} || 'Management Addresses -  10.1.0.' || s_suppkey % 250 || {nl} || 'Chassis 10.9.9.9' ELSE 'neighbor 10.2.0.' || s_suppkey % 250 || ' via 10.2.1.' || s_suppkey % 250 END"
 
 
-@query("z11_neighbours", "SELECT s_suppkey AS host, CASE WHEN s_suppkey % 2 = 0 THEN '10.1.0.' || s_suppkey % 250 ELSE '10.2.0.' || s_suppkey % 250 || ',10.2.1.' || s_suppkey % 250 END AS addresses FROM supplier")
+_IP = r"(\d{1,3}(?:\.\d{1,3}){3})"
+
+
+@query("z11_neighbours", f"""WITH o AS (SELECT s_suppkey AS host, {_LLDP.replace('{nl}', 'chr(10)')} AS output FROM supplier),
+f AS (SELECT host, regexp_extract_all(output, {sql_text('(?s)Management Addresses.*?' + _IP)}, 1) AS managed, regexp_extract_all(output, {sql_text(_IP)}, 1) AS every FROM o),
+x AS (SELECT host, CASE WHEN len(managed) > 0 THEN managed ELSE every END AS found FROM f)
+SELECT host, array_to_string(list_filter(found, lambda v, i: list_position(found, v) = i), ',') AS addresses FROM x""")
 def z11(spark, sf):
     d = table(spark, sf, "supplier").selectExpr("s_suppkey AS host", f"{_LLDP.replace('{nl}', 'char(10)')} AS output")
     return d.select("host", F.array_join(Z.neighbour_addresses(F.col("output")), ",").alias("addresses"))
