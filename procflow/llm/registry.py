@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procflow.llm import chat_format, decontaminate, html_extract, license_scan, merkle, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
+from procflow.llm import ann, chat_format, decontaminate, html_extract, license_scan, merkle, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op12_merkle": merkle.op12_merkle,
+        "op13_nearest": ann.op13_nearest,
     }
 
 
