@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from procflow.llm import ann, chat_format, decontaminate, html_extract, license_scan, merkle, mixing, quality_rules, secret_scan, sharding, simhash, toxicity
+from procflow.llm import ann, chat_format, decontaminate, html_extract, license_scan, merkle, mixing, quality_rules, secret_scan, sharding, simhash, toxicity, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_html_extract": html_extract.op9_html_extract,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_whitening": whitening.op11_whitening,
         "op12_merkle": merkle.op12_merkle,
         "op13_nearest": ann.op13_nearest,
     }
