@@ -2,11 +2,13 @@
 
 A leaf is the digest of one row. Leaves of a source, ascending by doc_id, are joined 16 at a time into nodes, these
 again, until one is left: the source's subroot. Subroots, by source, are joined likewise into the root. ``build``
-stores what it makes in the shared folder: *runs* (16 leaves of one first-level node) and *nodes* (one row a node:
-its children's digests and a link to its parent). ``climb`` starts at the runs and ascends the links with a recursive
-common table expression: each step appends the siblings of a node to the proof and folds the digest of every leaf of
-the run with them. All leaves of a run have the same siblings above it, so that they climb in one row and the text of
-a proof is held once for 16 leaves.
+stores what it makes in the shared folder, digests as 32 bytes: *runs* (the 256 leaves below one node of the second
+level, with the digests of the first) and *nodes* (a row for each node above: its children's digests). Each row links
+to its parent. ``climb`` starts at the runs and ascends the links with a recursive common table expression: each step
+appends the siblings of a node to the proof and folds the digest of every leaf of the run with them. All leaves of a
+run have the same siblings above it, so that they climb in one row and the text of a proof is held once for them;
+leaves whose digests have become the same on the way to the top of their run (those that were not tampered with)
+climb as one.
 
 Nothing here meets in one task: positions are counted over range partitions, not by a window over a source, and a
 node that many runs climb through is repeated, once for RUNS_PER_COPY of the runs below it.
@@ -25,7 +27,10 @@ from pyspark.sql import Window as W
 from procflow.llm.common import cut, table
 
 FAN = 16
-HEX = 64
+#: Leaves of a run: two levels.
+RUN = FAN * FAN
+#: Bytes of a digest.
+WIDTH = 32
 #: A node row is repeated so that each copy serves about so many runs.
 RUNS_PER_COPY = 256
 #: Rows of the table of offsets (one for each source and range partition) up to which it is broadcast.
@@ -41,6 +46,21 @@ def field(c: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(s).cast("string"), F.lit(":"), s), F.lit("-"))
 
 
+def text_of(digests: str) -> str:
+    """SQL for digests, as bytes one after the other, as hex text."""
+    return f"lower(hex({digests}))"
+
+
+def joined(digests: str) -> str:
+    """SQL for an array of digests one after the other, as bytes (array_join takes texts only)."""
+    return f"unhex(array_join(transform({digests}, d -> hex(d)), ''))"
+
+
+def h(digests: str) -> str:
+    """SQL for the digest, as bytes, of some digests' hex texts."""
+    return f"unhex(sha2({text_of(digests)}, 256))"
+
+
 def leaf_digest(doc_id: Column, source: Column, lang: Column, n_chars: Column, text: Column) -> Column:
     return F.sha2(F.concat(*[field(c) for c in (doc_id, source, lang, n_chars, text)]), 256)
 
@@ -82,8 +102,8 @@ def _ascend(level_rows: DataFrame, level: int) -> DataFrame:
     """The nodes above ``tree, size, idx, digest, runs`` of trees that still have several."""
     several = level_rows.where(F.col("size") > FAN ** (level - 1))
     kids = F.array_sort(F.collect_list(F.struct("idx", "digest")))
-    g = several.groupBy("tree", F.expr(f"idx div {FAN}").alias("up")).agg(F.first("size").alias("size"), F.array_join(F.transform(kids, lambda k: k["digest"]), "").alias("children"), F.sum("runs").alias("runs"))
-    return g.select("tree", "size", F.lit(level).alias("level"), F.col("up").alias("idx"), F.sha2("children", 256).alias("digest"), "children", "runs")
+    g = several.groupBy("tree", F.expr(f"idx div {FAN}").alias("up")).agg(F.first("size").alias("size"), F.unhex(F.array_join(F.transform(kids, lambda k: F.hex(k["digest"])), "")).alias("children"), F.sum("runs").alias("runs"))
+    return g.select("tree", "size", F.lit(level).alias("level"), F.col("up").alias("idx"), F.expr(h("children")).alias("digest"), "children", "runs")
 
 
 def _levels(rows: DataFrame, first: int) -> list[DataFrame]:
@@ -109,88 +129,102 @@ def _linked(rows: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.join(parents, ["up_tree", "up_level", "up_idx"], "left")
 
 
-def build(docs: DataFrame, presented: Column | None = None) -> tuple[DataFrame, DataFrame, str]:
+def build(docs: DataFrame, presented: Column | None = None) -> tuple[DataFrame, DataFrame, str | None]:
     """``(runs, nodes, root)`` of ``docs``, stored in the shared folder.
 
-    runs: tree, size, level (1; 0 for the leaf of a source of one row), idx, digest, leaves (array of pos, doc_id, leaf,
-    start) and the link to the parent. nodes: tree, level, idx, digest, children, runs and the link. root is null if
-    there are no rows. ``presented`` is the text that is shown for checking, instead of ``text``: ``start`` is its leaf.
+    runs: tree, size, level (of the run's node: 0 for the leaf of a source of one row, 1 up to 16 rows, else 2), idx,
+    digest, firsts (digests of the first level), leaves (array of pos, doc_id, leaf, start). nodes: tree, level, idx,
+    digest, children, runs and the link to the parent. root is null if there are no rows. ``presented`` is the text that
+    is shown for checking, instead of ``text``: ``start`` is its leaf, null where that is the stored one.
     """
     c = [F.col(x) for x in ("doc_id", "source", "lang", "n_chars")]
-    leaf = leaf_digest(*c, F.col("text"))
-    start = leaf if presented is None else F.when(presented.eqNullSafe(F.col("text")), F.lit(None)).otherwise(leaf_digest(*c, presented))
+    start = F.lit(None).cast("binary")
+    if presented is not None:
+        start = F.when(~presented.eqNullSafe(F.col("text")), F.unhex(leaf_digest(*c, presented)))
     tree = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    leaves = cut(docs.select(c[0].alias("doc_id"), tree.alias("tree"), leaf.alias("leaf"), start.alias("start")), "leaves")
-    placed = numbered(leaves.withColumn("start", F.coalesce("start", "leaf")), "tree", "doc_id", "leaf")
-    run = placed.groupBy("tree", F.expr(f"pos div {FAN}").alias("idx")).agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "doc_id", "leaf", "start"))).alias("leaves"))
-    lone = F.col("size") == 1
-    digests = F.array_join(F.transform("leaves", lambda x: x["leaf"]), "")
-    runs = cut(run.select("tree", "size", F.when(lone, 0).otherwise(1).alias("level"), "idx", F.when(lone, digests).otherwise(F.sha2(digests, 256)).alias("digest"), "leaves"), "runs")
+    leaves = cut(docs.select(c[0].alias("doc_id"), tree.alias("tree"), F.unhex(leaf_digest(*c, F.col("text"))).alias("leaf"), start.alias("start")), "leaves")
+    placed = numbered(leaves, "tree", "doc_id", "leaf")
+    run = placed.groupBy("tree", F.expr(f"pos div {RUN}").alias("idx")).agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("pos", "doc_id", "leaf", "start"))).alias("leaves"))
+    run = run.withColumn("level", F.least(height(F.col("size")), F.lit(2)))
+    run = run.withColumn("firsts", F.expr(f"transform(sequence(0, (size(leaves) - 1) div {FAN}), j -> {h(joined(f'slice(leaves.leaf, {FAN} * j + 1, {FAN})'))})"))
+    run = run.withColumn("digest", F.expr(f"CASE level WHEN 0 THEN leaves[0].leaf WHEN 1 THEN firsts[0] ELSE {h(joined('firsts'))} END"))
+    runs = cut(run.select("tree", "size", "level", "idx", "digest", "firsts", "leaves"), "runs")
     slim = runs.select("tree", "size", "level", "idx", "digest", F.lit(1).cast("long").alias("runs"))
-    levels = _levels(slim, 2)
-    tops = [x.where(F.col("level") == height(F.col("size"))).select("tree", "digest", F.lit(0).alias("all"), x["runs"]) for x in (slim, *levels)]
-    subroots = tops[0]
-    for t in tops[1:]:
-        subroots = subroots.union(t)
+    levels = _levels(slim, 3)
+    subroots = None
+    for x in (slim, *levels):
+        top = x.where(F.col("level") == height(F.col("size"))).select("tree", "digest", F.lit(0).alias("all"), "runs")
+        subroots = top if subroots is None else subroots.union(top)
     places = cut(numbered(subroots, "all", "tree").select("tree", "digest", "size", "pos", "runs"), "subroots")
     crown = _levels(places.select(F.lit(ROOT).alias("tree"), "size", F.col("pos").alias("idx"), "digest", "runs"), 1)
-    last = (crown[-1] if crown else places).select("digest").first()
-    nodes = None
+    last = (crown[-1] if crown else places).select(F.expr(text_of("digest"))).first()
+    nodes = slim.where("false").withColumn("children", F.lit(None).cast("binary"))
     for x in (*levels, *crown):
-        nodes = x if nodes is None else nodes.unionByName(x)
-    if nodes is None:  # one run, or none at all
-        nodes = slim.where("false").withColumn("children", F.lit(""))
-    nodes = cut(_linked(nodes, places, nodes), "nodes")
-    return cut(_linked(runs, places, nodes), "linked-runs"), nodes, last[0] if last else None
+        nodes = nodes.unionByName(x)
+    links = nodes.unionByName(slim.withColumn("children", F.lit(None).cast("binary")))
+    links = cut(_linked(links, places, nodes), "nodes")
+    return runs, links, last[0] if last else None
 
 
 def _others(children: str, slot: str) -> tuple[str, str]:
     """SQL for what stands left and right of a child."""
-    return f"substr({children}, 1, {HEX} * {slot})", f"substr({children}, {HEX} * {slot} + {HEX + 1})"
+    return f"substring({children}, 1, {WIDTH} * {slot})", f"substring({children}, {WIDTH} * {slot} + {WIDTH + 1})"
+
+
+def _folded() -> str:
+    """SQL for what the leaves of a run fold to at its node, one after the other."""
+    left, right = f"slice(leaves.leaf, {FAN} * (i div {FAN}) + 1, i % {FAN})", f"slice(leaves.leaf, i + 2, {FAN} - 1 - i % {FAN})"
+    start = "coalesce(x.start, x.leaf)"
+    first = h(f"concat({joined(left)}, {start}, {joined(right)})")
+    second = h(f"concat({joined(f'slice(firsts, 1, i div {FAN})')}, {first}, {joined(f'slice(firsts, i div {FAN} + 2, {FAN})')})")
+    return f"transform(leaves, (x, i) -> CASE level WHEN 0 THEN {start} WHEN 1 THEN {first} ELSE {second} END)"
 
 
 def climb(runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``tree, idx, folds, proof, subroot`` for each run: the digest that each of its leaves (by their ``start``) folds
-    to at the root, the siblings above the run, and its source's subroot. A recursive query over the stored nodes."""
+    """``tree, idx, folds, proof, subroot`` for each run: the different digests that its leaves have at the run's node,
+    each folded to the root; the siblings above the run; its source's subroot. A recursive query over stored nodes."""
     spark = runs.sparkSession
     left, right = _others("p.children", "c.slot")
     copy = lambda idx, n: f"pmod(xxhash64({idx}), {n})"
-    mine = "transform(leaves, (x, i) -> sha2(concat(array_join(transform(slice(leaves, 1, i), y -> y.leaf), ''), x.start, array_join(transform(slice(leaves, i + 2, 16), y -> y.leaf), '')), 256))"
+    fold = h(f"concat({left}, x, {right})")
     sql = f"""
     WITH RECURSIVE climb(tree, idx, up_tree, up_level, up_idx, up_copy, slot, folds, proof, subroot) AS (
-      SELECT tree, idx, up_tree, up_level, up_idx, {copy('idx', 'up_copies')}, slot,
-             CASE WHEN level = 0 THEN transform(leaves, x -> x.start) ELSE {mine} END, '',
+      SELECT tree, idx, up_tree, up_level, up_idx, {copy("idx", "up_copies")}, slot, folds, CAST('' AS BINARY),
              CASE WHEN up_tree IS NULL OR up_tree <> tree THEN digest END
-      FROM {{runs}}
+      FROM {{starts}}
       UNION ALL
-      SELECT c.tree, c.idx, p.up_tree, p.up_level, p.up_idx, {copy('c.idx', 'p.up_copies')}, p.slot,
-             transform(c.folds, h -> sha2(concat({left}, h, {right}), 256)), concat(c.proof, {left}, {right}),
+      SELECT c.tree, c.idx, p.up_tree, p.up_level, p.up_idx, {copy("c.idx", "p.up_copies")}, p.slot,
+             transform(c.folds, x -> {fold}), concat(c.proof, {left}, {right}),
              coalesce(c.subroot, CASE WHEN p.up_tree IS NULL OR p.up_tree <> p.tree THEN p.digest END)
       FROM climb c JOIN {{nodes}} p ON c.up_tree = p.tree AND c.up_level = p.level AND c.up_idx = p.idx AND c.up_copy = p.copy)
     SELECT tree, idx, folds, proof, subroot FROM climb WHERE up_tree IS NULL"""
-    copies = nodes.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("runs") / RUNS_PER_COPY) - 1)))
+    link = nodes.where("children IS NULL").select("tree", "idx", "up_tree", "up_level", "up_idx", "up_copies", "slot", "digest")
+    starts = cut(runs.select("tree", "idx", F.array_distinct(F.expr(_folded())).alias("folds")).join(link, ["tree", "idx"]), "starts")
+    above = nodes.where("children IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("runs") / RUNS_PER_COPY) - 1)))
     limit = "spark.sql.cteRecursionRowLimit"  # meant for queries that never end; the tree is as deep as its rows need
     was = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return cut(spark.sql(sql, runs=runs, nodes=copies), "climb")
+        return cut(spark.sql(sql, starts=starts, nodes=above), "climb")
     finally:
         spark.conf.set(limit, was)
 
 
 def prove(docs: DataFrame, presented: Column | None = None) -> DataFrame:
-    """``doc_id, leaf, subroot, root, proof, folded_root, verified`` for every row.
+    """``doc_id, leaf, subroot, root, proof, folded_root, verified`` for every row, digests as hex text.
 
     proof is the text of all siblings from the leaf to the root. folded_root is what the leaf of ``presented`` (a text
     column; without one, the stored text) and the siblings give, verified whether that is the root.
     """
     runs, nodes, root = build(docs, presented)
     up = climb(runs, nodes).select("tree", "idx", "folds", F.col("proof").alias("above"), "subroot")
-    d = runs.select("tree", "idx", "leaves").join(up, ["tree", "idx"])
-    d = d.withColumn("names", F.transform("leaves", lambda x: x["leaf"]))
-    d = d.select("names", "folds", "above", "subroot", F.posexplode("leaves").alias("i", "l"))
-    beside = F.concat(F.array_join(F.slice("names", F.lit(1), F.col("i")), ""), F.array_join(F.slice("names", F.col("i") + 2, F.lit(FAN)), ""))
-    d = d.select(F.col("l.doc_id").alias("doc_id"), F.col("l.leaf").alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"), F.concat(beside, "above").alias("proof"), F.get("folds", F.col("i")).alias("folded_root"))
+    d = runs.join(up, ["tree", "idx"]).withColumn("own", F.expr(_folded())).withColumn("kinds", F.array_distinct("own"))
+    d = d.withColumn("ends", F.expr("transform(own, x -> folds[array_position(kinds, x) - 1])"))
+    names, firsts = F.expr("transform(leaves.leaf, x -> lower(hex(x)))"), F.expr("transform(firsts, x -> lower(hex(x)))")
+    d = d.select(names.alias("names"), firsts.alias("firsts"), "level", "ends", F.expr(text_of("above")).alias("above"), F.expr(text_of("subroot")).alias("subroot"), F.posexplode("leaves").alias("i", "l"))
+    first = f"CASE WHEN level >= 1 THEN array_join(slice(names, {FAN} * (i div {FAN}) + 1, i % {FAN}), '') || array_join(slice(names, i + 2, {FAN} - 1 - i % {FAN}), '') ELSE '' END"
+    second = f"CASE WHEN level >= 2 THEN array_join(slice(firsts, 1, i div {FAN}), '') || array_join(slice(firsts, i div {FAN} + 2, {FAN}), '') ELSE '' END"
+    d = d.select(F.col("l.doc_id").alias("doc_id"), F.expr(text_of("l.leaf")).alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"), F.expr(f"concat({first}, {second}, above)").alias("proof"), F.expr(text_of("ends[i]")).alias("folded_root"))
     return d.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
