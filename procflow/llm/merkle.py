@@ -133,7 +133,8 @@ def build(docs: DataFrame, presented: Column | None = None) -> tuple[DataFrame,
     """``(runs, nodes, root)`` of ``docs``, stored in the shared folder.
 
     runs: tree, size, level (of the run's node: 0 for the leaf of a source of one row, 1 up to 16 rows, else 2), idx,
-    digest, firsts (digests of the first level), leaves (array of pos, doc_id, leaf, start). nodes: tree, level, idx,
+    digest, firsts (digests of the first level), leaves (array of pos, doc_id, leaf, start), folds (the different digests
+    that the leaves' starts give at the run's node) and at (of each leaf, its place in folds). nodes: tree, level, idx,
     digest, children, runs and the link to the parent. root is null if there are no rows. ``presented`` is the text that
     is shown for checking, instead of ``text``: ``start`` is its leaf, null where that is the stored one.
     """
@@ -148,7 +149,8 @@ def build(docs: DataFrame, presented: Column | None = None) -> tuple[DataFrame,
     run = run.withColumn("level", F.least(height(F.col("size")), F.lit(2)))
     run = run.withColumn("firsts", F.expr(f"transform(sequence(0, (size(leaves) - 1) div {FAN}), j -> {h(joined(f'slice(leaves.leaf, {FAN} * j + 1, {FAN})'))})"))
     run = run.withColumn("digest", F.expr(f"CASE level WHEN 0 THEN leaves[0].leaf WHEN 1 THEN firsts[0] ELSE {h(joined('firsts'))} END"))
-    runs = cut(run.select("tree", "size", "level", "idx", "digest", "firsts", "leaves"), "runs")
+    runs = cut(run.select("tree", "size", "level", "idx", "digest", "firsts", "leaves"), "bare-runs")
+    runs = cut(runs.select("*", F.expr(_folded()).alias("f")).select("tree", "size", "level", "idx", "digest", "firsts", "leaves", "f.folds", "f.at"), "runs")
     slim = runs.select("tree", "size", "level", "idx", "digest", F.lit(1).cast("long").alias("runs"))
     levels = _levels(slim, 3)
     subroots = None
@@ -171,18 +173,24 @@ def _others(children: str, slot: str) -> tuple[str, str]:
     return f"substring({children}, 1, {WIDTH} * {slot})", f"substring({children}, {WIDTH} * {slot} + {WIDTH + 1})"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL that computes ``value`` once for all its uses in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _folded() -> str:
-    """SQL for what the leaves of a run fold to at its node, one after the other."""
-    left, right = f"slice(leaves.leaf, {FAN} * (i div {FAN}) + 1, i % {FAN})", f"slice(leaves.leaf, i + 2, {FAN} - 1 - i % {FAN})"
+    """SQL for folds and at of a run."""
+    left, right = f"slice(b, {FAN} * (i div {FAN}) + 1, i % {FAN})", f"slice(b, i + 2, {FAN} - 1 - i % {FAN})"
     start = "coalesce(x.start, x.leaf)"
     first = h(f"concat({joined(left)}, {start}, {joined(right)})")
     second = h(f"concat({joined(f'slice(firsts, 1, i div {FAN})')}, {first}, {joined(f'slice(firsts, i div {FAN} + 2, {FAN})')})")
-    return f"transform(leaves, (x, i) -> CASE level WHEN 0 THEN {start} WHEN 1 THEN {first} ELSE {second} END)"
+    own = let("b", "leaves.leaf", f"transform(leaves, (x, i) -> CASE level WHEN 0 THEN {start} WHEN 1 THEN {first} ELSE {second} END)")
+    return let("o", own, let("k", "array_distinct(o)", "named_struct('folds', k, 'at', transform(o, x -> CAST(array_position(k, x) - 1 AS INT)))"))
 
 
 def climb(runs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``tree, idx, folds, proof, subroot`` for each run: the different digests that its leaves have at the run's node,
-    each folded to the root; the siblings above the run; its source's subroot. A recursive query over stored nodes."""
+    """``tree, idx, folds, proof, subroot`` for each run: its folds at the root, the siblings above it, and its source's
+    subroot. A recursive query over the stored nodes."""
     spark = runs.sparkSession
     left, right = _others("p.children", "c.slot")
     copy = lambda idx, n: f"pmod(xxhash64({idx}), {n})"
@@ -199,7 +207,7 @@ def climb(runs: DataFrame, nodes: DataFrame) -> DataFrame:
       FROM climb c JOIN {{nodes}} p ON c.up_tree = p.tree AND c.up_level = p.level AND c.up_idx = p.idx AND c.up_copy = p.copy)
     SELECT tree, idx, folds, proof, subroot FROM climb WHERE up_tree IS NULL"""
     link = nodes.where("children IS NULL").select("tree", "idx", "up_tree", "up_level", "up_idx", "up_copies", "slot", "digest")
-    starts = cut(runs.select("tree", "idx", F.array_distinct(F.expr(_folded())).alias("folds")).join(link, ["tree", "idx"]), "starts")
+    starts = cut(runs.select("tree", "idx", "folds").join(link, ["tree", "idx"]), "starts")
     above = nodes.where("children IS NOT NULL").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("runs") / RUNS_PER_COPY) - 1)))
     limit = "spark.sql.cteRecursionRowLimit"  # meant for queries that never end; the tree is as deep as its rows need
     was = spark.conf.get(limit)
@@ -217,15 +225,16 @@ def prove(docs: DataFrame, presented: Column | None = None) -> DataFrame:
     column; without one, the stored text) and the siblings give, verified whether that is the root.
     """
     runs, nodes, root = build(docs, presented)
-    up = climb(runs, nodes).select("tree", "idx", "folds", F.col("proof").alias("above"), "subroot")
-    d = runs.join(up, ["tree", "idx"]).withColumn("own", F.expr(_folded())).withColumn("kinds", F.array_distinct("own"))
-    d = d.withColumn("ends", F.expr("transform(own, x -> folds[array_position(kinds, x) - 1])"))
-    names, firsts = F.expr("transform(leaves.leaf, x -> lower(hex(x)))"), F.expr("transform(firsts, x -> lower(hex(x)))")
-    d = d.select(names.alias("names"), firsts.alias("firsts"), "level", "ends", F.expr(text_of("above")).alias("above"), F.expr(text_of("subroot")).alias("subroot"), F.posexplode("leaves").alias("i", "l"))
-    first = f"CASE WHEN level >= 1 THEN array_join(slice(names, {FAN} * (i div {FAN}) + 1, i % {FAN}), '') || array_join(slice(names, i + 2, {FAN} - 1 - i % {FAN}), '') ELSE '' END"
-    second = f"CASE WHEN level >= 2 THEN array_join(slice(firsts, 1, i div {FAN}), '') || array_join(slice(firsts, i div {FAN} + 2, {FAN}), '') ELSE '' END"
-    d = d.select(F.col("l.doc_id").alias("doc_id"), F.expr(text_of("l.leaf")).alias("leaf"), "subroot", F.lit(root).cast("string").alias("root"), F.expr(f"concat({first}, {second}, above)").alias("proof"), F.expr(text_of("ends[i]")).alias("folded_root"))
-    return d.withColumn("verified", F.col("folded_root") == F.col("root"))
+    up = climb(runs, nodes).select("tree", "idx", F.col("folds").alias("ends"), F.col("proof").alias("above"), F.col("subroot").alias("top"))
+    first = f"CASE WHEN level >= 1 THEN concat(array_join(slice(n, {FAN} * (i div {FAN}) + 1, i % {FAN}), ''), array_join(slice(n, i + 2, {FAN} - 1 - i % {FAN}), '')) ELSE '' END"
+    second = f"CASE WHEN level >= 2 THEN concat(array_join(slice(f, 1, i div {FAN}), ''), array_join(slice(f, i div {FAN} + 2, {FAN}), '')) ELSE '' END"
+    row = f"named_struct('doc_id', x.doc_id, 'leaf', n[i], 'subroot', t, 'proof', concat({first}, {second}, a), 'folded_root', e[at[i]])"
+    rows = f"transform(leaves, (x, i) -> {row})"
+    texts = {"t": text_of("top"), "a": text_of("above"), "e": "transform(ends, d -> lower(hex(d)))", "f": "transform(firsts, d -> lower(hex(d)))", "n": "transform(leaves.leaf, d -> lower(hex(d)))"}
+    for name, value in texts.items():
+        rows = let(name, value, rows)
+    d = runs.drop("folds").join(up, ["tree", "idx"]).select(F.expr(f"inline({rows})"))
+    return d.select("doc_id", "leaf", "subroot", F.lit(root).cast("string").alias("root"), "proof", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
