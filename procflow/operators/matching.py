@@ -45,6 +45,18 @@ def match_expected(expected: pd.Series, actual: pd.Series) -> pd.Series:
     return pd.Series([_matches(e, a) for e, a in zip(expected, actual)], dtype=bool)
 
 
+def searched(pattern: str | None, output: str) -> bool | None:
+    """Whether a pattern is found in an output, in any case and over line ends; None if it does not compile."""
+    p = _compiled(pattern, re.I | re.S) if pattern is not None else None
+    return None if p is None else p.search(output) is not None
+
+
+@F.pandas_udf(BooleanType())
+def search_pattern(pattern: pd.Series, output: pd.Series) -> pd.Series:
+    """``searched`` of columns whose patterns differ by row."""
+    return pd.Series([searched(p, o) for p, o in zip(pattern, output)], dtype=object)
+
+
 def device_error(output: Column) -> Column:
     """The first sign of an error in a device's output; null if none."""
     return F.nullif(F.regexp_extract(F.coalesce(output, F.lit("")), P.DEVICE_ERROR, 0), F.lit(""))

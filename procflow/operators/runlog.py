@@ -92,10 +92,19 @@ def latest_executions(log: DataFrame, n: int = 20) -> DataFrame:
     return last.join(s, "execution_id", "left").na.fill(0, ["steps_total", "steps_passed"])
 
 
+def _latest_status(log: DataFrame, n: int) -> DataFrame:
+    """The last status of each of the ``n`` executions with the newest transitions of their own."""
+    return log.where("entity = 'execution'").groupBy("execution_id").agg(F.max_by("to_status", "ts").alias("status"), F.max("ts").alias("t")).orderBy(F.col("t").desc(), "execution_id").limit(n)
+
+
 def status_metrics(log: DataFrame, n: int = 500) -> DataFrame:
     """``status, n, line``: statuses of the latest ``n`` executions, also as lines of text exposition."""
-    last = log.where("entity = 'execution'").groupBy("execution_id").agg(F.max_by("to_status", "ts").alias("status"), F.max("ts").alias("t")).orderBy(F.col("t").desc(), "execution_id").limit(n)
-    return last.groupBy("status").agg(F.count("*").alias("n")).withColumn("line", F.format_string('executions_total{status="%s"} %d', "status", "n"))
+    return _latest_status(log, n).groupBy("status").agg(F.count("*").alias("n")).withColumn("line", F.format_string('executions_total{status="%s"} %d', "status", "n"))
+
+
+def active_executions(log: DataFrame, n: int = 500) -> DataFrame:
+    """One row, ``n, line``: how many of the latest ``n`` executions run, also as a line of text exposition."""
+    return _latest_status(log, n).agg(F.count_if(F.col("status") == "running").alias("n")).withColumn("line", F.format_string("executions_active %d", "n"))
 
 
 def decision_summary(decisions: DataFrame) -> DataFrame:
@@ -113,7 +122,11 @@ def iso_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, r"[zZ]$", "+00:00"))
 
 
-def split_expired(log: DataFrame, now: Column, hours: int = 168) -> tuple[DataFrame, DataFrame]:
+#: Hours after its last transition for which an execution stays in the log (fixed value).
+TTL_HOURS = 168
+
+
+def split_expired(log: DataFrame, now: Column, hours: int = TTL_HOURS) -> tuple[DataFrame, DataFrame]:
     """The log of executions whose last transition is younger than ``hours``, and the rest."""
     last = log.groupBy("execution_id").agg(F.max("ts").alias("last_ts"))
     old = last.where(F.col("last_ts") < now - F.expr(f"INTERVAL {int(hours)} HOURS")).select("execution_id")

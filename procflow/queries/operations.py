@@ -431,12 +431,6 @@ def y04(spark, sf):
     return L.approval_outcomes(rq.select("request_id", "ts"), answers)
 
 
-@query("y05_once", f"WITH {LOG} SELECT execution_id, entity, to_status, count(*) AS n FROM (SELECT DISTINCT execution_id, entity, to_status FROM log) GROUP BY ALL")
-def y05(spark, sf):
-    """What is left when every lifecycle event is taken once."""
-    return log(spark, sf).dropDuplicates(["execution_id", "entity", "to_status"]).groupBy("execution_id", "entity", "to_status").agg(F.count("*").alias("n"))
-
-
 @query("y06_escalations", f"WITH {_DEC} SELECT event_id, execution_id, decision FROM dec WHERE confidence < 0.6")
 def y06(spark, sf):
     from procflow.streaming import streams

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from procflow.queries import artifacts, documents, files, operations
+from procflow.queries import artifacts, documents, files, live, operations
 
-_MODULES = (documents, artifacts, operations, files)
+_MODULES = (documents, artifacts, operations, files, live)
 flagship = documents.flagship
 
 

@@ -5,6 +5,7 @@ The folds are those of operators.runlog; a stream and a batch over the same rows
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from procflow.operators import runlog
+from procflow.operators import matching, runlog, waits
 from procflow.sources.documents import DECISION
 
 TRANSITION = "ts timestamp, execution_id string, entity string, to_status string, agent string, message string, actual_output string"
@@ -23,12 +24,87 @@ def read_transitions(spark: SparkSession, path: str, schema: str = TRANSITION) -
 
 
 def live_step_state(log: DataFrame) -> DataFrame:
-    """The state of each step, for update mode."""
+    """The state of each step as one aggregation: for tables, or streams whose number of steps is bounded, as it is kept
+    for ever. ``live_state`` ends it."""
     return runlog.step_state(log)
 
 
-def live_execution_state(log: DataFrame) -> DataFrame:
-    return runlog.execution_state(log)
+#: Event time for which a finished step or execution is kept for stragglers, and one that never ends.
+HOLD, IDLE = 3600, 168 * 3600
+_LIVE = "execution_id string, entity string, status string, attempts long, created_at timestamp, started_at timestamp, completed_at timestamp, final boolean"
+
+
+def _ms(t: pd.Series) -> pd.Series:
+    """Timestamps (of a session in UTC) as microseconds."""
+    return t.astype("datetime64[us]").astype("int64")
+
+
+class LiveState(StatefulProcessor):
+    """The fold of one step's or execution's transitions. Each batch that touches it gives its row; once event time
+    has passed ``hold`` seconds since the last transition of one that ended (``idle`` seconds else), its row is given
+    a last time as final and its state goes."""
+
+    def __init__(self, hold: int, idle: int):
+        self.hold, self.idle = hold, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("live", "status string, at long, attempts long, created long, first_run long, last_run long, ended long, due long")
+
+    def _row(self, key, s, final: bool) -> pd.DataFrame:
+        status, _, attempts, created, first_run, last_run, ended, _ = s
+        started = first_run if key[1] == "execution" else last_run
+        at = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
+        return pd.DataFrame([(*key, status, attempts, at(created), at(started), at(ended), final)], columns=[c.split()[0] for c in _LIVE.split(", ")])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        none = (None, None, 0, None, None, None, None, None)
+        status, at, attempts, created, first_run, last_run, ended, due = self.state.get() if self.state.exists() else none
+        was = due
+        ends = runlog.EXECUTION_ENDS if key[1] == "execution" else runlog.STEP_ENDS
+        pdf = pd.concat(list(rows))
+        out = []
+        for us, to in sorted(zip(_ms(pdf["ts"]).tolist(), pdf["to_status"].tolist())):
+            if due is not None and us // 1000 >= due:  # its time was over before this one, which begins anew
+                out.append(self._row(key, (status, at, attempts, created, first_run, last_run, ended, due), True))
+                status, at, attempts, created, first_run, last_run, ended, due = none
+            if at is None or us >= at:
+                status, at = to, us
+            created = us if created is None else min(created, us)
+            if to == "running":
+                attempts += 1
+                first_run, last_run = us if first_run is None else min(first_run, us), us if last_run is None else max(last_run, us)
+            if to in ends:
+                ended = us if ended is None else max(ended, us)
+            due = at // 1000 + (self.hold if status in ends else self.idle) * 1000 + 1
+        if due != was:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(due)
+        s = (status, at, attempts, created, first_run, last_run, ended, due)
+        self.state.update(s)
+        yield pd.concat([*out, self._row(key, s, False)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            s = self.state.get()
+            self.state.clear()
+            yield self._row(key, s, True)
+
+    def close(self) -> None:
+        pass
+
+
+def live_state(log: DataFrame, late: str = "10 minutes", hold: int = HOLD, idle: int = IDLE) -> DataFrame:
+    """``execution_id, entity, status, attempts, created_at, started_at, completed_at, final`` as the transitions come
+    in, for update mode: a row for each entity that a batch touches, and a final one when its state goes.
+
+    The numbers are those of ``runlog.step_state`` and ``runlog.execution_state`` as long as no transition comes more
+    than ``hold`` seconds (``idle``, if it has not ended) of event time after the one before; a later one begins anew.
+    Transitions behind the watermark are dropped. Needs the RocksDB state store and a session in UTC.
+    """
+    d = log.select("ts", "execution_id", "entity", "to_status").withWatermark("ts", late)
+    return d.groupBy("execution_id", "entity").transformWithStateInPandas(statefulProcessor=LiveState(hold, idle), outputStructType=_LIVE, outputMode="update", timeMode="eventTime")
 
 
 def minute_counts(log: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -80,54 +156,101 @@ def wait_for(polls: DataFrame, late: str = "1 minute") -> DataFrame:
     return d.groupBy("wait_id").transformWithStateInPandas(statefulProcessor=Waiter(), outputStructType="wait_id string, met boolean, attempts int, elapsed_s double", outputMode="append", timeMode="eventTime")
 
 
-class Approver(StatefulProcessor):
-    """Waits for the first answer to each request: emits its outcome once, or a time-out once event time has passed
-    the limit. Answers that come in before their request are kept until it does."""
+_POLLED = "wait_id string, met boolean, attempts int, elapsed_s double, last_output string"
+
+
+class PollWaits(StatefulProcessor):
+    """The waits on one command of one device. A poll is made once event time has passed it, so that every output up
+    to it is there. Waits go when they end; of the outputs only the one that is current and newer ones are kept."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("gate", "start_ms long, limit_ms long, done boolean")
-        self.early = handle.getListState("early", "at_ms long, answer string")
+        self.waits = handle.getMapState("waits", "wait_id string", "start long, at double, pause double, attempts int, limit double, pattern string, negate boolean, last string")
+        self.said = handle.getListState("said", "us long, output string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows))
-        ms = (pdf["at"].map(lambda t: t.timestamp()) * 1000).round().astype(int)
-        start, limit, done = self.state.get() if self.state.exists() else (None, None, False)
-        asked = pdf["timeout_s"].notna()
-        if asked.any() and start is None:
-            start = int(ms[asked].min())
-            limit = start + int(pdf["timeout_s"][asked].iloc[0] * 1000)
-            self.handle.registerTimer(limit)
-        answers = sorted(zip(ms[~asked], pdf["answer"][~asked]))
-        if start is None:
-            for at, answer in answers:
-                self.early.appendValue((int(at), answer))
+        ended = []
+        for pdf in rows:
+            for us, wait_id, limit, pattern, negate, output in zip(_ms(pdf["ts"]), pdf["wait_id"], pdf["max_wait_s"], pdf["pattern"], pdf["negate"], pdf["output"]):
+                if wait_id is None:
+                    self.said.appendValue((int(us), output))
+                elif limit <= 0 or matching.searched(pattern, "") is None:
+                    ended.append((wait_id, False, 0, 0.0, None))
+                else:
+                    self.waits.updateValue((wait_id,), (int(us), 0.0, float(waits.FIRST_S), 0, float(limit), pattern, bool(negate), None))
+        if self.waits.exists():
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + 1)
+        self._forget(timerValues)
+        if ended:
+            yield pd.DataFrame(ended, columns=[c.split()[0] for c in _POLLED.split(", ")])
+
+    def _forget(self, timerValues) -> None:
+        """Drop outputs that no poll can see any more."""
+        if not self.said.exists():
             return
-        answers = sorted(answers + [tuple(x) for x in self.early.get()])
-        self.early.clear()
-        first = next((x for at, x in answers if start <= at <= limit), None)
-        if first is not None and not done:
-            done = True
-            yield pd.DataFrame([(key[0], pd.Timestamp(start, unit="ms"), "rejected" if first == "denied" else first)], columns=["request_id", "ts", "outcome"])
-        self.state.update((start, limit, done))
+        said = sorted(self.said.get(), key=lambda x: (x[0], x[1] or ""))
+        due = [w[0] + int(w[1] * 1e6) for w in self.waits.values()] if self.waits.exists() else []
+        least = min([timerValues.getCurrentWatermarkInMs() * 1000, *due])
+        current = sum(1 for us, _ in said if us <= least)
+        self.said.put(said[max(0, current - 1) :])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, _, done = self.state.get()
-        self.state.clear()
-        if not done:
-            yield pd.DataFrame([(key[0], pd.Timestamp(start, unit="ms"), "timed_out")], columns=["request_id", "ts", "outcome"])
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        said = sorted(self.said.get(), key=lambda x: (x[0], x[1] or "")) if self.said.exists() else []
+        times = [us for us, _ in said]
+        out, due = [], []
+        for (wait_id,), (start, at, pause, attempts, limit, pattern, negate, last) in list(self.waits.iterator()):
+            now = start + int(at * 1e6)
+            while at < limit and now < passed:
+                k = bisect_right(times, now)
+                last = said[k - 1][1] if k and said[k - 1][1] is not None else waits.SILENT
+                attempts += 1
+                if matching.searched(pattern, last) != negate:
+                    out.append((wait_id, True, attempts, at, last))
+                    break
+                at, pause = at + pause, min(pause * waits.FACTOR, float(waits.LONGEST_S))
+                now = start + int(at * 1e6)
+            else:
+                if at < limit:
+                    self.waits.updateValue((wait_id,), (start, at, pause, attempts, limit, pattern, negate, last))
+                    due.append(now // 1000 + 1)
+                    continue
+                out.append((wait_id, False, attempts, limit, last))
+            self.waits.removeKey((wait_id,))
+        if due:
+            self.handle.registerTimer(min(due))
+        self._forget(timerValues)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _POLLED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+def poll_waits(requests: DataFrame, outputs: DataFrame, late: str = "1 minute") -> DataFrame:
+    """``operators.waits.poll_outcomes`` of a stream of waits and a stream of outputs, each wait once, when event time
+    has passed the poll that ends it. wait_id is a text that tells waits apart. Needs the RocksDB state store and a
+    session in UTC."""
+    r = requests.select("device", "command", F.col("start").alias("ts"), F.col("wait_id").cast("string").alias("wait_id"), F.col("max_wait_s").cast("double").alias("max_wait_s"), "pattern", F.coalesce("negate", F.lit(False)).alias("negate"), F.lit(None).cast("string").alias("output"))
+    o = outputs.select("device", "command", "ts", F.lit(None).cast("string").alias("wait_id"), F.lit(0.0).alias("max_wait_s"), F.lit(None).cast("string").alias("pattern"), F.lit(False).alias("negate"), "output")
+    d = r.unionByName(o).withWatermark("ts", late)
+    return d.groupBy("device", "command").transformWithStateInPandas(statefulProcessor=PollWaits(), outputStructType=_POLLED, outputMode="append", timeMode="eventTime")
+
+
 def approval_gate(requests: DataFrame, answers: DataFrame, timeout_s: int = 3600, late: str = "10 minutes") -> DataFrame:
     """``request_id, ts, outcome``, one row a request (request_id, ts): its first answer (request_id, answered_at,
-    answer) in time, denied counting as rejected, or timed_out. Needs the RocksDB state store and a session in UTC."""
-    r = requests.select("request_id", F.col("ts").alias("at"), F.lit(None).cast("string").alias("answer"), F.lit(float(timeout_s)).alias("timeout_s"))
-    a = answers.select("request_id", F.col("answered_at").alias("at"), "answer", F.lit(None).cast("double").alias("timeout_s"))
-    d = r.unionByName(a).withWatermark("at", late)
-    return d.groupBy("request_id").transformWithStateInPandas(statefulProcessor=Approver(), outputStructType="request_id string, ts timestamp, outcome string", outputMode="append", timeMode="eventTime")
+    answer) in time, denied counting as rejected, or timed_out.
+
+    A left outer join of two streams by request and range of time, then the first of the answers. Both sides have
+    watermarks, so that answers and requests leave the state once neither can meet any more: answers whose request
+    never comes, early ones too. An outcome comes once the event time of both streams has passed the limit.
+    Gates of steps have a timeout of 1800 s.
+    """
+    r = requests.select("request_id", "ts").withWatermark("ts", late)
+    a = answers.select(F.col("request_id").alias("__id"), "answered_at", "answer").withWatermark("answered_at", late)
+    in_time = F.expr(f"request_id = __id AND answered_at >= ts AND answered_at <= ts + INTERVAL {int(timeout_s)} SECONDS")
+    g = r.join(a, in_time, "left_outer").groupBy("request_id", "ts").agg(F.min(F.when(F.col("answer").isNotNull(), F.struct("answered_at", "answer"))).alias("first"))
+    return g.select("request_id", "ts", F.when(F.col("first.answer") == "denied", "rejected").otherwise(F.coalesce("first.answer", F.lit("timed_out"))).alias("outcome"))
 
 
 def once(events: DataFrame, keys: list[str], late: str = "10 minutes") -> DataFrame:
@@ -142,3 +265,10 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
 def escalations(decisions: DataFrame, least: float = 0.6) -> DataFrame:
     """Decisions of low confidence."""
     return decisions.where(F.col("confidence") < least)
+
+
+def incident_changes(notes: DataFrame) -> DataFrame:
+    """The last paging action of each key among some notifications (a batch of the stream, or all): ``dedup_key,
+    action, ts``. Written batch by batch, they are all that ``open_incidents`` needs, whatever the length of the
+    stream; no state is kept."""
+    return notes.where("action IS NOT NULL").groupBy("dedup_key").agg(F.max(F.struct("ts", "action")).alias("m")).select("dedup_key", "m.action", "m.ts")

@@ -109,7 +109,8 @@ def test_approvals_in_batch_and_stream(spark, tmp_path):
     assert want == {"a": "approved", "b": "rejected", "c": "timed_out", "d": "approved"}
     for k, ids in enumerate(("a b c d", "z")):
         rq.where(F.col("request_id").isin(ids.split())).coalesce(1).write.json(str(tmp_path / f"r{k}"))
-    an.coalesce(1).write.json(str(tmp_path / "a0"))
+    tick = spark.createDataFrame([("z", at(90_000), "approved")], an.schema)  # both streams move on
+    an.union(tick).coalesce(1).write.json(str(tmp_path / "a0"))
     read = lambda schema, path: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / path))
     q = Y.approval_gate(read(rq.schema, "r*"), read(an.schema, "a*")).writeStream.format("memory").queryName("gates").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
