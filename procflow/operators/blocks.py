@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 
 from procflow.functions import patterns as P
 from procflow.functions.text import is_boilerplate, squeeze, strip
+from procflow.operators import ordered
 
 LINE_BREAK = r"\r\n|\n|\r"
 
@@ -23,14 +24,26 @@ def _by_line(*more: str):
     return W.partitionBy("doc_id", *more).orderBy("line_no")
 
 
-def fence_state(lines: DataFrame) -> DataFrame:
-    """``lines`` plus ``is_fence``, ``fence_no`` (fences so far), ``in_fence`` and ``closed`` (of this fence)."""
+def fence_state(lines: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """``lines`` plus ``is_fence``, ``fence_no`` (fences so far), ``in_fence`` and ``closed`` (of this fence).
+
+    With ``hot_rows`` of zero or more, documents of more lines are counted in spans of lines, and lines are counted
+    when this is called; None takes all documents as ordinary ones."""
     upto = _by_line().rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.partitionBy("doc_id")
+    fence = F.col("is_fence")
+
+    def usual(d: DataFrame) -> DataFrame:
+        d = d.withColumn("fence_no", F.sum(fence.cast("int")).over(upto))
+        return d.withColumn("__last", F.max("fence_no").over(W.partitionBy("doc_id")))
+
+    def hot(d: DataFrame) -> DataFrame:
+        d = ordered.running_count(d, ["doc_id"], "line_no", fence, "fence_no")
+        return d.join(d.groupBy("doc_id").agg(F.max("fence_no").alias("__last")), "doc_id")
+
     d = lines.withColumn("is_fence", F.col("raw").startswith("```"))
-    d = d.withColumn("fence_no", F.sum(F.col("is_fence").cast("int")).over(upto))
-    d = d.withColumn("in_fence", (F.col("fence_no") % 2 == 1) & ~F.col("is_fence"))
-    return d.withColumn("closed", F.max("fence_no").over(whole) > F.col("fence_no"))
+    d = usual(d) if hot_rows is None else ordered.by_heat(d, "doc_id", hot_rows, usual, hot)
+    d = d.withColumn("in_fence", (F.col("fence_no") % 2 == 1) & ~fence)
+    return d.withColumn("closed", F.col("__last") > F.col("fence_no")).drop("__last")
 
 
 def list_level(c: Column) -> Column:
@@ -45,7 +58,7 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
     Lines between two fences join to one code block; an empty fence gives none, an unclosed one loses its lines.
     Other lines are headings, indented code, list items or paragraphs, in that order; blank lines are dropped.
     """
-    d = fence_state(lines).where("not is_fence and (not in_fence or closed)")
+    d = fence_state(lines, hot_rows=None).where("not is_fence and (not in_fence or closed)")
     text = strip(F.col("raw"))
     numbered = text.rlike(P.NUMBERED) | text.rlike(P.STEP)
     kind = (

@@ -88,11 +88,48 @@ def chunks(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
     return g.select("doc_id", "chunk_index", F.count("*").over(W.partitionBy("doc_id")).alias("total_chunks"), "headings", "text", tokens(F.col("text")).alias("n_tokens"))
 
 
+#: Characters of the pieces that commands are looked up by: the longer, if the command has a word of that length.
+GRAMS = (5, 3)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The distinct pieces of ``n`` characters without white space, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?=(\S{{{n}}}))"), 1))
+
+
+def command_candidates(chunked: DataFrame, commands: DataFrame) -> DataFrame:
+    """``doc_id, chunk_index, raw``: pairs of a command and a chunk that holds the rarest piece of it, a superset of
+    those whose text stands in the chunk. ``chunked``: doc_id, chunk_index, text; ``commands``: doc_id, raw, each once.
+
+    An inverted index of pieces of words: whatever chunk holds a command's text holds its pieces, so none is lost. Of a
+    command's pieces the one in the fewest chunks of the document is joined; of the chunks' pieces only those that a
+    command has are kept. Commands without a word of three characters go with all chunks of their document.
+    """
+    long, short = GRAMS
+    size = F.when(F.regexp_like("raw", F.lit(rf"\S{{{long}}}")), long).when(F.regexp_like("raw", F.lit(rf"\S{{{short}}}")), short).otherwise(0)
+    c = commands.select("doc_id", "raw", size.alias("n"))
+    blank = c.where("n = 0").select("doc_id", "raw")
+    pieces = c.where("n > 0").select("doc_id", "raw", F.explode(F.when(F.col("n") == long, _grams(F.col("raw"), long)).otherwise(_grams(F.col("raw"), short))).alias("gram"))
+    wanted = pieces.select("doc_id", "gram").distinct()
+    few = chunked.join(c.where(F.col("n") == short).select("doc_id").distinct(), "doc_id", "left_semi")
+    of = lambda d, n: d.select("doc_id", "chunk_index", F.explode(_grams(F.col("text"), n)).alias("gram"))
+    index = of(chunked, long).unionByName(of(few, short)).join(wanted, ["doc_id", "gram"], "left_semi")
+    rarest = pieces.join(index.groupBy("doc_id", "gram").agg(F.count("*").alias("held")), ["doc_id", "gram"], "left")
+    # a piece that no chunk holds tells that the command stands nowhere
+    rarest = rarest.groupBy("doc_id", "raw").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram"))["gram"].alias("gram"))
+    pairs = rarest.join(index, ["doc_id", "gram"]).select("doc_id", "chunk_index", "raw")
+    return pairs.unionByName(chunked.select("doc_id", "chunk_index").join(blank, "doc_id"))
+
+
 def chunk_commands(chunked: DataFrame, commands: DataFrame) -> DataFrame:
     """``doc_id, chunk_index, raw, n, first_line``: commands (with their number and first line) whose text stands in a
-    chunk, any case."""
-    c = commands.groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
-    return chunked.select("doc_id", "chunk_index", "text").join(c, "doc_id").where(F.contains(F.lower("text"), F.lower("raw"))).select("doc_id", "chunk_index", "raw", "n", "first_line")
+    chunk, any case. Commands are looked up in an index of the chunks' words first, so that only those pairs are
+    compared that share a rare piece. Both are read several times and checkpointed when this is called."""
+    chunked = checkpointed(chunked.select("doc_id", "chunk_index", "text"))
+    c = checkpointed(commands.where("raw IS NOT NULL").groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")))
+    pairs = command_candidates(chunked, c.select("doc_id", "raw")).join(c, ["doc_id", "raw"])
+    d = chunked.join(pairs, ["doc_id", "chunk_index"])
+    return d.where(F.contains(F.lower("text"), F.lower("raw"))).select("doc_id", "chunk_index", "raw", "n", "first_line")
 
 
 def processing_route(outline_route: Column, raw_tokens: Column, budget: int = BUDGET) -> Column:

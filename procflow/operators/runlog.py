@@ -1,7 +1,8 @@
 """Execution logs: transitions folded into state, reports, metrics, notifications.
 
 The log (ts, execution_id, entity, to_status, ...) is append-only; entity is "execution" or a step. All folds use
-max_by and counts, which aggregate partially, so that one very active execution does not meet in one task.
+max_by and counts, which aggregate partially, so that one very active execution does not meet in one task; what runs in
+order of time is counted in spans for such executions.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from procflow.operators import ordered
+
 STEP_ENDS = ("passed", "failed", "skipped", "rolled_back")
 EXECUTION_ENDS = ("passed", "failed", "rolled_back", "aborted")
 STATUSES = ("pending", "approved", "running", "passed", "failed", "skipped", "rolled_back", "aborted", "paused", "waiting")
@@ -41,11 +44,22 @@ def execution_state(log: DataFrame) -> DataFrame:
     return s.groupBy("execution_id").agg(F.max_by("to_status", "ts").alias("status"), F.min("ts").alias("created_at"), F.min(F.when(_ends("running"), F.col("ts"))).alias("started_at"), F.max(F.when(_ends(*EXECUTION_ENDS), F.col("ts"))).alias("completed_at"))
 
 
-def enrich_transitions(log: DataFrame) -> DataFrame:
-    """The log plus from_status, the running attempt number and the correlation id of each transition."""
-    w = W.partitionBy("execution_id", "entity").orderBy("ts")
-    d = log.withColumn("from_status", F.lag("to_status", 1, "pending").over(w))
-    d = d.withColumn("attempt", F.count_if(_ends("running")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+def enrich_transitions(log: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """The log plus from_status, the running attempt number and the correlation id of each transition. Executions of
+    more than ``hot_rows`` transitions are numbered over ranges of time (the log is counted when this is called)."""
+    keys = ["execution_id", "entity"]
+
+    def usual(d: DataFrame) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("ts")
+        d = d.withColumn("from_status", F.lag("to_status", 1, "pending").over(w))
+        return d.withColumn("attempt", F.count_if(_ends("running")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+
+    def hot(d: DataFrame) -> DataFrame:
+        d = ordered.numbered(d, keys, ["ts"], "__no")
+        d = ordered.previous(d, keys, "__no", "to_status", "pending", "from_status")
+        return ordered.running_count(d, keys, "__no", _ends("running"), "attempt").drop("__no")
+
+    d = ordered.by_heat(log, "execution_id", hot_rows, usual, hot)
     return d.withColumn("correlation_id", F.concat_ws(":", "execution_id", "entity", F.col("attempt").cast("string")))
 
 
@@ -79,10 +93,13 @@ def execution_report(report: DataFrame, state: DataFrame) -> DataFrame:
     return g.join(s, "execution_id", "left").withColumn("overall", F.coalesce("overall", F.lit("pending")))
 
 
-def timeline(log: DataFrame) -> DataFrame:
-    """``execution_id, event_no, ts, step_id, label`` in order of time."""
-    w = W.partitionBy("execution_id").orderBy("ts", "entity")
-    return log.select("execution_id", F.row_number().over(w).alias("event_no"), "ts", F.when(F.col("entity") != "execution", F.col("entity")).alias("step_id"), F.concat("entity", F.lit(" → "), "to_status").alias("label"))
+def timeline(log: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame:
+    """``execution_id, event_no, ts, step_id, label`` in order of time. Executions of more than ``hot_rows`` events are
+    numbered over ranges of time (the log is counted when this is called)."""
+    order = ["ts", "entity"]
+    usual = lambda d: d.withColumn("event_no", F.row_number().over(W.partitionBy("execution_id").orderBy(*order)))
+    d = ordered.by_heat(log.select("execution_id", "ts", "entity", "to_status"), "execution_id", hot_rows, usual, lambda d: ordered.numbered(d, ["execution_id"], order, "event_no"))
+    return d.select("execution_id", "event_no", "ts", F.when(F.col("entity") != "execution", F.col("entity")).alias("step_id"), F.concat("entity", F.lit(" → "), "to_status").alias("label"))
 
 
 def latest_executions(log: DataFrame, n: int = 20) -> DataFrame:

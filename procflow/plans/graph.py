@@ -1,6 +1,7 @@
 """Planning over step graphs: waves, critical paths, approval, rollback, outcomes.
 
-Executions are many and their graphs small, so each is one row of an Arrow batch; nothing else here leaves the JVM.
+Executions are many and their graphs small, so each is one row of an Arrow batch (large ones are levelled as tables, in
+frontier.py); nothing else here leaves the JVM.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Window as W
 
 from procflow.functions import patterns as P
 from procflow.functions.text import strip
+from procflow.plans.frontier import waves_by_frontier
 
 
 def dependencies(steps: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def unknown_dependencies(steps: DataFrame) -> DataFrame:
     return dependencies(steps).join(have, ["execution_id", "needs"], "left_anti").select("execution_id", "step_id", "needs")
 
 
-def _levels(ids: list[str], needed: list[list[str]]) -> tuple[dict[str, int], tuple[str, ...]]:
+def _levels(ids: list[str], needed: list[list[str]], places: list) -> tuple[dict[str, int], tuple[str, ...]]:
     """Waves and the longest chain of one graph; steps on or behind a cycle have no wave."""
     known = set(ids)
     needs = {s: known & set(ds if ds is not None else ()) for s, ds in zip(ids, needed)}
@@ -49,7 +51,8 @@ def _levels(ids: list[str], needed: list[list[str]]) -> tuple[dict[str, int], tu
                 if not open_[t]:
                     after.append(t)
         ready = sorted(after)
-    at = max(sorted(wave), key=wave.__getitem__, default=None)
+    first = dict(sorted(zip(ids, places), key=lambda x: x[1], reverse=True))  # a step that is there twice counts by its first place
+    at = min(wave, key=lambda s: (-wave[s], first[s], s), default=None)
     chain: list[str] = []
     while at is not None:
         chain.append(at)
@@ -62,21 +65,37 @@ def _each_graph(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for e, steps in zip(b["execution_id"], b["steps"]):
             ids = [s["step_id"] for s in steps]
-            wave, chain = _levels(ids, [s["dependencies"] for s in steps])
+            wave, chain = _levels(ids, [s["dependencies"] for s in steps], [s["place"] for s in steps])
             place = {s: k + 1 for k, s in enumerate(chain)}
             out += [(e, s, wave.get(s, -1), place.get(s)) for s in sorted(set(ids))]
         yield pd.DataFrame(out, columns=["execution_id", "step_id", "wave", "critical_pos"]).astype({"critical_pos": "Int32"})
 
 
-def waves(steps: DataFrame) -> DataFrame:
+#: Steps up to which a graph is one row.
+LARGE_GRAPH = 50_000
+
+
+def waves(steps: DataFrame, large: int = LARGE_GRAPH) -> DataFrame:
     """``execution_id, step_id, wave, critical_pos``: wave is one more than the latest wave needed (-1 on a cycle or
-    behind one); critical_pos is the step's place on the longest chain.
+    behind one); critical_pos is the step's place on the longest chain. Of equally long chains it is the one whose end
+    has the smallest ``sequence`` (where there is such a column; then the smallest step_id), and which goes back to the
+    first by name of the needs of the wave before.
 
-    A graph is one row (ids and dependencies only), so that small graphs share Arrow batches.
+    A graph is one row (ids and dependencies only), so that small graphs share Arrow batches. Graphs of more than
+    ``large`` steps are levelled as tables, round by round. To know whether there are any, steps are counted when this
+    is called.
     """
     kind = steps.schema["execution_id"].dataType.simpleString()
-    graphs = steps.groupBy("execution_id").agg(F.collect_list(F.struct("step_id", "dependencies")).alias("steps"))
-    return graphs.mapInPandas(_each_graph, f"execution_id {kind}, step_id string, wave int, critical_pos int")
+    place = F.col("sequence").cast("long") if "sequence" in steps.columns else F.lit(0).cast("long")
+    s = steps.select("execution_id", "step_id", "dependencies", place.alias("place"))
+    big = s.groupBy("execution_id").agg(F.count("*").alias("n")).where(F.col("n") > large).select("execution_id")
+    found = bool(big.limit(1).count())
+    small = s.join(big, "execution_id", "left_anti") if found else s
+    graphs = small.groupBy("execution_id").agg(F.collect_list(F.struct("step_id", "dependencies", F.coalesce("place", F.lit(1 << 62)).alias("place"))).alias("steps"))
+    leveled = graphs.mapInPandas(_each_graph, f"execution_id {kind}, step_id string, wave int, critical_pos int")
+    if found:
+        leveled = leveled.unionByName(waves_by_frontier(s.join(big, "execution_id", "left_semi").withColumn("place", F.coalesce("place", F.lit(1 << 62)))))
+    return leveled
 
 
 def cycles(leveled: DataFrame) -> DataFrame:

@@ -98,9 +98,34 @@ def x03(spark, sf):
     return G.waves(plan_steps(spark, sf)).select("execution_id", "step_id", "wave")
 
 
-@query("x04_critical_path", f"{_WAVES} SELECT execution_id, max(wave) AS n_steps FROM wv WHERE wave > 0 GROUP BY execution_id")
+# the chain: from the last wave's first step in the plan back to the first by name of the needs one wave before
+_CHAIN = """ends AS (SELECT wv.execution_id, arg_min(wv.step_id, (-wave, sequence, wv.step_id)) AS step_id, max(wave) AS wave FROM wv JOIN psteps p ON p.execution_id = wv.execution_id AND p.step_id = wv.step_id WHERE wave > 0 GROUP BY wv.execution_id),
+back AS (SELECT k.execution_id, k.step_id, min(k.needs) AS before FROM known k JOIN wv a ON a.execution_id = k.execution_id AND a.step_id = k.step_id JOIN wv b ON b.execution_id = k.execution_id AND b.step_id = k.needs WHERE b.wave = a.wave - 1 AND b.wave > 0 GROUP BY k.execution_id, k.step_id),
+chain(execution_id, step_id, critical_pos) AS (SELECT * FROM ends UNION ALL SELECT c.execution_id, b.before, critical_pos - 1 FROM chain c JOIN back b ON b.execution_id = c.execution_id AND b.step_id = c.step_id)"""
+
+
+@query("x04_critical_path", f"{_WAVES}, {_CHAIN} SELECT execution_id, critical_pos, step_id FROM chain")
 def x04(spark, sf):
-    return G.waves(plan_steps(spark, sf)).where("critical_pos is not null").groupBy("execution_id").agg(F.count("*").cast("int").alias("n_steps"))
+    return G.waves(plan_steps(spark, sf)).where("critical_pos is not null").select("execution_id", "critical_pos", "step_id")
+
+
+# one graph of all orders: each needs two earlier ones, none of which need be there
+_BIG = """WITH RECURSIVE big AS (SELECT 'all' AS execution_id, 'o' || o_orderkey AS step_id, o_orderkey AS sequence, 'o' || (o_orderkey // 3) AS a, 'o' || (o_orderkey * 2 // 5) AS b FROM orders),
+known AS (SELECT DISTINCT d.* FROM (SELECT execution_id, step_id, a AS needs FROM big UNION SELECT execution_id, step_id, b FROM big) d SEMI JOIN big p ON d.needs = p.step_id AND d.needs <> d.step_id),
+psteps AS (SELECT * FROM big),
+path(execution_id, step_id, depth) AS (SELECT execution_id, step_id, 1 FROM big p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.step_id = p.step_id) UNION SELECT k.execution_id, k.step_id, depth + 1 FROM path p JOIN known k ON k.needs = p.step_id),
+wv AS (SELECT execution_id, step_id, max(depth) AS wave FROM path GROUP BY ALL)"""
+
+
+def _big_graph(spark, sf):
+    d = table(spark, sf, "orders").selectExpr("'all' AS execution_id", "'o' || o_orderkey AS step_id", "o_orderkey AS sequence", "'o' || (o_orderkey div 3) AS a", "'o' || (o_orderkey * 2 div 5) AS b")
+    return d.select("execution_id", "step_id", "sequence", F.filter(F.array("a", "b"), lambda x: x != F.col("step_id")).alias("dependencies"))
+
+
+@query("x03_large_graph", f"{_BIG}, {_CHAIN} SELECT wv.*, critical_pos FROM wv LEFT JOIN chain USING (execution_id, step_id)")
+def x03_large(spark, sf):
+    """All orders as one graph, levelled as tables whatever its size."""
+    return G.waves(_big_graph(spark, sf), large=1000)
 
 
 @query("x05_topological_order", f"{_WAVES} SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY wave, step_id) AS position, step_id FROM wv WHERE wave > 0")
