@@ -117,6 +117,93 @@ def robot_cases(steps: DataFrame) -> DataFrame:
     return steps.where(~F.col("is_rollback")).select("doc_id", "sequence", robot_name(F.col("sequence"), F.col("description")).alias("name"), F.array_join(tags, "    ").alias("tags"), kind.alias("kind"), F.transform("commands", one).alias("commands"))
 
 
+# ---- Fixed values: the lines of a suite ----
+SETTINGS = ("Library          SSHLibrary", "Library          String", "Library          Collections", "Suite Setup      Open SSH Connection")
+TEARDOWN = "Suite Teardown   Close All Connections"
+TEARDOWN_BACK = "Suite Teardown   Run Keywords    Run Keyword If Any Tests Failed    Execute Rollback Procedure\n...              AND    Close All Connections"
+VARIABLES = ("${HOST}              ${ENV_HOST}", "${USERNAME}          ${ENV_USERNAME}", "${PASSWORD}          ${ENV_PASSWORD}", "${PROMPT}            #", "${TIMEOUT}          30s", "${ABORT_ON_ERROR}    ${TRUE}")
+RULE = "# " + "=" * 60
+BACK_RULE = "Log    ==============================    WARN"
+INDENT = "    "
+
+
+def _lines(*parts: Column | str | None) -> Column:
+    """An array of lines; strings are texts, null lines go."""
+    return F.filter(F.array(*[F.lit(p) if isinstance(p, str) else p for p in parts]), lambda x: x.isNotNull())
+
+
+def _say(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _case_lines() -> Column:
+    """The lines of one step's case, from the columns of steps plus failure_strategy."""
+    section = F.lower(F.coalesce("section", F.lit("")))
+    verify, pre, post = F.col("action_type").isin("verify", "observe"), section == "pre-checks", section.isin("verification", "post-checks")
+    text = escape_robot(F.col("description"))
+
+    def one(c: Column) -> Column:
+        name = variable_name(c["raw"])
+        base = _say("${BASELINE_", F.upper(name), "}")
+        out = F.when(pre, base).otherwise(_say("${", name, "}"))
+        return _lines(
+            _say(INDENT, out, "=    Execute CLI Command    ", escape_robot(c["raw"])),
+            F.when(pre, _say(INDENT, "Set Suite Variable    ", base)),
+            F.when(verify & (F.coalesce("expected_output", F.lit("")) != ""), _say(INDENT, "Verify Command Output    ", out, "    ", escape_robot(F.col("expected_output")))),
+            F.when(post, _say(INDENT, "Compare With Baseline    ", base, "    ", out, "    ", escape_robot(F.substring(c["raw"], 1, 50)))),
+            F.when(~verify & ~pre, _say(INDENT, "Verify No Device Error    ", out)),
+        )
+
+    tags = F.array_join(F.concat(F.array("step_type"), F.filter("tags", lambda t: t != F.col("step_type")), _names(F.col("commands"), "protocol"), _names(F.col("commands"), "vendor")), "    ")
+    tags = F.concat(tags, F.when(F.col("failure_strategy") == "continue", "    robot:continue-on-failure").otherwise(""))
+    head = _lines(
+        robot_name(F.col("sequence"), F.col("description")),
+        _say(INDENT, "[Documentation]    ", F.replace(F.col("description"), F.lit("\\"), F.lit("\\\\"))),
+        _say(INDENT, "[Tags]    ", tags),
+        _say(INDENT, "[Teardown]    Run Keyword If Test Failed    Log Step Failure    ", escape_robot(F.substring("description", 1, 60))),
+    )
+    info = F.array(_say(INDENT, "Log    ", text, "    INFO"))
+    manual = F.array(_say(INDENT, "Log    MANUAL STEP: ", text, "    WARN"))
+    body = F.when(F.col("step_type") == "info", info).when(F.size("commands") <= 0, manual).otherwise(F.flatten(F.transform("commands", one)))
+    return F.concat(head, body, F.array(F.lit("")))
+
+
+def suite_text(models: DataFrame, steps: DataFrame, library: str = "") -> DataFrame:
+    """``doc_id, suite``: the text of a document's whole suite, in order: settings, variables, a case for each step that
+    is no rollback (with a heading where a section begins), keywords. The last are ``library``, the text of the
+    keywords that do not hang on the document, and the rollback procedure where there are rollback steps.
+
+    ``models``: doc_id, document_title, source_file, structure, failure_strategy (null: abort). Steps are ordered by
+    sequence, then step_id; a document's lines meet in one row, as its suite does.
+    """
+    model = models.select("doc_id", "document_title", F.coalesce("source_file", F.lit("")).alias("source_file"), F.coalesce("structure", F.lit("")).alias("structure"), F.coalesce("failure_strategy", F.lit("abort")).alias("failure_strategy"))
+    w = W.partitionBy("doc_id").orderBy("sequence", "step_id")
+    own = F.nullif(F.col("section"), F.lit(""))
+    cases = steps.where("NOT is_rollback").withColumn("__before", F.last(own, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
+    cases = cases.join(model.select("doc_id", "failure_strategy"), "doc_id")
+    begins = own.isNotNull() & ~own.eqNullSafe(F.col("__before"))
+    heading = F.when(begins, F.array(F.lit("\n" + RULE), _say("# Section: ", F.col("section")), F.lit(RULE))).otherwise(F.array().cast("array<string>"))
+    cases = cases.select("doc_id", F.struct("sequence", "step_id", F.array_join(F.concat(heading, _case_lines()), "\n").alias("t")).alias("x"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"])
+    cases = cases.groupBy("doc_id").agg(in_order("x").alias("cases"))
+    back = steps.where("is_rollback").select("doc_id", "sequence", "step_id", F.posexplode_outer("commands").alias("n", "c"))
+    undo = F.array_join(_lines(_say(INDENT, "Log    Rollback: ", escape_robot(F.substring("c.raw", 1, 60)), "    WARN"), _say(INDENT, "Run Keyword And Continue On Failure    Execute CLI Command    ", escape_robot(F.col("c.raw")))), "\n")
+    order = F.struct((-F.col("sequence")).alias("s"), "step_id", "n", undo.alias("t"))
+    back = back.groupBy("doc_id").agg(in_order(F.when(F.col("c").isNotNull(), order)).alias("undo"))
+    d = model.join(cases, "doc_id", "left").join(back, "doc_id", "left")
+    auto = F.col("failure_strategy").isin("rollback_all", "rollback_group") & F.col("undo").isNotNull()
+    settings = _lines("*** Settings ***", _say("Documentation    Auto-generated Robot Framework tests for: ", F.col("document_title")), _say("...              Source: ", F.regexp_extract("source_file", "[^/]*$", 0)), _say("...              MOP Structure: ", F.col("structure")), _say("...              Failure Strategy: ", F.upper("failure_strategy")), *SETTINGS, F.when(auto, TEARDOWN_BACK).otherwise(TEARDOWN))
+    none = F.array().cast("array<string>")
+    rollback = F.concat(
+        _lines("Execute Rollback Procedure", INDENT + "[Documentation]    Execute rollback steps in reverse order to restore network state.", INDENT + "...                Called automatically by Suite Teardown on failure.", INDENT + BACK_RULE.replace("Log    ", "Log    \\n"), INDENT + "Log    ROLLBACK PROCEDURE STARTING    WARN", INDENT + BACK_RULE),
+        F.coalesce("undo", none),
+        _lines(INDENT + BACK_RULE, INDENT + "Log    ROLLBACK PROCEDURE COMPLETE    WARN", INDENT + BACK_RULE),
+    )
+    keywords = F.array_join(_lines(*([library] if library else []), F.when(F.col("undo").isNotNull(), F.array_join(rollback, "\n"))), "\n\n")
+    whole = F.array(F.array_join(settings, "\n"), F.lit("\n".join(("*** Variables ***", *VARIABLES))), F.array_join(F.concat(F.array(F.lit("*** Test Cases ***")), F.coalesce("cases", none)), "\n"), _say("\n*** Keywords ***\n", keywords))
+    return d.select("doc_id", F.array_join(whole, "\n\n").alias("suite"))
+
+
 def rollback_script(steps: DataFrame) -> DataFrame:
     """``doc_id, line_no, command``: commands of rollback steps, the last step first."""
     c = steps.where("is_rollback").select("doc_id", "sequence", F.posexplode("commands").alias("n", "c"))

@@ -38,7 +38,7 @@ def fence_state(lines: DataFrame, hot_rows: int = ordered.HOT_ROWS) -> DataFrame
 
     def hot(d: DataFrame) -> DataFrame:
         d = ordered.running_count(d, ["doc_id"], "line_no", fence, "fence_no")
-        return d.join(d.groupBy("doc_id").agg(F.max("fence_no").alias("__last")), "doc_id")
+        return d.join(F.broadcast(d.groupBy("doc_id").agg(F.max("fence_no").alias("__last"))), "doc_id")  # a row a hot document
 
     d = lines.withColumn("is_fence", F.col("raw").startswith("```"))
     d = usual(d) if hot_rows is None else ordered.by_heat(d, "doc_id", hot_rows, usual, hot)

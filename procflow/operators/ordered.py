@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from procflow.session import new_folder
+from procflow.session import checkpointed, new_folder
 
 #: Rows of a group from which on it is numbered over ranges, and rows of a span.
 HOT_ROWS = 1_000_000
@@ -67,16 +67,24 @@ def previous(rows: DataFrame, keys: list[str], number: str, value: str, default,
     return d.withColumn(name, F.when(found.isNull(), F.lit(default)).otherwise(found["v"])).select(*rows.columns, name)
 
 
+#: Hot keys that are sent to all tasks, at most; of more, only the larger ones count as hot.
+MOST_KEYS = 100_000
+
+
 def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame | None:
-    """The keys of more than ``hot_rows`` rows (there cannot be more of them than rows / hot_rows); None if there are
-    none. Rows are counted when this is called."""
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select(key)
-    return hot if hot.limit(1).count() else None
+    """The keys of more than ``hot_rows`` rows, MOST_KEYS at most (with more of them, the bound is raised); None if
+    there are none. Rows are counted when this is called."""
+    counts = checkpointed(rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows))
+    while (n := counts.where(F.col("__n") > hot_rows).count()) > MOST_KEYS:
+        hot_rows *= 2
+    return counts.where(F.col("__n") > hot_rows).select(key) if n else None
 
 
 def by_heat(rows: DataFrame, key: str, hot_rows: int, usual, hot) -> DataFrame:
-    """``usual`` of the rows of ordinary keys and ``hot`` of those of large ones."""
+    """``usual`` of the rows of ordinary keys and ``hot`` of those of large ones, which are told apart without moving
+    them. A large group of null keys is taken as ordinary."""
     keys = hot_keys(rows, key, hot_rows)
     if keys is None:
         return usual(rows)
+    keys = F.broadcast(keys)  # MOST_KEYS rows at most
     return usual(rows.join(keys, key, "left_anti").select(rows.columns)).unionByName(hot(rows.join(keys, key, "left_semi").select(rows.columns)))

@@ -6,6 +6,7 @@ frontier.py); nothing else here leaves the JVM.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from procflow.functions import patterns as P
 from procflow.functions.text import strip
 from procflow.plans.frontier import waves_by_frontier
+from procflow.sources.dimensions import _bounded
 
 
 def dependencies(steps: DataFrame) -> DataFrame:
@@ -155,6 +157,52 @@ def blocked_commands(commands: DataFrame, patterns: tuple[str, ...] = P.BLOCKED_
     return commands.withColumn("pattern", hit).where(F.col("pattern").isNotNull() & ~override)
 
 
+def invalid_patterns(block_list: DataFrame) -> DataFrame:
+    """``pattern_no, pattern, error`` of the patterns of a block list that do not compile."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(n, p, str(e)) for n, p in zip(b["pattern_no"], b["pattern"]) if (e := _error(p))], columns=["pattern_no", "pattern", "error"])
+
+    return block_list.select("pattern_no", "pattern").where("pattern IS NOT NULL").mapInPandas(told, "pattern_no int, pattern string, error string")
+
+
+def _error(pattern: str) -> str | None:
+    try:
+        re.compile(pattern, re.I)
+        return None
+    except re.error as e:
+        return str(e)
+
+
+def blocked_by_table(commands: DataFrame, block_list: DataFrame) -> DataFrame:
+    """Commands that a table of patterns (pattern_no, pattern) blocks, with pattern_no and pattern of the first by
+    number that is found in them in any case; overridden as in ``blocked_commands``. Patterns that do not compile block
+    nothing (``invalid_patterns`` tells them), null ones neither.
+
+    The table goes to every task whole: it may have dimensions.MOST rows, more are an error. A text is tried against
+    the patterns only if their alternation is found in it, and each text of a batch once.
+    """
+    rows = sorted(_bounded(block_list.select("pattern_no", "pattern").where("pattern IS NOT NULL")), key=lambda r: (r.pattern_no is None, r.pattern_no, r.pattern))
+    valid = [(r.pattern_no, r.pattern) for r in rows if not _error(r.pattern)]
+    both = "|".join(f"(?:{p})" for _, p in valid)
+    any_of = None if _error(both) else both  # patterns with flags of their own do not join
+
+    @F.pandas_udf("pattern_no int, pattern string")
+    def first(text: pd.Series) -> pd.DataFrame:
+        found = {}
+        for t in text.dropna().unique():
+            if any_of is None or re.search(any_of, t, re.I):
+                found[t] = next(((n, p) for n, p in valid if re.search(p, t, re.I)), (None, None))
+        return pd.DataFrame([found.get(t, (None, None)) for t in text], columns=["pattern_no", "pattern"]).astype({"pattern_no": "Int32"})
+
+    if not valid:
+        return commands.withColumn("pattern_no", F.lit(None).cast("int")).withColumn("pattern", F.lit(None).cast("string")).where("false")
+    override = F.col("blast_radius").isin("high", "critical") & F.col("approval_required")
+    d = commands.where(~F.coalesce(override, F.lit(False))).withColumn("__hit", first(F.coalesce("normalized", F.col("raw"))))
+    return d.withColumn("pattern_no", F.col("__hit.pattern_no")).withColumn("pattern", F.col("__hit.pattern")).drop("__hit").where("pattern IS NOT NULL")
+
+
 def inverse_command(raw: Column, vendor: Column) -> Column:
     """The command that undoes a configuration command; null if there is none."""
     c, v = strip(raw), F.lower(F.coalesce(vendor, F.lit("generic")))

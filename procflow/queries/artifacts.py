@@ -15,7 +15,7 @@ from procflow.operators import responses as J
 from procflow.queries import views as V
 from procflow.queries.documents import _MODELS, SCORES, SECTIONS, STRUCTURES, TABLE_ROWS, models, table_rows
 from procflow.queries.views import sql_squeeze, sql_strip, sql_text
-from procflow.session import table
+from procflow.session import new_folder, table
 from procflow.sources import writers
 
 QUERIES, SQL = {}, {}
@@ -55,11 +55,11 @@ def r02(spark, sf):
 _QUOTED = "text || ' expects ''' || lang || ''' and state is up or \"' || source || '\"'"
 
 
-@query("r03_must_contain", f"SELECT doc_id, array_to_string(list_filter({_STATES}, lambda k: contains(lower({_QUOTED}), lower(k))), '|') AS states, len(regexp_extract_all({_QUOTED}, '[''\"]([^''\"]{{2,}})[''\"]', 1)) > 0 AS has_quotes FROM documents")
+@query("r03_must_contain", f"SELECT doc_id, array_to_string(list_filter({_STATES}, lambda k: contains(lower({_QUOTED}), lower(k))), '|') AS states, len(regexp_extract_all({_QUOTED}, '[''\"]([^''\"]{{2,}})[''\"]', 1)) > 0 AS has_quotes, array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all({_QUOTED}, '[''\"]([^''\"]{{2,}})[''\"]', 1), list_filter({_STATES}, lambda k: contains(lower({_QUOTED}), lower(k)))))), '|') AS all_sorted FROM documents")
 def r03(spark, sf):
     d = table(spark, sf, "documents").withColumn("m", R.must_contain(F.concat(F.col("text"), F.lit(" expects '"), F.col("lang"), F.lit("' and state is up or \""), F.col("source"), F.lit('"'))))
     known = F.array(*map(F.lit, P.STATE_KEYWORDS))
-    return d.select("doc_id", F.array_join(F.filter(known, lambda k: F.array_contains(F.col("m"), k)), "|").alias("states"), (F.size(F.array_except("m", known)) > 0).alias("has_quotes"))
+    return d.select("doc_id", F.array_join(F.filter(known, lambda k: F.array_contains(F.col("m"), k)), "|").alias("states"), (F.size(F.array_except("m", known)) > 0).alias("has_quotes"), F.array_join(F.sort_array("m"), "|").alias("all_sorted"))
 
 
 _ORDERED = "ordered AS (SELECT *, min(sequence) OVER (PARTITION BY doc_id, section) AS section_first FROM steps)"
@@ -89,6 +89,38 @@ def r06(spark, sf):
     return d.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("sequence").cast("string")).alias("step_id"), "name", c["variable"].alias("variable"), c["capture"].alias("capture"), F.array_join(c["checks"], ",").alias("checks"))
 
 
+_E = lambda c: f"replace(replace(replace({c}, '\\', '\\\\'), '$', '\\$'), '@', '\\@')"
+_L = lambda *parts: "concat_ws(chr(10), " + ", ".join(parts) + ")"
+_NAME = f"printf('Step_%03d', sequence) || ': ' || " + sql_squeeze(r"regexp_replace(" + sql_strip("substr(description, 1, 70)") + r", '[^\w\s\-\.]', ' ', 'g')")
+_BASE, _OUT_V = f"'${{BASELINE_' || upper({_VAR}) || '}}'", f"CASE WHEN section = 'Pre-checks' THEN '${{BASELINE_' || upper({_VAR}) || '}}' ELSE '${{' || {_VAR} || '}}' END"
+_CASE = _L(
+    f"CASE WHEN section IS DISTINCT FROM prev THEN chr(10) || {sql_text(R.RULE)} || chr(10) || '# Section: ' || section || chr(10) || {sql_text(R.RULE)} END",
+    _NAME,
+    "'    [Documentation]    ' || replace(description, '\\', '\\\\')",
+    "'    [Tags]    ' || array_to_string(list_concat([step_type], list_filter(tags, lambda t: t <> step_type), list_filter([protocol], lambda x: x IS NOT NULL), list_filter([vendor], lambda x: x <> 'generic')), '    ') || CASE WHEN failure_strategy = 'continue' THEN '    robot:continue-on-failure' ELSE '' END",
+    f"'    [Teardown]    Run Keyword If Test Failed    Log Step Failure    ' || {_E('substr(description, 1, 60)')}",
+    f"'    ' || {_OUT_V} || '=    Execute CLI Command    ' || {_E('raw')}",
+    f"CASE WHEN section = 'Pre-checks' THEN '    Set Suite Variable    ' || {_BASE} END",
+    f"CASE WHEN action_type = 'verify' AND expected_output <> '' THEN '    Verify Command Output    ' || {_OUT_V} || '    ' || {_E('expected_output')} END",
+    f"CASE WHEN section = 'Verification' THEN '    Compare With Baseline    ' || {_BASE} || '    ' || {_OUT_V} || '    ' || {_E('substr(raw, 1, 50)')} END",
+    f"CASE WHEN action_type <> 'verify' AND section <> 'Pre-checks' THEN '    Verify No Device Error    ' || {_OUT_V} END",
+    "''",
+)
+
+
+@query("r06_suite_text", f"""WITH {V.STEPS}, {_MODELS},
+main AS (SELECT *, lag(section) OVER (PARTITION BY doc_id ORDER BY sequence) AS prev FROM steps JOIN models USING (doc_id) WHERE NOT is_rollback),
+cases AS (SELECT doc_id, string_agg({_CASE}, chr(10) ORDER BY sequence) AS cases FROM main GROUP BY doc_id),
+undo AS (SELECT doc_id, string_agg('    Log    Rollback: ' || {_E('substr(raw, 1, 60)')} || '    WARN' || chr(10) || '    Run Keyword And Continue On Failure    Execute CLI Command    ' || {_E('raw')}, chr(10) ORDER BY sequence DESC) AS undo FROM steps WHERE is_rollback GROUP BY doc_id)
+SELECT doc_id, {_L("'*** Settings ***'", "'Documentation    Auto-generated Robot Framework tests for: ' || document_title", "'...              Source: ' || doc_id || '.' || source_format", "'...              MOP Structure: ' || source_format", "'...              Failure Strategy: ' || upper(failure_strategy)", *map(sql_text, R.SETTINGS), f"CASE WHEN failure_strategy IN ('rollback_all', 'rollback_group') AND undo IS NOT NULL THEN {sql_text(R.TEARDOWN_BACK)} ELSE {sql_text(R.TEARDOWN)} END")}
+ || chr(10) || chr(10) || {_L("'*** Variables ***'", *map(sql_text, R.VARIABLES))} || chr(10) || chr(10) || {_L("'*** Test Cases ***'", "cases")}
+ || chr(10) || chr(10) || chr(10) || '*** Keywords ***' || chr(10) || 'Library Keyword' || CASE WHEN undo IS NULL THEN '' ELSE chr(10) || chr(10) || {_L("'Execute Rollback Procedure'", "'    [Documentation]    Execute rollback steps in reverse order to restore network state.'", "'    ...                Called automatically by Suite Teardown on failure.'", "'    Log    ' || chr(92) || 'n==============================    WARN'", "'    Log    ROLLBACK PROCEDURE STARTING    WARN'", sql_text(R.INDENT + R.BACK_RULE), "undo", sql_text(R.INDENT + R.BACK_RULE), "'    Log    ROLLBACK PROCEDURE COMPLETE    WARN'", sql_text(R.INDENT + R.BACK_RULE))} END AS suite
+FROM models LEFT JOIN cases USING (doc_id) LEFT JOIN undo USING (doc_id)""")
+def r06_suite(spark, sf):
+    m = models(spark, sf).withColumn("source_file", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), "source_format")).withColumn("structure", F.col("source_format"))
+    return R.suite_text(m, V.proc_steps(spark, sf), "Library Keyword")
+
+
 @query("r07_rollback_script", f"WITH {V.STEPS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sequence DESC) AS line_no, raw AS command FROM steps WHERE is_rollback")
 def r07(spark, sf):
     return R.rollback_script(V.proc_steps(spark, sf))
@@ -105,6 +137,16 @@ def s07(spark, sf):
     return writers.rules_by_document(R.validation_rules(V.proc_steps(spark, sf)).select("doc_id", "step_sequence", "command")).select("doc_id", F.size("rules").cast("long").alias("n_rules"))
 
 
+@query("s07_written_rules", f"WITH {V.STEPS} SELECT doc_id, sequence AS step_sequence, raw AS command, vendor, array_to_string({_must('expected_output')}, '|') AS must_contain FROM steps")
+def s07_written(spark, sf):
+    """Rules written as JSON, one line a document, and read back."""
+    path = new_folder(spark, "rules")
+    d = R.validation_rules(V.proc_steps(spark, sf)).select("doc_id", "step_sequence", "command", "vendor", F.array_join("must_contain", "|").alias("must_contain"))
+    writers.write_rules(d, path)
+    back = spark.read.schema(writers.rules_by_document(d).schema).json(path)
+    return back.select("doc_id", F.explode("rules").alias("r")).select("doc_id", "r.*")
+
+
 @query("s08_models_with_steps", f"WITH {V.STEPS}, {_MODELS}, n AS (SELECT doc_id, count(*) AS n FROM steps GROUP BY doc_id) SELECT doc_id, document_title, n AS n_steps FROM models JOIN n USING (doc_id)")
 def s08(spark, sf):
     return writers.models_with_steps(models(spark, sf), V.proc_steps(spark, sf)).where("steps is not null").select("doc_id", "document_title", F.size("steps").cast("long").alias("n_steps"))

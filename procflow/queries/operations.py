@@ -173,6 +173,14 @@ def x11(spark, sf):
     return G.blocked_commands(plan_steps(spark, sf).withColumn("normalized", F.lower("raw"))).select("execution_id", "step_id", "pattern")
 
 
+@query("x11_block_table", SQL["x11_blocked_commands"])
+def x11_table(spark, sf):
+    """The block list as a table, with a pattern that does not compile and one that is null."""
+    rows = [*enumerate(P.BLOCKED_COMMANDS), (-1, "(((" ), (-2, None)]
+    steps = plan_steps(spark, sf).withColumn("normalized", F.lower("raw"))
+    return G.blocked_by_table(steps, spark.createDataFrame(rows, "pattern_no int, pattern string")).select("execution_id", "step_id", "pattern")
+
+
 _INVERSE = """CASE WHEN action_type IN ('verify', 'rollback') OR mode = 'exec' THEN NULL WHEN vendor IN ('cisco', 'arista', 'nokia', 'ericsson') THEN CASE WHEN NOT starts_with(raw, 'no ') AND NOT starts_with(raw, 'end') THEN 'no ' || raw END
   WHEN vendor = 'juniper' THEN CASE WHEN starts_with(raw, 'set ') THEN 'delete ' || substr(raw, 5) WHEN starts_with(raw, 'activate ') THEN 'deactivate ' || substr(raw, 10) END WHEN vendor = 'huawei' THEN CASE WHEN NOT starts_with(raw, 'undo ') THEN 'undo ' || raw END
   WHEN NOT starts_with(raw, 'no ') THEN 'no ' || raw END"""
@@ -198,11 +206,12 @@ _FAILS = f"fails AS (SELECT execution_id, step_id, 1 + l_partkey % 3 AS attempt,
 
 
 @query("x15_recovery_decisions", f"""WITH {_PSTEPS}, {_FAILS}, d AS (SELECT *, CASE WHEN attempt < retry_count THEN 'RETRY' WHEN error_message IN ('Authentication failed for user', 'Permission denied') THEN 'ESCALATE' WHEN failure_strategy = 'continue' THEN 'CONTINUE' WHEN failure_strategy <> 'abort' THEN 'ROLLBACK' ELSE 'ABORT' END AS decision FROM fails)
-SELECT execution_id, step_id, decision, CASE decision WHEN 'RETRY' THEN 1.0 WHEN 'ESCALATE' THEN 1.0 WHEN 'ABORT' THEN 0.5 ELSE 0.7 END AS confidence, decision <> 'ABORT' AS auto_decided FROM d""")
+SELECT execution_id, step_id, decision, CASE decision WHEN 'RETRY' THEN 1.0 WHEN 'ESCALATE' THEN 1.0 WHEN 'ABORT' THEN 0.5 ELSE 0.7 END AS confidence, decision <> 'ABORT' AS auto_decided, substr(error_message, 1, 200) AS evidence,
+CASE decision WHEN 'RETRY' THEN 'attempt ' || attempt || ' < max_retries ' || retry_count WHEN 'ESCALATE' THEN 'fatal error: ' || substr(error_message, 1, 80) WHEN 'ABORT' THEN 'retries exhausted, no recovery strategy' ELSE 'failure strategy ' || failure_strategy END AS reason FROM d""")
 def x15(spark, sf):
     d = plan_steps(spark, sf).where("status = 'failed'").drop("approval_required").join(plan_models(spark, sf), "execution_id")
     d = d.selectExpr("execution_id", "step_id", "1 + l_partkey % 3 AS attempt", "1 + l_suppkey % 3 AS retry_count", f"{_pick(_ERRS, 'l_partkey % 4')} AS error_message", "failure_strategy", "cast(NULL AS STRING) AS evidence")
-    return G.recovery_decisions(d).select("execution_id", "step_id", "decision", "confidence", "auto_decided")
+    return G.recovery_decisions(d).select("execution_id", "step_id", "decision", "confidence", "auto_decided", "evidence", "reason")
 
 
 @query("x16_failure_outcomes", f"""{_WAVES}, s AS (SELECT p.*, wave, CASE WHEN transaction_group IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY p.execution_id, transaction_group) END AS gn FROM psteps p JOIN wv USING (execution_id, step_id)),
@@ -213,11 +222,11 @@ def x16(spark, sf):
     return G.failure_outcomes(s.join(G.waves(s).select("execution_id", "step_id", "wave"), ["execution_id", "step_id"]), plan_models(spark, sf))
 
 
-@query("x17_plan_summary", f"""{_WAVES}, {_GROUPS}, {_APPROVAL} SELECT p.execution_id, count(*) AS n_steps, any_value(nw) AS n_waves, any_value(cyc) AS has_cycle, coalesce(any_value(ng), 0) AS n_groups, count(DISTINCT device) AS n_devices, any_value(requires_approval) AS requires_approval
+@query("x17_plan_summary", f"""{_WAVES}, {_GROUPS}, {_APPROVAL} SELECT p.execution_id, count(*) AS n_steps, any_value(nw) AS n_waves, any_value(cyc) AS has_cycle, coalesce(any_value(ng), 0) AS n_groups, count(DISTINCT device) AS n_devices, any_value(requires_approval) AS requires_approval, CASE WHEN any_value(nw) > 0 THEN round(32.0 * any_value(nw), 3)::DOUBLE END AS estimated_s
 FROM psteps p JOIN (SELECT execution_id, max(wave) AS nw, bool_or(wave = -1) AS cyc FROM wv GROUP BY execution_id) w USING (execution_id) LEFT JOIN (SELECT execution_id, count(*) AS ng FROM tg GROUP BY execution_id) t USING (execution_id) JOIN appr USING (execution_id) GROUP BY p.execution_id""")
 def x17(spark, sf):
     s = plan_steps(spark, sf)
-    return G.plan_summary(s, plan_models(spark, sf), G.waves(s)).drop("estimated_s")
+    return G.plan_summary(s, plan_models(spark, sf), G.waves(s))
 
 
 # ---- execution logs: events are transitions ----
@@ -736,6 +745,12 @@ def z12(spark, sf):
     return Z.discover_nearest(_edges(spark, sf), site, 2)
 
 
+@query("z12_discovered_by_all", f"WITH RECURSIVE {_EDGES}, r(seed, node, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT seed, dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 2) SELECT seed, node, min(d) AS distance FROM r GROUP BY seed, node")
+def z12_all(spark, sf):
+    """From every device: a row for each pair of them that is two steps apart or nearer."""
+    return Z.discover(_edges(spark, sf), table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), 2)
+
+
 @query("z13_topology_rows", f"WITH {_DEV} SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'device_' || replace(host, '.', '_') ELSE device END AS device, host, CASE vendor WHEN 'cisco' THEN 'cisco/ios-xr/asr9000' WHEN 'juniper' THEN 'juniper/junos/mx-series' WHEN 'nokia' THEN 'nokia/sros/7750-sr' WHEN 'arista' THEN 'arista/eos/7280' ELSE 'huawei/vrp/ne40e' END AS ref, CASE WHEN s_suppkey % 3 = 0 THEN upper('device_' || replace(host, '.', '_')) ELSE upper(device) END || '_PASSWORD' AS credential FROM dev")
 def z13(spark, sf):
     return Z.topology_rows(_instances(spark, sf).withColumn("hostname", F.when(F.regexp_extract("device", r"(\d+)", 1).cast("int") % 3 != 0, F.col("device"))))

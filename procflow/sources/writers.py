@@ -17,8 +17,11 @@ def rules_by_document(rules: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return rules.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rules"))
 
 
-def write_rules(rules: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -> None:
-    rules_by_document(rules, keys).write.mode("overwrite").json(path)
+def write_rules(rules: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), apart: bool = False) -> None:
+    """Rules as JSON, one line a document; ``apart``: one file a document, in a folder named by its keys."""
+    d = rules_by_document(rules, keys)
+    w = d.write.mode("overwrite")
+    (w.partitionBy(*keys) if apart else w).json(path)
 
 
 def models_with_steps(models: DataFrame, steps: DataFrame, key: str = "doc_id") -> DataFrame:
