@@ -132,11 +132,15 @@ CHANGES = (
     (r"^merchantibility$", "merchantability"),
     (r"^non$", "noncommercial"),
 )
-#: First words that a rule takes away, so that the form begins with any other.
-GOES = ("http", "https")
+#: What a rule may make of a text's last word, likewise.
+ENDINGS = (CHANGES[0], CHANGES[3], (r"^owner(s?)$", "holder$1"))
+#: What a rule takes away: such words neither begin nor end a form.
+LINK = r"(?i)\bhttps?://(?:www\.)?"
 #: A line of no word, or one that only claims copyright.
 _NO_WORD = r"[\p{L}\p{N}]"
 _CLAIM = COPYRIGHT.replace("(?imd)", "(?id)")
+#: The same of a line with the one after it, which may tell that the line is the middle of a sentence.
+_CLAIM_BEFORE = COPYRIGHT.replace("(?imd)^", r"(?imd)\A")
 
 
 def whole_texts(folder: Path = FOLDER) -> list[tuple[str, str]]:
@@ -145,9 +149,9 @@ def whole_texts(folder: Path = FOLDER) -> list[tuple[str, str]]:
 
 
 def known(spark: SparkSession, extra: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``license_id, digest, first, least, most`` of the known texts: grants by rule, whole texts, and ``extra (id,
-    text)``; ``first`` is the first word of the canonical form, ``least`` and ``most`` bound the number of words that
-    an equal text has before it is normalised."""
+    """``license_id, digest, first, last, least, most`` of the known texts: grants by rule, whole texts, and ``extra (id,
+    text)``; ``first`` and ``last`` are the first and last word of the canonical form, ``least`` and ``most`` bound the
+    number of words that an equal text has before it is normalised."""
     rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS]
     rows += [(i, f"SPDX-License-Identifier: {i}") for i in NAMES] + list(TEXTS.items()) + whole_texts() + (extra or [])
     d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", "text", canonical(F.col("text")).alias("form"))
@@ -157,24 +161,29 @@ def known(spark: SparkSession, extra: list[tuple[str, str]] | None = None) -> Da
     most = n + F.regexp_count("form", F.lit(r"\b(?:software|v[0-9]+|noncommercial)\b")) + 2 * F.regexp_count("text", F.lit(r"://|[\p{L}\p{N}]\.[\p{L}]"))
     d = d.withColumns({"least": least, "most": most})
     return d.groupBy(F.sha2("form", 256).alias("digest")).agg(
-        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first"), F.min("least").alias("least"), F.max("most").alias("most")
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("first"), F.min(F.substring_index("form", " ", -1)).alias("last"), F.min("least").alias("least"), F.max("most").alias("most")
     )
 
 
 def first_word(unit: Column) -> Column:
-    """The first word, lower-cased, of the first line that is more than a copyright claim; null if none is."""
-    lines = F.filter(F.split(unit, "\n"), lambda x: x.rlike(_NO_WORD) & ~x.rlike(_CLAIM))
-    return F.lower(F.regexp_extract(F.get(lines, F.lit(0)), r"([\p{L}\p{N}]+)", 1))
+    """The first word, lower-cased, of the first line that is more than a copyright claim or the mark of a link; null
+    if none is."""
+    lines = F.transform(F.filter(F.split(unit, "\n"), lambda x: x.rlike(_NO_WORD) & ~x.rlike(_CLAIM)), lambda x: F.regexp_replace(x, LINK, ""))
+    return F.lower(F.regexp_extract(F.get(F.filter(lines, lambda x: x.rlike(_NO_WORD)), F.lit(0)), r"([\p{L}\p{N}]+)", 1))
 
 
-def begins(word: Column) -> Column:
-    """The same for all first words that the rules may make equal."""
+def _changed(word: Column, changes) -> Column:
     out = word
-    for pattern, to in CHANGES:
+    for pattern, to in changes:
         out = F.when(word.rlike(pattern), F.regexp_replace(word, pattern, to)).otherwise(out)
     return out
 
 
+def begins(word: Column) -> Column:
+    """The same for all first words that the rules may make equal."""
+    return _changed(word, CHANGES)
+
+
 def may_begin(text: Column, words: list[str]) -> Column:
     """Whether any line of a text begins with a word that ``begins`` makes one of ``words``: one plain search, as most
     texts have no such line, and every unit begins like one of its lines. Never false for a text with such a unit."""
@@ -184,7 +193,7 @@ def may_begin(text: Column, words: list[str]) -> Column:
     parts += [p for p, to in (("the", "software"), ("merchantibility", "merchantability"), ("non", "noncommercial")) if to in words]
     if any(w.startswith("v") for w in words):
         parts.append(r"v(?:er(?:sion)?)?[0-9]*")
-    return text.rlike(r"(?iudm)^[^\p{L}\p{N}\n]*+(?:" + "|".join(sorted(set(parts))) + r")(?![\p{L}\p{N}])")
+    return text.rlike(r"(?iudm)^(?:[^\p{L}\p{N}\n]|https?://(?:www\.)?)*+(?:" + "|".join(sorted(set(parts))) + r")(?![\p{L}\p{N}])")
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -202,33 +211,43 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(every).alias("u")).select("doc_id", "u.scope", "u.unit")
 
 
-def runs(docs: DataFrame, sizes: dict[str, list[tuple[int, int]]]) -> DataFrame:
-    """``doc_id, scope, unit``: rows of two or more lines that begin like a known text and have as many words.
+def runs(docs: DataFrame, sizes: dict[str, list[tuple[int, int]]], lasts: dict[str, list[str]]) -> DataFrame:
+    """``doc_id, scope, unit``: rows of two or more lines that begin and end like a known text and have as many words.
 
-    ``sizes`` gives by first word (as ``begins`` tells it) the ranges of numbers of words. Lines without a word and
-    lines that only claim copyright are in no form, so they are passed over and not counted. Scope is ``blocks`` if the
+    ``sizes`` gives by first word (as ``begins`` tells it) the ranges of numbers of words, ``lasts`` the last words of
+    the forms. Lines without a word and lines that only claim copyright are in no form, so they are passed over and not
+    counted. Each line is looked at once: for its number of words, its first and its last. A row does not begin or end
+    with a line that is but the mark of a link, as its form is that of the row without it. Scope is ``blocks`` if the
     row consists of whole blocks, else ``lines``; rows that are the document or one block are units already.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     every = F.flatten(F.transform(F.split(text, r"\n[ \t\r]*\n"), lambda b, i: F.transform(F.split(b, "\n"), lambda x: F.struct(i.alias("block"), x.alias("line")))))
-    d = docs.select("doc_id", F.filter(every, lambda x: x["line"].rlike(_NO_WORD) & ~x["line"].rlike(_CLAIM)).alias("lines"))
-    of = F.create_map(*(c for w, rs in sizes.items() for c in (F.lit(w), F.array(*(F.struct(F.lit(a).alias("least"), F.lit(z).alias("most")) for a, z in rs)))))
-    word = lambda x: begins(F.lower(F.regexp_extract(x["line"], r"([\p{L}\p{N}]+)", 1)))
-    starts = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.element_at(of, word(x)).alias("sizes"))), lambda a: a["sizes"].isNotNull())
-    d = d.where(F.size("lines") > 2).select("doc_id", "lines", starts.alias("starts")).where(F.size("starts") > 0)
+    after = lambda xs, i: F.coalesce(F.get(xs, i + 1)["line"], F.lit(""))
+    kept = lambda xs: F.filter(xs, lambda x, i: x["line"].rlike(_NO_WORD) & ~(x["line"].rlike(_CLAIM) & F.concat(x["line"], F.lit("\n"), after(xs, i)).rlike(_CLAIM_BEFORE)))
+    d = docs.select("doc_id", F.get(F.transform(F.array(every), kept), F.lit(0)).alias("lines")).where(F.size("lines") > 2)
+    word = lambda x: begins(F.lower(F.regexp_extract(F.regexp_replace(x["line"], LINK, ""), r"([\p{L}\p{N}]+)", 1)))
+    per_word = lambda of, one: F.create_map(*(c for w, xs in of.items() for c in (F.lit(w), F.array(*map(one, xs)))))
+    of, ends_of = per_word(sizes, lambda r: F.struct(F.lit(r[0]).alias("least"), F.lit(r[1]).alias("most"))), per_word(lasts, F.lit)
+    starts = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), word(x).alias("word"))), lambda a: F.map_contains_key(of, a["word"]))
+    d = d.select("doc_id", "lines", F.transform(starts, lambda a: F.struct(a["at"].alias("at"), F.element_at(of, a["word"]).alias("sizes"), F.element_at(ends_of, a["word"]).alias("lasts"))).alias("starts")).where(F.size("starts") > 0)
+    last = lambda x: _changed(F.lower(F.regexp_extract(F.regexp_replace(x["line"], LINK, ""), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)), ENDINGS)
+    facts = F.transform("lines", lambda x: F.struct(F.regexp_count(x["line"], F.lit(r"[\p{L}\p{N}]+")).alias("n"), last(x).alias("last")))
+    # bound once for all starts: as a column it would be computed again wherever it is used
     lines, total = F.col("lines"), F.size("lines")
 
-    def ends(a: Column) -> Column:
+    def ends(a: Column, facts: Column) -> Column:
         """Numbers of lines of the rows that start at ``a``."""
         most = F.element_at(a["sizes"], -1)["most"]
 
         def add(acc: Column, x: Column) -> Column:
-            n, k = acc["n"] + F.regexp_count(x["line"], F.lit(r"[\p{L}\p{N}]+")), acc["k"] + 1
+            n, k = acc["n"] + x["n"], acc["k"] + 1
             fits = (k > 1) & (k < total) & F.exists(a["sizes"], lambda s: n.between(s["least"], s["most"]))
+            # a rule may put letters before the last word (v2, noncommercial), and a sign may stand for "and"
+            fits = fits & (x["last"] != "") & F.exists(a["lasts"], lambda w: F.endswith(w, x["last"]) | (w == "and"))
             return F.when(acc["n"] > most, acc).otherwise(F.struct(n.alias("n"), k.alias("k"), F.when(fits, F.array_append(acc["found"], k)).otherwise(acc["found"]).alias("found")))
 
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("found"))
-        return F.aggregate(F.slice(lines, a["at"] + 1, most + 1), zero, add, lambda acc: acc["found"])
+        return F.aggregate(F.slice(facts, a["at"] + 1, most + 1), zero, add, lambda acc: acc["found"])
 
     def unit(a: Column, k: Column) -> Column:
         block = lambda i: F.get(lines, i)["block"]
@@ -237,7 +256,7 @@ def runs(docs: DataFrame, sizes: dict[str, list[tuple[int, int]]]) -> DataFrame:
         scope = F.when(whole & (block(first) == block(last)), "block").when(whole, "blocks").otherwise("lines")
         return F.struct(scope.alias("scope"), F.array_join(F.transform(F.slice(lines, first + 1, k), lambda x: x["line"]), "\n").alias("unit"))
 
-    found = F.flatten(F.transform("starts", lambda a: F.transform(ends(a), lambda k: unit(a, k))))
+    found = F.get(F.transform(F.array(facts), lambda f: F.flatten(F.transform("starts", lambda a: F.transform(ends(a, f), lambda k: unit(a, k))))), F.lit(0))
     return d.select("doc_id", F.explode(found).alias("u")).select("doc_id", "u.scope", "u.unit").where("scope <> 'block'")
 
 
@@ -260,15 +279,16 @@ def licenses(docs: DataFrame, known_digests: DataFrame) -> DataFrame:
     again. Documents without a match give no row.
     """
     ranges: dict[str, list[tuple[int, int]]] = defaultdict(list)  # one at most for each known text
-    for r in known_digests.select(begins(F.col("first")).alias("first"), "least", "most").distinct().collect():
-        for w in (r["first"], *GOES):
-            ranges[w].append((r["least"], r["most"]))
+    lasts: dict[str, set[str]] = defaultdict(set)
+    for r in known_digests.select(begins(F.col("first")).alias("first"), "last", "least", "most").distinct().collect():
+        ranges[r["first"]].append((r["least"], r["most"]))
+        lasts[r["first"]].add(r["last"])
     if not ranges:
-        ranges[""] = [(0, 0)]
+        ranges[""], lasts[""] = [(0, 0)], {""}
     docs = docs.select("doc_id", "text").where(may_begin(F.col("text"), list(ranges)))
     # a unit whose form begins with another word than every known form cannot be equal to one
     u = units(docs).where(begins(first_word(F.col("unit"))).isin(*ranges))
-    u = u.union(runs(docs, {w: _merged(rs) for w, rs in ranges.items()}))
+    u = u.union(runs(docs, {w: _merged(rs) for w, rs in ranges.items()}, {w: sorted(x) for w, x in lasts.items()}))
     u = u.withColumn("form", canonical(F.col("unit"))).where("form <> ''")
     hits = u.select("doc_id", "scope", F.sha2("form", 256).alias("digest")).join(known_digests.select("digest", "license_id"), "digest")
     return hits.groupBy("doc_id", "license_id", "scope").agg(F.count("*").alias("n_hits"))
