@@ -77,25 +77,43 @@ def doc_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_OVERHEAD
 
 
-def with_curve(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``__size`` (UTF-8 bytes + 16), ``__cell`` (place on the curve) and ``__bin``."""
-    d = docs.withColumn("__size", doc_size(docs["text"]))
-    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
-    source = docs["source"] if "source" in docs.columns else F.lit(None).cast("string")
+def with_curve(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``keep``, and of each row of ``docs`` (doc_id, text, lang and source if they are there): ``__size`` (UTF-8 bytes
+    + 16), ``__cell`` (place on the curve), ``__bin``, and what orders the rows of a bin."""
+    text = F.col("text")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    d = docs.select(*keep, F.col("doc_id").alias("__id"), F.crc32(F.coalesce(text, F.lit(""))).alias("__crc"), text.isNull().alias("__none"), F.xxhash64("doc_id", "text").alias("__hash"), category(lang).alias("__lang"), category(source).alias("__source"), doc_size(text).alias("__size"))
     level = F.greatest(F.lit(0), size_level(F.col("__size")))
-    d = d.withColumn("__cell", _curve(category(lang), category(source), level))
-    return d.withColumn("__bin", F.pmod(F.xxhash64(docs["doc_id"], F.col("__size")), F.lit(SUB)).cast("int"))
+    d = d.withColumn("__cell", _curve(F.col("__lang"), F.col("__source"), level))
+    return d.withColumn("__bin", F.pmod("__hash", F.lit(SUB)).cast("int")).drop("__lang", "__source", "__hash")
+
+
+PLACED = ("__size", "__cell", "__shard", "__slot", "__rows")
+
+
+def free_names(names: tuple[str, ...], taken: list[str]) -> dict[str, str]:
+    """A name for each of ``names`` that no column bears: itself, else with underscores before it."""
+    used, out = {c.lower() for c in taken}, {}
+    for name in names:
+        new = name
+        while new.lower() in used:
+            new = "_" + new
+        out[name] = new
+        used.add(new.lower())
+    return out
 
 
 def shard_by_hilbert(docs: DataFrame, n_shards: int = N_SHARDS, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of docs (all by default) plus ``__size, __cell, __shard, __slot, __rows``.
+    """``columns`` of docs (all by default) plus ``__size, __cell, __shard, __slot, __rows``; where docs has columns of
+    these names they stay, and the new ones get more underscores (``free_names``).
 
     Shards are runs of the curve; their row counts differ by one at most, and slots run from 0 without a gap.
     Null texts have 16 bytes; null languages and sources are a category; rows with equal keys are numbered in
     an order fixed by their doc_id and text digest. ``docs`` has doc_id and text; lang and source may be absent.
     """
-    narrow = with_curve(docs.select(*[c for c in ("doc_id", "text", "lang", "source") if c in docs.columns])).select("__cell", "__bin")
-    bins = cut(narrow.groupBy("__cell", "__bin").agg(F.count("*").alias("__n")), "bins")  # read twice
+    own = columns if columns is not None else docs.columns
+    bins = cut(with_curve(docs).groupBy("__cell", "__bin").agg(F.count("*").alias("__n")), "bins")  # read twice
     cells = bins.groupBy("__cell").agg(F.sum("__n").alias("__n"))
     # one task over at most SIDE^3 rows, then one over at most SUB rows for each cell
     upto = W.orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
@@ -103,15 +121,15 @@ def shard_by_hilbert(docs: DataFrame, n_shards: int = N_SHARDS, columns: list[st
     within = W.partitionBy("__cell").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
     bins = bins.withColumn("__in", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(cells, "__cell")
     starts = bins.select("__cell", "__bin", (F.col("__from") + F.col("__in")).alias("__start"), "__rows")
-    own = columns if columns is not None else docs.columns
-    rows = with_curve(docs)
-    order = W.partitionBy("__cell", "__bin").orderBy(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit(""))), F.col("text").isNull())
-    rows = rows.withColumn("__k", F.row_number().over(order) - 1).select(*own, "__size", "__cell", "__bin", "__k")
+    rows = with_curve(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
+    order = W.partitionBy("__cell", "__bin").orderBy("__id", "__crc", "__none")
+    rows = rows.withColumn("__k", F.row_number().over(order) - 1)
     ranked = rows.join(starts, ["__cell", "__bin"]).withColumn("__rank", F.col("__start") + F.col("__k"))
     # shard s holds ranks ceil(s * rows / n) to ceil((s + 1) * rows / n) - 1
     shard = F.expr(f"__rank * {n_shards} div __rows").cast("int")
     first = F.expr(f"(__shard * __rows + {n_shards} - 1) div {n_shards}")
-    return ranked.withColumn("__shard", shard).withColumn("__slot", (F.col("__rank") - first).cast("long")).select(*own, "__size", "__cell", "__shard", "__slot", "__rows")
+    ranked = ranked.withColumn("__shard", shard).withColumn("__slot", (F.col("__rank") - first).cast("long"))
+    return ranked.select("__row.*", *[F.col(c).alias(n) for c, n in free_names(PLACED, own).items()])
 
 
 def shard_stats(sharded: DataFrame) -> DataFrame:

@@ -210,9 +210,9 @@ def deduplicate(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     columns stays is open."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     kept = _grouped(docs, max_bits).groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest"))
-    own = docs.withColumn("__text", F.xxhash64("text"))
-    left = own.join(kept, own["doc_id"].eqNullSafe(kept["__id"]) & (own["__text"] == kept["__digest"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__own_id"), F.xxhash64("text").alias("__own_digest"))
+    left = own.join(kept, own["__own_id"].eqNullSafe(kept["__id"]) & (own["__own_digest"] == kept["__digest"]), "left_semi")
+    return left.dropDuplicates(["__own_id", "__own_digest"]).select("__row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
