@@ -34,10 +34,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets a shard and a slot along the Hilbert curve."""
+    """Every document gets a shard and a slot along the Hilbert curve. Columns of these names that are there already
+    stay; the new ones then have underscores before their names."""
     own = docs.columns
-    placed = sharding.shard_by_hilbert(docs)
-    return placed.select(*own, F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
+    placed, named = sharding.free_names(sharding.PLACED, own), sharding.free_names(("shard", "slot"), own)
+    rows = sharding.shard_by_hilbert(docs)
+    return rows.select(*[F.col(f"`{c}`") for c in own], *[F.col(placed[f"__{c}"]).alias(n) for c, n in named.items()])
 
 
 STAGES = [
