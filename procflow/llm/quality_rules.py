@@ -148,9 +148,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Isola
     """Forest from at most ``rows`` labelled good rows (those of the smallest hash of doc_id in one half), and the
     threshold from every other labelled row that passes the base rules: the good ones of the other half, and all bad.
 
-    Without labelled good rows there is no forest, and only the base rules decide.
+    An id that is labelled both good and bad counts as bad. Without labelled good rows there is no forest, and only the
+    base rules decide.
     """
-    labelled = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    labelled = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0  # good rows of one half make the forest, those of the other the threshold
     chosen = smallest_hashes(labelled.where("quality = 1").where(half), "doc_id", rows)
 
