@@ -193,7 +193,7 @@ def may_begin(text: Column, words: list[str]) -> Column:
     parts += [p for p, to in (("the", "software"), ("merchantibility", "merchantability"), ("non", "noncommercial")) if to in words]
     if any(w.startswith("v") for w in words):
         parts.append(r"v(?:er(?:sion)?)?[0-9]*")
-    return text.rlike(r"(?iudm)^(?:[^\p{L}\p{N}\n]|https?://(?:www\.)?)*+(?:" + "|".join(sorted(set(parts))) + r")(?![\p{L}\p{N}])")
+    return text.rlike(r"(?iudm)^[^\p{L}\p{N}\n]*+(?:https?://(?:www\.)?[^\p{L}\p{N}\n]*+)*+(?:" + "|".join(sorted(set(parts))) + r")(?![\p{L}\p{N}])")
 
 
 def units(docs: DataFrame) -> DataFrame:
