@@ -132,6 +132,8 @@ CHANGES = (
     (r"^merchantibility$", "merchantability"),
     (r"^non$", "noncommercial"),
 )
+#: Characters of a line's end in which its last word is looked for; a longer word is no known text's last.
+LONGEST_LAST = 100
 #: What a rule may make of a text's last word, likewise.
 ENDINGS = (CHANGES[0], CHANGES[3], (r"^owner(s?)$", "holder$1"))
 #: What a rule takes away: such words neither begin nor end a form.
@@ -179,6 +181,11 @@ def _changed(word: Column, changes) -> Column:
     return out
 
 
+def _once(value: Column, f) -> Column:
+    """``f(value)``, the value computed once for all its uses."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def begins(word: Column) -> Column:
     """The same for all first words that the rules may make equal."""
     return _changed(word, CHANGES)
@@ -225,13 +232,15 @@ def runs(docs: DataFrame, sizes: dict[str, list[tuple[int, int]]], lasts: dict[s
     after = lambda xs, i: F.coalesce(F.get(xs, i + 1)["line"], F.lit(""))
     kept = lambda xs: F.filter(xs, lambda x, i: x["line"].rlike(_NO_WORD) & ~(x["line"].rlike(_CLAIM) & F.concat(x["line"], F.lit("\n"), after(xs, i)).rlike(_CLAIM_BEFORE)))
     d = docs.select("doc_id", F.get(F.transform(F.array(every), kept), F.lit(0)).alias("lines")).where(F.size("lines") > 2)
-    word = lambda x: begins(F.lower(F.regexp_extract(F.regexp_replace(x["line"], LINK, ""), r"([\p{L}\p{N}]+)", 1)))
+    # words first, then what the rules make of them: within one expression a word would be told anew for each rule
+    words = F.transform(F.transform("lines", lambda x: F.lower(F.regexp_extract(F.regexp_replace(x["line"], LINK, ""), r"([\p{L}\p{N}]+)", 1))), begins)
     per_word = lambda of, one: F.create_map(*(c for w, xs in of.items() for c in (F.lit(w), F.array(*map(one, xs)))))
     of, ends_of = per_word(sizes, lambda r: F.struct(F.lit(r[0]).alias("least"), F.lit(r[1]).alias("most"))), per_word(lasts, F.lit)
-    starts = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), word(x).alias("word"))), lambda a: F.map_contains_key(of, a["word"]))
+    starts = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word"))), lambda a: F.map_contains_key(of, a["word"]))
     d = d.select("doc_id", "lines", F.transform(starts, lambda a: F.struct(a["at"].alias("at"), F.element_at(of, a["word"]).alias("sizes"), F.element_at(ends_of, a["word"]).alias("lasts"))).alias("starts")).where(F.size("starts") > 0)
-    last = lambda x: _changed(F.lower(F.regexp_extract(F.regexp_replace(x["line"], LINK, ""), r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1)), ENDINGS)
-    facts = F.transform("lines", lambda x: F.struct(F.regexp_count(x["line"], F.lit(r"[\p{L}\p{N}]+")).alias("n"), last(x).alias("last")))
+    end = lambda x: F.right(F.regexp_replace(F.regexp_replace(x["line"], LINK, ""), r"[^\p{L}\p{N}]++$", ""), F.lit(LONGEST_LAST))
+    last = F.transform(F.transform("lines", lambda x: F.lower(F.regexp_extract(end(x), r"([\p{L}\p{N}]+)$", 1))), lambda w: _changed(w, ENDINGS))
+    facts = F.arrays_zip(F.transform("lines", lambda x: F.regexp_count(x["line"], F.lit(r"[\p{L}\p{N}]+"))).alias("n"), last.alias("last"))
     # bound once for all starts: as a column it would be computed again wherever it is used
     lines, total = F.col("lines"), F.size("lines")
 
@@ -287,7 +296,7 @@ def licenses(docs: DataFrame, known_digests: DataFrame) -> DataFrame:
         ranges[""], lasts[""] = [(0, 0)], {""}
     docs = docs.select("doc_id", "text").where(may_begin(F.col("text"), list(ranges)))
     # a unit whose form begins with another word than every known form cannot be equal to one
-    u = units(docs).where(begins(first_word(F.col("unit"))).isin(*ranges))
+    u = units(docs).where(_once(first_word(F.col("unit")), begins).isin(*ranges))
     u = u.union(runs(docs, {w: _merged(rs) for w, rs in ranges.items()}, {w: sorted(x) for w, x in lasts.items()}))
     u = u.withColumn("form", canonical(F.col("unit"))).where("form <> ''")
     hits = u.select("doc_id", "scope", F.sha2("form", 256).alias("digest")).join(known_digests.select("digest", "license_id"), "digest")
