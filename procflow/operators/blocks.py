@@ -101,6 +101,7 @@ def document_titles(docs: DataFrame, blocks: DataFrame, path: str = "source_file
     return docs.join(first, "doc_id", "left").select("doc_id", F.coalesce("heading", stem_title(F.col(path))).alias("title"))
 
 
+# ---- Fixed values: numbered lines and headings of extracted pages ----
 PAGE_NUMBERED = r"(?i)^\s*(\d+[\.\)]\s+|\d+\.\d+[\.\)]\s+|Step\s+\d+\s*[-:.]?\s*)"
 SCAN_HEADING = r"^[A-Z][A-Z\s\-–:]{5,}$"
 

@@ -38,22 +38,28 @@ def description(raw: Column, vendor: Column, protocol: Column, action: Column) -
     return F.concat(verb, proto, brand, F.lit(": "), F.substring(raw, 1, 60), F.when(F.length(raw) > 60, "…").otherwise(""))
 
 
+# ---- Fixed values: words of a verification command, and the output to expect; the first line whose words are all
+# in the command counts ----
+EXPECTED_HINTS = (
+    (("bgp",), "BGP neighbors in Established state"),
+    (("ospf",), "OSPF neighbors in FULL state"),
+    (("isis",), "IS-IS adjacencies in UP state"),
+    (("interface",), "Interface state: up/up"),
+    (("ip int",), "Interface state: up/up"),
+    (("install", "active"), "SMU listed in active packages"),
+    (("install",), "Install operation completed successfully"),
+    (("ping",), "Success rate 100% (no packet loss)"),
+    (("version",), "Expected software version shown"),
+)
+EXPECTED_ELSE = "Command completes without errors"
+
+
 def expected_hint(raw: Column, action: Column) -> Column:
     """A plausible expected output of a verification command; null for other steps."""
-    c = F.lower(raw)
-    has = lambda *w: _all(c, w)
-    hint = (
-        F.when(has("bgp"), "BGP neighbors in Established state")
-        .when(has("ospf"), "OSPF neighbors in FULL state")
-        .when(has("isis"), "IS-IS adjacencies in UP state")
-        .when(has("interface") | has("ip int"), "Interface state: up/up")
-        .when(has("install", "active"), "SMU listed in active packages")
-        .when(has("install"), "Install operation completed successfully")
-        .when(has("ping"), "Success rate 100% (no packet loss)")
-        .when(has("version"), "Expected software version shown")
-        .otherwise("Command completes without errors")
-    )
-    return F.when(action == "verify", hint)
+    hint = F.when(F.lit(False), "")
+    for words, text in EXPECTED_HINTS:
+        hint = hint.when(_all(F.lower(raw), words), text)
+    return F.when(action == "verify", hint.otherwise(EXPECTED_ELSE))
 
 
 def _all(c: Column, words: tuple[str, ...]) -> Column:

@@ -536,10 +536,10 @@ _STEPDIFF = f"""b AS ({_LAST.format(_V1)}), a AS ({_LAST.format(_V2)}), sd AS (S
 
 
 def _step_diff(spark, sf):
-    table(spark, sf, "lineitem").createOrReplaceTempView("lineitem")
     # equal places cannot be told apart by place alone: one more order for a result that does not vary
     place = F.struct("position", "command", "description", "section", F.coalesce("expected_output", F.lit("")))
-    v = lambda q: spark.sql(q.replace("l_partkey AS position", "l_partkey AS position")).withColumn("position", place).withColumn("commands", F.array("command")).drop("command")
+    li = table(spark, sf, "lineitem")
+    v = lambda q: spark.sql(q.replace("FROM lineitem", "FROM {lineitem}"), lineitem=li).withColumn("position", place).withColumn("commands", F.array("command")).drop("command")
     return D.step_diff(v(_V1), v(_V2))
 
 
