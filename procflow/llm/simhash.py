@@ -17,6 +17,11 @@ The two codewords are 24 bits, which is little for very many fingerprints: stran
 of their number. From FINE_FROM fingerprints on that case is taken apart. Either one of the two segments is equal
 (key: its bits and the other's codeword, 33 bits or more), or both differ in one bit and the third in at most two, so
 that one of its three parts is equal, too (key: both codewords and that part, 31 bits). The links are the same.
+
+Components need reachability, not every link, of which a dense group of n near fingerprints has up to n^2 / 2. So
+``groups`` first links each fingerprint to the smallest one under each of its keys, where near, and joins what that
+leaves apart: under a key only pairs of different groups meet, and those of the key's largest group not with each
+other.
 """
 
 from __future__ import annotations
@@ -130,6 +135,7 @@ _PAIRS = ((0, 1), (0, 2), (1, 2))
 def _keys(side: str, fine: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = b.column(0).to_numpy(zero_copy_only=False)
+        root = b.column(1).to_numpy(zero_copy_only=False) if b.num_columns > 1 else fp
         u = fp.view("<u8")
         step = 5_000
         for i in range(0, len(u), step):
@@ -150,7 +156,12 @@ def _keys(side: str, fine: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[
                     keys.append(_key(64 + 3 * k + j, (part[:, None], 8), (code[x], 12), (code[y], 12)))
             flat = np.concatenate(keys, axis=1)
             row, col = np.nonzero(flat >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[row, col]), pa.array(fp[own[row]])], names=["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[row, col]), pa.array(fp[own[row]]), pa.array(root[own[row]])], names=["key", "fp", "root"])
+
+
+def _keyed(rooted: DataFrame, side: str, fine: bool) -> DataFrame:
+    """``key, fp, root`` for every key of every row of ``rooted (fp, root)``."""
+    return rooted.select("fp", "root").mapInArrow(partial(_keys, side, fine), "key long, fp long, root long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -159,14 +170,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).mapInArrow(_fingerprints, "doc_id long, fp long, digest long")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of the distinct values of ``fp`` that differ in at most ``max_bits`` (<= 4) bits."""
+def _is_fine(fps: DataFrame, max_bits: int) -> bool:
     if max_bits > MAX_BITS:
         raise ValueError(f"the keys meet pairs up to {MAX_BITS} bits apart")
-    if fine is None:
-        fine = fps.count() >= FINE_FROM
-    near = fps.select("fp").mapInArrow(partial(_keys, "near", fine), "key long, fp long").withColumnRenamed("fp", "x")
-    wide = fps.select("fp").mapInArrow(partial(_keys, "wide", fine), "key long, fp long").withColumnRenamed("fp", "y")
+    return fps.count() >= FINE_FROM
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of the distinct values of ``fp`` that differ in at most ``max_bits`` (<= 4) bits.
+
+    All of them: a dense group gives pairs in the square of its number. ``groups`` does without.
+    """
+    fine = _is_fine(fps, max_bits) if fine is None else fine
+    own = fps.select("fp", F.col("fp").alias("root"))
+    near = _keyed(own, "near", fine).select("key", F.col("fp").alias("x"))
+    wide = _keyed(own, "wide", fine).select("key", F.col("fp").alias("y"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
     met = near.join(wide, "key").where((F.col("x") < F.col("y")) & (F.bit_count(diff) <= max_bits))
     if not fine:
@@ -178,6 +196,43 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) ->
     return met.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
+def stars(fps: DataFrame, max_bits: int, fine: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of a fingerprint and the smallest one under one of its nearer keys, where near. There are at
+    most as many as keys, however dense a group is."""
+    near = _keyed(fps.select("fp", F.col("fp").alias("root")), "near", fine).select("key", "fp")
+    least = near.groupBy("key").agg(F.min("fp").alias("a"))
+    met = near.join(least, "key").where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits))
+    return met.select("a", F.col("fp").alias("b")).distinct()
+
+
+def bridges(rooted: DataFrame, max_bits: int, fine: bool) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots of ``rooted (fp, root)`` that a link joins; all of them.
+
+    Under each key one root is at home, that of most of its fingerprints. Its own do not meet each other: a row of
+    the nearer side that is at home meets only foreign rows of the other (kind 1), a foreign one meets both kinds.
+    """
+    near, wide = (_keyed(rooted, side, fine) for side in ("near", "wide"))
+    by_root = near.groupBy("key", "root").count()
+    home = by_root.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), (F.count("*") > 1).alias("mixed"))
+    foreign = F.col("root") != F.col("home")
+    kinds = F.when(foreign, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    left = near.join(home, "key").select("key", F.explode(kinds).alias("kind"), F.col("fp").alias("x"), F.col("root").alias("rx"))
+    right = wide.join(home, "key").where(foreign | F.col("mixed")).select("key", foreign.cast("int").alias("kind"), F.col("fp").alias("y"), F.col("root").alias("ry"))
+    met = left.join(right, ["key", "kind"]).where((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits))
+    return met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
+
+
+def groups(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) -> DataFrame:
+    """``fp, root`` for every row of ``fps (fp)``, whose values are distinct: root is the smallest fingerprint
+    reachable over links, as if all links were followed. Runs jobs while the plan is built."""
+    fine = _is_fine(fps, max_bits) if fine is None else fine
+    own = F.coalesce("root", "fp").alias("root")
+    first = components(cut(stars(fps, max_bits, fine), "stars"))
+    rooted = cut(fps.select("fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", own), "rooted")
+    second = components(cut(bridges(rooted, max_bits, fine), "bridges")).select(F.col("node").alias("root"), F.col("root").alias("end"))
+    return rooted.join(second, "root", "left").select("fp", F.coalesce("end", "root").alias("root"))
+
+
 def fp_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -187,8 +242,7 @@ def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
     modest_batches(docs.sparkSession)
     each = cut(fingerprints(docs), "fingerprints")
     distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    linked = components(cut(links(distinct, max_bits), "links"))
-    with_root = distinct.join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    with_root = cut(distinct.join(groups(distinct, max_bits), "fp"), "groups")
     named = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = with_root.join(named, "root").select("fp", "component_id", "root")
     return each.join(by_fp, "fp").select("doc_id", "fp", "digest", "component_id", "root")
