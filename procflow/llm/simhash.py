@@ -20,8 +20,8 @@ that one of its three parts is equal, too (key: both codewords and that part, 31
 
 Components need reachability, not every link, of which a dense group of n near fingerprints has up to n^2 / 2. So
 ``groups`` first links each fingerprint to the smallest one under each of its keys, where near, and joins what that
-leaves apart: under a key only pairs of different groups meet, and those of the key's largest group not with each
-other.
+leaves apart: only pairs of different groups leave that join, and under a dense key the largest group's own do not
+even meet in it.
 """
 
 from __future__ import annotations
@@ -46,6 +46,10 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 PART = 7
 #: Number of fingerprints from which keys are longer; the links are the same.
 FINE_FROM = 1 << 25
+#: A key is dense from so many rows of the nearer side on; the groups are the same.
+DENSE = 64
+#: So many dense keys are broadcast at most; more are joined by shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -208,16 +212,20 @@ def stars(fps: DataFrame, max_bits: int, fine: bool) -> DataFrame:
 def bridges(rooted: DataFrame, max_bits: int, fine: bool) -> DataFrame:
     """Pairs ``(a, b)`` of different roots of ``rooted (fp, root)`` that a link joins; all of them.
 
-    Under each key one root is at home, that of most of its fingerprints. Its own do not meet each other: a row of
-    the nearer side that is at home meets only foreign rows of the other (kind 1), a foreign one meets both kinds.
+    Under most keys few rows meet (kind 2). Under a key of over DENSE rows of the nearer side one root is at home, that
+    of most of them, and its own do not meet each other: a row of the nearer side that is at home meets only foreign
+    rows of the other (kind 1), a foreign one meets both kinds. Runs jobs while the plan is built.
     """
     near, wide = (_keyed(rooted, side, fine) for side in ("near", "wide"))
     by_root = near.groupBy("key", "root").count()
-    home = by_root.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), (F.count("*") > 1).alias("mixed"))
-    foreign = F.col("root") != F.col("home")
-    kinds = F.when(foreign, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    left = near.join(home, "key").select("key", F.explode(kinds).alias("kind"), F.col("fp").alias("x"), F.col("root").alias("rx"))
-    right = wide.join(home, "key").where(foreign | F.col("mixed")).select("key", foreign.cast("int").alias("kind"), F.col("fp").alias("y"), F.col("root").alias("ry"))
+    home = by_root.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.sum("count").alias("rows"))
+    home = cut(home.where(F.col("rows") > DENSE).select("key", "home"), "home")
+    if home.count() <= BROADCAST_KEYS:
+        home = F.broadcast(home)
+    ordinary, foreign = F.col("home").isNull(), F.col("root") != F.col("home")
+    kinds = F.when(ordinary, F.array(F.lit(2))).when(foreign, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    left = near.join(home, "key", "left").select("key", F.explode(kinds).alias("kind"), F.col("fp").alias("x"), F.col("root").alias("rx"))
+    right = wide.join(home, "key", "left").select("key", F.when(ordinary, 2).otherwise(foreign.cast("int")).alias("kind"), F.col("fp").alias("y"), F.col("root").alias("ry"))
     met = left.join(right, ["key", "kind"]).where((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits))
     return met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
 

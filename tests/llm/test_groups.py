@@ -38,8 +38,10 @@ def table(spark, fps):
     return spark.createDataFrame([(signed(x),) for x in fps], "fp long").repartition(4)
 
 
-@pytest.mark.parametrize("fine", [False, True])
-def test_groups_against_all_pairs(spark, fine):
+@pytest.mark.parametrize(("fine", "dense", "sent"), [(False, 64, 100_000), (False, 1, 100_000), (True, 3, 0)])
+def test_groups_against_all_pairs(spark, monkeypatch, fine, dense, sent):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", sent)
     rng = random.Random(11)
     base = [rng.getrandbits(64) for _ in range(12)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 7))) for b in base for _ in range(25)}
