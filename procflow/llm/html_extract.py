@@ -4,7 +4,8 @@ A page is read into leaf blocks, stretches of text between block-level tags, eac
 two-label chain (main text or not) scores ancestor tags, class and id tokens, and text features of each block and
 the step from one block to the next; training maximises the likelihood of labelled pages, and Viterbi decodes.
 Labelled pages come from a bounded sample of the pages themselves: where a page marks its article, the blocks in
-it are main text. Each such page is also laid out anew in other common ways (other containers, sidebars, notices,
+it are main text. Where no page of the table does, labels are told from where texts stand and how long they run.
+Each such page is also laid out anew in other common ways (other containers, sidebars, notices,
 forms, reader comments) with its labels known, so that the chain learns more layouts than one site's.
 """
 
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from procflow.llm.common import smallest_hashes
+
 #: Pages that the chain is trained on, at most; chosen by hash of page_id among all that mark their article.
 FIT_PAGES = 120
 #: Longer pages are trained on in runs of this many blocks.
@@ -50,6 +53,7 @@ _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 _NAMED = frozenset(("class", "id", "role"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Inside an article these hold something else again.
 _OUT = frozenset("nav aside footer form header menu dialog fieldset".split())
 
@@ -136,6 +140,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[_Open] = []
     parts: list[str] = []
     linked = 0
+    beyond: dict[str, int] = {}  # open tags deeper than MAX_DEPTH, whose end tags close nothing else
     endless: set[str] = set()  # raw elements of which no end tag follows
     reader = _Reader(page)
 
@@ -210,9 +215,13 @@ def blocks(page: str | None) -> list[Block]:
         if is_end:
             if tag in BLOCKS:
                 close()
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].name == tag), -1)
             if depth >= 0 and (tag in BLOCKS or not any(t.name in BLOCKS for t in stack[depth:])):
                 del stack[depth:]
+                beyond.clear()
             continue
         if tag == "br":
             parts.append(" ")
@@ -226,11 +235,15 @@ def blocks(page: str | None) -> list[Block]:
                 t = stack[k].name
                 if t in ends:
                     del stack[k:]
+                    beyond.clear()
                     break
                 if t in BLOCKS and (t in scope or tag not in IMPLIED or tag == "p"):
                     break
-        if tag not in VOID and not is_closed and len(stack) < MAX_DEPTH:
-            opened(tag, values)
+        if tag not in VOID and not is_closed:
+            if len(stack) < MAX_DEPTH:
+                opened(tag, values)
+            else:
+                beyond[tag] = beyond.get(tag, 0) + 1
     close()
     return out
 
@@ -372,6 +385,38 @@ def _marked(bs: list[Block]) -> list[int] | None:
     return [int(b.main) for b in bs] if any("article" in b.above for b in bs) else None
 
 
+#: Class and id words of what surrounds the main text.
+_SURROUND = frozenset(x.lower() for box in AROUND for v in re.findall(r'"(.*?)"', box) for x in _PART.findall(v))
+#: A block without a full stop counts against a run of sentences like so many code points of them.
+STRAY = 40
+
+
+def weak_labels(bs: list[Block]) -> list[int]:
+    """Labels of a page that marks no article: the run of blocks with most text in unlinked sentences, headings
+    before it and in it included, without what stands in links or in containers that surround main text. Where some
+    of the page is in ``<main>`` or in a container so named, only that counts."""
+    outside = [bool(b.above & (_OUT | {"head"})) or 2 * b.linked > len(b.text) for b in bs]
+    named = [o or bool(b.names & _SURROUND) for o, b in zip(outside, bs)]
+    outside = outside if all(named) else named  # a name that holds for the whole page tells nothing
+    home = ["main" in b.above or "main" in b.names for b in bs]
+    if any(h and not o for h, o in zip(home, outside)):
+        outside = [o or not h for h, o in zip(home, outside)]
+    best, run, start, span = 0, 0, 0, (0, 0)
+    for i, (b, o) in enumerate(zip(bs, outside)):
+        if o:
+            gain = -len(b.text) - STRAY
+        elif b.tag in _HEADINGS:
+            gain = 1
+        else:
+            gain = len(b.text) if any(c in b.text for c in ".!?。") else -STRAY
+        if run <= 0:
+            run, start = 0, i
+        run += gain
+        if run > best:
+            best, span = run, (start, i + 1)
+    return [int(span[0] <= i < span[1] and not o) for i, o in enumerate(outside)]
+
+
 def layouts(bs: list[Block], y: list[int], seed: int) -> Iterator[tuple[list[Block], list[int]]]:
     """The page's texts in other layouts, with their labels."""
     rng = np.random.default_rng(seed)
@@ -433,14 +478,29 @@ def labelled_pages(pages: DataFrame, limit: int = FIT_PAGES) -> list[tuple[int,
     return sorted(map(tuple, rows.groupBy("page_id").agg(F.min("html")).collect()))
 
 
+def unmarked_pages(pages: DataFrame, limit: int = FIT_PAGES) -> list[tuple[int, str]]:
+    """``(page_id, html)`` of the ``limit`` page_ids of the smallest hashes, whatever the pages mark."""
+    some = pages.where(F.col("page_id").isNotNull() & (F.length("html") > 0)).select("page_id", "html")
+    ids = smallest_hashes(some.select("page_id").distinct(), "page_id", limit).collect()
+    rows = some.where(F.col("page_id").isin([r["page_id"] for r in ids])) if ids else some.limit(0)
+    return sorted(map(tuple, rows.groupBy("page_id").agg(F.min("html")).collect()))
+
+
 def fit(pages: DataFrame, limit: int = FIT_PAGES) -> Chain:
-    """Train on at most ``limit`` pages that mark their article."""
+    """Train on at most ``limit`` pages that mark their article; where none does, on as many with weak labels; where
+    those have no sentences either, on placeholder text."""
     data = []
     for page_id, page in labelled_pages(pages, limit):
         bs, y = _labelled(page)
         data += [(bs, y), *layouts(bs, y, page_id % (1 << 32))]
     if not data:  # no page of the table is marked
-        warnings.warn("no page marks an article: the chain is trained on common layouts of placeholder text alone", stacklevel=2)
+        warnings.warn("no page marks an article: the chain is trained on weak labels and common layouts", stacklevel=2)
+        for page_id, page in unmarked_pages(pages, limit):
+            bs = blocks(page)
+            y = weak_labels(bs)
+            if any(y):
+                data += [(bs, y), *layouts(bs, y, page_id % (1 << 32))]
+    if not data:  # nor has any a sentence
         for k in range(8):
             bs = [Block(t, "p", frozenset(("p",)), frozenset(), 0) for t in ("A heading", "Some words make a sentence, and it ends here.", "Another one follows.")]
             data += list(layouts(bs, [1, 1, 1], k))
