@@ -24,10 +24,10 @@ def test_recall_and_precision_without_any_mark(spark):
 def test_weak_labels():
     page = (
         "<head><title>A head.</title></head><div class='menu'><p>Pick one. Or two.</p></div><h1>A head</h1><p>It begins here, with words, and has more to say than all that is set into it by others, links and stray lines alike.</p>"
-        "<ul><li><a href=/>Read this. And this one.</a></li></ul><p>short</p><p>It goes on for a good while, and ends.</p><div class=comments><p>First! I was here before all of you, and long.</p></div><div>imprint</div>"
+        "<ul><li><a href=/>Read this. And this one.</a></li></ul><p>short</p><p>It goes on for a good while after that, with enough sentences to make up for the links and the stray line before it, and only then it ends.</p><div class=comments><p>First! I was here before all of you, and long.</p></div><div>imprint</div>"
     )
     bs = html_extract.blocks(page)
-    assert [b.text for b, y in zip(bs, html_extract.weak_labels(bs)) if y] == ["A head", "It begins here, with words, and has more to say than all that is set into it by others, links and stray lines alike.", "short", "It goes on for a good while, and ends."]
+    assert [b.text for b, y in zip(bs, html_extract.weak_labels(bs)) if y] == ["A head", "It begins here, with words, and has more to say than all that is set into it by others, links and stray lines alike.", "short", "It goes on for a good while after that, with enough sentences to make up for the links and the stray line before it, and only then it ends."]
     held = html_extract.blocks("<p>One sentence outside, and it is the longest of all of them here.</p><main><p>Inside.</p></main>")
     assert html_extract.weak_labels(held) == [0, 1]
     named = html_extract.blocks("<body class=header><h2>T</h2><p>Some words. More.</p></body>")
