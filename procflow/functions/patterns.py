@@ -88,6 +88,8 @@ SIGNIFICANCE: tuple[tuple[int, str], ...] = (
 EXPECTATIONS: tuple[tuple[str, int], ...] = (
     (r"(?i)expected[:\s]+(.{10,120})", 1), (r"(?i)verify\s+that\s+(.{10,120})", 1), (r"(?i)should\s+show\s+(.{10,120})", 1), (r"(?i)should\s+see\s+(.{10,120})", 1), (r"(?i)output\s+should\s+(be\s+)?(.{10,120})", 2), (r"(?i)confirm\s+(?:that\s+)?(.{10,120})", 1), (r"(?i)state\s+(?:is|should be)\s+(.{5,80})", 1), (r"(?i)result[:\s]+(.{10,120})", 1),
 )
+#: A word that stands in each of these phrases.
+EXPECTATION_WORDS = r"(?i)expected|verify|should|confirm|state|result"
 ROLLBACK_SECTION = r"(?i)\b(rollback|backout|back.?out|recovery|revert|undo|restore|fallback)\b"
 
 # ---- Fixed values: what a command's words say about its phase ----

@@ -10,22 +10,27 @@ from pyspark.sql import functions as F
 from procflow.functions import patterns as P
 
 CHARS_PER_TOKEN = 3.5
+#: All white space of Unicode: what ``\s`` stands for in a pattern with ``(?U)``.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space at either end (all of it, not spaces alone)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(SPACE))
 
 
 def squeeze(c: Column) -> Column:
-    """White space collapsed to single spaces, none at the ends."""
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    """White space collapsed to single spaces, none at the ends. Single spaces are what they should be already, so they
+    are no match."""
+    return strip(F.regexp_replace(c, rf"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '')}]", " "))
 
 
 def compress(c: Column) -> Column:
-    """Filler phrases removed or replaced, in order; white space collapsed; none before punctuation."""
-    c = reduce(lambda x, f: F.regexp_replace(x, "(?i)" + f[0], f[1]), P.FILLERS, c)
-    return F.regexp_replace(squeeze(c), r"\s+([,.:;])", "$1")
+    """Filler phrases removed or replaced, in order; white space collapsed; none before punctuation. Most lines have no
+    filler, which one look for all of them tells."""
+    bare = reduce(lambda x, f: F.regexp_replace(x, "(?i)" + f[0], f[1]), P.FILLERS, c)
+    some = r"(?i)\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in P.FILLERS) + ")"
+    return F.regexp_replace(squeeze(F.when(c.rlike(some), bare).otherwise(c)), r"\s+([,.:;])", "$1")
 
 
 def truncate(c: Column, most: int = 120) -> Column:
@@ -42,13 +47,14 @@ def significance(c: Column) -> Column:
 
 
 def expectation(c: Column) -> Column:
-    """The first expected output of five characters or more that a phrase announces; null if none."""
+    """The first expected output of five characters or more that a phrase announces; null if none. Each phrase has one
+    of a few words, so a text without them is done after one look."""
 
     def one(pattern: str, group: int) -> Column:
         value = F.rtrim(strip(F.regexp_extract(c, pattern, group)), F.lit("."))
         return F.when(F.length(value) >= 5, F.substring(value, 1, 120))
 
-    return F.coalesce(*[one(p, g) for p, g in P.EXPECTATIONS])
+    return F.when(c.rlike(P.EXPECTATION_WORDS), F.coalesce(*[one(p, g) for p, g in P.EXPECTATIONS]))
 
 
 def tokens(c: Column) -> Column:

@@ -10,7 +10,7 @@ from procflow.functions import commands as C
 from procflow.functions import patterns as P
 from procflow.functions import text as X
 from procflow.operators.blocks import block_counts, column_map, sections, structure_of
-from procflow.session import checkpointed
+from procflow.session import checkpointed, computed
 
 
 def route(structure: Column) -> Column:
@@ -39,13 +39,14 @@ def block_nodes(blocks_in_sections: DataFrame) -> DataFrame:
     """Nodes of list items, code blocks and paragraphs: description, commands, expected output; blocks that say
     nothing are dropped. Needs doc_id, section_index, section, block_no, block_type, content."""
     t = F.col("block_type")
-    d = blocks_in_sections.where(t.isin("list_item", "code_block", "paragraph")).withColumn("commands", commands_in(F.col("content")))
-    # in steps, so that the long chain of replacements is evaluated once and not in every branch of the cut
-    d = d.withColumn("__short", X.compress(F.col("content"))).withColumn("__short", X.truncate(F.col("__short")))
-    d = d.withColumn("description", F.when(t == "code_block", F.concat(F.lit("Execute "), F.size("commands").cast("string"), F.lit(" command(s)"))).otherwise(F.col("__short")))
-    d = d.withColumn("expected_output", F.when(t != "code_block", X.expectation(F.col("content"))))
-    keep = F.when(t == "list_item", F.length("description") >= 5).when(t == "code_block", F.size("commands") > 0).otherwise(X.significance(F.col("content")) >= 1)
-    return d.where(keep).select("doc_id", "section_index", "section", "block_no", "block_type", "description", "commands", "expected_output", F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+    d = blocks_in_sections.where(t.isin("list_item", "code_block", "paragraph"))
+    d = d.where((t != "paragraph") | (X.significance(F.col("content")) >= 1))
+    # computed once a row: the filter below and the cut read each of them more than once
+    d = computed(d, commands=commands_in(F.col("content")), __short=F.when(t != "code_block", X.compress(F.col("content"))))
+    keep = F.when(t == "list_item", F.length("__short") >= 5).when(t == "code_block", F.size("commands") > 0).otherwise(True)
+    description = F.when(t == "code_block", F.concat(F.lit("Execute "), F.size("commands").cast("string"), F.lit(" command(s)"))).otherwise(X.truncate(F.col("__short")))
+    expected = F.when(t != "code_block", X.expectation(F.col("content")))
+    return d.where(keep).select("doc_id", "section_index", "section", "block_no", "block_type", description.alias("description"), "commands", expected.alias("expected_output"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
 
 
 def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = False) -> DataFrame:
@@ -56,22 +57,19 @@ def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = Fals
     table = W.partitionBy("doc_id", "section_index", "run")
     zero = F.max(F.when(F.col("row_index") == 0, F.col("block_no"))).over(table)
     d = d.withColumn("head", F.coalesce(zero, F.min("block_no").over(table)))
-    d = d.withColumn("header", F.max(F.when(F.col("block_no") == F.col("head"), F.col("content"))).over(table))
-    d = d.where("block_no <> head").withColumn("cells", F.transform(F.split("content", r" \| "), X.strip))
-    e = d.select("doc_id", "section_index", "section", "run", "block_no", "header", F.posexplode("cells").alias("i", "cell"))
+    # what the columns mean is found in the header alone, and told to the rows of its table
+    d = d.withColumn("__cols", F.when(F.col("block_no") == F.col("head"), _places(F.split("content", r" \| "))))
+    d = d.withColumn("cols", F.first("__cols", ignorenulls=True).over(table)).where("block_no <> head")
+    e = d.select("doc_id", "section_index", "section", "run", "block_no", "cols", F.posexplode(F.split("content", r" \| ")).alias("i", "cell"))
     above = W.partitionBy("doc_id", "section_index", "run", "i").orderBy("block_no").rowsBetween(W.unboundedPreceding, W.currentRow)
-    e = e.withColumn("cell", F.coalesce(F.last(F.nullif("cell", F.lit("")), ignorenulls=True).over(above), F.lit("")))
-    g = e.groupBy("doc_id", "section_index", "section", "run", "block_no", "header").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "cell"))), lambda x: x["cell"]).alias("cells"))
-    head = F.split("header", r" \| ")
-    place = F.map_filter(F.create_map(F.lit("action"), F.lit(0), F.lit("expected"), F.lit(1), F.lit("rollback"), F.lit(2)), lambda _, i: i < F.size(head))
-    g = g.withColumn("known", column_map(head)).withColumn("cols", F.when(F.size("known") > 0, F.col("known")).otherwise(place))
-    get = lambda m: F.coalesce(F.get("cells", F.try_element_at("cols", F.lit(m))), F.lit(""))
-    joined = F.array_join(F.filter("cells", lambda c: c != ""), " | ")
-    g = g.withColumn("action", F.coalesce(F.nullif(get("action"), F.lit("")), joined)).where(X.strip(F.col("action")) != "")
-    g = g.withColumn("rollback_command", F.nullif(get("rollback"), F.lit("")))
+    e = e.withColumn("cell", X.strip(F.col("cell"))).withColumn("cell", F.coalesce(F.last(F.nullif("cell", F.lit("")), ignorenulls=True).over(above), F.lit("")))
+    g = e.groupBy("doc_id", "section_index", "run", "block_no").agg(F.first("section").alias("section"), F.first("cols").alias("cols"), F.array_sort(F.collect_list(F.struct("i", "cell")))["cell"].alias("cells"))
+    get = lambda m: F.coalesce(F.get("cells", F.col(f"cols.{m}")), F.lit(""))
+    joined = F.array_join(F.array_remove("cells", ""), " | ")
+    g = computed(g, action=F.coalesce(F.nullif(get("action"), F.lit("")), joined)).where(X.strip(F.col("action")) != "")
     none = F.array().cast("array<string>")
-    g = g.withColumn("__short", X.compress(F.col("action")))
-    return g.select(
+    d = computed(g, rollback_command=F.nullif(get("rollback"), F.lit("")), __short=X.compress(F.col("action")))
+    return d.select(
         "doc_id",
         "section_index",
         "section",
@@ -85,6 +83,13 @@ def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = Fals
     )
 
 
+def _places(head: Column) -> Column:
+    """Where action, expected and rollback stand in a header: by its names, or, if none is known, the first three."""
+    names = ("action", "expected", "rollback")
+    first = F.struct(*[F.when(F.size(head) > i, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return F.transform(F.array(column_map(head)), lambda m: F.when(F.size(m) > 0, F.struct(*[F.try_element_at(m, F.lit(n)).alias(n) for n in names])).otherwise(first))[0]
+
+
 def node_ids(nodes: DataFrame) -> DataFrame:
     """Nodes numbered within their section, after drops: ``s<section>.<n>``."""
     n = F.row_number().over(W.partitionBy("doc_id", "section_index").orderBy("block_no"))

@@ -57,6 +57,14 @@ def checkpointed(df):
     return df.checkpoint()
 
 
+def computed(df, **columns):
+    """``df`` with more columns, each evaluated once a row: what later steps select or filter by is read from them, as
+    the optimizer moves no expression across the row generator. For dear expressions that a filter also needs."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers of a session that was started where they cannot import it."""
     import os

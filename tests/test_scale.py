@@ -123,3 +123,36 @@ def test_candidates_are_few_where_commands_are_rare(spark):
     commands = [(1, f"word{k * 50}x word{k * 50 + 1}x") for k in range(40)] + [(1, "never there")]
     pairs = K.command_candidates(spark.createDataFrame(chunks, "doc_id long, chunk_index int, text string"), spark.createDataFrame(commands, "doc_id long, raw string"))
     assert pairs.count() < 3 * 40  # of 1,640
+
+
+def evaluations(df, word):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_nodes_are_computed_once_a_row(spark):
+    """A filter on what a chain of replacements gives repeats no chain, and a table's columns are told by its header."""
+    from procflow.operators import outline as O
+
+    blocks = spark.createDataFrame([(1, 1, "s", 1, "table_row", "Action | Result", 1, 0), (1, 1, "s", 2, "table_row", "kindly run | up", 1, 1)], "doc_id long, section_index int, section string, block_no int, block_type string, content string, level int, row_index int")
+    nodes = O.table_nodes(blocks)
+    assert evaluations(nodes, "what to do") == 1  # of the words that column_map looks for
+    assert evaluations(O.block_nodes(blocks), "kindly") == 2  # one look for all fillers, one replacement
+    assert [tuple(r) for r in nodes.select("block_no", "description", "expected_output").collect()] == [(2, "run", "up")]
+
+
+def test_white_space_and_fillers_as_their_patterns_have_them(spark):
+    from functools import reduce
+
+    from procflow.functions import patterns as P
+    from procflow.functions import text as X
+
+    rng = random.Random(5)
+    parts = ["Please", "note that", "note:", "in order to", "x", "ok ,", " ", "\x1c", "\n", "\t ", " ", "  ", "\xa0", "expected: all of it is up", "State is down now", ""]
+    d = spark.createDataFrame([(" ".join(rng.choices(parts, k=rng.randint(0, 8))),) for _ in range(400)] + [(None,)], "c string").select("c")
+    old_strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    old_squeeze = lambda c: old_strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    old_compress = lambda c: F.regexp_replace(old_squeeze(reduce(lambda x, f: F.regexp_replace(x, "(?i)" + f[0], f[1]), P.FILLERS, c)), r"\s+([,.:;])", "$1")
+    values = [F.rtrim(old_strip(F.regexp_extract("c", p, g)), F.lit(".")) for p, g in P.EXPECTATIONS]
+    old_expectation = F.coalesce(*[F.when(F.length(v) >= 5, F.substring(v, 1, 120)) for v in values])
+    for new, old in ((X.strip, old_strip), (X.squeeze, old_squeeze), (X.compress, old_compress), (X.expectation, lambda _: old_expectation)):
+        assert d.where(~new(F.col("c")).eqNullSafe(old(F.col("c")))).count() == 0
