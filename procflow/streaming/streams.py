@@ -40,71 +40,100 @@ def _ms(t: pd.Series) -> pd.Series:
 
 
 class LiveState(StatefulProcessor):
-    """The fold of one step's or execution's transitions. Each batch that touches it gives its row; once event time
-    has passed ``hold`` seconds since the last transition of one that ended (``idle`` seconds else), its row is given
-    a last time as final and its state goes."""
+    """The fold of the transitions of one bucket's steps and executions, which lie in one list, so that a batch reads and
+    writes each bucket's state once. Each batch that touches an entity gives its row; once event time has passed ``hold``
+    seconds since the last transition of one that ended (``idle`` seconds else), its row is given a last time as final
+    and its state goes."""
 
     def __init__(self, hold: int, idle: int):
         self.hold, self.idle = hold, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("live", "status string, at long, attempts long, created long, first_run long, last_run long, ended long, due long")
+        self.state = handle.getListState("live", "execution_id string, entity string, status string, at long, attempts long, created long, first_run long, last_run long, ended long, due long")
+
+    def _rows(self, found: list) -> pd.DataFrame:
+        """``found``: (key, state, final)."""
+        columns = [c.split()[0] for c in _LIVE.split(", ")]
+        rows = [(*k, s[0], s[2], s[3], s[4] if k[1] == "execution" else s[5], s[6], final) for k, s, final in found]
+        out = pd.DataFrame(rows, columns=columns)
+        for c in ("created_at", "started_at", "completed_at"):
+            out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+        return out
+
+    def _keep(self, states: dict) -> None:
+        """Write the states, and one timer: for the first of them that is due."""
+        if states:
+            self.state.put([(*k, *s) for k, s in states.items()])
+        else:
+            self.state.clear()
+        due = min((s[7] for s in states.values()), default=None)
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t != due:
+                self.handle.deleteTimer(t)
+        if due is not None and due not in timers:
+            self.handle.registerTimer(due)
 
-    def _row(self, key, s, final: bool) -> pd.DataFrame:
-        status, _, attempts, created, first_run, last_run, ended, _ = s
-        started = first_run if key[1] == "execution" else last_run
-        at = lambda us: pd.Timestamp(us, unit="us") if us is not None else pd.NaT
-        return pd.DataFrame([(*key, status, attempts, at(created), at(started), at(ended), final)], columns=[c.split()[0] for c in _LIVE.split(", ")])
+    def _states(self) -> dict:
+        return {(s[0], s[1]): s[2:] for s in self.state.get()} if self.state.exists() else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         none = (None, None, 0, None, None, None, None, None)
-        status, at, attempts, created, first_run, last_run, ended, due = self.state.get() if self.state.exists() else none
-        was = due
-        ends = runlog.EXECUTION_ENDS if key[1] == "execution" else runlog.STEP_ENDS
-        pdf = pd.concat(list(rows))
+        states = self._states()
+        touched: dict = {}
+        for pdf in rows:
+            for k, us, to in zip(zip(pdf["execution_id"], pdf["entity"]), _ms(pdf["ts"]).tolist(), pdf["to_status"]):
+                touched.setdefault(k, []).append((us, to))
         out = []
-        for us, to in sorted(zip(_ms(pdf["ts"]).tolist(), pdf["to_status"].tolist())):
-            if due is not None and us // 1000 >= due:  # its time was over before this one, which begins anew
-                out.append(self._row(key, (status, at, attempts, created, first_run, last_run, ended, due), True))
-                status, at, attempts, created, first_run, last_run, ended, due = none
-            if at is None or us >= at:
-                status, at = to, us
-            created = us if created is None else min(created, us)
-            if to == "running":
-                attempts += 1
-                first_run, last_run = us if first_run is None else min(first_run, us), us if last_run is None else max(last_run, us)
-            if to in ends:
-                ended = us if ended is None else max(ended, us)
-            due = at // 1000 + (self.hold if status in ends else self.idle) * 1000 + 1
-        if due != was:
-            if was is not None:
-                self.handle.deleteTimer(was)
-            self.handle.registerTimer(due)
-        s = (status, at, attempts, created, first_run, last_run, ended, due)
-        self.state.update(s)
-        yield pd.concat([*out, self._row(key, s, False)])
+        for k, came in touched.items():
+            status, at, attempts, created, first_run, last_run, ended, due = states.get(k, none)
+            ends = runlog.EXECUTION_ENDS if k[1] == "execution" else runlog.STEP_ENDS
+            for us, to in sorted(came):
+                if due is not None and us // 1000 >= due:  # its time was over before this one, which begins anew
+                    out.append((k, (status, at, attempts, created, first_run, last_run, ended, due), True))
+                    status, at, attempts, created, first_run, last_run, ended, due = none
+                if at is None or us >= at:
+                    status, at = to, us
+                created = us if created is None else min(created, us)
+                if to == "running":
+                    attempts += 1
+                    first_run, last_run = us if first_run is None else min(first_run, us), us if last_run is None else max(last_run, us)
+                if to in ends:
+                    ended = us if ended is None else max(ended, us)
+                due = at // 1000 + (self.hold if status in ends else self.idle) * 1000 + 1
+            states[k] = (status, at, attempts, created, first_run, last_run, ended, due)
+            out.append((k, states[k], False))
+        self._keep(states)
+        yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            s = self.state.get()
-            self.state.clear()
-            yield self._row(key, s, True)
+        states, passed = self._states(), max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = [k for k, s in states.items() if s[7] <= passed]
+        if over:
+            out = [(k, states.pop(k), True) for k in over]
+            self._keep(states)
+            yield self._rows(out)
 
     def close(self) -> None:
         pass
 
 
-def live_state(log: DataFrame, late: str = "10 minutes", hold: int = HOLD, idle: int = IDLE) -> DataFrame:
+#: Buckets that the entities of a log are kept in; a checkpoint holds for one number of them.
+BUCKETS = 512
+
+
+def live_state(log: DataFrame, late: str = "10 minutes", hold: int = HOLD, idle: int = IDLE, buckets: int = BUCKETS) -> DataFrame:
     """``execution_id, entity, status, attempts, created_at, started_at, completed_at, final`` as the transitions come
     in, for update mode: a row for each entity that a batch touches, and a final one when its state goes.
 
     The numbers are those of ``runlog.step_state`` and ``runlog.execution_state`` as long as no transition comes more
     than ``hold`` seconds (``idle``, if it has not ended) of event time after the one before; a later one begins anew.
-    Transitions behind the watermark are dropped. Needs the RocksDB state store and a session in UTC.
+    Transitions behind the watermark are dropped. Entities are kept by bucket, of which there should be many more than
+    tasks. Needs the RocksDB state store and a session in UTC.
     """
-    d = log.select("ts", "execution_id", "entity", "to_status").withWatermark("ts", late)
-    return d.groupBy("execution_id", "entity").transformWithStateInPandas(statefulProcessor=LiveState(hold, idle), outputStructType=_LIVE, outputMode="update", timeMode="eventTime")
+    d = log.select("ts", "execution_id", "entity", "to_status", F.pmod(F.xxhash64("execution_id", "entity"), F.lit(buckets)).alias("bucket")).withWatermark("ts", late)
+    return d.groupBy("bucket").transformWithStateInPandas(statefulProcessor=LiveState(hold, idle), outputStructType=_LIVE, outputMode="update", timeMode="eventTime")
 
 
 def minute_counts(log: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
@@ -159,67 +188,83 @@ def wait_for(polls: DataFrame, late: str = "1 minute") -> DataFrame:
 _POLLED = "wait_id string, met boolean, attempts int, elapsed_s double, last_output string"
 
 
+#: Outputs of one entry of a device's list.
+ENTRY = 4096
+
+
 class PollWaits(StatefulProcessor):
     """The waits on one command of one device. A poll is made once event time has passed it, so that every output up
-    to it is there. Waits go when they end; of the outputs only the one that is current and newer ones are kept."""
+    to it is there. Waits go when they end; of the outputs only the one that is current and newer ones are kept. Both
+    are lists that a batch adds to at once, and that are read when event time moves on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waits = handle.getMapState("waits", "wait_id string", "start long, at double, pause double, attempts int, limit double, pattern string, negate boolean, last string")
-        self.said = handle.getListState("said", "us long, output string")
+        self.waits = handle.getListState("waits", "wait_id string, start long, at double, pause double, attempts int, limit double, pattern string, negate boolean, last string")
+        self.said = handle.getListState("said", "us array<long>, output array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ended = []
+        ended, begun, said = [], [], []
         for pdf in rows:
-            for us, wait_id, limit, pattern, negate, output in zip(_ms(pdf["ts"]), pdf["wait_id"], pdf["max_wait_s"], pdf["pattern"], pdf["negate"], pdf["output"]):
-                if wait_id is None:
-                    self.said.appendValue((int(us), output))
-                elif limit <= 0 or matching.searched(pattern, "") is None:
+            told = pdf["wait_id"].isna()
+            o = pdf[told]
+            said += zip(_ms(o["ts"]).tolist(), o["output"].where(o["output"].notna(), None))
+            r = pdf[~told]
+            for us, wait_id, limit, pattern, negate in zip(_ms(r["ts"]).tolist(), r["wait_id"], r["max_wait_s"], r["pattern"], r["negate"]):
+                if limit <= 0 or matching.searched(pattern, "") is None:
                     ended.append((wait_id, False, 0, 0.0, None))
                 else:
-                    self.waits.updateValue((wait_id,), (int(us), 0.0, float(waits.FIRST_S), 0, float(limit), pattern, bool(negate), None))
-        if self.waits.exists():
-            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + 1)
-        self._forget(timerValues)
+                    begun.append((wait_id, us, 0.0, float(waits.FIRST_S), 0, float(limit), pattern, bool(negate), None))
+        if begun:
+            self.waits.appendList(begun)
+        if said:
+            self.said.appendList(self._entries(said))
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), 0) + 1)
         if ended:
             yield pd.DataFrame(ended, columns=[c.split()[0] for c in _POLLED.split(", ")])
 
-    def _forget(self, timerValues) -> None:
-        """Drop outputs that no poll can see any more."""
-        if not self.said.exists():
-            return
-        said = sorted(self.said.get(), key=lambda x: (x[0], x[1] or ""))
-        due = [w[0] + int(w[1] * 1e6) for w in self.waits.values()] if self.waits.exists() else []
-        least = min([timerValues.getCurrentWatermarkInMs() * 1000, *due])
-        current = sum(1 for us, _ in said if us <= least)
-        self.said.put(said[max(0, current - 1) :])
+    def _entries(self, said: list) -> list:
+        return [tuple(map(list, zip(*said[k : k + ENTRY]))) for k in range(0, len(said), ENTRY)]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        said = sorted(self.said.get(), key=lambda x: (x[0], x[1] or "")) if self.said.exists() else []
+        said = [x for us, output in self.said.get() for x in zip(us, output)] if self.said.exists() else []
+        n = len(said)
+        said.sort(key=lambda x: (x[0], x[1] or ""))
         times = [us for us, _ in said]
-        out, due = [], []
-        for (wait_id,), (start, at, pause, attempts, limit, pattern, negate, last) in list(self.waits.iterator()):
+        open_waits = {w[0]: w for w in self.waits.get()} if self.waits.exists() else {}
+        out, left, due = [], [], []
+        for wait_id, start, at, pause, attempts, limit, pattern, negate, last in open_waits.values():
             now = start + int(at * 1e6)
+            seen, hit = None, False
             while at < limit and now < passed:
                 k = bisect_right(times, now)
-                last = said[k - 1][1] if k and said[k - 1][1] is not None else waits.SILENT
+                if k != seen:  # a poll that sees the same output ends as the one before
+                    seen, last = k, said[k - 1][1] if k and said[k - 1][1] is not None else waits.SILENT
+                    hit = matching.searched(pattern, last) != negate
                 attempts += 1
-                if matching.searched(pattern, last) != negate:
+                if hit:
                     out.append((wait_id, True, attempts, at, last))
                     break
                 at, pause = at + pause, min(pause * waits.FACTOR, float(waits.LONGEST_S))
                 now = start + int(at * 1e6)
             else:
                 if at < limit:
-                    self.waits.updateValue((wait_id,), (start, at, pause, attempts, limit, pattern, negate, last))
-                    due.append(now // 1000 + 1)
-                    continue
-                out.append((wait_id, False, attempts, limit, last))
-            self.waits.removeKey((wait_id,))
-        if due:
-            self.handle.registerTimer(min(due))
-        self._forget(timerValues)
+                    left.append((wait_id, start, at, pause, attempts, limit, pattern, negate, last))
+                    due.append(now)
+                else:
+                    out.append((wait_id, False, attempts, limit, last))
+        if left:
+            self.waits.put(left)
+        elif open_waits:
+            self.waits.clear()
+        # outputs that no poll can see any more go
+        current = bisect_right(times, min([passed, *due]))
+        said = said[max(0, current - 1) :]
+        if len(said) < n:
+            self.said.put(self._entries(said))
+        later = [*due, *(us for us, _ in said[1:2])]
+        if later:
+            self.handle.registerTimer(max(min(later), passed) // 1000 + 1)
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _POLLED.split(", ")])
 

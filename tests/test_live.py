@@ -225,3 +225,85 @@ def test_archive_is_complete_disjoint_and_rerun_without_repeats(spark, tmp_path)
 def test_active_executions_are_among_the_latest(spark):
     rows = [(at(k), f"x{k}", "execution", "running" if k % 2 else "passed") for k in range(30)]
     assert L.active_executions(spark.createDataFrame(rows, LOG), 10).first()["n"] == 5
+
+
+class Calls:
+    """A state handle in memory that counts its calls."""
+
+    def __init__(self):
+        self.n, self.lists, self.timers = 0, {}, set()
+
+    def getListState(self, name, schema):
+        calls = self
+
+        class State:
+            def exists(self):
+                calls.n += 1
+                return bool(calls.lists.get(name))
+
+            def get(self):
+                calls.n += 1
+                return iter(calls.lists[name])
+
+            def put(self, rows):
+                calls.n += 1
+                calls.lists[name] = list(rows)
+
+            def appendList(self, rows):
+                calls.n += 1
+                calls.lists[name] = calls.lists.get(name, []) + list(rows)
+
+            def clear(self):
+                calls.n += 1
+                calls.lists.pop(name, None)
+
+        return State()
+
+    def registerTimer(self, t):
+        self.n, self.timers = self.n + 1, self.timers | {t}
+
+    def deleteTimer(self, t):
+        self.n, self.timers = self.n + 1, self.timers - {t}
+
+    def listTimers(self):
+        self.n += 1
+        return iter(self.timers)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_state_is_called_a_few_times_a_batch_whatever_its_rows(spark):
+    import pandas as pd
+
+    n = 20_000
+    p, calls = streams.PollWaits(), Calls()
+    p.init(calls)
+    ts = [at(k) for k in range(n)]
+    none = [None] * n
+    said = pd.DataFrame({"ts": ts, "wait_id": none, "max_wait_s": 0.0, "pattern": none, "negate": False, "output": [f"o{k}" for k in range(n)]})
+    asked = pd.DataFrame({"ts": ts, "wait_id": [f"w{k}" for k in range(n)], "max_wait_s": 60.0, "pattern": "o1$", "negate": False, "output": none})
+    assert list(p.handleInputRows(("d", "c"), iter([said, asked]), Now(0))) == [] and calls.n <= 3
+    ms = lambda k: int((at(k) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    (out,) = p.handleExpiredTimer(("d", "c"), Now(ms(2 * n)), None)
+    assert len(out) == n and out.met.sum() == 1 and calls.n <= 10  # the wait that begins at o1 meets it
+    assert calls.lists == {"said": [([_us(ts[-1])], [f"o{n - 1}"])]}
+
+    live, calls = streams.LiveState(1800, 3600), Calls()
+    live.init(calls)
+    log = pd.DataFrame({"ts": ts, "execution_id": [f"x{k}" for k in range(n)], "entity": "s", "to_status": "running"})
+    (out,) = live.handleInputRows((0,), iter([log]), Now(0))
+    assert len(out) == n and calls.n <= 6 and len(calls.timers) == 1
+    (out,) = live.handleExpiredTimer((0,), Now(ms(3 * n)), Now(ms(3600) + 1))
+    assert len(out) == n and out.final.all() and not calls.lists and not calls.timers
+
+
+def _us(t):
+    return int((t - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
