@@ -22,8 +22,28 @@ def no_steps(docs: DataFrame, steps: DataFrame) -> DataFrame:
     return _finding(docs.select("doc_id").distinct().join(steps.select("doc_id"), "doc_id", "left_anti"), "no_steps", "error", F.lit("no steps"))
 
 
+def _short(least: int = 5) -> Column:
+    return F.length(strip(F.coalesce("description", F.lit("")))) < least
+
+
+def _blank(command: Column) -> Column:
+    return strip(F.coalesce(command["raw"], F.lit(""))) == ""
+
+
+def _unflagged() -> Column:
+    return (F.col("step_type") == "rollback") & ~F.col("is_rollback")
+
+
+def _odd() -> Column:
+    return F.col("is_rollback") & ~F.col("step_type").isin("rollback", "action", "verification")
+
+
+def _share() -> Column:
+    return F.when(F.col("n_commands") > 0, F.round(F.col("n_after") / F.col("n_commands"), 4))
+
+
 def short_descriptions(steps: DataFrame, least: int = 5) -> DataFrame:
-    d = steps.where(F.length(strip(F.coalesce("description", F.lit("")))) < least)
+    d = steps.where(_short(least))
     return _finding(d, "short_description", "warning", F.lit("description missing or too short"), F.col("step_id"))
 
 
@@ -35,15 +55,13 @@ def duplicate_sequences(steps: DataFrame) -> DataFrame:
 
 
 def blank_commands(steps: DataFrame) -> DataFrame:
-    d = steps.select("doc_id", "step_id", F.explode("commands").alias("c")).where(strip(F.coalesce("c.raw", F.lit(""))) == "")
+    d = steps.select("doc_id", "step_id", F.explode("commands").alias("c")).where(_blank(F.col("c")))
     return _finding(d, "blank_command", "warning", F.lit("blank command"), F.col("step_id"))
 
 
 def rollback_mismatches(steps: DataFrame) -> DataFrame:
-    unflagged = (F.col("step_type") == "rollback") & ~F.col("is_rollback")
-    odd = F.col("is_rollback") & ~F.col("step_type").isin("rollback", "action", "verification")
-    message = F.when(unflagged, "rollback step was not flagged; corrected").otherwise("flagged as rollback, but of another type")
-    return _finding(steps.where(unflagged | odd), "rollback_mismatch", "warning", message, F.col("step_id"))
+    message = F.when(_unflagged(), "rollback step was not flagged; corrected").otherwise("flagged as rollback, but of another type")
+    return _finding(steps.where(_unflagged() | _odd()), "rollback_mismatch", "warning", message, F.col("step_id"))
 
 
 def correct_rollback(steps: DataFrame) -> DataFrame:
@@ -55,20 +73,29 @@ def command_coverage(docs: DataFrame, before: DataFrame, steps: DataFrame) -> Da
     """``doc_id, n_before, n_after, coverage``: commands in steps against commands detected; null if none were."""
     after = steps.groupBy("doc_id").agg(F.sum(F.size("commands")).alias("n_after"))
     d = docs.select("doc_id").distinct().join(before, "doc_id", "left").join(after, "doc_id", "left").na.fill(0, ["n_commands", "n_after"])
-    return d.select("doc_id", F.col("n_commands").alias("n_before"), "n_after", F.when(F.col("n_commands") > 0, F.round(F.col("n_after") / F.col("n_commands"), 4)).alias("coverage"))
+    return d.select("doc_id", F.col("n_commands").alias("n_before"), "n_after", _share().alias("coverage"))
 
 
 def guardrails(docs: DataFrame, steps: DataFrame, before: DataFrame) -> DataFrame:
-    """One row a document: passed (no errors), counts, coverage, findings as arrays of texts."""
-    cover = command_coverage(docs, before, steps)
-    low = _finding(cover.where("coverage < 0.5"), "low_coverage", "warning", F.lit("under half of the detected commands are in steps"))
-    found = reduce(DataFrame.unionByName, [no_steps(docs, steps), short_descriptions(steps), duplicate_sequences(steps), blank_commands(steps), rollback_mismatches(steps), low])
-    label = F.concat_ws(":", "rule", "step_id")
-    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("severity") == s, label)))
-    g = found.groupBy("doc_id").agg(of("error").alias("errors"), of("warning").alias("warnings"))
+    """One row a document: passed (no errors), counts, coverage, findings as arrays of texts. Steps are read once: each
+    tells its own findings, and one aggregation counts and collects."""
+    label = lambda rule, *more: F.concat_ws(":", F.lit(rule), *more)
+    own = lambda hit, rule: F.when(hit, F.array(label(rule, "step_id"))).otherwise(none)
     none = F.array().cast("array<string>")
-    d = cover.join(g, "doc_id", "left").withColumn("errors", F.coalesce("errors", none)).withColumn("warnings", F.coalesce("warnings", none))
-    return d.withColumn("passed", F.size("errors") == 0)
+    again = W.partitionBy("doc_id", "sequence").orderBy("step_id")
+    s = steps.select("doc_id", "step_id", "sequence", "description", "commands", "step_type", "is_rollback", F.lag("step_id").over(again).isNotNull().alias("__again"))
+    told = F.concat(
+        own(_short(), "short_description"),
+        own(F.col("__again"), "duplicate_sequence"),
+        F.coalesce(F.transform(F.filter("commands", lambda c: _blank(c)), lambda c: label("blank_command", "step_id")), none),
+        own(_unflagged() | _odd(), "rollback_mismatch"),
+    )
+    g = s.groupBy("doc_id").agg(F.sum(F.size("commands")).alias("n_after"), F.flatten(F.collect_list(told)).alias("warnings"), F.count("*").alias("n_steps"))
+    cover = docs.select("doc_id").distinct().join(before, "doc_id", "left").join(g, "doc_id", "left").na.fill(0, ["n_commands", "n_after", "n_steps"])
+    d = cover.select("doc_id", F.col("n_commands").alias("n_before"), "n_after", _share().alias("coverage"), "n_steps", F.coalesce("warnings", none).alias("warnings"))
+    low = F.when(F.col("coverage") < 0.5, F.array(label("low_coverage"))).otherwise(none)
+    errors = F.when(F.col("n_steps") == 0, F.array(label("no_steps"))).otherwise(none)
+    return d.select("doc_id", "n_before", "n_after", "coverage", errors.alias("errors"), F.array_sort(F.concat("warnings", low)).alias("warnings"), (F.col("n_steps") > 0).alias("passed"))
 
 
 def schema_checks(models: DataFrame, steps: DataFrame) -> DataFrame:

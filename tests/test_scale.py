@@ -156,3 +156,21 @@ def test_white_space_and_fillers_as_their_patterns_have_them(spark):
     old_expectation = F.coalesce(*[F.when(F.length(v) >= 5, F.substring(v, 1, 120)) for v in values])
     for new, old in ((X.strip, old_strip), (X.squeeze, old_squeeze), (X.compress, old_compress), (X.expectation, lambda _: old_expectation)):
         assert d.where(~new(F.col("c")).eqNullSafe(old(F.col("c")))).count() == 0
+
+
+def test_guardrails_read_the_steps_once(spark):
+    from procflow.operators import checks as Q
+
+    kind = "doc_id long, step_id string, sequence int, description string, commands array<struct<raw:string>>, step_type string, is_rollback boolean"
+    rows = [(1, "a", 1, "ok then", [("x",), (" ",), (None,)], "action", False), (1, "b", 1, "no", None, "rollback", False), (2, "c", 1, None, [("x",)], "info", True)]
+    steps = spark.createDataFrame(rows, kind).where(F.col("step_type").rlike("marker|."))
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    before = spark.createDataFrame([(1, 9), (3, 2)], "doc_id long, n_commands long")
+    d = Q.guardrails(docs, steps, before)
+    got = {r.doc_id: (r.passed, r.n_before, r.n_after, r.coverage, r.errors, r.warnings) for r in d.collect()}
+    assert got == {
+        1: (True, 9, 3, 0.3333, [], ["blank_command:a", "blank_command:a", "duplicate_sequence:b", "low_coverage", "rollback_mismatch:b", "short_description:b"]),
+        2: (True, 0, 1, None, [], ["rollback_mismatch:c", "short_description:c"]),
+        3: (False, 2, 0, 0.0, ["no_steps"], ["low_coverage"]),
+    }
+    assert evaluations(d, "marker") == 1
