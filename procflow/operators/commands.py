@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from procflow.functions import commands as C
 from procflow.functions.text import strip
+from procflow.session import computed
 
 FIELDS = ("raw", "normalized", "vendor", "protocol", "mode", "confidence")
 
 
-def classify(lines: DataFrame, column: str = "raw") -> DataFrame:
+def classify(lines: DataFrame, column: str = "raw", known: bool = False) -> DataFrame:
     """``lines`` with raw trimmed, and normalized, vendor, protocol, mode, confidence; all null where the line is
-    no command. A cheap test on the first word comes before the patterns of each vendor."""
+    no command. A cheap test on the first word comes before the patterns of each vendor; with ``known``, all lines have
+    passed it."""
     d = lines.withColumn("raw", strip(F.col(column)))
-    d = d.withColumn("__text", F.when(C.is_command(F.col("raw")), C.strip_prompt(F.col("raw"))))
+    text = C.strip_prompt(F.col("raw"))
+    d = computed(d, __text=text if known else F.when(C.is_command(F.col("raw")), text))
     d = d.withColumn("__vm", F.when(F.col("__text").isNotNull(), C.vendor_mode(F.col("__text"))))
     d = d.withColumn("protocol", F.when(F.col("__text").isNotNull(), C.protocol(F.col("__text"))))
     vendor = F.split_part(F.col("__vm"), F.lit("/"), F.lit(1))
@@ -30,7 +33,7 @@ def classify(lines: DataFrame, column: str = "raw") -> DataFrame:
 
 def extract_commands(lines: DataFrame, column: str = "raw") -> DataFrame:
     """The lines that are commands, classified. Map-only."""
-    return classify(lines.where(C.is_command(F.col(column))), column)
+    return classify(lines.where(C.is_command(F.col(column))), column, known=True)
 
 
 def enrich_commands(commands: DataFrame, column: str = "raw") -> DataFrame:

@@ -174,3 +174,12 @@ def test_guardrails_read_the_steps_once(spark):
         3: (False, 2, 0, 0.0, ["no_steps"], ["low_coverage"]),
     }
     assert evaluations(d, "marker") == 1
+
+
+def test_a_line_is_tested_once_for_a_command(spark):
+    from procflow.operators import commands as G
+
+    d = G.extract_commands(spark.createDataFrame([(1, 1, " PE1# show version "), (1, 2, "prose"), (1, 3, None)], "doc_id long, line_no int, raw string"))
+    assert evaluations(d, "tmsh\\s+|") == 1  # of the indicators of a command, in the first test
+    assert evaluations(d, "RP/") == 2  # prompts: in that test, and for the command's text
+    assert [(r.raw, r.normalized, r.vendor, r.mode) for r in d.collect()] == [("PE1# show version", "show version", "cisco", "exec")]
