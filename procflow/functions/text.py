@@ -20,9 +20,13 @@ def strip(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space collapsed to single spaces, none at the ends. Single spaces are what they should be already, so they
-    are no match."""
-    return strip(F.regexp_replace(c, rf"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '')}]", " "))
+    """White space collapsed to single spaces, none at the ends. Printable ASCII without two spaces in a row is what it
+    should be already."""
+    return strip(F.when(F.contains(c, F.lit("  ")) | c.rlike("[^ -~]"), _single(c)).otherwise(c))
+
+
+def _single(c: Column) -> Column:
+    return F.regexp_replace(c, rf"[{SPACE}]{{2,}}|[{SPACE.replace(' ', '')}]", " ")
 
 
 def compress(c: Column) -> Column:
@@ -30,7 +34,7 @@ def compress(c: Column) -> Column:
     filler, which one look for all of them tells."""
     bare = reduce(lambda x, f: F.regexp_replace(x, "(?i)" + f[0], f[1]), P.FILLERS, c)
     some = r"(?i)\b(?:" + "|".join(p.removeprefix(r"\b") for p, _ in P.FILLERS) + ")"
-    return F.regexp_replace(squeeze(F.when(c.rlike(some), bare).otherwise(c)), r"\s+([,.:;])", "$1")
+    return F.regexp_replace(F.when(c.rlike(some), strip(_single(bare))).otherwise(squeeze(c)), r"\s+([,.:;])", "$1")
 
 
 def truncate(c: Column, most: int = 120) -> Column:
@@ -46,6 +50,15 @@ def significance(c: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.least(F.lit(n), F.regexp_count(c, F.lit(p))) for n, p in P.SIGNIFICANCE])
 
 
+def is_significant(c: Column) -> Column:
+    """Whether a paragraph has a sign at all, that is significance() of 1 at least; the first sign found will do. Signs
+    that hold a digit or a colon are only looked for where there is one."""
+    words = [c.rlike(p) for _, p in P.SIGNIFICANCE if p not in P.SIGNS_WITH_DIGITS]
+    marked = [c.rlike(p) for p in P.SIGNS_WITH_DIGITS]
+    either = lambda xs: reduce(lambda a, b: a | b, xs)
+    return F.coalesce(either(words) | (c.rlike("[0-9:]") & either(marked)), F.lit(True))
+
+
 def expectation(c: Column) -> Column:
     """The first expected output of five characters or more that a phrase announces; null if none. Each phrase has one
     of a few words, so a text without them is done after one look."""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from procflow.functions import patterns as P
 from procflow.functions.text import is_boilerplate, squeeze, strip
 from procflow.operators import ordered
+from procflow.session import computed
 
 LINE_BREAK = r"\r\n|\n|\r"
 
@@ -78,14 +79,14 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(text, P.HEADING, 1))).when(F.col("kind") == "numbered", list_level(text)).when(F.col("kind") == "bullet", 1).otherwise(0)
-    d = d.withColumn("kind", kind).where("kind is not null").withColumn("content", content).withColumn("level", level.cast("int"))
+    d = computed(d, kind=kind).where("kind is not null").withColumn("content", content).withColumn("level", level.cast("int"))
     # lines of one fence share a group; any other line is its own
     group = F.when(F.col("kind") == "fence", -F.col("fence_no")).otherwise(F.col("line_no"))
     g = d.groupBy("doc_id", group.alias("g")).agg(
         F.min("line_no").alias("line_no"),
         F.first("kind").alias("kind"),
         F.max("level").alias("level"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "content"))), lambda x: x["content"]), "\n").alias("content"),
+        F.array_join(F.sort_array(F.collect_list(F.struct("line_no", "content")))["content"], "\n").alias("content"),
     )
     names = F.when(F.col("kind") == "fence", "code_block").when(F.col("kind").isin("numbered", "bullet"), "list_item").otherwise(F.col("kind"))
     g = g.withColumn("content", F.when(F.col("kind") == "fence", strip(F.col("content"))).otherwise(F.col("content")))
@@ -138,8 +139,8 @@ def rebuild_text(blocks: DataFrame) -> DataFrame:
     """``doc_id, text``: blocks as lines again, headings as ``## h``, items as ``- i``, rows between bars."""
     t, c = F.col("block_type"), F.col("content")
     part = F.when(t == "heading", F.concat(F.lit("\n## "), c, F.lit("\n"))).when(t == "list_item", F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level") - 1)), F.lit("- "), c)).when(t == "table_row", F.concat(F.lit("| "), c, F.lit(" |"))).otherwise(c)
-    rows = F.array_sort(F.collect_list(F.struct("block_no", part.alias("p"))))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda x: x["p"]), "\n").alias("text"))
+    rows = F.sort_array(F.collect_list(F.struct("block_no", part.alias("p"))))
+    return blocks.groupBy("doc_id").agg(F.array_join(rows["p"], "\n").alias("text"))
 
 
 KINDS = ("table_row", "list_item", "paragraph", "heading", "code_block")
@@ -200,8 +201,8 @@ def list_steps(blocks: DataFrame) -> DataFrame:
     prefix = F.when(F.coalesce(F.col("section"), F.lit("")) != "", F.concat(F.lit("["), "section", F.lit("] "))).otherwise("")
     under = F.when((F.col("level") != 1) & (F.coalesce(F.col("parent"), F.lit("")) != ""), F.concat(F.lit("(sub-step of: "), "parent", F.lit(") "))).otherwise("")
     text = F.when(F.col("block_type") == "list_item", F.concat(prefix, under, F.col("content"))).when(F.col("opens"), F.col("content")).otherwise(F.concat(F.lit("\n  "), F.col("content")))
-    rows = F.array_sort(F.collect_list(F.struct("block_no", text.alias("p"))))
-    return d.groupBy("doc_id", "step_no").agg(F.array_join(F.transform(rows, lambda x: x["p"]), "").alias("text"))
+    rows = F.sort_array(F.collect_list(F.struct("block_no", text.alias("p"))))
+    return d.groupBy("doc_id", "step_no").agg(F.array_join(rows["p"], "").alias("text"))
 
 
 def prose_steps(blocks: DataFrame) -> DataFrame:
@@ -211,8 +212,8 @@ def prose_steps(blocks: DataFrame) -> DataFrame:
     t = F.col("block_type")
     d = blocks.withColumn("group_no", F.count_if(t == "heading").over(upto)).withColumn("heading", F.last(F.when(t == "heading", F.col("content")), ignorenulls=True).over(upto))
     d = d.where(t.isin("paragraph", "code_block") & ~is_boilerplate(F.col("content")))
-    rows = F.array_sort(F.collect_list(F.struct("block_no", "content")))
-    return d.groupBy("doc_id", "group_no").agg(F.first("heading").alias("heading"), F.array_join(F.transform(rows, lambda x: x["content"]), " ").alias("text"))
+    rows = F.sort_array(F.collect_list(F.struct("block_no", "content")))
+    return d.groupBy("doc_id", "group_no").agg(F.first("heading").alias("heading"), F.array_join(rows["content"], " ").alias("text"))
 
 
 def drop_boilerplate(blocks: DataFrame) -> DataFrame:
@@ -271,18 +272,26 @@ def table_steps(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFra
 def sections(blocks: DataFrame) -> DataFrame:
     """Blocks (headings of level 1 and 2 left out) plus ``section`` (``_preamble`` before the first) and
     ``section_index``, dense from 1 over sections that have blocks."""
+    return sectioned(blocks).where("section_index IS NOT NULL")
+
+
+def sectioned(blocks: DataFrame) -> DataFrame:
+    """All blocks plus ``section`` and ``section_index`` as of sections(), without an index for headings of level 1 and
+    2. All of it keeps the one order of blocks."""
     upto = _by_block().rowsBetween(W.unboundedPreceding, W.currentRow)
     starts = (F.col("block_type") == "heading") & (F.col("level") <= 2)
+    own = F.coalesce(~starts, F.lit(False))
     d = blocks.withColumn("__no", F.count_if(starts).over(upto)).withColumn("section", F.coalesce(F.last(F.when(starts, F.col("content")), ignorenulls=True).over(upto), F.lit("_preamble")))
-    d = d.where(~starts)
-    return d.withColumn("section_index", F.dense_rank().over(W.partitionBy("doc_id").orderBy("__no"))).drop("__no")
+    before = F.last(F.when(own, F.col("__no")), ignorenulls=True).over(_by_block().rowsBetween(W.unboundedPreceding, -1))
+    d = d.withColumn("__first", own & ~before.eqNullSafe(F.col("__no")))
+    return d.withColumn("section_index", F.when(own, F.count_if(F.col("__first")).over(upto)).cast("int")).drop("__no", "__first")
 
 
 def page_words_to_lines(words: DataFrame, tolerance: int = 3) -> DataFrame:
     """``doc_id, page, line_no, text`` from placed words: sorted by rounded height and place, a new line wherever
     the rounded height is over ``tolerance`` from the line's first word. A fold over one page's words."""
     entry = F.struct(F.round(F.col("top") / 3).alias("band"), F.col("x0"), F.col("text"), F.col("top"))
-    g = words.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(entry)).alias("ws"))
+    g = words.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(entry)).alias("ws"))
     start = F.struct(F.lit(None).cast("double").alias("y"), F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
     def add(acc: Column, w: Column) -> Column:

@@ -39,7 +39,7 @@ def chunk_sections(blocks: DataFrame) -> DataFrame:
 
 def section_texts(blocks: DataFrame) -> DataFrame:
     """``doc_id, section_no, section, text, n_tokens``."""
-    g = chunk_sections(blocks).groupBy("doc_id", "section_no").agg(F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    g = chunk_sections(blocks).groupBy("doc_id", "section_no").agg(F.first("section").alias("section"), F.array_join(F.sort_array(F.collect_list(F.struct("block_no", "part")))["part"], "\n").alias("text"))
     return g.withColumn("n_tokens", tokens(F.col("text")))
 
 
@@ -58,8 +58,8 @@ def greedy_groups(sizes: Column, budget: int) -> Column:
 
 def pack(rows: DataFrame, order: str, size: str, budget: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keys, order, group_no`` of consecutive rows packed by budget."""
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(size).alias("n")))).alias("xs"))
-    g = g.withColumn("gs", greedy_groups(F.transform("xs", lambda x: x["n"]), budget))
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(size).alias("n")))).alias("xs"))
+    g = g.withColumn("gs", greedy_groups(F.col("xs")["n"], budget))
     return g.select(*keys, F.explode(F.arrays_zip(F.transform("xs", lambda x: x[order]).alias("o"), F.col("gs"))).alias("z")).select(*keys, F.col("z.o").alias(order), F.col("z.gs").alias("group_no"))
 
 
@@ -69,10 +69,10 @@ def split_oversized(blocks: DataFrame, budget: int) -> DataFrame:
     d = checkpointed(chunk_sections(blocks).withColumn("n", tokens(F.col("part"))))  # read three times
     total = F.sum(F.length("part") + 1).over(W.partitionBy("doc_id", "section_no"))
     d = d.withColumn("big", F.floor(total / 3.5) > budget)
-    small = d.where("not big").groupBy("doc_id", "section_no").agg(F.lit(1).alias("piece"), F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    small = d.where("not big").groupBy("doc_id", "section_no").agg(F.lit(1).alias("piece"), F.first("section").alias("section"), F.array_join(F.sort_array(F.collect_list(F.struct("block_no", "part")))["part"], "\n").alias("text"))
     big = d.where("big")
     placed = big.join(pack(big, "block_no", "n", budget, ("doc_id", "section_no")), ["doc_id", "section_no", "block_no"])
-    p = placed.groupBy("doc_id", "section_no", F.col("group_no").alias("piece")).agg(F.first("section").alias("section"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    p = placed.groupBy("doc_id", "section_no", F.col("group_no").alias("piece")).agg(F.first("section").alias("section"), F.array_join(F.sort_array(F.collect_list(F.struct("block_no", "part")))["part"], "\n").alias("text"))
     p = p.withColumn("section", F.when(F.col("piece") > 1, F.concat("section", F.lit(" (continued "), F.col("piece").cast("string"), F.lit(")"))).otherwise(F.col("section")))
     p = p.withColumn("text", F.when((F.col("piece") > 1) & (F.col("section_no") > 0), F.concat(F.lit("\n## "), "section", F.lit("\n\n"), "text")).otherwise(F.col("text")))
     return small.unionByName(p).withColumn("n_tokens", tokens(F.col("text")))
@@ -82,9 +82,9 @@ def chunks(blocks: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``doc_id, chunk_index (from 0), total_chunks, headings, text, n_tokens``."""
     pieces = checkpointed(split_oversized(blocks, budget)).withColumn("o", F.struct("section_no", "piece"))
     placed = pieces.join(pack(pieces, "o", "n_tokens", budget), ["doc_id", "o"])
-    rows = F.array_sort(F.collect_list(F.struct("o", "section", "text")))
+    rows = F.sort_array(F.collect_list(F.struct("o", "section", "text")))
     g = placed.groupBy("doc_id", (F.col("group_no") - 1).alias("chunk_index")).agg(rows.alias("rows"))
-    g = g.withColumn("headings", F.filter(F.transform("rows", lambda x: x["section"]), lambda s: s != "_preamble")).withColumn("text", F.array_join(F.transform("rows", lambda x: x["text"]), "\n\n"))
+    g = g.withColumn("headings", F.filter(F.col("rows")["section"], lambda s: s != "_preamble")).withColumn("text", F.array_join(F.col("rows")["text"], "\n\n"))
     return g.select("doc_id", "chunk_index", F.count("*").over(W.partitionBy("doc_id")).alias("total_chunks"), "headings", "text", tokens(F.col("text")).alias("n_tokens"))
 
 
@@ -142,7 +142,7 @@ def requests(chunked: DataFrame, titles: DataFrame, structures: DataFrame, hints
     first ones that the document has."""
     order = W.partitionBy("doc_id", "chunk_index").orderBy("first_line", "raw")
     h = hints.withColumn("place", F.row_number().over(order)).where(f"place <= {HINTS}").groupBy("doc_id", "chunk_index")
-    h = h.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]).alias("hints"))
+    h = h.agg(F.sort_array(F.collect_list(F.struct("place", "raw")))["raw"].alias("hints"))
     d = chunked.join(titles, "doc_id", "left").join(structures, "doc_id", "left").join(h, ["doc_id", "chunk_index"], "left")
     d = d.join(starts, ["doc_id", "chunk_index"], "left") if starts is not None else d.withColumn("sequence_start", F.lit(1))
     text = F.concat_ws(

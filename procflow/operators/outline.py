@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from procflow.functions import commands as C
 from procflow.functions import patterns as P
 from procflow.functions import text as X
-from procflow.operators.blocks import block_counts, column_map, sections, structure_of
-from procflow.session import checkpointed, computed
+from procflow.operators.blocks import KINDS, column_map, sectioned, sections, structure_of
+from procflow.session import checkpointed, computed, tasks
 
 
 def route(structure: Column) -> Column:
@@ -21,13 +21,13 @@ def route(structure: Column) -> Column:
 def section_modes(blocks: DataFrame, least: float = 0.4) -> DataFrame:
     """``doc_id, section_index, section, structured_share, mode, is_rollback`` of each section: outline if at least
     ``least`` of its blocks are list items, table rows or code."""
-    return _modes(sections(blocks), least)
+    share = F.count_if(_structured()) / F.count("*")
+    g = sections(blocks).groupBy("doc_id", "section_index").agg(F.first("section").alias("section"), F.round(share, 6).alias("structured_share"), (share >= least).alias("__ok"))
+    return g.select("doc_id", "section_index", "section", "structured_share", F.when(F.col("__ok"), "outline").otherwise("text").alias("mode"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
 
 
-def _modes(s: DataFrame, least: float = 0.4) -> DataFrame:
-    share = F.count_if(F.col("block_type").isin("list_item", "table_row", "code_block")) / F.count("*")
-    g = s.groupBy("doc_id", "section_index").agg(F.first("section").alias("section"), F.round(share, 6).alias("structured_share"), (share >= least).alias("__ok"))
-    return g.select("doc_id", "section_index", "section", "structured_share", F.when(F.col("__ok"), "outline").otherwise("text").alias("mode"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+def _structured() -> Column:
+    return F.col("block_type").isin("list_item", "table_row", "code_block")
 
 
 def commands_in(content: Column) -> Column:
@@ -38,15 +38,23 @@ def commands_in(content: Column) -> Column:
 def block_nodes(blocks_in_sections: DataFrame) -> DataFrame:
     """Nodes of list items, code blocks and paragraphs: description, commands, expected output; blocks that say
     nothing are dropped. Needs doc_id, section_index, section, block_no, block_type, content."""
-    t = F.col("block_type")
-    d = blocks_in_sections.where(t.isin("list_item", "code_block", "paragraph"))
-    d = d.where((t != "paragraph") | (X.significance(F.col("content")) >= 1))
-    # computed once a row: the filter below and the cut read each of them more than once
-    d = computed(d, commands=commands_in(F.col("content")), __short=F.when(t != "code_block", X.compress(F.col("content"))))
+    d = blocks_in_sections.where(F.col("block_type").isin("list_item", "code_block", "paragraph"))
+    return _with_nodes(d).where("__node").select("doc_id", "section_index", "section", "block_no", "block_type", "description", "commands", "expected_output", F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+
+
+def _with_nodes(blocks: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Blocks plus ``__node``, whether one is a node, and its description, commands and expected_output. Nothing is
+    looked for in blocks that are not ``wanted``."""
+    t, c = F.col("block_type"), F.col("content")
+    may = F.when(t == "paragraph", X.is_significant(c)).otherwise(t.isin("list_item", "code_block"))
+    d = computed(blocks, __may=may if wanted is None else F.when(wanted, may).otherwise(False))
+    # computed once a row: what tells nodes and what is made of them read each of these more than once
+    d = computed(d, commands=F.when(F.col("__may"), commands_in(c)), __short=F.when(F.col("__may") & (t != "code_block"), X.compress(c)))
     keep = F.when(t == "list_item", F.length("__short") >= 5).when(t == "code_block", F.size("commands") > 0).otherwise(True)
     description = F.when(t == "code_block", F.concat(F.lit("Execute "), F.size("commands").cast("string"), F.lit(" command(s)"))).otherwise(X.truncate(F.col("__short")))
-    expected = F.when(t != "code_block", X.expectation(F.col("content")))
-    return d.where(keep).select("doc_id", "section_index", "section", "block_no", "block_type", description.alias("description"), "commands", expected.alias("expected_output"), F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+    d = d.withColumn("__node", F.coalesce(F.col("__may") & keep, F.lit(False)))
+    node = F.col("__node")
+    return d.select(*blocks.columns, "__node", F.when(node, description).alias("description"), F.when(node, F.col("commands")).alias("commands"), F.when(node & (t != "code_block"), X.expectation(c)).alias("expected_output"))
 
 
 def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = False) -> DataFrame:
@@ -63,7 +71,7 @@ def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = Fals
     e = d.select("doc_id", "section_index", "section", "run", "block_no", "cols", F.posexplode(F.split("content", r" \| ")).alias("i", "cell"))
     above = W.partitionBy("doc_id", "section_index", "run", "i").orderBy("block_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     e = e.withColumn("cell", X.strip(F.col("cell"))).withColumn("cell", F.coalesce(F.last(F.nullif("cell", F.lit("")), ignorenulls=True).over(above), F.lit("")))
-    g = e.groupBy("doc_id", "section_index", "run", "block_no").agg(F.first("section").alias("section"), F.first("cols").alias("cols"), F.array_sort(F.collect_list(F.struct("i", "cell")))["cell"].alias("cells"))
+    g = e.groupBy("doc_id", "section_index", "run", "block_no").agg(F.first("section").alias("section"), F.first("cols").alias("cols"), F.sort_array(F.collect_list(F.struct("i", "cell")))["cell"].alias("cells"))
     get = lambda m: F.coalesce(F.get("cells", F.col(f"cols.{m}")), F.lit(""))
     joined = F.array_join(F.array_remove("cells", ""), " | ")
     g = computed(g, action=F.coalesce(F.nullif(get("action"), F.lit("")), joined)).where(X.strip(F.col("action")) != "")
@@ -100,7 +108,7 @@ def document_commands(nodes: DataFrame) -> DataFrame:
     """``doc_id, commands``: every command of a document once, in the order of first appearance."""
     c = nodes.select("doc_id", "block_no", F.posexplode("commands").alias("n", "command"))
     first = c.groupBy("doc_id", "command").agg(F.min(F.struct("block_no", "n")).alias("at"))
-    return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "command"))), lambda x: x["command"]).alias("commands"))
+    return first.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "command")))["command"].alias("commands"))
 
 
 def render_node() -> Column:
@@ -124,20 +132,48 @@ def outline_nodes(placed: DataFrame) -> DataFrame:
 
 def outline_sections(blocks: DataFrame) -> DataFrame:
     """``doc_id, section_index, route, part``: each section as it stands in the outline: its heading, then nodes
-    or, in text mode, its blocks' text, indented. Blocks are read several times, so they are cut from what made them."""
-    return _outline_sections(checkpointed(blocks))
-
-
-def _outline_sections(blocks: DataFrame) -> DataFrame:
-    kinds = block_counts(blocks).select("doc_id", route(structure_of(F.col)).alias("route"))
-    placed = sections(blocks)
-    modes = _modes(placed).join(kinds, "doc_id").withColumn("mode", F.when(F.col("route") == "mixed", F.col("mode")).otherwise(F.col("route")))
-    lines = outline_nodes(placed).select("doc_id", "section_index", "block_no", F.lit("outline").alias("mode"), render_node().alias("line"))
-    raw = placed.select("doc_id", "section_index", "block_no", F.lit("text").alias("mode"), F.concat(F.lit("  "), "content").alias("line"))
-    body = lines.unionByName(raw).groupBy("doc_id", "section_index", "mode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    s = modes.join(body, ["doc_id", "section_index", "mode"], "left")
-    title = F.concat(F.lit("SECTION: "), "section", F.when(F.col("is_rollback"), "  [ROLLBACK]").otherwise(""))
-    return s.select("doc_id", "section_index", "route", F.concat_ws("\n", title, "body").alias("part"))
+    or, in text mode, its blocks' text, indented."""
+    return _parts(blocks).where("section_index IS NOT NULL").select("doc_id", "section_index", "route", "part")
+
+
+def _routed(blocks: DataFrame, least: float = 0.4) -> DataFrame:
+    """All blocks in their sections, plus the document's route and raw tokens and the section's mode."""
+    t, whole = F.col("block_type"), W.partitionBy("doc_id")
+    d = sectioned(blocks)
+    counts = {f"__{k}": F.count_if(t == k).over(whole) for k in KINDS}
+    counts |= {"__total": F.count_if(t.isin(*KINDS)).over(whole), "__numbered": F.count_if(F.col("content").rlike(r"^\d+\.")).over(whole), "__chars": F.sum(F.length("content") + 1).over(whole)}
+    d = d.withColumns(counts)
+    d = d.withColumn("route", route(structure_of(lambda k: F.col(f"__{k}")))).withColumn("raw_tokens", F.greatest(F.lit(1), F.floor(F.col("__chars") / X.CHARS_PER_TOKEN).cast("int"))).drop(*counts)
+    inside = W.partitionBy("doc_id", "section_index")
+    by_share = F.when(F.count_if(_structured()).over(inside) / F.count("*").over(inside) >= least, "outline").otherwise("text")
+    return d.withColumn("mode", F.when(F.col("route") == "mixed", by_share).otherwise(F.col("route")))
+
+
+def _parts(blocks: DataFrame) -> DataFrame:
+    """``doc_id, section_index, route, raw_tokens, part``; the headings that open sections are a row without an index and
+    part. Documents are dealt once: whatever is asked of them is a window or an aggregate that keeps to that. Where
+    there are tables, the blocks are cut from what made them, as their rows are read twice."""
+    d = _routed(blocks)
+    tables = "row_index" in blocks.columns
+    if tables:
+        d = checkpointed(d)
+    outlined = F.col("section_index").isNotNull() & (F.col("mode") == "outline")
+    said = ["doc_id", "section_index", "section", "block_no", "route", "raw_tokens", "__node", "description", "commands", "expected_output"]
+    n = _with_nodes(d, outlined).select(*said, F.when(F.col("section_index").isNotNull() & (F.col("mode") == "text"), F.concat(F.lit("  "), "content")).alias("__text"), F.lit(False).alias("is_rollback"))
+    if tables:
+        rows = table_nodes(d.where(outlined & (F.col("block_type") == "table_row")))
+        n = n.unionByName(rows.select("doc_id", "section_index", "section", "block_no", F.lit(True).alias("__node"), "description", "commands", "expected_output", "is_rollback"), allowMissingColumns=True)
+        n = n.repartition(max(d.rdd.getNumPartitions(), tasks(d.sparkSession, 0)), "doc_id")
+    upto = W.partitionBy("doc_id", "section_index").orderBy("block_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    n = n.withColumn("__n", F.count_if(F.col("__node")).over(upto))
+    n = n.withColumn("node_id", F.concat(F.lit("s"), F.col("section_index").cast("string"), F.lit("."), F.col("__n").cast("string")))
+    n = n.withColumn("is_rollback", F.when(F.col("__node"), F.col("is_rollback") | F.col("section").rlike(P.ROLLBACK_SECTION)))
+    n = computed(n, __line=F.when(F.col("__node"), render_node()).otherwise(F.col("__text")))
+    lines = F.sort_array(F.collect_list(F.when(F.col("__line").isNotNull(), F.struct("block_no", "__line"))))["__line"]
+    s = n.groupBy("doc_id", "section_index").agg(F.first("section", ignorenulls=True).alias("section"), F.max("route").alias("route"), F.max("raw_tokens").alias("raw_tokens"), lines.alias("lines"))
+    title = F.concat(F.lit("SECTION: "), "section", F.when(F.col("section").rlike(P.ROLLBACK_SECTION), "  [ROLLBACK]").otherwise(""))
+    part = F.when(F.size("lines") > 0, F.concat_ws("\n", title, F.array_join("lines", "\n"))).otherwise(title)
+    return s.select("doc_id", "section_index", "route", "raw_tokens", F.when(F.col("section_index").isNotNull(), part).alias("part"))
 
 
 def outlines(docs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -145,10 +181,10 @@ def outlines(docs: DataFrame, blocks: DataFrame) -> DataFrame:
 
     Prose documents have no outline. The ratio is what the outline saves of the raw tokens, 0 at least.
     """
-    blocks = checkpointed(blocks)
-    g = _outline_sections(blocks).groupBy("doc_id").agg(F.first("route").alias("route"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "part"))), lambda x: x["part"]), "\n").alias("outline"))
-    size = blocks.groupBy("doc_id").agg(F.greatest(F.lit(1), F.floor(F.sum(F.length("content") + 1) / X.CHARS_PER_TOKEN).cast("int")).alias("raw_tokens"))
-    d = docs.select("doc_id").distinct().join(size, "doc_id").join(g, "doc_id", "left").withColumn("route", F.coalesce("route", F.lit("text")))
+    text = F.array_join(F.sort_array(F.collect_list(F.when(F.col("section_index").isNotNull(), F.struct("section_index", "part"))))["part"], "\n")
+    route_ = F.max(F.when(F.col("section_index").isNotNull(), F.col("route")))
+    g = _parts(blocks).groupBy("doc_id").agg(F.coalesce(route_, F.lit("text")).alias("route"), text.alias("outline"), F.max("raw_tokens").alias("raw_tokens"))
+    d = g.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_tokens", "route", "outline")
     d = d.withColumn("outline", F.when(F.col("route") == "text", "").otherwise(F.coalesce("outline", F.lit(""))))
     d = d.withColumn("outline_tokens", X.tokens(F.col("outline")))
     return d.withColumn("ratio", F.when(F.col("route") == "text", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.col("outline_tokens") / F.col("raw_tokens")), 3)))

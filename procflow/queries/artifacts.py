@@ -15,7 +15,7 @@ from procflow.operators import responses as J
 from procflow.queries import views as V
 from procflow.queries.documents import _MODELS, SCORES, SECTIONS, STRUCTURES, TABLE_ROWS, models, table_rows
 from procflow.queries.views import sql_squeeze, sql_strip, sql_text
-from procflow.session import new_folder, table
+from procflow.session import dealt, new_folder, table
 from procflow.sources import writers
 
 QUERIES, SQL = {}, {}
@@ -280,7 +280,7 @@ def table_blocks(spark, sf):
     text = V.proc_blocks(spark, sf).withColumn("row_index", F.lit(None).cast("int"))
     rows = table_rows(spark, sf).join(V.proc_docs(spark, sf), "doc_id", "left_semi")
     rows = rows.select("doc_id", (F.col("block_no") + 1000).cast("int").alias("block_no"), F.lit("table_row").alias("block_type"), "content", F.lit(0).alias("level"), F.col("row_index").cast("int").alias("row_index"))
-    return text.unionByName(rows)
+    return dealt(text.unionByName(rows), "doc_id", rows=2 * table(spark, sf, "lineitem").count())
 
 
 TABLE_BLOCKS = (

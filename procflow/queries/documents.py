@@ -14,7 +14,7 @@ from procflow.operators import commands as G
 from procflow.operators import steps as M
 from procflow.queries import views as V
 from procflow.queries.views import sql_strip, sql_text
-from procflow.session import table
+from procflow.session import dealt, table
 from procflow.sources import documents as S
 
 QUERIES, SQL = {}, {}
@@ -168,7 +168,7 @@ trows AS (SELECT doc_id, n + 1 AS block_no, cells AS content, n AS row_index FRO
 
 
 def table_rows(spark, sf):
-    li = table(spark, sf, "lineitem")
+    li = dealt(table(spark, sf, "lineitem"), "l_orderkey")
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_ORDER.split(", ")))
     rows = li.select(F.col("l_orderkey").cast("long").alias("doc_id"), n.alias("n"), F.expr(_CELLS).alias("content"))
     heads = rows.select("doc_id").distinct().select("doc_id", F.lit(1).alias("block_no"), F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("doc_id") % len(_HEADERS) + 1).cast("int")).alias("content"), F.lit(0).alias("row_index"))

@@ -14,7 +14,7 @@ from procflow.functions import patterns as P
 from procflow.operators import blocks as B
 from procflow.operators import commands as G
 from procflow.operators import steps as M
-from procflow.session import table
+from procflow.session import dealt, table
 
 TEMPLATES = (
     "# Core Router Upgrade",
@@ -83,9 +83,11 @@ LINE_ORDER = "l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate"
 def proc_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``doc_id, line_no, raw``: one document a part."""
     li = table(spark, sf, "lineitem")
-    no = F.row_number().over(W.partitionBy("l_partkey").orderBy(*LINE_ORDER.split(", ")))
+    order = LINE_ORDER.split(", ")
+    li = dealt(li.select(F.col("l_partkey").cast("long").alias("doc_id"), *order), "doc_id")
+    no = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
     pick = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_suppkey"), F.lit(len(TEMPLATES)))
-    return li.select(F.col("l_partkey").cast("long").alias("doc_id"), no.alias("line_no"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (pick + 1).cast("int")).alias("raw"))
+    return li.select("doc_id", no.alias("line_no"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (pick + 1).cast("int")).alias("raw"))
 
 
 LINES = f"""lines AS (

@@ -64,6 +64,23 @@ def kept(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a task, about: tables that would give more are dealt to more tasks than the session's shuffle partitions.
+TASK_ROWS = 250_000
+
+
+def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """How many tasks so many rows are dealt to; as many as the session has for shuffles, at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def dealt(df, *keys: str, rows: int | None = None):
+    """``df`` dealt by keys, so that the rows of a task do not grow with the table; what the session's shuffle partitions
+    suffice for stays as it is. Without ``rows`` they are counted when this is called (of a Parquet table, by its footers)."""
+    spark = df.sparkSession
+    n = tasks(spark, df.count() if rows is None else rows)
+    return df.repartition(n, *keys) if n > tasks(spark, 0) else df
+
+
 def computed(df, **columns):
     """``df`` with more columns, each evaluated once a row: what later steps select or filter by is read from them, as
     the optimizer moves no expression across the row generator. For dear expressions that a filter also needs."""
