@@ -1,11 +1,16 @@
-"""Forms that grow with the input: blocks are dealt once, to as many tasks as there are rows for."""
+"""Forms that grow with the input: blocks dealt once, and windows without pairs."""
+
+import random
+from datetime import datetime, timedelta
 
 from procflow.functions import text as X
 from procflow.operators import outline as O
+from procflow.operators import timejoin
 from procflow.queries import views
 from procflow.session import dealt
 
 SF = "/root/testdata/sf0.001"
+T0 = datetime(2024, 1, 1)
 
 
 def plan(d):
@@ -30,3 +35,23 @@ def test_signs_and_white_space_are_found_by_the_short_looks(spark):
     for r in d.select("t", X.significance(d.t).alias("n"), X.is_significant(d.t).alias("some"), X.squeeze(d.t).alias("s")).collect():
         assert r.some == (r.n >= 1)
         assert r.s == (None if r.t is None else " ".join(r.t.split()))
+
+
+def test_positions_without_pairs(spark):
+    rng = random.Random(7)
+    at = lambda: T0 + timedelta(seconds=rng.randint(0, 3000))
+    points = [(k, rng.choice(["a", "b", "c", None]), rng.choice([at(), at(), at(), None])) for k in range(300)]
+    windows = [(k, rng.choice(["a", "b", None]), s, s + timedelta(seconds=rng.choice([-5, 0, 40, 700, 2500]))) for k in range(120) for s in [at()]]
+    windows += [(500 + k, "a", T0 + timedelta(seconds=90), T0 + timedelta(seconds=90 + k % 3)) for k in range(6)] + [(600, "a", T0, None)]
+    p, w = spark.createDataFrame(points, "event_id long, device string, ts timestamp"), spark.createDataFrame(windows, "window_id long, device string, start timestamp, end timestamp")
+    for span in (20, 500, 86_400):
+        d = timejoin.window_positions(p, w, ["device"], "ts", "event_id", span)
+        got = {r.event_id: (r.position, r.n_windows, r.window_id) for r in d.collect()}
+        assert len(got) == len(points)
+        for e, device, ts in points:
+            valid = [x for x in windows if x[3] is not None and x[2] <= x[3] and device is not None and x[1] == device]
+            held = [x for x in valid if ts is not None and x[2] <= ts <= x[3]]
+            position = "in" if held else "allowed" if not valid else "before" if ts is not None and ts < max(x[2] for x in valid) else "after"
+            assert got[e] == (position, len(held), min((x[2], x[0]) for x in held)[1] if held else None), (span, e)
+    # the pairs were made by cells of each size of window
+    assert "explode" not in plan(d).lower()
