@@ -13,11 +13,14 @@ from procflow.plans import graph as G
 from procflow.queries import artifacts, operations
 from procflow.queries import views as V
 from procflow.queries.documents import models
-from procflow.session import new_folder, table
+from procflow.session import new_folder, table, tasks
 from procflow.sources import dimensions as D
 from procflow.sources import documents as S
 from procflow.sources import writers
 
+#: Files that a task writes, about.
+FILES = 1000
+
 QUERIES, SQL = {}, {}
 
 
@@ -38,10 +41,11 @@ _TEXT = "CASE WHEN s_suppkey % 7 = 0 THEN '%PDF-1.7 ' ELSE '# ' END || s_name ||
 def s01(spark, sf):
     """One file a supplier; those that begin like a PDF are no text documents."""
     path = new_folder(spark, "documents")
-    table(spark, sf, "supplier").selectExpr("s_suppkey", f"{_TEXT.replace('chr(', 'char(')} AS value").write.partitionBy("s_suppkey").text(path)
-    texts, rest = S.read_documents(spark, path)
-    both = texts.select("source_file", "source_format", "text").unionByName(rest.select(F.col("path").alias("source_file"), "source_format"), allowMissingColumns=True)
-    return both.select(F.regexp_extract("source_file", r"s_suppkey=(\d+)", 1).cast("long").alias("supplier"), "source_format", "text")
+    d = table(spark, sf, "supplier")
+    # many tasks write, and each puts its files in place itself, which the driver would do one after the other
+    d = d.repartition(tasks(spark, d.count(), FILES), "s_suppkey").selectExpr("s_suppkey", f"{_TEXT.replace('chr(', 'char(')} AS value")
+    d.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(path)
+    return S.read_files(spark, path).select(F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("long").alias("supplier"), "source_format", "text")
 
 
 @query("s04_read_models", f"WITH {V.STEPS} SELECT '/in/part_' || doc_id AS source_file, (sequence - 1)::INT AS position, step_id, sequence::INT AS sequence, action_type, section, description, raw AS raw_text, expected_output, array_to_string(tags, ',') AS tags FROM steps")

@@ -52,14 +52,21 @@ def docx_members(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
-def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, source_file, source_format, title, text`` of the text documents under a path, and the files that
-    are none. Bytes that are not UTF-8 are replaced."""
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, source_format, text`` of all files under a path, each read once; the text of text documents only. Bytes
+    that are not UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     f = detect_format(F.col("content"), F.col("path"))
     raw = raw.withColumn("source_format", F.when(f == "zip", docx_members("content")).otherwise(f))
-    texts = raw.where("source_format = 'txt'").select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_file"), "source_format", stem_title(F.col("path")).alias("title"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return texts, raw.where("source_format <> 'txt'").select("path", "source_format")
+    return raw.select("path", "source_format", F.when(F.col("source_format") == "txt", F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+
+
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, source_file, source_format, title, text`` of the text documents under a path, and the files that
+    are none. Bytes that are not UTF-8 are replaced."""
+    files = read_files(spark, path)
+    texts = files.where("source_format = 'txt'").select(F.xxhash64("path").alias("doc_id"), F.col("path").alias("source_file"), "source_format", stem_title(F.col("path")).alias("title"), "text")
+    return texts, files.where("source_format <> 'txt'").select("path", "source_format")
 
 
 DECISION = "timestamp string, execution_id string, step_id string, decision string, reason string, evidence string, confidence double, auto_decided boolean, correlation_id string"

@@ -1,4 +1,4 @@
-"""Forms that grow with the input: blocks dealt once, and windows without pairs."""
+"""Forms that grow with the input: blocks dealt once, windows without pairs, files written by many tasks."""
 
 import random
 from datetime import datetime, timedelta
@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from procflow.functions import text as X
 from procflow.operators import outline as O
 from procflow.operators import timejoin
-from procflow.queries import views
+from procflow.queries import files, views
 from procflow.session import dealt
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +55,9 @@ def test_positions_without_pairs(spark):
             assert got[e] == (position, len(held), min((x[2], x[0]) for x in held)[1] if held else None), (span, e)
     # the pairs were made by cells of each size of window
     assert "explode" not in plan(d).lower()
+
+
+def test_files_are_written_by_many_tasks_and_read_once(spark):
+    d = files.s01(spark, "/root/testdata/sf0.1")
+    assert len({f.rsplit("/", 1)[1] for f in d.inputFiles()}) > 1
+    assert plan(d).count("binaryFile") == 1
