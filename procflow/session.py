@@ -74,11 +74,14 @@ def tasks(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
 
 
 def dealt(df, *keys: str, rows: int | None = None):
-    """``df`` dealt by keys, so that the rows of a task do not grow with the table; what the session's shuffle partitions
-    suffice for stays as it is. Without ``rows`` they are counted when this is called (of a Parquet table, by its footers)."""
+    """``df`` dealt by keys, so that the rows of a task do not grow with the table. What would be few rows a task on all
+    cores stays as it is; more are dealt outright, as adaptive execution merges a shuffle's partitions down to one a core
+    however many the session has. Without ``rows`` they are counted when this is called (of a Parquet table, by its
+    footers)."""
     spark = df.sparkSession
-    n = tasks(spark, df.count() if rows is None else rows)
-    return df.repartition(n, *keys) if n > tasks(spark, 0) else df
+    rows = df.count() if rows is None else rows
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(tasks(spark, rows), *keys) if -(-rows // TASK_ROWS) > min(cores, tasks(spark, 0)) else df
 
 
 def computed(df, **columns):

@@ -29,6 +29,17 @@ def test_tasks_do_not_grow_with_the_table(spark):
     assert "Exchange" not in plan(dealt(d, "id"))
 
 
+def test_partitions_of_the_session_do_not_merge_into_large_tasks(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        # 144 tasks' worth of rows: within 200 partitions, which would be merged to one a core
+        d = dealt(spark.range(10), "id", rows=36_000_000)
+        assert "REPARTITION_BY_NUM" in plan(d) and d.rdd.getNumPartitions() == 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_signs_and_white_space_are_found_by_the_short_looks(spark):
     texts = ["plain words", "two  spaces", "a\tb", "a b", " x ", "", "host 10.0.0.1", "fe80::1:2", "vlan", "ae1 up", "AS 65001", "R7", "please note that all is well , so", None]
     d = spark.createDataFrame([(t,) for t in texts], "t string")
