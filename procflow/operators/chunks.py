@@ -121,12 +121,35 @@ def command_candidates(chunked: DataFrame, commands: DataFrame) -> DataFrame:
     return pairs.unionByName(chunked.select("doc_id", "chunk_index").join(blank, "doc_id"))
 
 
-def chunk_commands(chunked: DataFrame, commands: DataFrame) -> DataFrame:
+#: Commands of a document up to which each of its chunks is searched for all of them; those of more go by the index.
+SEARCHED = 200
+
+
+def chunk_commands(chunked: DataFrame, commands: DataFrame, searched: int = SEARCHED) -> DataFrame:
     """``doc_id, chunk_index, raw, n, first_line``: commands (with their number and first line) whose text stands in a
-    chunk, any case. Commands are looked up in an index of the chunks' words first, so that only those pairs are
-    compared that share a rare piece. Both are read several times and checkpointed when this is called."""
-    chunked = checkpointed(chunked.select("doc_id", "chunk_index", "text"))
+    chunk, any case. A chunk is searched for the commands of its document, which go to it as one row, if they are at most
+    ``searched``. In documents of more, commands are looked up in an index of the chunks' words first, so that only
+    those pairs are compared that share a rare piece. Commands are checkpointed when this is called, and so are the
+    chunks if there are such documents."""
     c = checkpointed(commands.where("raw IS NOT NULL").groupBy("doc_id", "raw").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line")))
+    count = c.groupBy("doc_id").agg(F.count("*").alias("n"))
+    chunked = chunked.select("doc_id", "chunk_index", "text")
+    if count.where(F.col("n") > searched).isEmpty():
+        return _searched(chunked, c)
+    chunked = checkpointed(chunked)
+    many = checkpointed(count.where(F.col("n") > searched).select("doc_id"))
+    part = lambda d, how: d.join(many, "doc_id", how)
+    return _searched(part(chunked, "left_anti"), part(c, "left_anti")).unionByName(_indexed(part(chunked, "left_semi"), part(c, "left_semi")))
+
+
+def _searched(chunked: DataFrame, c: DataFrame) -> DataFrame:
+    lists = c.groupBy("doc_id").agg(F.collect_list(F.struct("raw", "n", "first_line", F.lower("raw").alias("low"))).alias("cs"))
+    d = chunked.join(lists, "doc_id").select("doc_id", "chunk_index", F.lower("text").alias("low"), "cs")
+    d = d.select("doc_id", "chunk_index", F.explode(F.filter("cs", lambda x: F.contains(F.col("low"), x["low"]))).alias("c"))
+    return d.select("doc_id", "chunk_index", "c.raw", "c.n", "c.first_line")
+
+
+def _indexed(chunked: DataFrame, c: DataFrame) -> DataFrame:
     pairs = command_candidates(chunked, c.select("doc_id", "raw")).join(c, ["doc_id", "raw"])
     d = chunked.join(pairs, ["doc_id", "chunk_index"])
     return d.where(F.contains(F.lower("text"), F.lower("raw"))).select("doc_id", "chunk_index", "raw", "n", "first_line")
