@@ -53,13 +53,8 @@ def list_level(c: Column) -> Column:
     return F.when(number == "", 1).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))))
 
 
-def parse_blocks(lines: DataFrame) -> DataFrame:
-    """``doc_id, block_no, block_type, content, level`` from ``doc_id, line_no, raw``.
-
-    Lines between two fences join to one code block; an empty fence gives none, an unclosed one loses its lines.
-    Other lines are headings, indented code, list items or paragraphs, in that order; blank lines are dropped.
-    """
-    d = fence_state(lines, hot_rows=None).where("not is_fence and (not in_fence or closed)")
+def _read(d: DataFrame) -> DataFrame:
+    """Lines (``raw``, ``in_fence``) plus kind (null for blank ones, which go), content and level."""
     text = strip(F.col("raw"))
     numbered = text.rlike(P.NUMBERED) | text.rlike(P.STEP)
     kind = (
@@ -79,7 +74,29 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(text, P.HEADING, 1))).when(F.col("kind") == "numbered", list_level(text)).when(F.col("kind") == "bullet", 1).otherwise(0)
-    d = computed(d, kind=kind).where("kind is not null").withColumn("content", content).withColumn("level", level.cast("int"))
+    return computed(d, kind=kind).where("kind is not null").withColumn("content", content).withColumn("level", level.cast("int"))
+
+
+def block_texts(texts: DataFrame) -> DataFrame:
+    """``content``, each once, of the blocks that single lines (``raw``) make."""
+    return _read(texts.select("raw", F.lit(False).alias("in_fence"))).select("content").distinct()
+
+
+def parse_blocks(lines: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """``doc_id, block_no, block_type, content, level`` from ``doc_id, line_no, raw``.
+
+    Lines between two fences join to one code block; an empty fence gives none, an unclosed one loses its lines.
+    Other lines are headings, indented code, list items or paragraphs, in that order; blank lines are dropped.
+    ``texts``: every ``raw`` of the lines, each once (session.repeated); lines are then read once a text.
+    """
+    d = fence_state(lines, hot_rows=None).where("not is_fence and (not in_fence or closed)")
+    if texts is None:
+        d = _read(d)
+    else:
+        known = _read(texts.select("raw", F.lit(False).alias("in_fence"))).select(F.col("raw").alias("__raw"), F.struct("kind", "content", "level").alias("__read"))
+        fence = lambda c, name: F.when(F.col("in_fence"), c).otherwise(F.col(f"__read.{name}")).alias(name)
+        d = d.join(F.broadcast(known), F.col("raw") == F.col("__raw"), "left").where("in_fence or __read is not null")
+        d = d.select("doc_id", "line_no", "fence_no", fence(F.lit("fence"), "kind"), fence(F.col("raw"), "content"), fence(F.lit(0), "level"))
     # lines of one fence share a group; any other line is its own
     group = F.when(F.col("kind") == "fence", -F.col("fence_no")).otherwise(F.col("line_no"))
     g = d.groupBy("doc_id", group.alias("g")).agg(

@@ -31,8 +31,15 @@ def classify(lines: DataFrame, column: str = "raw", known: bool = False) -> Data
     )
 
 
-def extract_commands(lines: DataFrame, column: str = "raw") -> DataFrame:
-    """The lines that are commands, classified. Map-only."""
+def extract_commands(lines: DataFrame, column: str = "raw", texts: DataFrame | None = None) -> DataFrame:
+    """The lines that are commands, classified. Map-only. ``texts``: every text of the column as ``raw``, each once
+    (session.repeated); the patterns then run once a text."""
+    if texts is not None:
+        known = extract_commands(texts.select("raw", F.col("raw").alias("__line")))
+        d = lines.withColumnRenamed(column, "__line").join(F.broadcast(known), "__line")
+        told = [c for c in known.columns if c not in ("__line", "raw")]
+        own = [F.col("__line").alias(column) if c == column != "raw" else F.col(c) for c in lines.columns]
+        return d.select(*own, *([] if column == "raw" else ["raw"]), *told)
     return classify(lines.where(C.is_command(F.col(column))), column, known=True)
 
 

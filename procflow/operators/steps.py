@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from procflow.functions import patterns as P
+from procflow.functions.text import strip
+from procflow.session import computed
 
 
 def phase(command: Column, place: Column, total: Column) -> Column:
     """Section of a command by its words and its place among all commands of the document."""
+    return _phase(phase_words(command), place, total)
+
+
+def phase_words(command: Column) -> dict[str, Column]:
+    """What a command's words say about its phase: of a rollback, a check before, a check, and whether it shows."""
+    return {"back": command.rlike(P.ROLLBACK_WORDS), "pre": command.rlike(P.PRE_CHECK_WORDS), "check": command.rlike(P.VERIFY_WORDS), "shows": F.contains(F.lower(command), F.lit("show"))}
+
+
+def _phase(says: Column | dict, place: Column, total: Column) -> Column:
     part = place / F.greatest(total, F.lit(1))
-    shows = F.contains(F.lower(command), F.lit("show"))
     return (
-        F.when(command.rlike(P.ROLLBACK_WORDS), "Rollback")
-        .when((part <= 0.20) & command.rlike(P.PRE_CHECK_WORDS), "Pre-checks")
-        .when((part >= 0.75) & command.rlike(P.VERIFY_WORDS), "Verification")
-        .when(command.rlike(P.VERIFY_WORDS) & shows, F.when(part < 0.4, "Pre-checks").otherwise("Verification"))
+        F.when(says["back"], "Rollback")
+        .when((part <= 0.20) & says["pre"], "Pre-checks")
+        .when((part >= 0.75) & says["check"], "Verification")
+        .when(says["check"] & says["shows"], F.when(part < 0.4, "Pre-checks").otherwise("Verification"))
         .otherwise("Implementation")
     )
 
@@ -82,23 +92,36 @@ def tags(raw: Column, vendor: Column, protocol: Column) -> Column:
     return F.filter(every, lambda x: x.isNotNull())
 
 
+def _worded(commands: DataFrame, texts: DataFrame | None) -> DataFrame:
+    """Commands plus ``__says``, their phase_words(), found once a command or, with ``texts``, once a text."""
+    says = lambda d: computed(d, __says=F.struct(*[c.alias(k) for k, c in phase_words(F.col("raw")).items()]))
+    if texts is None:
+        return says(commands)
+    return commands.join(F.broadcast(says(texts.select(strip(F.col("raw")).alias("raw")).distinct())), "raw")
+
+
 def dedup_commands(commands: DataFrame) -> DataFrame:
     """The first command of each (document, section, normalized form), ``idx`` and ``total`` being its place among
     all commands (from 0) and their number, ``section`` the phase that place gives."""
+    return _dedup(_worded(commands, None)).drop("__says")
+
+
+def _dedup(commands: DataFrame) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("line_no")
     d = commands.withColumn("idx", F.row_number().over(order) - 1).withColumn("total", F.count("*").over(W.partitionBy("doc_id")))
-    d = d.withColumn("section", phase(F.col("raw"), F.col("idx"), F.col("total")))
+    d = d.withColumn("section", _phase(F.col("__says"), F.col("idx"), F.col("total")))
     first = W.partitionBy("doc_id", "section", "normalized").orderBy("idx")
     return d.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
 
 
-def build_steps(commands: DataFrame) -> DataFrame:
+def build_steps(commands: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """One step a command that is left after deduplication, renumbered; the phase is judged again by the new
-    place. ``commands`` has doc_id, line_no, raw, normalized, vendor, protocol, mode, confidence."""
-    d = dedup_commands(commands)
+    place. ``commands`` has doc_id, line_no, raw, normalized, vendor, protocol, mode, confidence. ``texts`` as given to
+    extract_commands(): words are then looked for once a text."""
+    d = _dedup(_worded(commands, texts))
     order = W.partitionBy("doc_id").orderBy("idx")
     d = d.withColumn("sequence", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("doc_id")))
-    d = d.withColumn("section", phase(F.col("raw"), F.col("sequence") - 1, F.col("n")))
+    d = d.withColumn("section", _phase(F.col("__says"), F.col("sequence") - 1, F.col("n")))
     action = action_type(F.col("section"))
     return d.select(
         "doc_id",

@@ -142,7 +142,7 @@ d AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY block_no) AS
 SELECT doc_id, step_no::BIGINT AS step_no, string_agg(CASE WHEN block_type = 'list_item' THEN CASE WHEN coalesce(section, '') <> '' THEN '[' || section || '] ' ELSE '' END || CASE WHEN level <> 1 AND coalesce(parent, '') <> '' THEN '(sub-step of: ' || parent || ') ' ELSE '' END || content
   WHEN opens THEN content ELSE chr(10) || '  ' || content END, '' ORDER BY block_no) AS text FROM d GROUP BY doc_id, step_no""")
 def t10(spark, sf):
-    return B.list_steps(V.proc_blocks(spark, sf))
+    return B.list_steps(V.proc_blocks(spark, sf, V.line_texts(spark, sf)))
 
 
 _BOILER = f"(length(content) < 3 OR regexp_matches(content, {sql_text(P.BOILERPLATE)}))"
@@ -458,8 +458,9 @@ def qs3(spark, sf):
 
 @query("qs4_distribution", f"WITH {V.STEPS}, {_MODELS}, {SCORES}, {V.BLOCKS.replace('lines AS', 'lines2 AS', 1).replace('FROM lines)', 'FROM lines2)', 1)}, {STRUCTURES} SELECT band, coalesce(structure, 'unknown') AS structure, count(*) AS n FROM scores LEFT JOIN structures USING (doc_id) GROUP BY ALL")
 def qs4(spark, sf):
-    b = V.proc_blocks(spark, sf)
-    return Q.quality_distribution(Q.quality_score(V.proc_steps(spark, sf), models(spark, sf)), B.document_structure(V.proc_docs(spark, sf), b))
+    texts = V.line_texts(spark, sf)
+    b = V.proc_blocks(spark, sf, texts)
+    return Q.quality_distribution(Q.quality_score(V.proc_steps(spark, sf, texts), models(spark, sf)), B.document_structure(V.proc_docs(spark, sf), b))
 
 
 def flagship(spark, sf):

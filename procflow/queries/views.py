@@ -14,7 +14,7 @@ from procflow.functions import patterns as P
 from procflow.operators import blocks as B
 from procflow.operators import commands as G
 from procflow.operators import steps as M
-from procflow.session import dealt, table
+from procflow.session import dealt, repeated, table
 
 TEMPLATES = (
     "# Core Router Upgrade",
@@ -86,8 +86,18 @@ def proc_lines(spark: SparkSession, sf: str) -> DataFrame:
     order = LINE_ORDER.split(", ")
     li = dealt(li.select(F.col("l_partkey").cast("long").alias("doc_id"), *order), "doc_id")
     no = F.row_number().over(W.partitionBy("doc_id").orderBy(*order))
+    return li.select("doc_id", no.alias("line_no"), _raw().alias("raw"))
+
+
+def _raw():
     pick = F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3 + F.col("l_suppkey"), F.lit(len(TEMPLATES)))
-    return li.select("doc_id", no.alias("line_no"), F.element_at(F.array(*map(F.lit, TEMPLATES)), (pick + 1).cast("int")).alias("raw"))
+    return F.element_at(F.array(*map(F.lit, TEMPLATES)), (pick + 1).cast("int"))
+
+
+def line_texts(spark: SparkSession, sf: str) -> DataFrame | None:
+    """Every text of proc_lines(), each once, where many lines repeat few; else None."""
+    li = table(spark, sf, "lineitem")
+    return repeated(li.select(_raw().alias("raw")), "raw", li.count())
 
 
 LINES = f"""lines AS (
@@ -102,8 +112,12 @@ def proc_docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select(F.col("l_partkey").cast("long").alias("doc_id")).distinct()
 
 
-def proc_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return B.parse_blocks(proc_lines(spark, sf))
+def block_texts(texts: DataFrame | None) -> DataFrame | None:
+    return None if texts is None else B.block_texts(texts)
+
+
+def proc_blocks(spark: SparkSession, sf: str, texts: DataFrame | None = None) -> DataFrame:
+    return B.parse_blocks(proc_lines(spark, sf), texts)
 
 
 _T = sql_strip("raw")
@@ -135,8 +149,8 @@ blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_n
 )
 
 
-def proc_commands(spark: SparkSession, sf: str) -> DataFrame:
-    return G.extract_commands(proc_lines(spark, sf))
+def proc_commands(spark: SparkSession, sf: str, texts: DataFrame | None = None) -> DataFrame:
+    return G.extract_commands(proc_lines(spark, sf), texts=texts)
 
 
 def sql_strip_prompt(x: str) -> str:
@@ -179,8 +193,8 @@ def sql_phase(raw: str, place: str, total: str) -> str:
       ELSE 'Implementation' END"""
 
 
-def proc_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return M.build_steps(proc_commands(spark, sf))
+def proc_steps(spark: SparkSession, sf: str, texts: DataFrame | None = None) -> DataFrame:
+    return M.build_steps(proc_commands(spark, sf, texts), texts)
 
 
 STEPS = (

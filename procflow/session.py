@@ -92,6 +92,22 @@ def computed(df, **columns):
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+#: Distinct texts, and characters of them, up to which a column's texts are told apart from the rows that hold them.
+TEXTS, TEXT_CHARS = 20_000, 8_000_000
+
+
+def repeated(df, key: str, rows: int, least: int = TASK_ROWS):
+    """All distinct values of a text column, each once, where many rows (over ``least``) repeat few of them: functions of
+    the text are then evaluated on these and joined back by a broadcast. None where rows are few, or the texts are more or
+    longer than TEXTS and TEXT_CHARS allow (by an approximate count). Jobs run when this is called."""
+    from pyspark.sql import functions as F
+
+    if rows <= least:
+        return None
+    n, longest = df.agg(F.approx_count_distinct(key), F.max(F.length(key))).first()
+    return checkpointed(df.select(key).distinct()) if n <= TEXTS and n * (longest or 0) <= TEXT_CHARS else None
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers of a session that was started where they cannot import it."""
     import os
