@@ -35,26 +35,32 @@ def commands_in(content: Column) -> Column:
     return F.transform(F.filter(F.split(content, r"\r\n|\n|\r"), C.is_command), X.strip)
 
 
-def block_nodes(blocks_in_sections: DataFrame) -> DataFrame:
+def block_nodes(blocks_in_sections: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Nodes of list items, code blocks and paragraphs: description, commands, expected output; blocks that say
-    nothing are dropped. Needs doc_id, section_index, section, block_no, block_type, content."""
+    nothing are dropped. Needs doc_id, section_index, section, block_no, block_type, content. ``texts``: contents that many
+    blocks have (blocks.block_texts), which are looked through once a text."""
     d = blocks_in_sections.where(F.col("block_type").isin("list_item", "code_block", "paragraph"))
-    return _with_nodes(d).where("__node").select("doc_id", "section_index", "section", "block_no", "block_type", "description", "commands", "expected_output", F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
+    return _with_nodes(d, texts=texts).where("__node").select("doc_id", "section_index", "section", "block_no", "block_type", "description", "commands", "expected_output", F.col("section").rlike(P.ROLLBACK_SECTION).alias("is_rollback"))
 
 
-def _with_nodes(blocks: DataFrame, wanted: Column | None = None) -> DataFrame:
+def _with_nodes(blocks: DataFrame, wanted: Column | None = None, texts: DataFrame | None = None) -> DataFrame:
     """Blocks plus ``__node``, whether one is a node, and its description, commands and expected_output. Nothing is
-    looked for in blocks that are not ``wanted``."""
-    t, c = F.col("block_type"), F.col("content")
-    may = F.when(t == "paragraph", X.is_significant(c)).otherwise(t.isin("list_item", "code_block"))
+    looked for in blocks that are not ``wanted``; what ``texts`` hold is found once a text, the rest once a block."""
+    t, c, own = F.col("block_type"), F.col("content"), blocks.columns
+    found = {"some": X.is_significant(c), "commands": commands_in(c), "short": X.compress(c), "expected": X.expectation(c)}
+    if texts is not None:
+        known = computed(texts.select("content"), **found).select(F.col("content").alias("__content"), F.struct(*found).alias("__told"))
+        blocks = blocks.join(F.broadcast(known), c == F.col("__content"), "left")
+        found = {k: F.when(F.col("__told").isNotNull(), F.col(f"__told.{k}")).otherwise(v) for k, v in found.items()}
+    may = F.when(t == "paragraph", found["some"]).otherwise(t.isin("list_item", "code_block"))
     d = computed(blocks, __may=may if wanted is None else F.when(wanted, may).otherwise(False))
     # computed once a row: what tells nodes and what is made of them read each of these more than once
-    d = computed(d, commands=F.when(F.col("__may"), commands_in(c)), __short=F.when(F.col("__may") & (t != "code_block"), X.compress(c)))
+    d = computed(d, commands=F.when(F.col("__may"), found["commands"]), __short=F.when(F.col("__may") & (t != "code_block"), found["short"]))
     keep = F.when(t == "list_item", F.length("__short") >= 5).when(t == "code_block", F.size("commands") > 0).otherwise(True)
     description = F.when(t == "code_block", F.concat(F.lit("Execute "), F.size("commands").cast("string"), F.lit(" command(s)"))).otherwise(X.truncate(F.col("__short")))
     d = d.withColumn("__node", F.coalesce(F.col("__may") & keep, F.lit(False)))
     node = F.col("__node")
-    return d.select(*blocks.columns, "__node", F.when(node, description).alias("description"), F.when(node, F.col("commands")).alias("commands"), F.when(node & (t != "code_block"), X.expectation(c)).alias("expected_output"))
+    return d.select(*own, "__node", F.when(node, description).alias("description"), F.when(node, F.col("commands")).alias("commands"), F.when(node & (t != "code_block"), found["expected"]).alias("expected_output"))
 
 
 def table_nodes(rows_in_sections: DataFrame, extract_table_commands: bool = False) -> DataFrame:
@@ -123,17 +129,19 @@ def render_node() -> Column:
     )
 
 
-def outline_nodes(placed: DataFrame) -> DataFrame:
+def outline_nodes(placed: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """All nodes of blocks in sections, those of table rows among the others, numbered together. ``row_index`` tells
-    a table's header; without that column the first row of a table is it."""
+    a table's header; without that column the first row of a table is it. ``placed`` is read twice and checkpointed when
+    this is called."""
+    placed = checkpointed(placed)
     rows = placed if "row_index" in placed.columns else placed.withColumn("row_index", F.lit(None).cast("int"))
-    return node_ids(block_nodes(placed).unionByName(table_nodes(rows), allowMissingColumns=True))
+    return node_ids(block_nodes(placed, texts).unionByName(table_nodes(rows), allowMissingColumns=True))
 
 
-def outline_sections(blocks: DataFrame) -> DataFrame:
+def outline_sections(blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``doc_id, section_index, route, part``: each section as it stands in the outline: its heading, then nodes
     or, in text mode, its blocks' text, indented."""
-    return _parts(blocks).where("section_index IS NOT NULL").select("doc_id", "section_index", "route", "part")
+    return _parts(blocks, texts).where("section_index IS NOT NULL").select("doc_id", "section_index", "route", "part")
 
 
 def _routed(blocks: DataFrame, least: float = 0.4) -> DataFrame:
@@ -149,7 +157,7 @@ def _routed(blocks: DataFrame, least: float = 0.4) -> DataFrame:
     return d.withColumn("mode", F.when(F.col("route") == "mixed", by_share).otherwise(F.col("route")))
 
 
-def _parts(blocks: DataFrame) -> DataFrame:
+def _parts(blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``doc_id, section_index, route, raw_tokens, part``; the headings that open sections are a row without an index and
     part. Documents are dealt once: whatever is asked of them is a window or an aggregate that keeps to that. Where
     there are tables, the blocks are cut from what made them, as their rows are read twice."""
@@ -159,7 +167,7 @@ def _parts(blocks: DataFrame) -> DataFrame:
         d = checkpointed(d)
     outlined = F.col("section_index").isNotNull() & (F.col("mode") == "outline")
     said = ["doc_id", "section_index", "section", "block_no", "route", "raw_tokens", "__node", "description", "commands", "expected_output"]
-    n = _with_nodes(d, outlined).select(*said, F.when(F.col("section_index").isNotNull() & (F.col("mode") == "text"), F.concat(F.lit("  "), "content")).alias("__text"), F.lit(False).alias("is_rollback"))
+    n = _with_nodes(d, outlined, texts).select(*said, F.when(F.col("section_index").isNotNull() & (F.col("mode") == "text"), F.concat(F.lit("  "), "content")).alias("__text"), F.lit(False).alias("is_rollback"))
     if tables:
         rows = table_nodes(d.where(outlined & (F.col("block_type") == "table_row")))
         n = n.unionByName(rows.select("doc_id", "section_index", "section", "block_no", F.lit(True).alias("__node"), "description", "commands", "expected_output", "is_rollback"), allowMissingColumns=True)
@@ -176,14 +184,15 @@ def _parts(blocks: DataFrame) -> DataFrame:
     return s.select("doc_id", "section_index", "route", "raw_tokens", F.when(F.col("section_index").isNotNull(), part).alias("part"))
 
 
-def outlines(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+def outlines(docs: DataFrame, blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """``doc_id, route, outline, raw_tokens, outline_tokens, ratio`` for each document with blocks.
 
     Prose documents have no outline. The ratio is what the outline saves of the raw tokens, 0 at least.
+    ``texts`` as in block_nodes().
     """
     text = F.array_join(F.sort_array(F.collect_list(F.when(F.col("section_index").isNotNull(), F.struct("section_index", "part"))))["part"], "\n")
     route_ = F.max(F.when(F.col("section_index").isNotNull(), F.col("route")))
-    g = _parts(blocks).groupBy("doc_id").agg(F.coalesce(route_, F.lit("text")).alias("route"), text.alias("outline"), F.max("raw_tokens").alias("raw_tokens"))
+    g = _parts(blocks, texts).groupBy("doc_id").agg(F.coalesce(route_, F.lit("text")).alias("route"), text.alias("outline"), F.max("raw_tokens").alias("raw_tokens"))
     d = g.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_tokens", "route", "outline")
     d = d.withColumn("outline", F.when(F.col("route") == "text", "").otherwise(F.coalesce("outline", F.lit(""))))
     d = d.withColumn("outline_tokens", X.tokens(F.col("outline")))

@@ -149,7 +149,7 @@ def s07_written(spark, sf):
 
 @query("s08_models_with_steps", f"WITH {V.STEPS}, {_MODELS}, n AS (SELECT doc_id, count(*) AS n FROM steps GROUP BY doc_id) SELECT doc_id, document_title, n AS n_steps FROM models JOIN n USING (doc_id)")
 def s08(spark, sf):
-    return writers.models_with_steps(models(spark, sf), V.proc_steps(spark, sf)).where("steps is not null").select("doc_id", "document_title", F.size("steps").cast("long").alias("n_steps"))
+    return writers.models_with_steps(models(spark, sf), V.proc_steps(spark, sf, V.line_texts(spark, sf))).where("steps is not null").select("doc_id", "document_title", F.size("steps").cast("long").alias("n_steps"))
 
 
 # ---- outlines ----
@@ -271,13 +271,14 @@ def c12(spark, sf):
 
 @query("c13_outlines", f"WITH {V.BLOCKS}, {OUTLINES} SELECT doc_id, outline FROM outlines")
 def c13(spark, sf):
-    return O.outlines(V.proc_docs(spark, sf), V.proc_blocks(spark, sf)).select("doc_id", "outline")
+    texts = V.line_texts(spark, sf)
+    return O.outlines(V.proc_docs(spark, sf), V.proc_blocks(spark, sf, texts), V.block_texts(texts)).select("doc_id", "outline")
 
 
 # ---- outlines of documents with tables: a part's lines, then the rows of the order of that number ----
-def table_blocks(spark, sf):
+def table_blocks(spark, sf, texts=None):
     """Blocks of documents by part, each followed by the table of the order of that number, if there is one."""
-    text = V.proc_blocks(spark, sf).withColumn("row_index", F.lit(None).cast("int"))
+    text = V.proc_blocks(spark, sf, texts).withColumn("row_index", F.lit(None).cast("int"))
     rows = table_rows(spark, sf).join(V.proc_docs(spark, sf), "doc_id", "left_semi")
     rows = rows.select("doc_id", (F.col("block_no") + 1000).cast("int").alias("block_no"), F.lit("table_row").alias("block_type"), "content", F.lit(0).alias("level"), F.col("row_index").cast("int").alias("row_index"))
     return dealt(text.unionByName(rows), "doc_id", rows=2 * table(spark, sf, "lineitem").count())
@@ -299,7 +300,8 @@ TABLE_OUTLINES = OUTLINES.replace("ids AS (SELECT *,", _TABLE_NODES + ",\nids AS
 
 @query("c10_table_node_ids", f"WITH {TABLE_BLOCKS}, {TABLE_OUTLINES} SELECT doc_id, block_no, node_id FROM ids")
 def c10_tables(spark, sf):
-    return O.outline_nodes(B.sections(table_blocks(spark, sf))).select("doc_id", "block_no", "node_id")
+    texts = V.line_texts(spark, sf)
+    return O.outline_nodes(B.sections(table_blocks(spark, sf, texts)), V.block_texts(texts)).select("doc_id", "block_no", "node_id")
 
 
 @query("c12_table_ratios", f"WITH {TABLE_BLOCKS}, {TABLE_OUTLINES} SELECT doc_id, route, raw_tokens, outline_tokens, ratio FROM outlines")
@@ -390,7 +392,8 @@ def k06(spark, sf):
 
 @query("k07_chunk_commands", f"WITH {V.BLOCKS}, {CHUNKS}, {CHUNK_COMMANDS} SELECT * FROM cc")
 def k07(spark, sf):
-    return K.chunk_commands(K.chunks(V.proc_blocks(spark, sf), BUDGET), V.proc_commands(spark, sf))
+    texts = V.line_texts(spark, sf)
+    return K.chunk_commands(K.chunks(V.proc_blocks(spark, sf, texts), BUDGET), V.proc_commands(spark, sf, texts))
 
 
 @query("k08_requests", f"""WITH {V.BLOCKS}, {CHUNKS}, {CHUNK_COMMANDS}, {STRUCTURES}, titles AS (SELECT doc_id, arg_min(content, block_no) AS title FROM blocks WHERE block_type = 'heading' AND content <> '' GROUP BY doc_id),
@@ -399,11 +402,12 @@ hints AS (SELECT doc_id, chunk_index, string_agg(raw, '; ' ORDER BY place) AS hi
 SELECT doc_id, chunk_index, concat_ws(chr(10), 'Title: ' || coalesce(title, 'Part'), 'Structure: ' || coalesce(structure, 'unknown'), 'Part: ' || CASE WHEN len(headings) > 0 THEN array_to_string(headings, ' → ') ELSE 'Document' END, 'First step: 1', 'Commands seen: ' || hints, '---', text) AS request
 FROM chunks LEFT JOIN titles USING (doc_id) LEFT JOIN structures USING (doc_id) LEFT JOIN hints USING (doc_id, chunk_index)""")
 def k08(spark, sf):
-    b = V.proc_blocks(spark, sf)
+    texts = V.line_texts(spark, sf)
+    b = V.proc_blocks(spark, sf, texts)
     c = K.chunks(b, BUDGET)
     docs = V.proc_docs(spark, sf)
     titles = B.document_titles(docs.withColumn("source_file", F.lit("part.txt")), b)
-    return K.requests(c, titles, B.document_structure(docs, b), K.chunk_commands(c, V.proc_commands(spark, sf)))
+    return K.requests(c, titles, B.document_structure(docs, b), K.chunk_commands(c, V.proc_commands(spark, sf, texts)))
 
 
 @query("k09_processing_routes", f"WITH {V.BLOCKS}, {OUTLINES} SELECT doc_id, CASE WHEN route <> 'text' THEN 'outline' WHEN raw_tokens > 200 THEN 'chunked' ELSE 'single' END AS processing FROM outlines")
@@ -414,8 +418,8 @@ def k09(spark, sf):
 @query("c15_packed_outline", f"WITH {V.BLOCKS}, {OUTLINES}, stexts2 AS (SELECT doc_id, section_index AS section_no, greatest(1, floor(length(part) / 3.5)::INT) AS n_tokens FROM parts2), pk AS (SELECT doc_id, list(section_no ORDER BY section_no) AS os, {_reduce(_XS, 60)} AS gs FROM stexts2 GROUP BY doc_id) SELECT doc_id, unnest(os)::INT AS section_index, unnest(gs)::INT AS group_no FROM pk")
 def c15(spark, sf):
     """Outline sections packed by budget."""
-    b = V.proc_blocks(spark, sf)
-    parts = O.outline_sections(b).withColumn("n", X.tokens(F.col("part")))
+    texts = V.line_texts(spark, sf)
+    parts = O.outline_sections(V.proc_blocks(spark, sf, texts), V.block_texts(texts)).withColumn("n", X.tokens(F.col("part")))
     return K.pack(parts, "section_index", "n", 60)
 
 
@@ -479,6 +483,7 @@ def j06(spark, sf):
 
 @query("r09_document_results", f"WITH {V.STEPS.replace('numbered AS', 'numbered0 AS').replace('FROM numbered)', 'FROM numbered0)')}, {_MODELS}, {SCORES}, {V.BLOCKS.replace('lines AS', 'lines2 AS', 1).replace('FROM lines)', 'FROM lines2)', 1)}, {OUTLINES.replace('bcmds', 'bcm')}, n AS (SELECT doc_id, count(*) AS n_steps FROM steps GROUP BY doc_id) SELECT st.doc_id, structure, coalesce(n_steps, 0) AS n_steps, score, band, raw_tokens, outline_tokens, ratio FROM structures st LEFT JOIN n USING (doc_id) LEFT JOIN scores USING (doc_id) LEFT JOIN outlines USING (doc_id)")
 def r09(spark, sf):
-    b, s = V.proc_blocks(spark, sf), V.proc_steps(spark, sf)
+    texts = V.line_texts(spark, sf)
+    b, s = V.proc_blocks(spark, sf, texts), V.proc_steps(spark, sf, texts)
     kinds = B.block_counts(b).select("doc_id", B.structure_of(F.col).alias("structure"))
-    return R.document_results(s, kinds, Q.quality_score(s, models(spark, sf)), O.outlines(V.proc_docs(spark, sf), b))
+    return R.document_results(s, kinds, Q.quality_score(s, models(spark, sf)), O.outlines(V.proc_docs(spark, sf), b, V.block_texts(texts)))

@@ -4,10 +4,14 @@ import random
 from datetime import datetime, timedelta
 
 from procflow.functions import text as X
+from procflow.operators import blocks as B
+from procflow.operators import chunks as K
+from procflow.operators import commands as G
 from procflow.operators import outline as O
+from procflow.operators import steps as M
 from procflow.operators import timejoin
 from procflow.queries import files, views
-from procflow.session import dealt
+from procflow.session import dealt, repeated
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
@@ -72,3 +76,47 @@ def test_files_are_written_by_many_tasks_and_read_once(spark):
     d = files.s01(spark, "/root/testdata/sf0.1")
     assert len({f.rsplit("/", 1)[1] for f in d.inputFiles()}) > 1
     assert plan(d).count("binaryFile") == 1
+
+
+def same(a, b):
+    return a.columns == b.columns and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_lines_are_read_once_a_text(spark):
+    lines = views.proc_lines(spark, SF)
+    texts = repeated(lines, "raw", 6000, least=0)
+    assert texts.count() == lines.select("raw").distinct().count() == len(set(views.TEMPLATES))
+    blocks = B.parse_blocks(lines)
+    assert same(B.parse_blocks(lines, texts), blocks)
+    commands = G.extract_commands(lines)
+    assert same(G.extract_commands(lines, texts=texts), commands)
+    assert same(M.build_steps(commands, texts), M.build_steps(commands))
+    docs, some = views.proc_docs(spark, SF), B.block_texts(texts)
+    assert same(O.outlines(docs, B.parse_blocks(lines, texts), some), O.outlines(docs, blocks))
+    # contents that the texts lack are looked through as they stand
+    assert same(O.outlines(docs, blocks, some.limit(5)), O.outlines(docs, blocks))
+
+
+def test_texts_are_told_apart_only_where_many_rows_repeat_few(spark):
+    d = spark.range(50_000).selectExpr("cast(id AS string) AS t", "repeat('x', 9000000) AS long")
+    assert repeated(d, "t", 50_000, least=0) is None
+    assert repeated(d.limit(10), "long", 10, least=0) is None
+    assert repeated(d.limit(10), "t", 10) is None
+
+
+def test_nodes_of_outlines_parse_the_blocks_once(spark):
+    p = plan(O.outline_nodes(B.sections(views.proc_blocks(spark, SF))))
+    assert "Scan parquet" not in p and "FileScan" not in p
+
+
+def test_chunks_are_searched_for_the_commands_of_their_document(spark):
+    chunked = [(1, 0, "Show version\nping 10.0.0.1"), (1, 1, "nothing here"), (2, 0, "show ip\nno x"), (2, 1, "NO X, show ip bgp"), (3, 0, "")]
+    rows = [(1, 1, "show version"), (1, 2, "ping 10.0.0.1"), (1, 3, "show version"), (2, 1, "show ip"), (2, 2, "show ip bgp"), (2, 3, "no"), (2, 4, "absent command"), (3, 1, "x"), (2, 5, None)]
+    c = spark.createDataFrame(chunked, "doc_id long, chunk_index int, text string")
+    r = spark.createDataFrame(rows, "doc_id long, line_no int, raw string")
+    want = {(1, 0, "show version", 2, 1), (1, 0, "ping 10.0.0.1", 1, 2), (2, 0, "show ip", 1, 1), (2, 1, "show ip", 1, 1), (2, 1, "show ip bgp", 1, 2), (2, 0, "no", 1, 3), (2, 1, "no", 1, 3)}
+    for searched in (0, 3, 200):
+        d = K.chunk_commands(c, r, searched)
+        got = [tuple(x) for x in d.collect()]
+        assert len(got) == len(want) and set(got) == want, searched
+    assert "regexp_extract_all" not in plan(d)
