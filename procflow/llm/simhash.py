@@ -22,6 +22,9 @@ Components need reachability, not every link, of which a dense group of n near f
 ``groups`` first links each fingerprint to the smallest one under each of its keys, where near, and joins what that
 leaves apart: only pairs of different groups leave that join, and under a dense key the largest group's own do not
 even meet in it.
+
+Spark takes a table of keys to be as large as the fingerprints it is made from, of which each has up to 126 keys. It
+would broadcast keys that the driver cannot hold, so joins of keys are told to go by shuffle.
 """
 
 from __future__ import annotations
@@ -190,7 +193,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, fine: bool | None = None) ->
     near = _keyed(own, "near", fine).select("key", F.col("fp").alias("x"))
     wide = _keyed(own, "wide", fine).select("key", F.col("fp").alias("y"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
-    met = near.join(wide, "key").where((F.col("x") < F.col("y")) & (F.bit_count(diff) <= max_bits))
+    met = near.join(wide.hint("merge"), "key").where((F.col("x") < F.col("y")) & (F.bit_count(diff) <= max_bits))
     if not fine:
         # Each pair counts under one case only, that which pigeonhole gives first, so that it leaves the join once
         # for each shared key of that case: once, as the nearer side of a pair is its smaller member.
@@ -205,7 +208,7 @@ def stars(fps: DataFrame, max_bits: int, fine: bool) -> DataFrame:
     most as many as keys, however dense a group is."""
     near = _keyed(fps.select("fp", F.col("fp").alias("root")), "near", fine).select("key", "fp")
     least = near.groupBy("key").agg(F.min("fp").alias("a"))
-    met = near.join(least, "key").where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits))
+    met = near.join(least.hint("merge"), "key").where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits))
     return met.select("a", F.col("fp").alias("b")).distinct()
 
 
@@ -220,13 +223,12 @@ def bridges(rooted: DataFrame, max_bits: int, fine: bool) -> DataFrame:
     by_root = near.groupBy("key", "root").count()
     home = by_root.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.sum("count").alias("rows"))
     home = cut(home.where(F.col("rows") > DENSE).select("key", "home"), "home")
-    if home.count() <= BROADCAST_KEYS:
-        home = F.broadcast(home)
+    home = F.broadcast(home) if home.count() <= BROADCAST_KEYS else home.hint("merge")
     ordinary, foreign = F.col("home").isNull(), F.col("root") != F.col("home")
     kinds = F.when(ordinary, F.array(F.lit(2))).when(foreign, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     left = near.join(home, "key", "left").select("key", F.explode(kinds).alias("kind"), F.col("fp").alias("x"), F.col("root").alias("rx"))
     right = wide.join(home, "key", "left").select("key", F.when(ordinary, 2).otherwise(foreign.cast("int")).alias("kind"), F.col("fp").alias("y"), F.col("root").alias("ry"))
-    met = left.join(right, ["key", "kind"]).where((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits))
+    met = left.join(right.hint("merge"), ["key", "kind"]).where((F.col("rx") != F.col("ry")) & (F.col("x") < F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_bits))
     return met.select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b")).distinct()
 
 
@@ -253,7 +255,8 @@ def _grouped(docs: DataFrame, max_bits: int) -> DataFrame:
     with_root = cut(distinct.join(groups(distinct, max_bits), "fp"), "groups")
     named = with_root.groupBy("root").agg(F.min("low").alias("component_id"))
     by_fp = with_root.join(named, "root").select("fp", "component_id", "root")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "digest", "component_id", "root")
+    # files of rows that repeat are far smaller than the rows, so each is not broadcast by their size
+    return each.hint("merge").join(by_fp, "fp").select("doc_id", "fp", "digest", "component_id", "root")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

@@ -76,3 +76,20 @@ def test_no_groups(spark):
     none = spark.createDataFrame([], "fp long")
     assert simhash.groups(none).count() == 0
     assert [tuple(r) for r in simhash.groups(table(spark, [5])).collect()] == [(5, 5)]
+
+
+def test_keys_are_not_broadcast_by_the_size_of_their_fingerprints(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        table(spark, range(1000)).write.parquet(f"{tmp_path}/fps")
+        df = spark.read.parquet(f"{tmp_path}/fps")  # of files Spark knows the size
+        plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+        for d in (simhash.stars(df, 4, False), simhash.links(df)):
+            assert "SortMergeJoin" in plan(d) and "Broadcast" not in plan(d)
+        rooted = df.select("fp", df.fp.alias("root"))
+        p = plan(simhash.bridges(rooted, 4, False))
+        # the few dense keys are sent, the keys of all fingerprints meet by shuffle
+        assert p.count("SortMergeJoin") == 1 and p.count("BroadcastHashJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
