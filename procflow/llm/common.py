@@ -86,12 +86,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round hooks nodes and their roots to the smallest label next to them, then jumps pointers, so the
     number of rounds grows with the logarithm of a component's diameter. Labels and edges stay distributed;
-    the driver sees one count a round. Raises if the labels still move after ``rounds`` rounds.
+    the driver sees one count a round. Edges that repeat few nodes make small files, by which Spark would broadcast many
+    of them; they are joined by shuffle. Raises if the labels still move after ``rounds`` rounds.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).select(F.col("a").alias("node"), "root"), "labels")
     for _ in range(rounds):
-        with_a = both.join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
+        with_a = both.hint("merge").join(labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a")
         near = with_a.groupBy("b").agg(F.min("ra").alias("low"))
         hooked = labels.join(near.withColumnRenamed("b", "node"), "node").select("node", "root", F.least("root", "low").alias("low"))
         # both the node and its old root learn the smaller label
