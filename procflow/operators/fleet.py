@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from procflow.operators import reach
 from procflow.session import checkpointed, kept
 
 
@@ -119,52 +120,28 @@ def neighbour_addresses(output: Column) -> Column:
     return F.array_distinct(F.when(F.size(managed) > 0, managed).otherwise(F.regexp_extract_all(output, F.lit(ip), F.lit(1))))
 
 
-#: Nodes of a word of discover(), in longs of 64.
-LONGS = 4
-WORD = 64 * LONGS
-
-
 def discover(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
     """``seed, node, distance``: what is reachable from each seed within ``depth`` steps, nearest distance first
     (breadth first, so none is visited twice). ``edges`` has src and dst.
 
-    Walks meet in the same nodes over and over, so nodes of neighbouring numbers are taken together: a row holds WORD
-    of them as bits, edges as well as what a seed has reached, and walks are united by their bits before they are
-    spread to rows at the end. Nodes that are no whole numbers are numbered first. Each round is cut from its lineage;
-    the visited set never leaves the cluster."""
+    Walks meet in the same nodes over and over, so nodes of neighbouring numbers are taken together as sets, and walks
+    are united by their bits before they are spread to rows at the end (``operators/reach.py``). Nodes that are no whole
+    numbers are numbered first. Each round is cut from its lineage; the visited set never leaves the cluster. Runs jobs
+    while it is called."""
     if not all(d.schema[c].dataType.typeName() in ("byte", "short", "integer", "long") for d, c in ((edges, "src"), (edges, "dst"), (seeds, "node"))):
         return _discover_named(edges, seeds, depth)
-    kind = edges.schema["dst"].dataType
+    named, kind = seeds.schema["node"].dataType, edges.schema["dst"].dataType
     start = seeds.select(F.col("node").alias("seed"), "node").distinct()
-    links = kept(_bits(edges.select("src", "dst"), "src", "dst"), "links").withColumnRenamed("__w", "__lw")
-    found = _bits(start, "seed", "node")
-    out, front = [start.select("seed", "node", F.lit(0).alias("distance"))], start
+    out = [start.select("seed", "node", F.lit(0).alias("distance"))]
+    links = kept(_bits(edges, "src", "dst"), "links") if depth else None
+    found = [kept(_bits(start, "seed", "node"), "start")] if depth else []
     for k in range(1, depth + 1):
-        step = front.join(links, front["node"] == links["src"]).groupBy("seed", F.col("__lw").alias("__w")).agg(*[F.bit_or(f"__b{i}").alias(f"__b{i}") for i in range(LONGS)])
-        old = found.select(F.col("seed").alias("__s"), F.col("__w").alias("__ow"), *[F.col(f"__b{i}").alias(f"__o{i}") for i in range(LONGS)])
-        met = step.join(old, step["seed"].eqNullSafe(old["__s"]) & step["__w"].eqNullSafe(old["__ow"]), "left")
-        new = met.select("seed", "__w", *[F.col(f"__b{i}").bitwiseAND(F.bitwise_not(F.coalesce(f"__o{i}", F.lit(0).cast("long")))).alias(f"__b{i}") for i in range(LONGS)])
-        new = kept(new.where(" OR ".join(f"__b{i} <> 0" for i in range(LONGS))), "reached")
-        found = found.unionByName(new).groupBy("seed", "__w").agg(*[F.bit_or(f"__b{i}").alias(f"__b{i}") for i in range(LONGS)])
-        front = _spread(new, kind)
-        out.append(front.select("seed", "node", F.lit(k).alias("distance")))
+        found.append(reach.step(found[-1], links, found, "reached"))
+        out.append(reach.spread(found[-1]).select(F.col("key").cast(named).alias("seed"), F.col("node").cast(kind).alias("node"), F.lit(k).alias("distance")))
     return reduce(DataFrame.unionByName, out)
 
 
-def _bits(pairs: DataFrame, key: str, node: str) -> DataFrame:
-    """``key``, ``__w``, ``__b0``...: the nodes of each key as bits of words. A null node is the word null."""
-    n = F.col(node).cast("long")
-    d = pairs.select(key, F.shiftright(n, WORD.bit_length() - 1).alias("__w"), F.coalesce(n.bitwiseAND(F.lit(WORD - 1)), F.lit(0)).cast("int").alias("__at"))
-    bit = lambda i: F.when(F.expr(f"__at div 64 = {i}"), F.expr("shiftleft(1L, __at % 64)")).otherwise(F.lit(0).cast("long"))
-    return d.groupBy(key, "__w").agg(*[F.bit_or(bit(i)).alias(f"__b{i}") for i in range(LONGS)])
-
-
-def _spread(words: DataFrame, kind) -> DataFrame:
-    """``seed, node`` of each bit."""
-    longs = ", ".join(f"__b{i}" for i in range(LONGS))
-    places = F.expr(f"filter(sequence(0, {WORD - 1}), p -> getbit(array({longs})[CAST(p div 64 AS INT)], p % 64) = 1)")
-    d = words.select("seed", "__w", F.explode(places).alias("__at"))
-    return d.select("seed", (F.col("__w") * WORD + F.col("__at")).cast(kind).alias("node"))
+_bits = reach.sets
 
 
 def _discover_named(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

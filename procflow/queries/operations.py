@@ -729,10 +729,11 @@ _EDGES = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM line
 
 
 def _edges(spark, sf):
-    """Devices are neighbours where one follows the other in an order."""
-    li = table(spark, sf, "lineitem")
-    a, b = li.select("l_orderkey", F.col("l_suppkey").alias("src"), (F.col("l_linenumber") + 1).alias("n")), li.select("l_orderkey", F.col("l_suppkey").alias("dst"), F.col("l_linenumber").alias("n"))
-    return a.join(b, ["l_orderkey", "n"]).select("src", "dst").distinct()
+    """Devices are neighbours where one follows the other in an order; pairs may repeat. A range of the order's lines
+    gives those that follow, so the lines are shuffled once."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
+    after = F.collect_list(F.struct("l_suppkey")).over(W.partitionBy("l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1))
+    return li.select(F.col("l_suppkey").alias("src"), after.alias("after")).select("src", F.inline("after")).toDF("src", "dst")
 
 
 @query("z12_discovered", f"""WITH RECURSIVE {_EDGES}, d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 0)),

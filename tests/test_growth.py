@@ -120,3 +120,41 @@ def test_chunks_are_searched_for_the_commands_of_their_document(spark):
         got = [tuple(x) for x in d.collect()]
         assert len(got) == len(want) and set(got) == want, searched
     assert "regexp_extract_all" not in plan(d)
+
+
+def test_edges_of_devices_shuffle_the_lines_once(spark):
+    from procflow.queries import operations
+
+    got = operations._edges(spark, SF)
+    assert plan(got).count("Exchange") == 1
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey")
+    li.createOrReplaceTempView("edge_lines")
+    want = spark.sql("SELECT a.l_suppkey AS src, b.l_suppkey AS dst FROM edge_lines a JOIN edge_lines b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1")
+    spark.catalog.dropTempView("edge_lines")
+    assert same(got, want)
+
+
+def test_walks_meet_by_pages_as_by_rows(spark, monkeypatch):
+    from procflow.operators import fleet, reach
+
+    rng = random.Random(5)
+    ids = [k * 97 - 20_000 for k in range(400)]  # three pages, one of them below 0
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(1500)] + [(ids[0], x) for x in ids] + [(ids[3], None), (None, ids[4]), (ids[5], ids[5])]
+    edges, seeds = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(x,) for x in ids[::2]] + [(None,), (7,)], "node long")
+    out = {}
+    for s, d in pairs:
+        out.setdefault(s, set()).add(d)
+    out.pop(None)
+    want = set()
+    for s in [*ids[::2], None, 7]:
+        seen, front = {s: 0}, {s}
+        for k in (1, 2, 3):
+            front = {d for f in front for d in out.get(f, ()) if d not in seen}
+            seen |= dict.fromkeys(front, k)
+        want |= {(s, node, d) for node, d in seen.items()}
+    for gain, bits, nodes in ((0, 13, 10**6), (0, 10, 1), (10**9, 13, 10**6)):
+        monkeypatch.setattr(reach, "GAIN", gain)
+        monkeypatch.setattr(reach, "BLOCK_BITS", bits)
+        monkeypatch.setattr(reach, "BLOCK_NODES", nodes)
+        rows = [tuple(r) for r in fleet.discover(edges, seeds, 3).collect()]
+        assert len(rows) == len(want) and set(rows) == want, (gain, bits)
