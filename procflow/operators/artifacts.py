@@ -221,7 +221,8 @@ def dry_run_plan(steps: DataFrame) -> DataFrame:
     return main.unionByName(back)
 
 
-def document_results(steps: DataFrame, structures: DataFrame, scores: DataFrame, outlines: DataFrame) -> DataFrame:
-    """One row a document: steps, structure, score and band, outline tokens and ratio."""
-    n = steps.groupBy("doc_id").agg(F.count("*").alias("n_steps"))
-    return structures.join(n, "doc_id", "left").join(scores.select("doc_id", "score", "band"), "doc_id", "left").join(outlines.select("doc_id", "raw_tokens", "outline_tokens", "ratio"), "doc_id", "left").na.fill(0, ["n_steps"])
+def document_results(scores: DataFrame, outlines: DataFrame) -> DataFrame:
+    """One row a document with blocks: steps, structure, score and band, outline tokens and ratio. Steps are counted by
+    the quality score, and the outlines (with structure) tell structures, so steps and blocks are made once each."""
+    s = scores.select("doc_id", "n_steps", "score", "band")
+    return outlines.join(s, "doc_id", "left").select("doc_id", "structure", "n_steps", "score", "band", "raw_tokens", "outline_tokens", "ratio").na.fill(0, ["n_steps"])

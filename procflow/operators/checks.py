@@ -118,11 +118,12 @@ CRITERIA = {"commands_detected": 3, "rollback_steps": 2, "pre_checks": 1, "verif
 
 
 def quality_score(steps: DataFrame, models: DataFrame | None = None) -> DataFrame:
-    """One row a document: the points of eight criteria, score (of 12), band, percentage, bar, warnings and
+    """One row a document: its steps, the points of eight criteria, score (of 12), band, percentage, bar, warnings and
     recommendations. ``models`` gives failure_strategy by doc_id (abort if not given). One aggregation."""
     low = F.lower(F.coalesce("section", F.lit("")))
     own = ~F.col("is_rollback")
     g = steps.groupBy("doc_id").agg(
+        F.count("*").alias("n_steps"),
         F.sum(F.size("commands")).alias("n_commands"),
         F.count_if(F.col("is_rollback")).alias("n_rollback"),
         F.bool_or(low.isin(*PRE)).alias("has_pre"),

@@ -35,7 +35,9 @@ def extract_commands(lines: DataFrame, column: str = "raw", texts: DataFrame | N
     """The lines that are commands, classified. Map-only. ``texts``: every text of the column as ``raw``, each once
     (session.repeated); the patterns then run once a text."""
     if texts is not None:
-        known = extract_commands(texts.select("raw", F.col("raw").alias("__line")))
+        # told by a column: a filter on the text itself would be put on the lines, too, by the join's equality
+        told = computed(texts.select("raw", F.col("raw").alias("__line")), __is=C.is_command(F.col("raw"))).where("__is").drop("__is")
+        known = classify(told, known=True)
         d = lines.withColumnRenamed(column, "__line").join(F.broadcast(known), "__line")
         told = [c for c in known.columns if c not in ("__line", "raw")]
         own = [F.col("__line").alias(column) if c == column != "raw" else F.col(c) for c in lines.columns]

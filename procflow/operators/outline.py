@@ -145,20 +145,20 @@ def outline_sections(blocks: DataFrame, texts: DataFrame | None = None) -> DataF
 
 
 def _routed(blocks: DataFrame, least: float = 0.4) -> DataFrame:
-    """All blocks in their sections, plus the document's route and raw tokens and the section's mode."""
+    """All blocks in their sections, plus the document's structure, route and raw tokens and the section's mode."""
     t, whole = F.col("block_type"), W.partitionBy("doc_id")
     d = sectioned(blocks)
     counts = {f"__{k}": F.count_if(t == k).over(whole) for k in KINDS}
     counts |= {"__total": F.count_if(t.isin(*KINDS)).over(whole), "__numbered": F.count_if(F.col("content").rlike(r"^\d+\.")).over(whole), "__chars": F.sum(F.length("content") + 1).over(whole)}
     d = d.withColumns(counts)
-    d = d.withColumn("route", route(structure_of(lambda k: F.col(f"__{k}")))).withColumn("raw_tokens", F.greatest(F.lit(1), F.floor(F.col("__chars") / X.CHARS_PER_TOKEN).cast("int"))).drop(*counts)
+    d = d.withColumn("structure", structure_of(lambda k: F.col(f"__{k}"))).withColumn("route", route(F.col("structure"))).withColumn("raw_tokens", F.greatest(F.lit(1), F.floor(F.col("__chars") / X.CHARS_PER_TOKEN).cast("int"))).drop(*counts)
     inside = W.partitionBy("doc_id", "section_index")
     by_share = F.when(F.count_if(_structured()).over(inside) / F.count("*").over(inside) >= least, "outline").otherwise("text")
     return d.withColumn("mode", F.when(F.col("route") == "mixed", by_share).otherwise(F.col("route")))
 
 
 def _parts(blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """``doc_id, section_index, route, raw_tokens, part``; the headings that open sections are a row without an index and
+    """``doc_id, section_index, structure, route, raw_tokens, part``; the headings that open sections are a row without an index and
     part. Documents are dealt once: whatever is asked of them is a window or an aggregate that keeps to that. Where
     there are tables, the blocks are cut from what made them, as their rows are read twice."""
     d = _routed(blocks)
@@ -166,7 +166,7 @@ def _parts(blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     if tables:
         d = checkpointed(d)
     outlined = F.col("section_index").isNotNull() & (F.col("mode") == "outline")
-    said = ["doc_id", "section_index", "section", "block_no", "route", "raw_tokens", "__node", "description", "commands", "expected_output"]
+    said = ["doc_id", "section_index", "section", "block_no", "structure", "route", "raw_tokens", "__node", "description", "commands", "expected_output"]
     n = _with_nodes(d, outlined, texts).select(*said, F.when(F.col("section_index").isNotNull() & (F.col("mode") == "text"), F.concat(F.lit("  "), "content")).alias("__text"), F.lit(False).alias("is_rollback"))
     if tables:
         rows = table_nodes(d.where(outlined & (F.col("block_type") == "table_row")))
@@ -178,22 +178,22 @@ def _parts(blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     n = n.withColumn("is_rollback", F.when(F.col("__node"), F.col("is_rollback") | F.col("section").rlike(P.ROLLBACK_SECTION)))
     n = computed(n, __line=F.when(F.col("__node"), render_node()).otherwise(F.col("__text")))
     lines = F.sort_array(F.collect_list(F.when(F.col("__line").isNotNull(), F.struct("block_no", "__line"))))["__line"]
-    s = n.groupBy("doc_id", "section_index").agg(F.first("section", ignorenulls=True).alias("section"), F.max("route").alias("route"), F.max("raw_tokens").alias("raw_tokens"), lines.alias("lines"))
+    s = n.groupBy("doc_id", "section_index").agg(F.first("section", ignorenulls=True).alias("section"), F.max("structure").alias("structure"), F.max("route").alias("route"), F.max("raw_tokens").alias("raw_tokens"), lines.alias("lines"))
     title = F.concat(F.lit("SECTION: "), "section", F.when(F.col("section").rlike(P.ROLLBACK_SECTION), "  [ROLLBACK]").otherwise(""))
     part = F.when(F.size("lines") > 0, F.concat_ws("\n", title, F.array_join("lines", "\n"))).otherwise(title)
-    return s.select("doc_id", "section_index", "route", "raw_tokens", F.when(F.col("section_index").isNotNull(), part).alias("part"))
+    return s.select("doc_id", "section_index", "structure", "route", "raw_tokens", F.when(F.col("section_index").isNotNull(), part).alias("part"))
 
 
-def outlines(docs: DataFrame, blocks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def outlines(docs: DataFrame, blocks: DataFrame, texts: DataFrame | None = None, structure: bool = False) -> DataFrame:
     """``doc_id, route, outline, raw_tokens, outline_tokens, ratio`` for each document with blocks.
 
     Prose documents have no outline. The ratio is what the outline saves of the raw tokens, 0 at least.
-    ``texts`` as in block_nodes().
+    ``texts`` as in block_nodes(). With ``structure``, that of the document, as in document_structure(), is a column, too.
     """
     text = F.array_join(F.sort_array(F.collect_list(F.when(F.col("section_index").isNotNull(), F.struct("section_index", "part"))))["part"], "\n")
     route_ = F.max(F.when(F.col("section_index").isNotNull(), F.col("route")))
-    g = _parts(blocks, texts).groupBy("doc_id").agg(F.coalesce(route_, F.lit("text")).alias("route"), text.alias("outline"), F.max("raw_tokens").alias("raw_tokens"))
-    d = g.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_tokens", "route", "outline")
+    g = _parts(blocks, texts).groupBy("doc_id").agg(F.coalesce(route_, F.lit("text")).alias("route"), text.alias("outline"), F.max("raw_tokens").alias("raw_tokens"), F.max("structure").alias("structure"))
+    d = g.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "raw_tokens", "route", "outline", *(["structure"] if structure else []))
     d = d.withColumn("outline", F.when(F.col("route") == "text", "").otherwise(F.coalesce("outline", F.lit(""))))
     d = d.withColumn("outline_tokens", X.tokens(F.col("outline")))
     return d.withColumn("ratio", F.when(F.col("route") == "text", 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1 - F.col("outline_tokens") / F.col("raw_tokens")), 3)))

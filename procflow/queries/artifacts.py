@@ -485,5 +485,4 @@ def j06(spark, sf):
 def r09(spark, sf):
     texts = V.line_texts(spark, sf)
     b, s = V.proc_blocks(spark, sf, texts), V.proc_steps(spark, sf, texts)
-    kinds = B.block_counts(b).select("doc_id", B.structure_of(F.col).alias("structure"))
-    return R.document_results(s, kinds, Q.quality_score(s, models(spark, sf)), O.outlines(V.proc_docs(spark, sf), b, V.block_texts(texts)))
+    return R.document_results(Q.quality_score(s, models(spark, sf)), O.outlines(V.proc_docs(spark, sf), b, V.block_texts(texts), structure=True))

@@ -158,3 +158,27 @@ def test_walks_meet_by_pages_as_by_rows(spark, monkeypatch):
         monkeypatch.setattr(reach, "BLOCK_NODES", nodes)
         rows = [tuple(r) for r in fleet.discover(edges, seeds, 3).collect()]
         assert len(rows) == len(want) and set(rows) == want, (gain, bits)
+
+
+def test_results_of_documents_make_steps_and_blocks_once(spark):
+    from procflow.operators import artifacts as R
+    from procflow.operators import checks as Q
+    from procflow.queries import artifacts, documents
+
+    d = artifacts.r09(spark, SF)
+    p = plan(d)
+    # the lines for the steps and for the blocks, the documents of the models and of the semi-join
+    assert p.count("FileScan") <= 4 and p.count("Exchange hashpartitioning") <= 4
+    docs, b, s = views.proc_docs(spark, SF), views.proc_blocks(spark, SF), views.proc_steps(spark, SF)
+    n = s.groupBy("doc_id").count().withColumnRenamed("count", "n_steps")
+    want = B.document_structure(docs, b).join(n, "doc_id", "left").join(Q.quality_score(s, documents.models(spark, SF)).select("doc_id", "score", "band"), "doc_id", "left")
+    want = want.join(O.outlines(docs, b).select("doc_id", "raw_tokens", "outline_tokens", "ratio"), "doc_id").na.fill(0, ["n_steps"])
+    assert same(d, want)
+
+
+def test_lines_that_are_read_once_a_text_are_not_searched_by_row(spark):
+    lines = views.proc_lines(spark, SF)
+    d = G.extract_commands(lines, texts=lines.select("raw").distinct().localCheckpoint())
+    p = d._jdf.queryExecution().optimizedPlan().toString()
+    # the only filter is that of the texts; the lines are met by the join alone
+    assert "Join Inner" in p and p.count("Filter ") == 1
